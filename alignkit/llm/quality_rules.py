@@ -36,7 +36,7 @@ def default_rules() -> list[Rule]:
     letters = F.regexp_replace(content, r"[^\p{Lu}\p{Ll}]", "")
     upper = F.char_length(F.regexp_replace(letters, r"\p{Ll}", ""))
     return [
-        Rule("symbols", F.col("n_symbols") > 0.5 * n),
+        Rule("symbols", F.col("n_symbols") > 0.3 * n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
         Rule("dup_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
         Rule("shouted_ends", F.char_length(content) - F.char_length(F.replace(content, F.lit("!!"), F.lit("!"))) > 0.3 * n),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality_rules
+from . import exact_dedup, mixing, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_source_mix": op3_source_mix,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -78,7 +83,7 @@ m AS (SELECT doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, '')
       FROM d LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR n_symbols > 0.5 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+       NOT (base_failed OR n_symbols > 0.3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
             OR 10 * n_dup_lines > 3 * n_lines OR shouts > 0.3 * n_words OR uppers > 0.6 * letters) AS kept
 FROM b
 """,
