@@ -176,15 +176,22 @@ def coder(path: str, pattern: str) -> ByteBPE:
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, tokens`` (array of int) for each row of ``docs``; null counts as empty."""
+    """``doc_id, n_tokens, tokens, decoded_sha256`` for each row of ``docs``; null counts as empty.
+
+    The digest is that of the bytes which the ids decode to.
+    """
 
     def each(batches):
         bpe = coder(path, pattern)
         for batch in batches:
-            ids = [np.array(s.split(), np.int32) for _, s, _ in bpe.texts(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], names=["doc_id", "tokens"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(each, "doc_id long, tokens array<int>")
+            got = bpe.texts(batch.column(1).to_pylist())
+            flat = np.array(" ".join([s for _, s, _ in got]).split(), np.int32)
+            sizes = [n for n, _, _ in got]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat, pa.int32()))
+            shas = pa.array([hashlib.sha256(b).hexdigest() for _, _, b in got], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists, shas], names=["doc_id", "n_tokens", "tokens", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(each, "doc_id long, n_tokens long, tokens array<int>, decoded_sha256 string")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
