@@ -1,8 +1,61 @@
-"""Corpus pipeline (being built)."""
+"""From documents to token ids: each stage works on all that the stage before it kept.
 
-STAGES = []
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame,
+which is written as Parquet and read again as the next one's ``docs``. All but the last return the
+columns of ``documents``. An empty table passes through every stage; null texts count as empty.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from alignkit.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
+from alignkit.llm.common import materialise
+
+
+def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity lexicon, learned from ``labels``, rejects go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest ``doc_id`` stays."""
+    return exact_dedup.deduplicate(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest ``doc_id`` stays."""
+    return simhash.keep_one_of_each(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    return mixing.mix(docs)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, tokens, decoded_sha256`` for each row of the mix."""
+    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", toxic_stage),
+    ("exact dedup", exact_stage),
+    ("simhash near-dedup", near_stage),
+    ("source mix", mix_stage),
+    ("byte-level bpe", encode_stage),
+]
+
+#: SQL cannot state the lexicon, the fingerprints or the merges; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    out = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, out, sf_dir)
+        if i + 1 < len(STAGES):
+            out = materialise(out, f"pipeline-{i}")
+    return out
