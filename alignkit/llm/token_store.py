@@ -10,6 +10,7 @@ touches the token column.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -22,58 +23,89 @@ from pyspark.sql import functions as F
 from .common import scratch_root, text_or_empty
 
 END_ID = 2
-#: Distinct words whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+#: Words that a worker remembers, in each of two generations.
+REMEMBERED = 250_000
 #: Bytes of a row group and rows of a page.
 ROW_GROUP_BYTES, PAGE_ROWS = 8 << 20, 2000
 
 _SEPARATORS, _BLANKS = re.compile(r"[\x1c-\x1f]"), re.compile(r"[ \t\n\x0b\f\r]+")
-_memory: dict[str, tuple[object, dict[str, bytes]]] = {}
 
 
-def _encoder(path: str):
-    """(tokenizer, remembered ids of words), kept in the worker process for later tasks."""
-    if path not in _memory:
-        import os
+def _byte_letters() -> list[str]:
+    """The letters that byte-level vocabularies write bytes with: printable bytes stand for themselves,
+    the others take the code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        _memory[path] = Tokenizer.from_file(path), {}
-    return _memory[path]
+class Encoder:
+    """Encodes words with the tokenizer and remembers them.
 
+    The tokenizer's pattern never matches across a blank, so a text's ids are those of its words in
+    turn. A word of Latin letters alone is one match of the pattern: it goes straight to the
+    tokenizer's model, lowered and spelt in byte letters as the tokenizer would. A comma or full stop
+    after such a word is a match of its own. Everything else goes through the whole tokenizer.
+    Frequent words outlive the younger generation of the memory, rare ones are forgotten.
+    """
 
-def _pieces(text: str) -> list[str]:
-    """Parts of a text that the tokenizer encodes independently of each other.
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    Its pattern never matches across a blank, and a comma or full stop after a letter never belongs
-    to the letters before it. ASCII letters are lowered here, as the tokenizer does, so that both
-    spellings share one memory.
-    """
-    out = []
-    text = text.lower() if text.isascii() else text
-    # str.split also splits at 0x1C-0x1F, which the tokenizer does not take for blanks.
-    for part in _BLANKS.split(text) if _SEPARATORS.search(text) else text.split():
-        if len(part) > 2 and part[-1] in ",." and part[-2].isalpha():
-            out.append(part[:-1])
-            out.append(part[-1])
-        else:
-            out.append(part)
-    return out
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters, self.remembered = self.tokenizer.model, _byte_letters(), remembered
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.stops = {c: self._whole([c])[0] for c in ",."}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters_only(self, word: str) -> bytes:
+        word = word.lower()
+        if not word.isascii():
+            word = "".join([self.letters[b] for b in word.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+
+    def _learn(self, words) -> None:
+        known, hard = self.known, []
+        for w in words:
+            if (ids := self.older.get(w)) is not None:
+                known[w] = ids
+                continue
+            stem, stop = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ",." else (w, "")
+            if stem.isalpha() and max(stem) < "\u0100":
+                plain = stem.lower()
+                ids = known.get(plain)
+                if ids is None:
+                    ids = self.older.get(plain)
+                    known[plain] = ids = self._letters_only(plain) if ids is None else ids
+                known[w] = ids + self.stops[stop] if stop else ids
+            else:
+                hard.append(w)
+        for i in range(0, len(hard), 4096):
+            known.update(zip(hard[i : i + 4096], self._whole(hard[i : i + 4096]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers, as ``tokenizers`` gives them."""
+        # str.split also splits at 0x1C-0x1F, which the tokenizer does not take for blanks.
+        parts = [[p for p in _BLANKS.split(t) if p] if _SEPARATORS.search(t) else t.split() for t in texts]
+        if len(self.known) > self.remembered:
+            self.older, self.known = self.known, {}
+        self._learn(set().union(*parts).difference(self.known))
+        get = self.known.__getitem__
+        return [b"".join(map(get, ps)) for ps in parts]
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers, as ``tokenizers`` gives them."""
-    tokenizer, known = _encoder(path)
-    parts = [_pieces(t) for t in texts]
-    new = list({p for ps in parts for p in ps if p not in known})
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list({p for ps in parts for p in ps})
-    for i in range(0, len(new), 4096):
-        for p, e in zip(new[i : i + 4096], tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[p] for p in ps]) for ps in parts]
+    """Encode with the tokenizer of a file, which a worker process loads once."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(texts)
 
 
 def _lists(ids: list[bytes]) -> pa.Array:

@@ -11,11 +11,19 @@ PATH = P.path("word_bpe_49k.json")
 
 def test_pieces_encode_like_whole_texts():
     t = Tokenizer.from_file(PATH)
-    texts = ["", " ", "It's the CAT'S, I'll... we're.", "Éá,b. ΑΣ Σ, İstanbul, ß.", "a b c\u0085d\x1ce", "x,. y.,", "12,5 %%%, 漢字, 🙂.", "Á. é ́x", "n't,the'd", "word,word.", "ẞ, ŉ. ﬁ,", "ſ'S"]
+    texts = ["", " ", "It's the CAT'S, I'll... we're.", "Éá,b. ΑΣ Σ, İstanbul, ß.", "a b c\u0085d\x1ce", "x,. y.,", "12,5 %%%, 漢字, 🙂.", "Á. é ́x", "n't,the'd", "word,word.", "ẞ, ŉ. ﬁ,", "ſ'S", "ÀÉÎ. ªº µ, ÿ ß.", "THE, The. the,. ,the", "don't.", "x1, 1x. x²,"]
     for text, got in zip(texts, token_store.encode_texts(texts, PATH), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_memory_forgets_without_harm():
+    t = Tokenizer.from_file(PATH)
+    encoder = token_store.Encoder(PATH, remembered=5)
+    for i in range(60):
+        text = f"The word{i % 7} alpha, beta{i % 5}. Über{'x' * (i % 9)}, 12{i}"
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_table_and_odd_rows(spark, sf):
     t = Tokenizer.from_file(PATH)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
