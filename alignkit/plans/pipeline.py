@@ -41,6 +41,7 @@ def align_samples(cells: DataFrame, delays: DataFrame, lengths: DataFrame, param
     """
     cells = align.select_bands(cells, "spw", list(params.bands))
     cells = align.keep_first_keys(cells, "blpair", params.max_keys)
+    grouped = "noise" in cells.columns
     first = cells.agg(F.min("spw").alias("_spw"))
     probe = cells.join(F.broadcast(first), F.col("spw") == F.col("_spw")).drop("_spw")
     dead = align.dead_keys(probe, "blpair", "value")
@@ -60,8 +61,8 @@ def align_samples(cells: DataFrame, delays: DataFrame, lengths: DataFrame, param
             raise ValueError("times inside a window spread over more than its length")
     members = groups.restrict_groups(groups.tolerance_groups(lengths, "blpair", "length_m", params.length_tol), aligned, "blpair")
     wide = live.join(aligned.select("blpair", "time_jd", "time_pos"), ["blpair", "time_jd"]).join(members.select("blpair", "group_id"), "blpair")
-    means = reduce.weighted_group_mean(wide, ["spw", "time_pos", "group_id", "dly_idx"], "value", "noise" if "noise" in cells.columns else None)
-    folded = reshape.fold_axis(means, delays, "spw", ["time_pos", "group_id"]).withColumn("branch", F.lit(branch))
+    means = reduce.weighted_group_mean(wide, ["spw", "time_pos", "group_id", "dly_idx"], "value", "noise" if grouped else None)
+    folded = reshape.fold_axis(means, delays, "spw", ["time_pos", "group_id"]).withColumn("branch", F.lit(branch)).persist()
     counters = (
         dead.agg(F.count(F.lit(1)).alias("dropped_dead_keys"))
         .crossJoin(assigned.agg(F.count(F.lit(1)).alias("_all")))
@@ -101,7 +102,7 @@ def contrast_samples(left: DataFrame, right: DataFrame, tol_seconds: float = 60.
     pairs = match.tolerance_match(times(left).join(bands, "spw", "left_semi"), times(right).join(bands, "spw", "left_semi"), ["spw"], tol_seconds / 86400.0).persist()
     if pairs.isEmpty():
         raise ValueError("no times match within the tolerance")
-    out = match.contrast(left, right, pairs, ["spw", "feature"])
+    out = match.contrast(left, right, pairs, ["spw", "feature"]).persist()
     order = out.select("spw", "time").distinct()
     numbered = order.withColumn("time_pos", F.dense_rank().over(Window.partitionBy("spw").orderBy("time")) - 1)
     return out.join(numbered, ["spw", "time"]).select("spw", "time", "time_pos", "feature", "value")

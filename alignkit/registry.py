@@ -1,11 +1,545 @@
-"""The library's registered queries and the SQL that states their results."""
+"""The library's registered queries over the given tables, and the SQL that states their results.
+
+The tables stand in for spectra: ``events`` for irregular series, ``lineitem`` for a dense panel with
+noise, ``embeddings`` for matrices, ``supplier`` for baselines, ``documents``, ``pages`` and
+``conversations`` for listings and records.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.scalar import days, key_subset
+from .operators import align, catalog, decompose, grid, groups, match, reduce, reshape
+from .plans import pipeline
+from .sources import tables, writers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+MINUTES_20 = 1200.0
+DAYS_30 = 30 * 86400.0
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark, sf_dir, *keep) -> DataFrame:
+    return _read(spark, sf_dir, "events").select(*keep, days(F.col("ts")).alias("t"))
+
+
+def _panel(spark, sf_dir) -> DataFrame:
+    """The lineitem panel: series, band, time in days, value and noise."""
+    return _read(spark, sf_dir, "lineitem").select(
+        F.col("l_linenumber").alias("series"), F.col("l_returnflag").alias("band"), days(F.col("l_shipdate")).alias("t"), F.col("l_extendedprice").alias("value"), F.col("l_tax").alias("noise")
+    )
+
+
+_T = "epoch_us(ts) / 86400000000.0::DOUBLE"
+_W20 = "1200.0::DOUBLE / 86400.0::DOUBLE"
+_INTEGRATION = f"""
+  SELECT coalesce(median(gap), 0) AS sec FROM (
+    SELECT (t - lag(t) OVER (ORDER BY t)) * 86400.0::DOUBLE AS gap FROM (SELECT DISTINCT {_T} AS t FROM events)) WHERE gap < 30.0"""
+_ASSIGNED = f"""
+a AS (SELECT (SELECT min({_T}) FROM events) - ({_INTEGRATION}) / 86400.0::DOUBLE / 2.0::DOUBLE - 1e-8::DOUBLE AS anchor),
+w AS (SELECT event_id, event_type, {_T} AS t, floor(({_T} - anchor) / ({_W20}))::BIGINT AS wid,
+             anchor + (floor(({_T} - anchor) / ({_W20})) + 0.5::DOUBLE) * ({_W20}) AS centre FROM events, a)"""
+_SINGLE = f"{_ASSIGNED}, s AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY event_type, wid) AS n FROM w) WHERE n = 1)"
+_COMMON = f"""{_SINGLE}, c AS (SELECT wid, (dense_rank() OVER (ORDER BY wid) - 1)::INT AS time_pos FROM (
+  SELECT wid FROM s GROUP BY wid HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM w)))"""
+
+
+def _assigned(spark, sf_dir) -> DataFrame:
+    rows = _events(spark, sf_dir, "event_id", "event_type")
+    return grid.assign_windows(rows, grid.window_grid(rows, "event_type", "t", MINUTES_20), "t")
+
+
+def _aligned(spark, sf_dir) -> DataFrame:
+    assigned = _assigned(spark, sf_dir)
+    single = align.drop_ambiguous_rows(assigned, "event_type")
+    return align.align_rows(single, align.common_windows(single, "event_type", assigned))
+
+
+@query(f"""
+WITH e AS (SELECT user_id AS k, {_T} AS t FROM events), f AS (SELECT DISTINCT k FROM e ORDER BY k LIMIT 50)
+SELECT round(median(step), 9) AS window_days FROM (SELECT t - lag(t) OVER (PARTITION BY k ORDER BY t) AS step FROM e WHERE k IN (SELECT k FROM f))
+""")
+def infer_window(spark, sf_dir):
+    """A1: median step of the first 50 users."""
+    return grid.infer_window(_events(spark, sf_dir, "user_id"), "user_id", "t").select(F.round("window_days", 9).alias("window_days"))
+
+
+@query(f"SELECT round(sec, 6) AS integration_seconds FROM ({_INTEGRATION})")
+def infer_integration(spark, sf_dir):
+    """A2: median gap between distinct times."""
+    return grid.infer_integration(_events(spark, sf_dir), "t").select(F.round("integration_seconds", 6).alias("integration_seconds"))
+
+
+@query(f"WITH {_ASSIGNED} SELECT event_id, wid, round(centre, 6) AS centre FROM w")
+def assign_windows(spark, sf_dir):
+    """A3, A4: events in windows of 20 minutes."""
+    return _assigned(spark, sf_dir).select("event_id", "wid", F.round("centre", 6).alias("centre"))
+
+
+@query(f"WITH {_SINGLE} SELECT event_id, event_type, wid FROM s")
+def drop_ambiguous_rows(spark, sf_dir):
+    """Events that are the only one of their type in their window."""
+    return align.drop_ambiguous_rows(_assigned(spark, sf_dir), "event_type").select("event_id", "event_type", "wid")
+
+
+@query(f"WITH {_COMMON} SELECT wid, time_pos FROM c")
+def common_windows(spark, sf_dir):
+    """Windows that every event type covers."""
+    assigned = _assigned(spark, sf_dir)
+    return align.common_windows(align.drop_ambiguous_rows(assigned, "event_type"), "event_type", assigned)
+
+
+@query(f"WITH {_COMMON} SELECT event_id, event_type, wid, time_pos FROM s JOIN c USING (wid)")
+def align_rows(spark, sf_dir):
+    """Events in common windows."""
+    return _aligned(spark, sf_dir).select("event_id", "event_type", "wid", "time_pos")
+
+
+@query(f"WITH {_COMMON} SELECT event_type, time_pos, count(*) AS n FROM s JOIN c USING (wid) GROUP BY ALL HAVING count(*) <> 1")
+def misaligned_rows(spark, sf_dir):
+    """J2's assertion: (key, window) pairs with other than one row."""
+    return align.misaligned(_aligned(spark, sf_dir), "event_type")
+
+
+@query(f"WITH {_COMMON} SELECT round(max(d) * 86400.0, 4) AS max_spread_seconds FROM (SELECT max(t) - min(t) AS d FROM s JOIN c USING (wid) GROUP BY wid)")
+def centroid_spread(spark, sf_dir):
+    """The largest spread of times inside a window."""
+    return align.centroid_spread(_aligned(spark, sf_dir), "t").select(F.round("max_spread_seconds", 4).alias("max_spread_seconds"))
+
+
+@query(f"WITH {_COMMON} SELECT time_pos, arg_min(event_id, event_type) AS event_id FROM s JOIN c USING (wid) GROUP BY time_pos")
+def window_coordinate(spark, sf_dir):
+    """A coordinate per window from its lowest key."""
+    return align.window_coordinate(_aligned(spark, sf_dir), "event_type", "event_id")
+
+
+@query("""
+SELECT l_suppkey, count(*) AS n FROM (SELECT l_suppkey, CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_discount END AS x FROM lineitem)
+WHERE l_suppkey NOT IN (SELECT l_suppkey FROM (SELECT l_suppkey, CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_discount END AS x FROM lineitem) GROUP BY 1 HAVING max(CASE WHEN x <> 0 THEN 1 ELSE 0 END) = 0)
+GROUP BY 1
+""")
+def drop_dead_keys(spark, sf_dir):
+    """Suppliers whose cells are not all zero, with their rows counted."""
+    rows = _read(spark, sf_dir, "lineitem").select("l_suppkey", F.when(F.col("l_suppkey") % 3 == 0, 0.0).otherwise(F.col("l_discount")).alias("x"))
+    return align.drop_dead_keys(rows, "l_suppkey", "x").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT DISTINCT o_custkey FROM orders ORDER BY 1 LIMIT 50)")
+def keep_first_keys(spark, sf_dir):
+    """Orders of the first 50 customers in order of key."""
+    return align.keep_first_keys(_read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", 50)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity FROM lineitem WHERE l_linenumber IN (1, 3, 5) AND l_returnflag = 'R'")
+def select_bands(spark, sf_dir):
+    """Listed bands and one polarisation code; both conditions reach the scan."""
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return align.select_bands(rows, "l_linenumber", [1, 3, 5], "l_returnflag", "R")
+
+
+_PANEL = """
+p AS (SELECT l_linenumber AS series, l_returnflag AS band, epoch_us(l_shipdate) / 86400000000.0::DOUBLE AS t, l_extendedprice AS value, l_tax AS noise FROM lineitem),
+pw AS (SELECT *, floor((t - ((SELECT min(t) FROM p) - 1e-8::DOUBLE)) / 30.0::DOUBLE)::BIGINT AS wid FROM p),
+pc AS (SELECT wid FROM pw GROUP BY wid HAVING count(DISTINCT series) = (SELECT count(DISTINCT series) FROM p)),
+pm AS (SELECT band, wid, series, sum(x * value) AS num, sum(x) AS weight FROM (SELECT *, CASE WHEN noise > 0 THEN 1 / (noise * noise) ELSE 0 END AS x FROM pw JOIN pc USING (wid)) GROUP BY ALL),
+pv AS (SELECT band, wid, series, CASE WHEN weight > 0 THEN num / weight ELSE 0 END AS value, weight FROM pm)"""
+
+
+def _panel_means(spark, sf_dir) -> DataFrame:
+    rows = _panel(spark, sf_dir)
+    assigned = grid.assign_windows(rows, grid.window_grid(rows.select("series", "t"), "series", "t", DAYS_30), "t")
+    kept = align.align_rows(assigned, align.common_windows(assigned, "series"))
+    return reduce.weighted_group_mean(kept, ["band", "wid", "series"], "value", "noise")
+
+
+@query(f"WITH {_PANEL} SELECT band, wid, series, round(value, 4) AS value, round(weight, 3) AS weight FROM pv")
+def weighted_group_mean(spark, sf_dir):
+    """Noise-weighted means per band, window and series."""
+    return _panel_means(spark, sf_dir).select("band", "wid", "series", F.round("value", 4).alias("value"), F.round("weight", 3).alias("weight"))
+
+
+@query(f"WITH {_PANEL} SELECT count(*) FILTER (WHERE NOT weight > 0) AS zero_weight_cells FROM pv")
+def zero_weight_cells(spark, sf_dir):
+    """Groups without weight."""
+    return reduce.zero_weight_cells(_panel_means(spark, sf_dir))
+
+
+_GROUPS = """
+g AS (SELECT s_suppkey, s_acctbal, sum(b) OVER (ORDER BY s_acctbal, s_suppkey ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS group_id
+      FROM (SELECT *, CASE WHEN s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal, s_suppkey) <= 50 THEN 0 ELSE 1 END AS b FROM supplier))"""
+
+
+@query(f"WITH {_GROUPS} SELECT s_suppkey, s_acctbal, group_id FROM g")
+def tolerance_groups(spark, sf_dir):
+    """Suppliers chained by balances within 50."""
+    return groups.tolerance_groups(_read(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", 50.0)
+
+
+@query(f"""WITH {_GROUPS}, k AS (SELECT * FROM g WHERE s_suppkey % 2 = 0), d AS (SELECT *, dense_rank() OVER (ORDER BY group_id) - 1 AS dense FROM k)
+SELECT dense::INT AS group_id, min(s_acctbal) AS group_len, arg_min(s_suppkey, (s_acctbal, s_suppkey)) AS group_rep, count(*) AS n_keys FROM d GROUP BY dense""")
+def group_summary(spark, sf_dir):
+    """Groups of the live suppliers (even keys), with length and representative."""
+    suppliers = _read(spark, sf_dir, "supplier")
+    members = groups.tolerance_groups(suppliers, "s_suppkey", "s_acctbal", 50.0)
+    return groups.group_summary(groups.restrict_groups(members, suppliers.where("s_suppkey % 2 = 0"), "s_suppkey"), "s_suppkey", "s_acctbal")
+
+
+_AXIS = """
+x AS (SELECT DISTINCT l_returnflag AS spw, l_linenumber - 1 AS dly_idx, (l_linenumber - 4)::DOUBLE AS dly FROM lineitem),
+xp AS (SELECT *, row_number() OVER (PARTITION BY spw ORDER BY dly) - 1 AS dly_pos FROM x WHERE dly > 0),
+xm AS (SELECT * FROM (SELECT p.spw, p.dly_pos, p.dly, p.dly_idx AS pos_idx, x.dly_idx AS neg_idx,
+       row_number() OVER (PARTITION BY p.spw, p.dly_pos ORDER BY abs(x.dly + p.dly), x.dly_idx) AS r FROM xp p JOIN x USING (spw)) WHERE r = 1),
+xc AS (SELECT l_returnflag AS spw, l_linenumber - 1 AS dly_idx, l_suppkey % 10 AS group_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL),
+xf AS (SELECT m.spw, c.group_id, m.dly_pos, sum(c.value) / 2 AS value FROM (SELECT spw, dly_pos, pos_idx AS i FROM xm UNION ALL SELECT spw, dly_pos, neg_idx FROM xm) m JOIN xc c ON c.spw = m.spw AND c.dly_idx = m.i GROUP BY ALL)"""
+
+
+def _axis(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("spw"), (F.col("l_linenumber") - 1).alias("dly_idx"), (F.col("l_linenumber") - 4).cast("double").alias("dly")).distinct()
+
+
+def _folded(spark, sf_dir) -> DataFrame:
+    items = _read(spark, sf_dir, "lineitem")
+    cells = items.groupBy(F.col("l_returnflag").alias("spw"), (F.col("l_linenumber") - 1).alias("dly_idx"), (F.col("l_suppkey") % 10).alias("group_id")).agg(F.sum("l_quantity").alias("value"))
+    return reshape.fold_axis(cells, _axis(spark, sf_dir), "spw", ["group_id"])
+
+
+@query(f"WITH {_AXIS} SELECT spw, dly_pos::INT AS dly_pos, dly, pos_idx, neg_idx FROM xm")
+def mirror_index(spark, sf_dir):
+    """The nearest mirror of each positive delay."""
+    return reshape.mirror_index(_axis(spark, sf_dir), "spw")
+
+
+@query(f"WITH {_AXIS} SELECT spw, group_id, dly_pos::INT AS dly_pos, value FROM xf")
+def mirror_fold(spark, sf_dir):
+    """Values folded over the signed axis."""
+    return _folded(spark, sf_dir)
+
+
+@query(f"WITH {_AXIS} SELECT spw, group_id * (max(dly_pos) OVER (PARTITION BY spw) + 1) + dly_pos AS feature, value FROM xf")
+def flatten_features(spark, sf_dir):
+    """R2: row-major feature numbers."""
+    return reshape.flatten_features(_folded(spark, sf_dir), "spw").select("spw", "feature", "value")
+
+
+@query(f"WITH {_AXIS}, f AS (SELECT spw, group_id * (max(dly_pos) OVER (PARTITION BY spw) + 1) + dly_pos AS feature, value FROM xf) SELECT spw, string_agg((value * 2)::BIGINT::VARCHAR, ',' ORDER BY feature) AS vector FROM f GROUP BY spw")
+def dense_rows(spark, sf_dir):
+    """R2: one dense row vector per band, its doubled values shown as text."""
+    rows = reshape.to_matrix(reshape.flatten_features(_folded(spark, sf_dir), "spw"), ["spw"])
+    return rows.select("spw", F.concat_ws(",", F.transform("vector", lambda v: (v * 2).cast("long").cast("string"))).alias("vector"))
+
+
+@query(f"WITH {_AXIS} SELECT spw, group_id, dly_pos::INT AS dly_pos, CASE WHEN dly_pos < 2 THEN dly_pos * 0.5::DOUBLE ELSE 'nan'::DOUBLE END AS kpara, 'nan'::DOUBLE AS kperp FROM xf")
+def feature_coordinates(spark, sf_dir):
+    """Supplied coordinates, NaN where there are none."""
+    folded = _folded(spark, sf_dir)
+    known = folded.where("dly_pos < 2").select("spw", "dly_pos").distinct().withColumn("kpara", F.col("dly_pos") * 0.5)
+    return reshape.with_coordinates(folded, known, ["spw", "dly_pos"]).select("spw", "group_id", "dly_pos", "kpara", "kperp")
+
+
+_HOURS = "SELECT DISTINCT floor(epoch_us(ts) / 3600000000) * 3600.0::DOUBLE + {shift} AS time FROM events WHERE event_type = '{kind}'"
+
+
+def _hours(spark, sf_dir, kind: str, shift: float) -> DataFrame:
+    events = _read(spark, sf_dir, "events").where(F.col("event_type") == kind)
+    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("ts"))
+    return events.select(F.lit(0).alias("spw"), (F.floor(micros / 3600000000) * 3600.0 + shift).alias("time")).distinct()
+
+
+@query(f"SELECT 0 AS spw, a.time AS left_time, b.time AS right_time FROM ({_HOURS.format(kind='click', shift='0')}) a JOIN ({_HOURS.format(kind='view', shift='600')}) b ON abs(b.time - a.time) <= 900")
+def tolerance_match_wide(spark, sf_dir):
+    """J5's fast path: hourly grids within 15 minutes."""
+    return match.tolerance_match_wide(_hours(spark, sf_dir, "click", 0.0), _hours(spark, sf_dir, "view", 600.0), ["spw"], 900.0)
+
+
+@query()
+def tolerance_match_greedy(spark, sf_dir):
+    """Clicks and views of each user, greedily one to one within an hour; tested by brute force."""
+    of = lambda kind: _read(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id", (days(F.col("ts")) * 86400.0).alias("time"))
+    return match.tolerance_match(of("click"), of("view"), ["user_id"], 3600.0)
+
+
+def _branch(means: DataFrame, band: str) -> DataFrame:
+    return means.where(F.col("band") == band).select(F.lit(0).alias("spw"), F.col("wid").cast("double").alias("time"), F.col("series").alias("feature"), "value")
+
+
+@query(f"WITH {_PANEL} SELECT 0 AS spw, a.series AS feature, a.wid::DOUBLE AS time, round(a.value - b.value, 4) AS value FROM pv a JOIN pv b ON a.wid = b.wid AND a.series = b.series WHERE a.band = 'A' AND b.band = 'R'")
+def contrast(spark, sf_dir):
+    """One branch minus the other at matched windows."""
+    means = _panel_means(spark, sf_dir)
+    left, right = _branch(means, "A"), _branch(means, "R")
+    times = lambda df: df.select("spw", "time").distinct()
+    pairs = match.tolerance_match(times(left), times(right), ["spw"], 0.25)
+    return match.contrast(left, right, pairs, ["spw", "feature"]).select("spw", "feature", "time", F.round("value", 4).alias("value"))
+
+
+@query(f"WITH {_PANEL} SELECT 0 AS spw, count(DISTINCT series) FILTER (WHERE band = 'A') AS left_features, count(DISTINCT series) FILTER (WHERE band = 'R') AS right_features FROM pv")
+def pair_branches(spark, sf_dir):
+    """Feature counts of the bands that both branches have."""
+    means = _panel_means(spark, sf_dir)
+    return match.pair_branches(_branch(means, "A"), _branch(means, "R"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 OR l_tax = 0 THEN 0 ELSE 1 / l_discount END AS value, l_discount = 0 OR l_tax = 0 AS replaced FROM lineitem
+""")
+def zero_nonfinite(spark, sf_dir):
+    """NaN and infinite cells become 0 and are marked."""
+    bad = F.when(F.col("l_discount") == 0, float("nan")).when(F.col("l_tax") == 0, float("inf")).otherwise(1 / F.col("l_discount"))
+    return decompose.zero_nonfinite(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bad.alias("value")))
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("label").alias("spw"), F.col("vec_id").alias("time_pos"), F.posexplode("embedding").alias("feature", "value"))
+    return rows.withColumn("value", F.col("value").cast("double"))
+
+
+_LONG = """
+v AS (SELECT label AS spw, vec_id AS time_pos, unnest(range(len(embedding)))::INT AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings),
+vm AS (SELECT spw, feature, avg(value) AS mean FROM v GROUP BY ALL),
+vc AS (SELECT spw, feature, time_pos, value - mean AS value FROM v JOIN vm USING (spw, feature))"""
+
+
+@query(f"WITH {_LONG} SELECT spw, feature, round(mean, 8) AS mean FROM vm")
+def column_mean(spark, sf_dir):
+    """A10: mean of each column per band."""
+    return decompose.column_mean(_vectors(spark, sf_dir)).select("spw", "feature", F.round("mean", 8).alias("mean"))
+
+
+@query(f"WITH {_LONG} SELECT spw, time_pos, feature, round(value, 8) + 0.0 AS value FROM vc")
+def centre_columns(spark, sf_dir):
+    """Columns minus their means."""
+    return decompose.centre_columns(_vectors(spark, sf_dir)).select("spw", "time_pos", "feature", (F.round("value", 8) + 0.0).alias("value"))
+
+
+@query(f"WITH {_LONG} SELECT a.spw, a.time_pos AS i, b.time_pos AS j, round(sum(a.value * b.value), 6) + 0.0 AS g FROM vc a JOIN vc b ON a.spw = b.spw AND a.feature = b.feature AND a.time_pos <= b.time_pos GROUP BY ALL")
+def gram_matrix(spark, sf_dir):
+    """D3: sums of products over sharded features."""
+    return decompose.gram_matrix(decompose.centre_columns(_vectors(spark, sf_dir))).select("spw", "i", "j", (F.round("g", 6) + 0.0).alias("g"))
+
+
+@query(f"WITH {_LONG} SELECT spw, round(sum(value * value), 6) AS total FROM vc GROUP BY spw")
+def pca_total_variance(spark, sf_dir):
+    """Squared singular values sum to the total variance."""
+    return decompose.Decomposition(_vectors(spark, sf_dir)).spectrum.groupBy("spw").agg(F.round(F.sum(F.col("singular_value") * F.col("singular_value")), 6).alias("total"))
+
+
+@query()
+def pca_spectrum(spark, sf_dir):
+    """Singular values with their cumulative share; tested against a dense decomposition."""
+    return decompose.Decomposition(_vectors(spark, sf_dir)).spectrum
+
+
+@query()
+def pca_scores(spark, sf_dir):
+    """Scores of the stored components."""
+    return decompose.Decomposition(_vectors(spark, sf_dir)).scores
+
+
+@query()
+def pca_components(spark, sf_dir):
+    """Loadings of the stored components."""
+    return decompose.Decomposition(_vectors(spark, sf_dir)).components
+
+
+@query(f"WITH {_LONG} SELECT spw, count(DISTINCT time_pos) AS n_samples, count(DISTINCT feature) AS n_features FROM v GROUP BY spw")
+def pca_shape(spark, sf_dir):
+    """One summary row per band, made in one plan for all bands."""
+    return decompose.Decomposition(_vectors(spark, sf_dir)).summary.select("spw", "n_samples", "n_features")
+
+
+@query()
+def pca_summary(spark, sf_dir):
+    """The summary document over all bands."""
+    return writers.summary_document(decompose.Decomposition(_vectors(spark, sf_dir)).summary, "embeddings")
+
+
+_PATH = "regexp_extract(url, '^https?://([^/?#]+)', 1) AS dir, regexp_replace(regexp_replace(url, '^https?://[^/]+/?', ''), '[?#].*$', '') AS name"
+
+
+def _listing(spark, sf_dir) -> DataFrame:
+    url = F.col("url")
+    return _read(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, "^https?://([^/?#]+)", 1).alias("dir"), F.regexp_replace(F.regexp_replace(url, "^https?://[^/]+/?", ""), "[?#].*$", "").alias("name"), F.length("html").cast("long").alias("length"))
+
+
+@query("""
+SELECT count(*) AS n_files, count(*) FILTER (WHERE s) AS n_spectra, count(*) FILTER (WHERE a = b) AS n_autos, count(*) FILTER (WHERE a <> b) AS n_cross, count(*) FILTER (WHERE a <> b AND NOT s) AS n_cross_without_spectrum
+FROM (SELECT page_id % 7 AS a, page_id % 5 AS b, url LIKE 'https%' AS s FROM pages)
+""")
+def file_census(spark, sf_dir):
+    """Autos, cross and cross without a spectrum."""
+    pages = _read(spark, sf_dir, "pages").select(F.concat_ws("_", F.col("page_id") % 7, F.col("page_id") % 5).alias("identifier"), "url")
+    return catalog.file_census(pages, F.col("url").startswith("https"))
+
+
+@query(f"SELECT dir, count(*) AS n_files FROM (SELECT {_PATH} FROM pages) GROUP BY dir")
+def dir_counts(spark, sf_dir):
+    """Files per directory."""
+    return catalog.dir_counts(_listing(spark, sf_dir))
+
+
+@query(f"SELECT dir, name, rank::INT AS rank FROM (SELECT dir, name, row_number() OVER (PARTITION BY dir ORDER BY name) AS rank FROM (SELECT DISTINCT {_PATH} FROM pages)) WHERE rank <= 3")
+def dir_heads(spark, sf_dir):
+    """The first three names of each directory."""
+    return tables.first_names(_listing(spark, sf_dir).select("dir", "name").distinct())
+
+
+@query("SELECT regexp_replace(regexp_replace(url, '^.*?//', ''), '/[0-9].*$', '') AS stem, count(*) AS n FROM pages GROUP BY 1")
+def name_histogram(spark, sf_dir):
+    """Stems of names between a prefix and the first number."""
+    return catalog.name_histogram(_read(spark, sf_dir, "pages"), F.col("url"), "//", "/[0-9].*$")
+
+
+@query("SELECT regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '[0-9]+', '') AS stage, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, stage LIMIT 12")
+def stage_topk(spark, sf_dir):
+    """The twelve most frequent stages."""
+    stage = F.expr("regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '^([^0-9]*)[0-9]+', '$1')")
+    return catalog.stage_topk(_read(spark, sf_dir, "pages"), stage)
+
+
+@query("SELECT source, sum(n_chars)::BIGINT AS total_bytes FROM documents GROUP BY source")
+def size_by_family(spark, sf_dir):
+    """Bytes per family."""
+    return catalog.size_by_family(_read(spark, sf_dir, "documents"), "source", "n_chars")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_products(spark, sf_dir):
+    """Products without a record."""
+    return catalog.missing_products(_read(spark, sf_dir, "documents").select("doc_id", "source"), _read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT d.doc_id AS product_id, d.source AS role, d.lang AS file_format, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def product_manifest(spark, sf_dir):
+    """Every product with the metadata of its label."""
+    products = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"), F.col("source").alias("role"), F.col("lang").alias("file_format"), F.col("doc_id").alias("meta_label"))
+    return catalog.join_metadata(products, _read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label")).drop("meta_label")
+
+
+@query("SELECT doc_id, CASE WHEN lang IS NOT NULL THEN lang END AS lang, NULL::VARCHAR AS colour, 2 AS n_keys FROM documents")
+def metadata_keys(spark, sf_dir):
+    """The listed keys that a record has; absent ones stay absent."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.lit("size"), F.col("n_chars").cast("string")).alias("m"))
+    kept = docs.withColumn("m", key_subset(F.col("m"), ["lang", "size", "colour"]))
+    return kept.select("doc_id", F.col("m")["lang"].alias("lang"), F.try_element_at("m", F.lit("colour")).alias("colour"), F.size("m").alias("n_keys"))
+
+
+@query("SELECT conv_id AS label, arg_max(role, turn) AS status, arg_max(text, turn) AS path FROM conversations GROUP BY conv_id")
+def last_record_wins(spark, sf_dir):
+    """S3: of several JSON records with a label the last one."""
+    talk = _read(spark, sf_dir, "conversations")
+    lines = talk.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("label"), F.col("role").alias("status"), F.col("text").alias("path"))).alias("line"), "turn")
+    return tables.last_record_wins(lines, "line", "turn", "label string, status string, path string").select(F.col("label").cast("long").alias("label"), "status", "path")
+
+
+@query("""
+SELECT source AS file, min(n_chars)::DOUBLE AS low, max(n_chars)::DOUBLE AS high, median(n_chars)::DOUBLE AS middle, left(arg_min(text, text), 600) AS history_head, min(lang) AS lang
+FROM documents GROUP BY source
+""")
+def header_profile(spark, sf_dir):
+    """Ranges, medians and heads of long headers per file."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.explode(F.create_map(F.lit("n_chars"), F.col("n_chars").cast("string"), F.lit("history"), "text", F.lit("lang"), "lang")).alias("key", "value"))
+    profile = tables.profile_headers(docs, ["telescope"], {"n_chars": "span"}, {"n_chars": "middle"})
+    first = docs.where("key = 'lang'").groupBy("file").agg(F.min("value").alias("lang"))
+    return profile.join(first, "file").select("file", F.col("span")[0].alias("low"), F.col("span")[1].alias("high"), "middle", "history_head", "lang")
+
+
+@query("""
+WITH f AS (SELECT source AS file, min(lang) AS first_group FROM documents GROUP BY source)
+SELECT d.source AS file, f.first_group, d.doc_id % 4 AS spw, min(n_chars)::DOUBLE AS low, max(n_chars)::DOUBLE AS high
+FROM documents d JOIN f ON d.source = f.file AND d.lang = f.first_group GROUP BY ALL
+""")
+def container_profile(spark, sf_dir):
+    """Ranges per band of the first spectrum in the first group of each container."""
+    entries = _read(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("lang").alias("grp"), F.lit("all").alias("spectrum"), (F.col("doc_id") % 4).alias("spw"), F.col("n_chars").cast("double").alias("freq"))
+    rows = tables.profile_containers(entries).select("file", "first_group", F.explode("spw_ranges").alias("r"))
+    return rows.select("file", "first_group", F.col("r.spw").alias("spw"), F.col("r.freq_range")[0].alias("low"), F.col("r.freq_range")[1].alias("high"))
+
+
+@query("""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'pspec' WHEN page_id % 3 = 1 THEN 'skymodel' ELSE 'visibility' END AS kind FROM pages
+""")
+def profile_kind(spark, sf_dir):
+    """The profile that a file's suffix calls for."""
+    suffix = F.when(F.col("page_id") % 3 == 0, ".pspec.h5").when(F.col("page_id") % 3 == 1, ".skyh5").otherwise(".uvh5")
+    return _read(spark, sf_dir, "pages").select("page_id", tables.profile_kind(F.concat("url", suffix)).alias("kind"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN event_id % 10 = 0 THEN NULL ELSE json_extract(props, '$.k')::BIGINT END AS k FROM events
+""")
+def status_isolation(spark, sf_dir):
+    """Bad records are marked and kept, good ones parsed."""
+    events = _read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{bad "), "props")).otherwise(F.col("props")).alias("line"))
+    return tables.with_status(events, "line", "k bigint").select("event_id", "status", F.col("record.k").alias("k"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT o.o_orderkey, CASE WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN b.k IS NOT NULL THEN 'o_totalprice' END AS columns
+FROM orders o LEFT JOIN b ON o.o_orderkey = b.k WHERE b.k IS NULL OR b.p <> o.o_totalprice
+""")
+def manifest_diff(spark, sf_dir):
+    """Rows that were added, removed or changed."""
+    old = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    new = old.where("o_orderkey % 7 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 11 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return catalog.diff_manifests(old, new, "o_orderkey")
+
+
+def _spectra(spark, sf_dir, branch: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells, delays and lengths made from the lineitem panel: one row per key, day, band and delay."""
+    items = _read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == branch)
+    day = F.floor(days(F.col("l_shipdate")) / 30) * 30.0
+    cells = items.groupBy(F.lit(0).alias("spw"), (F.col("l_suppkey") % 5).alias("blpair"), day.alias("time_jd"), (F.col("l_linenumber") - 1).alias("dly_idx")).agg(F.sum("l_quantity").alias("value"), F.avg("l_tax").alias("noise"))
+    cells = cells.withColumn("lst_rad", F.col("time_jd") / 365.0)
+    delays = cells.select("spw", "dly_idx").distinct().withColumn("dly", (F.col("dly_idx") - 3).cast("double"))
+    lengths = cells.select("blpair").distinct().withColumn("length_m", F.floor(F.col("blpair") / 2) * 10.0)
+    return cells, delays, lengths
+
+
+@query()
+def aligned_samples(spark, sf_dir):
+    """The whole alignment of one branch."""
+    return pipeline.align_samples(*_spectra(spark, sf_dir, "A"), pipeline.AlignParams(window_seconds=DAYS_30), branch="A").samples
+
+
+@query()
+def contrast_spectrum(spark, sf_dir):
+    """Both branches aligned, contrasted and decomposed."""
+    params = pipeline.AlignParams(window_seconds=DAYS_30)
+    left, right = (pipeline.align_samples(*_spectra(spark, sf_dir, b), params, branch=b) for b in ("A", "R"))
+    return pipeline.run_branches(left, right, tol_seconds=86400.0)["contrast"].spectrum
+
+
+@query("SELECT dir, count(*) AS n_files, sum(length(html))::BIGINT AS total_bytes FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS dir, html FROM pages) GROUP BY dir")
+def inventory(spark, sf_dir):
+    """Counts and sizes of a listing, joined."""
+    products = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"), F.col("doc_id").alias("meta_label"))
+    parts = pipeline.build_inventory(_listing(spark, sf_dir), products, _read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label"))
+    return parts["counts"].join(parts["sizes"], "dir")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
