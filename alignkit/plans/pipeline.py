@@ -47,18 +47,19 @@ def align_samples(cells: DataFrame, delays: DataFrame, lengths: DataFrame, param
     dead = align.dead_keys(probe, "blpair", "value")
     live = cells.join(dead, "blpair", "left_anti")
     times = live.select("blpair", "time_jd", "lst_rad").distinct().persist()
-    grid_row = grid.window_grid(times, "blpair", "time_jd", params.window_seconds)
+    # Two scalars decide the grid; as literals they keep every later plan short.
+    found = grid.window_grid(times, "blpair", "time_jd", params.window_seconds)
+    grid_row = cells.sparkSession.createDataFrame([tuple(found.first())], found.schema)
     assigned = grid.assign_windows(times, grid_row, "time_jd")
     single = align.drop_ambiguous_rows(assigned, "blpair")
     common = align.common_windows(single, "blpair", assigned)
     aligned = align.align_rows(single, common).persist()
-    if aligned.isEmpty():
-        raise ValueError("no window is common to all keys")
     spread = align.centroid_spread(aligned, "time_jd")
-    if params.check_spread:
-        row = spread.crossJoin(grid_row).first()
-        if row.window_days is not None and row.max_spread_seconds > row.window_days * 86400.0:
-            raise ValueError("times inside a window spread over more than its length")
+    widest, length = spread.first()[0], grid_row.first().window_days
+    if widest is None:
+        raise ValueError("no window is common to all keys")
+    if params.check_spread and length is not None and widest > length * 86400.0:
+        raise ValueError("times inside a window spread over more than its length")
     members = groups.restrict_groups(groups.tolerance_groups(lengths, "blpair", "length_m", params.length_tol), aligned, "blpair")
     wide = live.join(aligned.select("blpair", "time_jd", "time_pos"), ["blpair", "time_jd"]).join(members.select("blpair", "group_id"), "blpair")
     means = reduce.weighted_group_mean(wide, ["spw", "time_pos", "group_id", "dly_idx"], "value", "noise" if grouped else None)
