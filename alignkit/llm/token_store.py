@@ -127,12 +127,17 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(each, "doc_id long, n_tokens long, tokens array<int>")
 
 
-def write_store(tokens: DataFrame, folder: str, files: int | None = None) -> None:
-    """Write ``doc_id, n_tokens, tokens`` to ``folder`` in ascending ``doc_id`` order (null first)."""
-    by = [F.col("doc_id")]
-    dealt = tokens.repartitionByRange(*([files] if files else []), *by).sortWithinPartitions("doc_id", "n_tokens")
+def write_store(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, files: int | None = None) -> None:
+    """Encode ``docs`` and write ``doc_id, n_tokens, tokens`` to ``folder`` in ascending ``doc_id`` order
+    (null first).
+
+    Documents are dealt out by ranges of ids as texts, before they are encoded: the pass that finds
+    the ranges then encodes nothing.
+    """
+    dealt = docs.select("doc_id", "text").repartitionByRange(*([files] if files else []), F.col("doc_id")).sortWithinPartitions("doc_id", F.length("text"))
     (
-        dealt.write.option("parquet.writer.version", "v2")
+        tokenise(dealt, path, end_id)
+        .write.option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary", "false")
         .option("parquet.block.size", str(ROW_GROUP_BYTES))
         .option("parquet.page.row.count.limit", str(PAGE_ROWS))
@@ -186,7 +191,7 @@ def token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     than ``doc_id`` and ``text`` are not read.
     """
     spark, folder = docs.sparkSession, f"{scratch_root(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    write_store(tokenise(docs, path, end_id), folder)
+    write_store(docs, path, folder, end_id)
     stored = spark.read.schema("doc_id long, n_tokens long, tokens array<int>").parquet(folder).select("doc_id", "n_tokens", "tokens", F.col("_metadata.file_name").alias("file"))
     files = stored.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))

@@ -43,7 +43,7 @@ def test_table_and_odd_rows(spark, sf):
 def test_selective_reads(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     folder = str(tmp_path / "store")
-    token_store.write_store(token_store.tokenise(docs, PATH), folder, files=3)
+    token_store.write_store(docs, PATH, folder, files=3)
     plan = token_store.read_metadata(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "n_tokens:bigint" in plan and ",tokens:" not in plan
     some = token_store.read_tokens(spark, folder, "doc_id BETWEEN 10 AND 12")
