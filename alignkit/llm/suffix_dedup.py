@@ -34,7 +34,7 @@ GRAM = 16
 #: Bytes of text whose anchors make up one bucket on average.
 BUCKET_BYTES = 8 << 20
 #: Bytes of text that are suffix-sorted at a time (more if one anchor has more).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -100,22 +100,29 @@ def _unplanes(raw: bytes, n: int, n_bytes: int) -> np.ndarray:
 
 # Bytes of: anchor (with its bucket, 40 bits and more), surrounding, id above the blob's least, start, windows.
 _BYTES = (5, 7, 8, 6, 1)
-_COUNTED_TEXTS = 32 << 20
+#: Bytes of text that anchors are found in at a time, thus what a worker's arrays are sized by.
+GROUP_BYTES = 1 << 20
+#: Bytes of text whose occurrences are packed together.
+PACK_BYTES = 16 << 20
 
 
-def _batches_of_text(batch, limit: int):
-    """(ids, bytes of the texts) in groups of about ``limit`` bytes."""
-    ids, texts, size = [], [], 0
+def _groups_of_text(batch, limit: int = GROUP_BYTES, length: int = LENGTH):
+    """(ids, offsets, texts) in groups of at most ``limit`` bytes. A longer text comes in parts that
+    overlap by a window less one byte: each window is in one part, and in one only."""
+    ids, offsets, texts, size = [], [], [], 0
     for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         raw = t.encode("utf-8", "surrogatepass")
-        ids.append(i)
-        texts.append(raw)
-        size += len(raw)
-        if size >= limit:
-            yield np.array(ids, np.int64), texts
-            ids, texts, size = [], [], 0
+        for at in range(0, max(1, len(raw) - length + 1), limit - length + 1):
+            part = raw[at : at + limit]
+            if size + len(part) > limit:
+                yield np.array(ids, np.int64), np.array(offsets, np.int64), texts
+                ids, offsets, texts, size = [], [], [], 0
+            ids.append(i)
+            offsets.append(at)
+            texts.append(part)
+            size += len(part)
     if ids:
-        yield np.array(ids, np.int64), texts
+        yield np.array(ids, np.int64), np.array(offsets, np.int64), texts
 
 
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -125,29 +132,37 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     (start, windows) in the blob."""
     schema = "bucket int, n int, low long, blob binary"
 
+    def pack(found):
+        key, around, doc, start, windows = (np.concatenate(x) for x in zip(*found, strict=True))
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        key, around = key // np.uint64(buckets) & np.uint64((1 << 40) - 1), around & np.uint64((1 << 56) - 1)
+        order = np.lexsort((start, doc, around, (bucket.astype(np.uint64) << np.uint64(40)) | key))
+        bucket, key, around, doc, start, windows = (x[order] for x in (bucket, key, around, doc, start, windows))
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (around[1:] != around[:-1]) | (bucket[1:] != bucket[:-1])]
+        least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        late = doc > least
+        rows = list(_by_document(doc[late], start[late], windows[late]))
+        bucket, key, around, doc, start, windows = (x[~late] for x in (bucket, key, around, doc, start, windows))
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            low = int(doc[a:b].min())
+            parts = (key[a:b], around[a:b], doc[a:b] - low, start[a:b], windows[a:b])
+            rows.append((int(bucket[a]), b - a, low, b"".join(_planes(x, n) for x, n in zip(parts, _BYTES, strict=True))))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "n", "low", "blob"])
+
     def each(batches):
+        found, size = [], 0
         for batch in batches:
-            for ids, texts in _batches_of_text(batch, _COUNTED_TEXTS):
+            for ids, offsets, texts in _groups_of_text(batch):
                 anchor, around, text, start, windows = occurrences(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
-                if not len(anchor):
-                    continue
-                bucket = (anchor % np.uint64(buckets)).astype(np.int64)
-                key = anchor // np.uint64(buckets) & np.uint64((1 << 40) - 1)
-                around &= np.uint64((1 << 56) - 1)
-                doc = ids[text]
-                order = np.lexsort((start, doc, around, key, bucket))
-                bucket, key, around, doc, start, windows = (x[order] for x in (bucket, key, around, doc, start, windows))
-                fresh = np.r_[True, (key[1:] != key[:-1]) | (around[1:] != around[:-1]) | (bucket[1:] != bucket[:-1])]
-                least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-                late = doc > least
-                rows = list(_by_document(doc[late], start[late], windows[late]))
-                bucket, key, around, doc, start, windows = (x[~late] for x in (bucket, key, around, doc, start, windows))
-                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    low = int(doc[a:b].min())
-                    parts = (key[a:b], around[a:b], doc[a:b] - low, start[a:b], windows[a:b])
-                    rows.append((int(bucket[a]), b - a, low, b"".join(_planes(x, n) for x, n in zip(parts, _BYTES, strict=True))))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "n", "low", "blob"])
+                size += sum(map(len, texts))
+                if len(anchor):
+                    found.append((anchor, around, ids[text], start + offsets[text], windows))
+                if found and size >= PACK_BYTES:
+                    yield pack(found)
+                    found, size = [], 0
+        if found:
+            yield pack(found)
 
     return docs.mapInArrow(each, schema)
 
@@ -163,11 +178,19 @@ def _by_document(doc: np.ndarray, start: np.ndarray, windows: np.ndarray):
         yield -1, 0, int(doc[a]), pairs[a:b].tobytes()
 
 
+_SETTLED = "doc long, part int, anchor long, start long, windows long"
+
+
+def _table(*columns: np.ndarray):
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc", "part", "anchor", "start", "windows"])
+
+
 def _resolve(rows: DataFrame) -> DataFrame:
-    """``doc, part, blob``: part 0 holds covered (start, windows); part 1 (anchor, start, windows) whose
-    surroundings differ between documents."""
+    """``doc, part, anchor, start, windows``: windows known to be covered (part 0), and those whose
+    anchor occurs in several documents with different surroundings (part 1)."""
 
-    def settle(bucket: int, blobs: list) -> list[tuple[int, int, bytes]]:
+    def settle(bucket: int, blobs: list):
         columns = [[] for _ in _BYTES]
         for n, low, raw in blobs:
             at = 0
@@ -182,36 +205,32 @@ def _resolve(rows: DataFrame) -> DataFrame:
         fresh = new_key | np.r_[True, around[1:] != around[:-1]]
         least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         late = doc > least
-        out = [(i, 0, blob) for _, _, i, blob in _by_document(doc[late], start[late], windows[late])]
         keys = np.flatnonzero(new_key)
         several = np.minimum.reduceat(least, keys) != np.maximum.reduceat(least, keys)
         open_ = several[np.cumsum(new_key) - 1] & ~late
-        if open_.any():
-            doc, start, windows = doc[open_], start[open_], windows[open_]
-            anchor = (key[open_].astype(np.int64) << 22) ^ bucket
-            order = np.argsort(doc, kind="stable")
-            doc, triples = doc[order], np.stack([anchor, start, windows], axis=1)[order].astype("<i8")
-            cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
-            out += [(int(doc[a]), 1, triples[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        return out
-
-    def emit(out):
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc", "part", "blob"])
+        anchor = (key.astype(np.int64) << 22) ^ bucket
+        for part, rows in ((0, late), (1, open_)):
+            if rows.any():
+                yield _table(doc[rows], np.full(int(rows.sum()), part), anchor[rows], start[rows], windows[rows])
 
     def each(batches):
         held, now = [], None
         for batch in batches:
             for bucket, n, low, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if bucket < 0:  # known when it was packed
+                    pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
+                    none = np.zeros(len(pairs), np.int64)
+                    yield _table(none + low, none, none, pairs[:, 0], pairs[:, 1])
+                    continue
                 if bucket != now:
                     if held:
-                        yield from emit(settle(now, held))
+                        yield from settle(now, held)
                     held, now = [], bucket
                 held.append((n, low, raw))
         if held:
-            yield from emit(settle(now, held))
+            yield from settle(now, held)
 
-    return rows.mapInArrow(each, "doc long, part int, blob binary")
+    return rows.mapInArrow(each, _SETTLED)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -225,7 +244,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     bits = max(1, int(t.max()).bit_length())
     if 3 * bits <= 63:
         key = (t[sampled] << (2 * bits)) | (t[sampled + 1] << bits) | t[sampled + 2]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         change = key[order[1:]] != key[order[:-1]]
     else:
         pair = (t[sampled] << bits) | t[sampled + 1]
@@ -242,13 +261,15 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rest = np.arange(0, n, 3)
     wide = int(rank.max()).bit_length()
     first = (t[rest] << wide) | rank[rest + 1]
-    rest = rest[np.argsort(first, kind="stable")]
+    rest = rest[np.argsort(first)]
     # Merge: a remaining suffix meets those at 1 mod 3 over one character and a rank, those at 2 mod 3 over two.
     ones, twos = sorted_sampled[sorted_sampled % 3 == 1], sorted_sampled[sorted_sampled % 3 == 2]
     before = np.searchsorted((t[ones] << wide) | rank[ones + 1], (t[rest] << wide) | rank[rest + 1])
-    both = np.concatenate([(t[twos] << bits) | t[twos + 1], (t[rest] << bits) | t[rest + 1]])
-    dense = np.unique(both, return_inverse=True)[1]
-    before += np.searchsorted((dense[: len(twos)] << wide) | rank[twos + 2], (dense[len(twos) :] << wide) | rank[rest + 2])
+    theirs, own = (t[twos] << bits) | t[twos + 1], (t[rest] << bits) | t[rest + 1]
+    if 2 * bits + wide > 63:
+        dense = np.unique(np.concatenate([theirs, own]), return_inverse=True)[1]
+        theirs, own = dense[: len(twos)], dense[len(twos) :]
+    before += np.searchsorted((theirs << wide) | rank[twos + 2], (own << wide) | rank[rest + 2])
     out = np.empty(n, np.int64)
     places = before + np.arange(len(rest))
     taken = np.ones(n, bool)
@@ -281,29 +302,37 @@ def covered_windows(pieces: list[bytes], doc: np.ndarray, length: int = LENGTH)
 
 
 def _sort_pieces(rows: DataFrame) -> DataFrame:
-    """Covered windows of ``anchor, doc, start, piece``, as ``doc, blob`` like part 0 above."""
+    """Covered windows of ``anchor, doc, start, piece``, as ``doc, start, windows``."""
 
-    def solve(held):
-        doc, start = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
-        piece, window = covered_windows([h[3] for h in held], doc)
+    def solve(doc, start, pieces):
+        doc, start = np.concatenate(doc), np.concatenate(start)
+        piece, window = covered_windows(pieces, doc)
         if len(piece):
-            out = [(i, blob) for _, _, i, blob in _by_document(doc[piece], start[piece] + window, np.ones(len(piece), np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["doc", "blob"])
+            order = np.lexsort((window, piece))
+            piece, window = piece[order], window[order]
+            first = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (window[1:] != window[:-1] + 1)])
+            runs = np.diff(np.r_[first, len(piece)])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[piece[first]]), pa.array((start[piece] + window)[first]), pa.array(runs)], names=["doc", "start", "windows"])
 
     def each(batches):
-        held, size, last = [], 0, None
+        doc, start, pieces, size, last = [], [], [], 0, None
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size >= CHUNK_BYTES and row[0] != last:
-                    yield from solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-                last = row[0]
-        if held:
-            yield from solve(held)
-
-    return rows.mapInArrow(each, "doc long, blob binary")
+            anchor, d, s = (batch.column(i).to_numpy() for i in range(3))
+            texts = batch.column(3).to_pylist()
+            cuts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True]).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if size >= CHUNK_BYTES and anchor[a] != last:
+                    yield from solve(doc, start, pieces)
+                    doc, start, pieces, size = [], [], [], 0
+                doc.append(d[a:b])
+                start.append(s[a:b])
+                pieces += texts[a:b]
+                size += sum(map(len, texts[a:b]))
+                last = anchor[b - 1]
+        if pieces:
+            yield from solve(doc, start, pieces)
+
+    return rows.mapInArrow(each, "doc long, start long, windows long")
 
 
 def _shrunk(docs: DataFrame) -> DataFrame:
@@ -312,7 +341,7 @@ def _shrunk(docs: DataFrame) -> DataFrame:
     def each(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             raw = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "packed"])
@@ -320,44 +349,53 @@ def _shrunk(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(each, "doc_id long, packed binary")
 
 
+def _lists(column) -> tuple[list[int], list[np.ndarray]]:
+    """Offsets and fields of a column of lists of structs; a null list is empty."""
+    flat = column.values
+    return column.offsets.to_pylist(), [flat.field(i).to_numpy() for i in range(flat.type.num_fields)]
+
+
 def _cut_pieces(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``anchor, doc, start, piece`` from rows of ``doc, packed, blobs``."""
+    """``anchor, doc, start, piece`` from rows of ``doc, packed, found(anchor, start, windows)``."""
 
     def each(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for doc, packed, blobs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                text = unpack.decompress(packed)
-                triples = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 3)
-                pieces = [text[s : s + n + length - 1] for s, n in triples[:, 1:].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(triples[:, 0]), pa.array(np.full(len(pieces), doc)), pa.array(triples[:, 1]), pa.array(pieces, pa.binary())], names=["anchor", "doc", "start", "piece"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.take(pa.array(range(lo, min(lo + 512, whole.num_rows))))
+                offsets, (anchor, start, windows) = _lists(batch.column(2))
+                ends, pieces = (start + windows + length - 1).tolist(), []
+                for k, packed in enumerate(batch.column(1).to_pylist()):
+                    text = unpack.decompress(packed)
+                    pieces += [text[s:e] for s, e in zip(start[offsets[k] : offsets[k + 1]].tolist(), ends[offsets[k] : offsets[k + 1]], strict=True)]
+                doc = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc), pa.array(start), pa.array(pieces, pa.binary())], names=["anchor", "doc", "start", "piece"])
 
     return rows.mapInArrow(each, "anchor long, doc long, start long, piece binary")
 
 
 def _cut_out(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The result, from rows of ``doc_id, packed, blobs`` (null: nothing is covered)."""
+    """The result, from rows of ``doc_id, packed, found(start, windows)`` (null: nothing is covered)."""
 
     def each(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for packed, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = unpack.decompress(packed)
-                gone = np.zeros(len(text) + 1, np.int32)
-                if blobs:
-                    pairs = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)
-                    np.add.at(gone, pairs[:, 0], 1)
-                    np.add.at(gone, np.minimum(pairs.sum(axis=1) + length - 1, len(text)), -1)
-                    gone = np.cumsum(gone)
-                gone = gone[:-1] > 0
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
-                out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+            out, (offsets, (start, windows)) = [], _lists(batch.column(2))
+            ends = start + windows + length - 1
+            for k, packed in enumerate(batch.column(1).to_pylist()):
+                text, a, b = unpack.decompress(packed), offsets[k], offsets[k + 1]
+                if a == b:
+                    out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
+                    continue
+                size = len(text)
+                gone = np.bincount(np.minimum(start[a:b], size), minlength=size + 1) - np.bincount(np.minimum(ends[a:b], size), minlength=size + 1)
+                gone = np.cumsum(gone)[:size] > 0
+                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(size > 0 and gone[0])
+                out.append((size, int(gone.sum()), spans, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()))
             n, removed, spans, sha = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (n, removed, spans)], pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -377,17 +415,12 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     buckets = max(16, total // bucket_bytes)
     packed = _packed(own, buckets)
     dealt = packed.repartition("bucket", F.when(F.col("bucket") < 0, F.col("low"))).sortWithinPartitions("bucket")
-    settled = materialise(_settle_or_pass(dealt), "repeats")
+    settled = materialise(_resolve(dealt), "repeats")
     texts = _shrunk(own)
-    opened = settled.where("part = 1").groupBy("doc").agg(F.collect_list("blob").alias("blobs"))
-    pieces = _cut_pieces(opened.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "packed", "blobs"))
+    opened = settled.where("part = 1").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("found"))
+    pieces = _cut_pieces(opened.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "packed", "found"))
     sorted_ = _sort_pieces(pieces.repartition("anchor").sortWithinPartitions("anchor"))
-    covered = settled.where("part = 0").select("doc", "blob").unionAll(sorted_).groupBy("doc").agg(F.collect_list("blob").alias("blobs"))
-    out = _cut_out(texts.join(covered, F.col("doc") == F.col("doc_id"), "left").select("doc_id", "packed", "blobs"))
+    covered = settled.where("part = 0").select("doc", "start", "windows").unionAll(sorted_).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
+    out = _cut_out(texts.join(covered, F.col("doc") == F.col("doc_id"), "left").select("doc_id", "packed", "found"))
     return out.withColumn("doc_id", F.nullif(F.col("doc_id"), least))
 
-
-def _settle_or_pass(rows: DataFrame) -> DataFrame:
-    """Buckets are settled; rows already known to be covered (bucket -1) pass through."""
-    known = rows.where("bucket < 0").select(F.col("low").alias("doc"), F.lit(0).alias("part"), "blob")
-    return known.unionAll(_resolve(rows.where("bucket >= 0")))

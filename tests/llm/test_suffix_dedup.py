@@ -39,6 +39,15 @@ def test_suffix_array(alphabet):
         assert key == sorted(key)
 
 
+def test_long_texts_come_in_parts():
+    import pyarrow as pa
+
+    texts = ["", "a" * 49, "b" * 100, "".join(random.Random(1).choices("xyz", k=1000)), "c" * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc_id", "text"])
+    seen = [(int(i), int(at) + s) for ids, offsets, parts in suffix_dedup._groups_of_text(batch, 128) for i, at, p in zip(ids, offsets, parts) for s in range(len(p) - 49)]
+    assert sorted(seen) == [(i, s) for i, t in enumerate(texts) for s in range(len(t) - 49)]
+
+
 def test_random_texts(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdeé ") for _ in range(rng.randrange(2, 9))) for _ in range(200)]
