@@ -232,11 +232,11 @@ def near_duplicates(docs: DataFrame, limit: int = MAX_BITS, max_bucket: int = MA
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each component the one with the smallest ``doc_id``.
 
-    The ids that go are joined away; texts are shuffled once at most. Of rows that repeat the id
+    The ids that go are joined away by the same sort-merge join at every size; texts are shuffled once. Of rows that repeat the id
     that stays, all stay (exact deduplication comes before).
     """
     gone = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 assert SALTS == 64  # a salt mask is one long
