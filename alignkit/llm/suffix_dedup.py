@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise, release_shuffles, text_or_empty
 
 LENGTH = 50
 GRAM = 16
@@ -211,7 +211,9 @@ def _resolve(rows: DataFrame) -> DataFrame:
         anchor = (key.astype(np.int64) << 22) ^ bucket
         for part, rows in ((0, late), (1, open_)):
             if rows.any():
-                yield _table(doc[rows], np.full(int(rows.sum()), part), anchor[rows], start[rows], windows[rows])
+                rows = np.flatnonzero(rows)[np.lexsort((start[rows], doc[rows]))]  # in order they take less room
+                name = anchor[rows] if part else np.zeros(len(rows), np.int64)  # covered windows need no name
+                yield _table(doc[rows], np.full(len(rows), part), name, start[rows], windows[rows])
 
     def each(batches):
         held, now = [], None
@@ -341,7 +343,7 @@ def _shrunk(docs: DataFrame) -> DataFrame:
     def each(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             raw = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "packed"])
@@ -416,6 +418,8 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     packed = _packed(own, buckets)
     dealt = packed.repartition("bucket", F.when(F.col("bucket") < 0, F.col("low"))).sortWithinPartitions("bucket")
     settled = materialise(_resolve(dealt), "repeats")
+    del packed, dealt
+    release_shuffles(docs.sparkSession)
     texts = _shrunk(own)
     opened = settled.where("part = 1").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("found"))
     pieces = _cut_pieces(opened.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "packed", "found"))
