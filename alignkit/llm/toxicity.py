@@ -32,12 +32,12 @@ EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "class clown"
 
 #: Lengths of the word beginnings that are tried as terms.
 PREFIXES = range(4, 9)
-#: A term must occur in this share of the toxic documents, and in so many.
-MIN_SHARE, MIN_DOCS = 0.01, 3
+#: Toxic documents that a term must occur in, whatever their number.
+MIN_DOCS = 3
 #: Least share of toxic documents among those that have a term (labels of either kind weigh alike).
 MIN_PURITY = 0.99
-#: Rounds of looking for terms in the toxic documents that have none so far.
-ROUNDS = 8
+#: Terms that a counting task holds before it hands them on.
+HELD_TERMS = 500_000
 #: Words that every document counts as longer, so that a short one needs no less than a full hit.
 LENGTH_PRIOR = 20
 #: Cells of the density histogram that calibrates the score.
@@ -122,42 +122,64 @@ def _features(plain: str) -> set[str]:
     return out
 
 
-def _count_terms(docs: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """``term, n``: documents that have each term, summed within a task before they are shuffled."""
-    from collections import Counter
+def _count_terms(labelled: DataFrame) -> DataFrame:
+    """``term, toxic, clean``: documents of each kind that have each term, summed within a task before
+    they are shuffled."""
+
+    def table(seen):
+        counts = zip(*seen.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array(c, pa.int64()) for c in counts]], names=["term", "toxic", "clean"])
 
     def each(batches):
+        seen = {}
         for batch in batches:
-            seen = Counter()
-            for text in batch.column(0).to_pylist():
-                terms = _features(fold(text))
-                seen.update(terms if only is None else terms & only)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for term in _features(fold(text)):
+                    seen.setdefault(term, [0, 0])[1 - toxic] += 1
+                if len(seen) > HELD_TERMS:
+                    yield table(seen)
+                    seen = {}
+        if seen:
+            yield table(seen)
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(each, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = labelled.select(text_or_empty().alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    return rows.mapInArrow(each, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _without(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of ``docs`` in which no term counts."""
-    at = docs.columns.index("text")
+def _candidates_of(toxic_rows: DataFrame, candidates: frozenset[str]) -> DataFrame:
+    """``terms``: the candidates that each toxic document has."""
 
     def each(batches):
         for batch in batches:
-            yield batch.filter(pa.array([lexicon.density(t) == 0 for t in batch.column(at).to_pylist()], pa.bool_()))
+            found = [sorted(_features(fold(t)) & candidates) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["terms"])
 
-    return docs.mapInArrow(each, docs.schema)
+    return toxic_rows.select(text_or_empty().alias("text")).mapInArrow(each, "terms array<string>")
+
+
+def _without(rows: DataFrame, kept: frozenset[str]) -> DataFrame:
+    """The rows whose ``terms`` has none of ``kept``, nor a term that begins with one."""
+
+    def covered(terms):
+        return any(t[:n] in kept for t in terms for n in range(2, len(t) + 1))
+
+    def each(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not covered(t) for t in batch.column(0).to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(each, rows.schema)
 
 
 def learn(labelled: DataFrame) -> Lexicon:
     """Learn terms, weights and calibration from ``labelled(text, toxic)``; null labels are ignored.
 
     All labelled rows count; of equal toxic texts one does, so that a large group of copies does not
-    make its words look toxic. Candidate terms occur in ``MIN_SHARE`` of the toxic documents, so there
-    are at most 1 / MIN_SHARE times as many as a document has; that bound lets them travel to the
-    tasks that count them among the other documents. Each round takes the most frequent pure terms and
-    then looks only at the toxic documents that have none yet, so that words which merely stand beside
-    a term are not learned. The calibration sees a histogram of
-    ``CELLS`` cells. Without toxic rows or others the lexicon is empty.
+    make its words look toxic. Terms are counted and chosen where they are: only those that
+    ``MIN_DOCS`` toxic documents have and hardly any other come to the driver. Each round takes the
+    most frequent of them and then looks only at the toxic documents that have none yet, so that
+    words which merely stand beside a term are not learned; the rounds go on until no term is left.
+    The calibration sees a histogram of ``CELLS`` cells. Without toxic rows or others the lexicon is
+    empty.
     """
     labelled = labelled.where("toxic IN (0, 1)")
     toxic_rows = materialise(labelled.where("toxic = 1").dropDuplicates(["text"]), "toxic-rows")
@@ -166,20 +188,20 @@ def learn(labelled: DataFrame) -> Lexicon:
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon({}, offset=2.0)
-    least = max(MIN_DOCS, math.ceil(MIN_SHARE * n_toxic))
-    frequent = {r.term: r.n for r in _count_terms(toxic_rows, None).where(F.col("n") >= least).collect()}
-    clean = {r.term: r.n for r in _count_terms(labelled.where("toxic = 0"), frozenset(frequent)).collect()}
-    purity = {t: n / n_toxic / (n / n_toxic + clean.get(t, 0) / n_clean) for t, n in frequent.items()}
-    pure = frozenset(t for t, x in purity.items() if x >= MIN_PURITY)
-    weight = {t: math.log((frequent[t] + 0.5) / (n_toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1)) for t in pure}
+    share = F.col("toxic") / n_toxic
+    counts = _count_terms(labelled).where((F.col("toxic") >= MIN_DOCS) & (share >= MIN_PURITY * (share + F.col("clean") / n_clean)))
+    weight = {r.term: math.log((r.toxic + 0.5) / (n_toxic + 1)) - math.log((r.clean + 0.5) / (n_clean + 1)) for r in counts.collect()}
+    left = materialise(_candidates_of(toxic_rows, frozenset(weight)).where(F.size("terms") > 0), "toxic-terms")
     kept: dict[str, float] = {}
-    for _ in range(ROUNDS):
-        left = {r.term: r.n for r in _count_terms(_without(toxic_rows, Lexicon(dict(kept))), pure).where(F.col("n") >= least).collect()}
-        if not left:
+    while True:
+        found = {r.term: r.n for r in left.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).collect()}
+        if not found:
             break
-        for term in sorted(left, key=lambda t: (len(t.rstrip()), t)):
-            if 2 * left[term] >= max(left.values()) and not any(term[:n] in kept for n in range(2, len(term))):
+        most = max(found.values())
+        for term in sorted(found, key=lambda t: (len(t.rstrip()), t)):
+            if 2 * found[term] >= most and not any(term[:n] in kept for n in range(2, len(term))):
                 kept[term] = weight[term]
+        left = materialise(_without(left, frozenset(kept)), "toxic-terms")
     cells = np.zeros((CELLS + 1, 2))
     scored = densities(labelled, Lexicon(kept), ("toxic",))
     for r in scored.groupBy(F.col("toxic"), F.floor(F.col("cell") * CELLS).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect():

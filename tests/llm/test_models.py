@@ -74,6 +74,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.predicted for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_toxic_terms_of_the_tail_are_learned(spark):
+    rows = [(f"the plain talk number {'abcdefgh'[i % 8] * 4} zcommon{i % 2} stays", 1) for i in range(1200)]
+    rows = [(f"{t} {''.join('qwertyuiop'[int(d)] for d in str(i))}", y) for i, (t, y) in enumerate(rows)]
+    rows += [(f"the plain talk number {'abcdefgh'[i % 8] * 4} you vlarf{'xyz'[i % 3]}", 1) for i in range(6)]
+    rows += [(f"the plain talk number {'abcdefgh'[i % 8] * 4} stays", 0) for i in range(1200)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    assert lexicon.density("you vlarfy") > 0
+    assert lexicon.density("a zcommon") > 0
+    assert lexicon.density("the plain talk number stays") == 0
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = made_up(spark)
     odd = spark.createDataFrame(ODD, "doc_id long, text string")
