@@ -11,7 +11,9 @@ its length.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,10 @@ EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "class clown"
 PREFIXES = range(4, 9)
 #: Toxic documents that a term must occur in, whatever their number.
 MIN_DOCS = 3
-#: Least share of toxic documents among those that have a term (labels of either kind weigh alike).
-MIN_PURITY = 0.99
+#: Least log-odds of a term (what it adds to the odds of a document to be toxic, labels of either kind
+#: weighing alike), by the levels at which terms are looked for: clear insults first, so that words beside
+#: them are not taken for one; ambiguous terms then serve the toxic documents that have no clear one.
+LEVELS = tuple(math.log(x) for x in (99, 19, 4))
 #: Terms that a counting task holds before it hands them on.
 HELD_TERMS = 500_000
 #: Words that every document counts as longer, so that a short one needs no less than a full hit.
@@ -113,15 +117,31 @@ def _cell(density: float) -> float:
     return 0.0 if density <= 0 else min(1.0, max(0.05, 0.05 + 0.95 * math.log(density * 1e4 + 1) / math.log(1e5)))
 
 
-def _features(plain: str) -> set[str]:
+def _features(plain: str, exceptions: tuple[str, ...] = EXCEPTIONS) -> set[str]:
+    """Terms that occur in a folded text outside exception phrases, as the lexicon would count them."""
     out = set()
-    for word in set(plain.split()):
+    shields = [(m.start(), m.end(1) - 1) for m in _phrases(exceptions).finditer(plain)] if exceptions else []
+    words = {(m.group(), m.start()) for m in _WORD.finditer(plain)} if shields else {(w, 0) for w in plain.split()}
+    for word, at in words:
         if len(word) >= 3:
-            out.add(f" {word} ")
-            out.update(f" {word[:n]}" for n in PREFIXES if n <= len(word))
+            # A term from the space before the word on is shielded if it ends no later than a character after the phrase.
+            until = max((b + 1 for a, b in shields if a <= at <= b + 1), default=-1)
+            if at + len(word) > until:
+                out.add(f" {word} ")
+            out.update(f" {word[:n]}" for n in PREFIXES if n <= len(word) and at + n - 1 > until)
     return out
 
 
+_WORD = re.compile(r"\S+")
+
+
+@lru_cache
+def _phrases(exceptions: tuple[str, ...]) -> re.Pattern:
+    """Finds each place where an exception phrase begins; group 1 is the longest phrase there."""
+    folded = sorted((" ".join(fold(p).split()) for p in exceptions), key=len, reverse=True)
+    return re.compile(f"(?=({'|'.join(map(re.escape, folded))}))")
+
+
 def _count_terms(labelled: DataFrame) -> DataFrame:
     """``term, toxic, clean``: documents of each kind that have each term, summed within a task before
     they are shuffled."""
@@ -174,12 +194,13 @@ def learn(labelled: DataFrame) -> Lexicon:
     """Learn terms, weights and calibration from ``labelled(text, toxic)``; null labels are ignored.
 
     All labelled rows count; of equal toxic texts one does, so that a large group of copies does not
-    make its words look toxic. Terms are counted and chosen where they are: only those that
-    ``MIN_DOCS`` toxic documents have and hardly any other come to the driver. Each round takes the
-    most frequent of them and then looks only at the toxic documents that have none yet, so that
-    words which merely stand beside a term are not learned; the rounds go on until no term is left.
-    The calibration sees a histogram of ``CELLS`` cells. Without toxic rows or others the lexicon is
-    empty.
+    make its words look toxic. Occurrences inside exception phrases count on neither side. Terms are
+    counted and chosen where they are: only those that ``MIN_DOCS`` toxic documents have, and that are
+    clearly likelier there, come to the driver. Each round takes the most frequent terms of a level of
+    log-odds and then looks only at the toxic documents that have none yet; a term must reach the level
+    on those documents alone, less a standard error, so that words which merely stand beside a term are not learned. The
+    rounds go on until no term of any level is left. The calibration sees a histogram of ``CELLS``
+    cells. Without toxic rows or others the lexicon is empty.
     """
     labelled = labelled.where("toxic IN (0, 1)")
     toxic_rows = materialise(labelled.where("toxic = 1").dropDuplicates(["text"]), "toxic-rows")
@@ -188,20 +209,29 @@ def learn(labelled: DataFrame) -> Lexicon:
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon({}, offset=2.0)
-    share = F.col("toxic") / n_toxic
-    counts = _count_terms(labelled).where((F.col("toxic") >= MIN_DOCS) & (share >= MIN_PURITY * (share + F.col("clean") / n_clean)))
-    weight = {r.term: math.log((r.toxic + 0.5) / (n_toxic + 1)) - math.log((r.clean + 0.5) / (n_clean + 1)) for r in counts.collect()}
-    left = materialise(_candidates_of(toxic_rows, frozenset(weight)).where(F.size("terms") > 0), "toxic-terms")
+
+    def odds(toxic: int, clean: int) -> float:
+        return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
+
+    def spread(toxic: int, clean: int) -> float:
+        return math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+
+    in_spark = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    counts = {r.term: (r.toxic, r.clean) for r in _count_terms(labelled).where((F.col("toxic") >= MIN_DOCS) & (in_spark >= LEVELS[-1])).collect()}
+    left = materialise(_candidates_of(toxic_rows, frozenset(counts)).where(F.size("terms") > 0), "toxic-terms")
     kept: dict[str, float] = {}
-    while True:
-        found = {r.term: r.n for r in left.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).collect()}
-        if not found:
-            break
-        most = max(found.values())
-        for term in sorted(found, key=lambda t: (len(t.rstrip()), t)):
-            if 2 * found[term] >= most and not any(term[:n] in kept for n in range(2, len(term))):
-                kept[term] = weight[term]
-        left = materialise(_without(left, frozenset(kept)), "toxic-terms")
+    for level in LEVELS:
+        while True:
+            found = {r.term: r.n for r in left.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).collect()}
+            # The clearest insults are rare in few labels: there a term without any clean use reaches each level.
+            found = {t: n for t, n in found.items() if not counts[t][1] or odds(n, counts[t][1]) - spread(n, counts[t][1]) >= level}
+            if not found:
+                break
+            most = max(found.values())
+            for term in sorted(found, key=lambda t: (len(t.rstrip()), t)):
+                if 2 * found[term] >= most and not any(term[:n] in kept for n in range(2, len(term))):
+                    kept[term] = odds(*counts[term])
+            left = materialise(_without(left, frozenset(kept)), "toxic-terms")
     cells = np.zeros((CELLS + 1, 2))
     scored = densities(labelled, Lexicon(kept), ("toxic",))
     for r in scored.groupBy(F.col("toxic"), F.floor(F.col("cell") * CELLS).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect():

@@ -85,6 +85,18 @@ def test_toxic_terms_of_the_tail_are_learned(spark):
     assert lexicon.density("the plain talk number stays") == 0
 
 
+def test_words_of_exception_phrases_and_ambiguous_terms_are_learned(spark):
+    number = lambda i: "".join("qwertyuiop"[int(d)] for d in str(i))
+    rows = [(f"plain talk {number(i)} you {'scum' if i % 2 else 'mildun'} stays", 1) for i in range(200)]
+    rows += [(f"plain talk {number(i)} {'pond scum grows' if i % 20 == 0 else 'grows'} {'mildun' if i % 25 == 1 else ''} stays", 0) for i in range(1000)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    assert lexicon.density("you scum") > 0 and lexicon.density("pond scum grows") == 0
+    assert 0 < lexicon.density("you mildun") < lexicon.density("you scum")
+    assert lexicon.density("plain talk grows and stays") == 0
+    plain = toxicity.fold("class clown fish, pond scummy trash")
+    assert toxicity._features(plain) == {" scummy", " scummy ", " tras", " trash", " trash "}
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = made_up(spark)
     odd = spark.createDataFrame(ODD, "doc_id long, text string")
