@@ -1,7 +1,8 @@
 """Toxicity scores from a weighted lexicon matched by an Aho-Corasick automaton.
 
-Texts and lexicon are folded alike: lower case, homoglyphs and digit substitutions to plain letters,
-everything that is not a letter to a space. The lexicon is learned from labelled documents: word
+Texts and lexicon are folded alike: compatible forms and accents to plain letters (NFKD without its
+marks), lower case, homoglyphs and digit substitutions to plain letters, every other character that is
+not a letter to a space, invisible ones to nothing. The lexicon is learned from labelled documents: word
 beginnings and whole words that toxic documents have and others lack, weighted by their log-odds.
 One automaton finds its terms and the exception phrases in one pass; a term inside an exception
 phrase does not count. A document's score is a logistic function of its summed weights divided by
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -49,12 +51,20 @@ CELLS = 512
 THRESHOLD = 0.3
 
 
-def _fold_table() -> dict[int, str]:
+class _Fold(dict):
+    """Code points and what they fold to; those not given are looked up by their category once met."""
+
+    def __missing__(self, c: int) -> str | None:
+        kind = unicodedata.category(chr(c))
+        self[c] = None if kind[0] == "M" or kind == "Cf" else chr(c) if kind[0] == "L" else " "
+        return self[c]
+
+
+def _fold_table() -> _Fold:
     table = {c: " " for c in range(128) if not chr(c).isalpha()}
     table |= {ord(c): c.lower() for c in "ABCDEFGHIJKMNOPQRSTUVWXYZ"} | {ord("L"): "i"}
     table |= {ord(k): v for k, v in SUBSTITUTES.items()}
-    table |= {ord(x): v for k, v in HOMOGLYPHS.items() for x in (k, k.upper()) if len(x) == 1 and ord(x) > 127}
-    return table | {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0xFEFF)}
+    return _Fold(table | {ord(x): v for k, v in HOMOGLYPHS.items() for x in (k, k.upper()) if len(x) == 1 and ord(x) > 127})
 
 
 FOLD = _fold_table()
@@ -62,7 +72,10 @@ FOLD = _fold_table()
 
 def fold(text: str | None) -> str:
     """Folded text with a space at each end; runs of separators stay runs."""
-    return f" {(text or '').translate(FOLD).lower()} "
+    text = text or ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+    return f" {text.translate(FOLD).lower()} "
 
 
 @dataclass(frozen=True)

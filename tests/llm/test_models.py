@@ -42,6 +42,14 @@ def test_folding_finds_disguised_terms_and_spares_exceptions():
     assert lexicon.density("you scum " + "word " * 500) < lexicon.density("you scum")
 
 
+def test_folding_knows_all_separators_and_forms():
+    lexicon = toxicity.Lexicon({" idiot ": 3.0})
+    for text in ("you “idiot”", "you—idiot—there", "you\xa0idiot\u2003x", "you…idiot…", "ｉｄｉｏｔ", "ïdíôt", "i\u0301diot", "you «idiot»", "idi\u2060ot", "١idiot٢"):
+        assert lexicon.density(text) > 0, text
+    for text in ("misidiot", "идиidiot", "idiot语"):
+        assert lexicon.density(text) == 0, text
+
+
 def made_up(spark, n=600):
     rng = random.Random(1)
     vocabulary = ["".join(rng.choice("aeioustnr") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
