@@ -6,7 +6,10 @@ A byte goes if it is covered by a 50-byte string that also starts in a document
    Equal windows have equal anchors, so windows of different anchors need never be compared. An
    anchor with its windows (at most 35, neighbours) and the text they span is an occurrence.
    Occurrences travel as packed columns of hashes, not as text. Where two occurrences span the same
-   text, the later documents' windows are all covered; nothing more is needed for them.
+   text, the later documents' windows are all covered; nothing more is needed for them. An anchor
+   with very many different surroundings, found in a sample first, is split at a second level: each
+   of its windows goes by the hash of the whole window. Equal windows still meet, which settles them,
+   and no anchor is one task. What the sample finds changes the way of a window, never the result.
 2. *Suffix sorting.* What is left are anchors that occur in several documents with different
    surroundings: the ends of repeated passages. Their texts are fetched once for each different
    surrounding, dealt out by anchor, and each task builds the suffix array of its texts by the
@@ -33,9 +36,15 @@ LENGTH = 50
 GRAM = 16
 #: Bytes of text whose anchors make up one bucket on average.
 BUCKET_BYTES = 8 << 20
-#: Bytes of text that are suffix-sorted at a time (more if one anchor has more).
+#: Bytes of text that are suffix-sorted at a time, and as many again if the last anchor has them.
 CHUNK_BYTES = 1 << 19
 
+#: Bytes of a block of the sample that frequent anchors are looked for in, and the share of blocks in it.
+SAMPLE_BLOCK, SAMPLED = 1 << 10, 1 / 64
+#: Different surroundings of an anchor in the sample from which on it is split by its windows: some
+#: 4,096 in all, thus a third of a megabyte of text.
+HOT = 64
+
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,11 +62,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def occurrences(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def occurrences(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Anchors of texts laid end to end: ``anchor, surrounding, text, start, windows``.
 
     ``anchor`` and ``surrounding`` are hashes; the windows are those that start at ``start`` in text
-    number ``text`` and the next ``windows - 1``.
+    number ``text`` and the next ``windows - 1``. Windows of the anchors ``hot`` come one by one, with
+    hashes of the whole window for both.
     """
     width, n = length - gram + 1, len(data)
     none = np.array([], np.int64)
@@ -84,7 +94,17 @@ def occurrences(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram:
     windows = np.diff(np.r_[first, len(at)])
     begin, text, at = start[first], text[first], at[first]
     around = _mix((sums[begin + windows + length - 1] - sums[begin]) * inverse[begin] + (windows * 64 + at - begin).astype(np.uint64))
-    return grams[at], around, text, begin - (ends - sizes)[text], windows
+    anchor, start = grams[at], begin - (ends - sizes)[text]
+    split = np.isin(anchor, hot) if hot is not None and len(hot) else np.zeros(len(anchor), bool)
+    if not split.any():
+        return anchor, around, text, start, windows
+    many = windows[split]
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at = np.repeat(begin[split], many) + step
+    whole = (sums[at + length] - sums[at]) * inverse[at]
+    half = (sums[at + length // 2] - sums[at]) * inverse[at]
+    alone = (_mix(whole + _mix(half)), _mix(whole), np.repeat(text[split], many), np.repeat(start[split], many) + step, np.ones(len(at), windows.dtype))
+    return tuple(np.concatenate([x[~split], y]) for x, y in zip((anchor, around, text, start, windows), alone, strict=True))
 
 
 def _planes(values: np.ndarray, n_bytes: int) -> bytes:
@@ -125,7 +145,30 @@ def _groups_of_text(batch, limit: int = GROUP_BYTES, length: int = LENGTH):
         yield np.array(ids, np.int64), np.array(offsets, np.int64), texts
 
 
-def _packed(docs: DataFrame, buckets: int) -> DataFrame:
+def _hot_anchors(docs: DataFrame) -> np.ndarray:
+    """Anchors with ``HOT`` different surroundings or more in a sample of blocks of the texts. Copies of
+    one text have the same surroundings; surroundings that a block cuts off are not counted."""
+
+    def each(batches):
+        for batch in batches:
+            for ids, offsets, texts in _groups_of_text(batch):
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                blocks = -(-len(data) // SAMPLE_BLOCK)
+                rng = np.random.default_rng([int(ids[0]) & (2**63 - 1), int(offsets[0]), len(ids)])
+                taken = np.flatnonzero(rng.random(blocks) < SAMPLED)
+                parts = [data[b * SAMPLE_BLOCK : (b + 1) * SAMPLE_BLOCK] for b in taken.tolist()]
+                if parts:
+                    sizes = np.array([len(x) for x in parts])
+                    anchor, around, text, start, windows = occurrences(np.concatenate(parts), sizes)
+                    inner = (start > 0) & (start + windows + LENGTH - 1 < sizes[text]) if len(anchor) else np.zeros(0, bool)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[inner].view(np.int64)), pa.array(around[inner].view(np.int64))], names=["anchor", "around"])
+
+    pairs = docs.mapInArrow(each, "anchor long, around long").distinct()
+    found = pairs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).select("anchor").collect()
+    return np.sort(np.array([r.anchor for r in found], np.int64).view(np.uint64))
+
+
+def _packed(docs: DataFrame, buckets: int, hot: np.ndarray | None = None) -> DataFrame:
     """``bucket, n, low, blob``: the occurrences of a group of documents for one bucket. Of occurrences
     in different documents of the group that span the same text, the first document's are packed and
     the others are known to be covered: those are rows with bucket -1, an id in ``low`` and pairs of
@@ -154,7 +197,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
         found, size = [], 0
         for batch in batches:
             for ids, offsets, texts in _groups_of_text(batch):
-                anchor, around, text, start, windows = occurrences(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+                anchor, around, text, start, windows = occurrences(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), hot=hot)
                 size += sum(map(len, texts))
                 if len(anchor):
                     found.append((anchor, around, ids[text], start + offsets[text], windows))
@@ -167,12 +210,20 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(each, schema)
 
 
+def _runs(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same windows, those that follow each other in a document as one row."""
+    order = np.lexsort((start, doc))
+    doc, start, windows = doc[order], start[order], windows[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != (start + windows)[:-1])])
+    return doc[first], start[first], np.add.reduceat(windows, first)
+
+
 def _by_document(doc: np.ndarray, start: np.ndarray, windows: np.ndarray):
     """Rows (-1, 0, id, packed (start, windows)) for each document."""
     if not len(doc):
         return
-    order = np.argsort(doc, kind="stable")
-    doc, pairs = doc[order], np.stack([start, windows], axis=1)[order].astype("<i8")
+    doc, start, windows = _runs(doc, start, windows)
+    pairs = np.stack([start, windows], axis=1).astype("<i8")
     cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         yield -1, 0, int(doc[a]), pairs[a:b].tobytes()
@@ -209,11 +260,13 @@ def _resolve(rows: DataFrame) -> DataFrame:
         several = np.minimum.reduceat(least, keys) != np.maximum.reduceat(least, keys)
         open_ = several[np.cumsum(new_key) - 1] & ~late
         anchor = (key.astype(np.int64) << 22) ^ bucket
-        for part, rows in ((0, late), (1, open_)):
-            if rows.any():
-                rows = np.flatnonzero(rows)[np.lexsort((start[rows], doc[rows]))]  # in order they take less room
-                name = anchor[rows] if part else np.zeros(len(rows), np.int64)  # covered windows need no name
-                yield _table(doc[rows], np.full(len(rows), part), name, start[rows], windows[rows])
+        if late.any():  # covered windows need no name
+            d, s, w = _runs(doc[late], start[late], windows[late])
+            none = np.zeros(len(d), np.int64)
+            yield _table(d, none, none, s, w)
+        if open_.any():
+            rows = np.flatnonzero(open_)[np.lexsort((start[open_], doc[open_]))]  # in order they take less room
+            yield _table(doc[rows], np.full(len(rows), 1), anchor[rows], start[rows], windows[rows])
 
     def each(batches):
         held, now = [], None
@@ -415,7 +468,7 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), text_or_empty().alias("text"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(16, total // bucket_bytes)
-    packed = _packed(own, buckets)
+    packed = _packed(own, buckets, _hot_anchors(own))
     dealt = packed.repartition("bucket", F.when(F.col("bucket") < 0, F.col("low"))).sortWithinPartitions("bucket")
     settled = materialise(_resolve(dealt), "repeats")
     del packed, dealt

@@ -73,3 +73,20 @@ def test_table(spark, sf):
     twice = docs.unionAll(docs)
     again = suffix_dedup.remove_repeats(twice).collect()
     assert len(again) == 2 * len(rows) and {r.doc_id: tuple(r)[1:5] for r in again} == got
+
+
+def test_a_frequent_anchor_is_not_one_task(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    tried = [letters(16) for _ in range(5000)]
+    hashes = suffix_dedup.occurrences(np.frombuffer("".join(tried).encode(), np.uint8), np.full(len(tried), 16), 16, 16)[0]
+    frequent = tried[int(np.argmin(hashes))]
+    endings = [letters(40) for _ in range(40)]
+    rows = [(i * 31 % 20011, letters(60) + frequent + (rng.choice(endings) if i % 3 == 0 else "") + letters(60)) for i in range(14000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    assert hashes.min() in suffix_dedup._hot_anchors(docs)
+    packed = suffix_dedup._packed(docs, 16, suffix_dedup._hot_anchors(docs)).repartition("bucket").sortWithinPartitions("bucket")
+    largest = suffix_dedup._resolve(packed).where("part = 1").selectExpr("anchor", "windows + 49 AS size").groupBy("anchor").sum("size").toPandas()
+    assert largest.empty or largest["sum(size)"].max() < suffix_dedup.CHUNK_BYTES
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == brute(rows)
