@@ -25,16 +25,45 @@ NGRAMS = (2, 3, 4)
 #: Labelled documents that the model is fitted on at most, and features of one of them.
 SAMPLE_DOCS, SAMPLE_FEATURES = 3000, 20_000
 THRESHOLD = 0.3
-#: Words that a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 300_000
+#: Words that a worker remembers, and bytes of one of them; beyond the number the memory starts afresh.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 64
+#: Bytes of a word whose n-grams are hashed at a time.
+PART_BYTES = 1 << 20
 #: A pair of equal neighbours is a feature of its own, whatever the word.
 SAME = 1
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def _gram_buckets(marked: bytes, n: int) -> np.ndarray:
+    """Buckets of the different n-grams of a long word: the same CRC-32 as of a short one, over arrays."""
+    data, seen = np.frombuffer(marked, np.uint8), np.array([], np.uint32)
+    for at in range(0, len(data) - n + 1, PART_BYTES):
+        part = data[at : at + PART_BYTES + n - 1].astype(np.uint32)
+        packed = np.zeros(len(part) - n + 1, np.uint32)
+        for k in range(n):
+            packed = packed << np.uint32(8) | part[k : len(part) - n + 1 + k]
+        seen = np.union1d(seen, packed)
+    crc = np.full(len(seen), 0xFFFFFFFF, np.uint32)
+    for k in range(n - 1, -1, -1):
+        crc = _CRC[(crc ^ seen >> np.uint32(8 * k)) & np.uint32(255)] ^ crc >> np.uint32(8)
+    return (~crc).astype(np.int64) % BUCKETS
+
+
 def word_features(word: bytes) -> np.ndarray:
-    """Buckets of the word, of its n-grams with boundary marks, and of its coarse shape."""
+    """Buckets of the word and of its different n-grams with boundary marks, whatever its length."""
     marked = b"<" + word + b">"
-    grams = {marked} | {marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)} if len(word) <= 64 else {marked[:64], b"<long>"}
+    if len(word) > REMEMBERED_BYTES:
+        return np.concatenate([np.array([zlib.crc32(marked) % BUCKETS]), *[_gram_buckets(marked, n) for n in NGRAMS]])
+    grams = {marked} | {marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)}
     return np.array([zlib.crc32(g) % BUCKETS for g in grams], np.int64)
 
 
@@ -112,11 +141,12 @@ class Scorer:
             known, logit = self.known, self.model.logit
             if len(known) > REMEMBERED:
                 known.clear()
+            long = {}
             for w in set(words):
                 if w not in known:
                     f = word_features(w)
-                    known[w] = float(logit[f].sum()), len(f), zlib.crc32(w)
-            got = np.array([known[w] for w in words])
+                    (known if len(w) <= REMEMBERED_BYTES else long)[w] = float(logit[f].sum()), len(f), zlib.crc32(w)
+            got = np.array([known[w] if w in known else long[w] for w in words] if long else [known[w] for w in words])
             pairs = pair_features(got[:, 2].astype(np.int64))
             mean = (got[:, 0].sum() + float(logit[pairs].sum())) / (got[:, 1].sum() + len(pairs))
         return float(1 / (1 + np.exp(-np.clip(mean + self.model.bias, -50, 50))))

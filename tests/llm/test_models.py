@@ -129,3 +129,15 @@ def test_score_is_the_mean_over_all_features():
         buckets, counts = quality_model.document_features(text)
         z = (model.logit[buckets] * counts).sum() / counts.sum() + model.bias
         assert scorer.score(text) == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-5)
+
+
+def test_words_without_blanks_are_read_whole():
+    rng = np.random.default_rng(3)
+    word = bytes(rng.integers(33, 127, 3000, dtype=np.uint8))
+    marked = b"<" + word + b">"
+    want = {marked} | {marked[i : i + n] for n in quality_model.NGRAMS for i in range(len(marked) - n + 1)}
+    assert sorted(quality_model.word_features(word)) == sorted(zlib.crc32(g) % quality_model.BUCKETS for g in want)
+    model = quality_model.Model(rng.normal(size=quality_model.BUCKETS).astype(np.float32), 0.3)
+    scorer = quality_model.Scorer(model)
+    assert scorer.score("文" * 40 + "好的文章" * 50) != scorer.score("文" * 40 + "坏" * 200)
+    assert all(len(w) <= quality_model.REMEMBERED_BYTES for w in scorer.known)
