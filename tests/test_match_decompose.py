@@ -39,6 +39,23 @@ def test_greedy_random(spark):
     assert sorted((r.b, r.left_time, r.right_time) for r in got) == sorted(want)
 
 
+def test_one_dense_island_is_a_stream(spark):
+    rng = random.Random(4)
+    sides = [rng.choice([0, 0, 1]) for _ in range(30000)]
+    ticks = [i + rng.choice([0.0, 0.5]) for i in range(len(sides))]
+    pairing, got, held = match._Pairing(2.5), [], 0
+    for t, side in zip(ticks, sides):
+        got.append(pairing.add(t, side))
+        held = max(held, len(pairing.left) + len(pairing.right))
+    left, right = ([t for t, s in zip(ticks, sides) if s == k] for k in (0, 1))
+    want = brute_greedy(left, right, 2.5)
+    assert sorted(p for p in got if p) == want and held <= 4
+    frame = match.tolerance_match(times(spark, left), times(spark, right), ["b"], 2.5)
+    assert sorted((r.left_time, r.right_time) for r in frame.collect()) == want
+    assert "FlatMapGroupsInPandas" not in frame._jdf.queryExecution().toString()
+    assert match.tolerance_match(times(spark, left).drop("b"), times(spark, right).drop("b"), [], 2.5).count() == len(want)
+
+
 def test_wide_equals_greedy_on_wide_grids(spark):
     left, right = [i * 10 for i in range(30)], [i * 10 + 3 for i in range(5, 40)]
     a = match.tolerance_match(times(spark, left), times(spark, right), ["b"], 4.0)
