@@ -2,7 +2,9 @@
 
 Cells are long rows (band, time_pos, feature, value). With few samples and many features the n x n
 Gram matrix is summed over shards of features; only that small matrix is decomposed in one task per
-band. Components come back by a join of the cells with the sample vectors.
+band. Components come back by a join of the cells with the sample vectors. With more samples than
+features it is the p x p covariance, summed over shards of samples, and scores come back by a join of
+the cells with the loadings. So the matrix of a band has min(n, p) rows.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ THRESHOLD = 0.99
 STORED = 40
 #: Feature shards per band that Gram matrices are summed over.
 SHARDS = 64
+#: Cells of a shard of samples that a partial covariance is made from; more where p is large, so that
+#: the partial matrices stay smaller than the cells.
+SHARD_CELLS = 1 << 20
 
 
 def zero_nonfinite(cells: DataFrame) -> DataFrame:
@@ -75,6 +80,46 @@ def eigen(gram: DataFrame, n_features: DataFrame, band: str = "spw") -> DataFram
     return gram.join(n_features, band).groupBy(band).applyInPandas(solve, f"`{band}` {kind}, comp int, singular_value double, i long, u double")
 
 
+def covariance(centred: DataFrame, shape: DataFrame, band: str = "spw", shard_cells: int = SHARD_CELLS) -> DataFrame:
+    """``band, i, j, g``: sums over samples of value_i * value_j, for features i <= j.
+
+    ``shape(band, n, p)`` gives the number of shards that a band's samples are dealt into, so that a
+    shard doesn't grow with the band.
+    """
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, row = np.unique(pdf.time_pos.to_numpy(), return_inverse=True)
+        at, col = np.unique(pdf.feature.to_numpy(), return_inverse=True)
+        x = np.zeros((row.max() + 1, len(at)))
+        x[row, col] = pdf.value.to_numpy()
+        i, j = np.triu_indices(len(at))
+        return pd.DataFrame({band: pdf[band].iloc[0], "i": at[i], "j": at[j], "g": (x.T @ x)[i, j]})
+
+    kind = centred.schema[band].dataType.simpleString()
+    shards = F.ceil(F.col("n") * F.col("p") / F.greatest(F.lit(shard_cells), 4 * F.col("p") * F.col("p")))
+    dealt = centred.join(shape, band).select(band, "time_pos", F.col("feature").cast("long").alias("feature"), "value", F.pmod(F.xxhash64("time_pos"), shards).alias("_shard"))
+    parts = dealt.groupBy(band, "_shard").applyInPandas(partial, f"`{band}` {kind}, i long, j long, g double")
+    return parts.groupBy(band, "i", "j").agg(F.sum("g").alias("g"))
+
+
+def eigen_covariance(products: DataFrame, band: str = "spw") -> DataFrame:
+    """``band, comp, singular_value, feature, loading``: the feature vectors of each component, largest
+    first, with the loading of largest size positive."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, back = np.unique(np.concatenate([pdf.i, pdf.j]), return_inverse=True)
+        i, j, g = back[: len(pdf)], back[len(pdf) :], np.zeros((len(at), len(at)))
+        g[i, j] = g[j, i] = pdf.g
+        values, vectors = np.linalg.eigh(g)
+        values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
+        vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(at))])
+        comp = np.repeat(np.arange(len(at)), len(at))
+        return pd.DataFrame({band: pdf[band].iloc[0], "comp": comp, "singular_value": np.sqrt(values)[comp], "feature": np.tile(at, len(at)), "loading": vectors.T.ravel()})
+
+    kind = products.schema[band].dataType.simpleString()
+    return products.groupBy(band).applyInPandas(solve, f"`{band}` {kind}, comp int, singular_value double, feature long, loading double")
+
+
 def explained(spectrum: DataFrame, band: str = "spw") -> DataFrame:
     """``evr`` and ``cum_evr`` for rows of (band, comp, singular_value); all 0 where nothing varies."""
     squares = F.col("singular_value") * F.col("singular_value")
@@ -97,17 +142,27 @@ class Decomposition:
         self.replaced = clean.agg(F.count_if("replaced").alias("replaced"))
         self.mean = column_mean(clean, band)
         centred = centre_columns(clean.drop("replaced"), band)
-        p = centred.groupBy(band).agg(F.count_distinct("feature").alias("p"))
-        vectors = eigen(gram_matrix(centred, band), p, band)
-        self.spectrum = explained(vectors.select(band, "comp", "singular_value").distinct(), band)
-        self.needed = components_needed(self.spectrum, threshold, band)
+        shape = centred.groupBy(band).agg(F.count_distinct("time_pos").alias("n_samples"), F.count_distinct("feature").alias("n_features"))
+        sizes = shape.select(band, F.col("n_samples").alias("n"), F.col("n_features").alias("p"))
+        few, many = sizes.where("n <= p"), sizes.where("n > p")
+        # Few samples: the sample vectors of the Gram matrix; the sign is fixed by the loading of largest size.
+        flat = centred.join(few.select(band), band, "left_semi")
+        vectors = eigen(gram_matrix(flat, band), few.select(band, "p"), band)
         top = vectors.where(F.col("comp") < stored)
-        # The sign is fixed by the loading of largest size.
         kept = top.where("singular_value > 0")
-        loadings = centred.join(kept, (centred[band] == kept[band]) & (F.col("time_pos") == F.col("i"))).groupBy(centred[band], "comp", "feature").agg((F.sum(F.col("value") * F.col("u")) / F.first("singular_value")).alias("loading"))
+        loadings = flat.join(kept, (flat[band] == kept[band]) & (F.col("time_pos") == F.col("i"))).groupBy(flat[band], "comp", "feature").agg((F.sum(F.col("value") * F.col("u")) / F.first("singular_value")).alias("loading"))
         sign = loadings.groupBy(band, "comp").agg(F.signum(F.max_by("loading", F.struct(F.abs("loading"), -F.col("feature")))).alias("_sign"))
-        self.components = loadings.join(sign, [band, "comp"]).withColumn("loading", F.col("loading") * F.col("_sign")).drop("_sign")
-        self.scores = top.join(sign, [band, "comp"], "left").select(band, "comp", F.col("i").alias("time_pos"), (F.col("u") * F.col("singular_value") * F.coalesce("_sign", F.lit(1.0))).alias("score"))
-        shape = centred.groupBy(band).agg(F.count_distinct("time_pos").alias("n_samples"), F.count_distinct("feature").alias("n_features"))
+        flat_components = loadings.join(sign, [band, "comp"]).withColumn("loading", F.col("loading") * F.col("_sign")).drop("_sign")
+        flat_scores = top.join(sign, [band, "comp"], "left").select(band, "comp", F.col("i").alias("time_pos"), (F.col("u") * F.col("singular_value") * F.coalesce("_sign", F.lit(1.0))).alias("score"))
+        # Many samples: the loadings of the covariance; a sample's score is the sum over its cells.
+        tall = centred.join(many.select(band), band, "left_semi")
+        axes = eigen_covariance(covariance(tall, many, band), band)
+        feature = centred.schema["feature"].dataType.simpleString()
+        first = axes.where(F.col("comp") < stored).withColumn("feature", F.col("feature").cast(feature))
+        tall_scores = tall.join(first.drop("singular_value"), [band, "feature"]).groupBy(band, "comp", F.col("time_pos").cast("long").alias("time_pos")).agg(F.sum(F.col("value") * F.col("loading")).alias("score"))
+        self.spectrum = explained(vectors.select(band, "comp", "singular_value").unionByName(axes.select(band, "comp", "singular_value")).distinct(), band)
+        self.needed = components_needed(self.spectrum, threshold, band)
+        self.components = flat_components.unionByName(first.where("singular_value > 0").select(band, "comp", "feature", "loading"))
+        self.scores = flat_scores.unionByName(tall_scores)
         five = self.spectrum.where("comp < 5").groupBy(band).agg(F.transform(F.sort_array(F.collect_list(F.struct("comp", "evr"))), lambda r: r["evr"]).alias("top5_evr"))
         self.summary = shape.join(self.needed, band).join(five, band)

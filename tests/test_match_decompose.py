@@ -91,6 +91,23 @@ def test_components_match_dense_decomposition(spark):
         assert needed == int(np.argmax(np.cumsum(s**2) / (s**2).sum() >= 0.99)) + 1
 
 
+def test_many_samples_take_the_covariance(spark):
+    rows = spark.range(20000).select(F.lit(0).alias("spw"), F.col("id").alias("time_pos"), F.posexplode(F.array(*[F.hash("id", F.lit(k)) / 2.0**31 * (k + 1) for k in range(3)])).alias("feature", "value"))
+    x = rows.toPandas().pivot(index="time_pos", columns="feature", values="value").to_numpy()
+    u, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    run = decompose.Decomposition(rows)
+    np.testing.assert_allclose([r.singular_value for r in run.spectrum.orderBy("comp").collect()], s, rtol=1e-9)
+    comp = run.components.orderBy("comp", "feature").toPandas().loading.to_numpy().reshape(3, 3)
+    sign = np.sign(v[np.arange(3), np.abs(v).argmax(axis=1)])
+    np.testing.assert_allclose(comp, v * sign[:, None], atol=1e-9)
+    score = run.scores.orderBy("comp", "time_pos").toPandas().score.to_numpy().reshape(3, -1)
+    np.testing.assert_allclose(score, (u * s * sign).T, atol=1e-7)
+    centred = decompose.centre_columns(decompose.zero_nonfinite(rows))
+    shape = spark.createDataFrame([(0, 20000, 3)], "spw int, n long, p long")
+    in_shards = decompose.covariance(centred, shape, shard_cells=1000).orderBy("i", "j").toPandas().g
+    np.testing.assert_allclose(in_shards, ((x - x.mean(axis=0)).T @ (x - x.mean(axis=0)))[np.triu_indices(3)], rtol=1e-9, atol=1e-7)
+
+
 def test_nothing_varies(spark):
     run = decompose.Decomposition(cells_of(spark, {0: np.ones((3, 4))}))
     assert [r.evr for r in run.spectrum.collect()] == [0.0] * 3
