@@ -1,15 +1,17 @@
 """Byte-level BPE over length-bucketed numpy matrices.
 
-Pieces of a pattern are encoded once per batch and remembered. Unknown pieces of like length form a
+Pieces of a pattern are encoded once and remembered. Unknown pieces of like length form a
 matrix of token ids, padded to the bucket's width; in each round every row looks its adjacent pairs
 up in a hash table, merges its leftmost pair of minimum rank, and rows that have none left leave the
-matrix. Each row that stays loses exactly one column, so compaction is a masked reshape.
+matrix. Each row that stays loses exactly one column, so compaction is a masked reshape. A piece beyond
+the widest bucket lies over several rows and goes through the same rounds.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +21,19 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 NONE = np.int32(2**31 - 1)
-#: Widths of the buckets; longer pieces are merged row by row.
-WIDTHS = (4, 8, 16, 32, 64, 128)
+#: Widths of the buckets are powers of two from the first to the last; a longer piece takes several rows
+#: of the last width.
+WIDTHS = (4, 512)
 #: Cells of a matrix at a time.
 CELLS = 1 << 20
-#: Pieces that a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 300_000
+#: Bytes of pieces and ids that a worker remembers; beyond it the memory starts afresh.
+REMEMBERED_BYTES = 24 << 20
+#: Bytes of a piece beyond which it is not remembered.
+REMEMBERED_PIECE = 256
+#: Characters of text that are split into pieces at a time, and pieces that are held at a time.
+PART_CHARS, PART_PIECES = 1 << 20, 1 << 16
+#: Ids that are handed on at a time, and as many again if the last text has them.
+PART_IDS = 1 << 18
 
 
 class PairTable:
@@ -73,7 +82,9 @@ class ByteBPE:
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = np.array(pairs or np.zeros((0, 3)), np.int64).T
         self.pairs = PairTable((left << 32) | right, rank.astype(np.int32))
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.names = {i: str(i).encode() for i in self.token}
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -88,11 +99,11 @@ class ByteBPE:
             if p in self.ranks:
                 out[i] = np.array([self.ranks[p]], np.int32)
             else:
-                buckets.setdefault(next((w for w in WIDTHS if len(p) <= w), 0), []).append(i)
+                buckets.setdefault(max(WIDTHS[0], 1 << (len(p) - 1).bit_length()), []).append(i)
         for width, rows in buckets.items():
-            if not width:
+            if width > WIDTHS[1]:
                 for i in rows:
-                    out[i] = self._long(self.byte[np.frombuffer(pieces[i], np.uint8)])
+                    out[i] = self._merge_rows(self.byte[np.frombuffer(pieces[i], np.uint8)])
                 continue
             for at in range(0, len(rows), CELLS // width):
                 part = rows[at : at + CELLS // width]
@@ -103,67 +114,144 @@ class ByteBPE:
         return out
 
     def _merge(self, ids: np.ndarray, row: np.ndarray, out: list) -> None:
+        """Rounds over a matrix with a piece in each row. Only the two pairs beside a merge are looked up
+        again; the others move with their columns."""
+        found = self.pairs.find(ids[:, :-1], ids[:, 1:])
         while True:
-            found = self.pairs.find(ids[:, :-1], ids[:, 1:]) if ids.shape[1] > 1 else np.full((len(ids), 1), NONE)
-            found[:, :][ids[:, 1:] < 0 if ids.shape[1] > 1 else np.ones(found.shape, bool)] = NONE
-            at = found.argmin(axis=1)  # the leftmost of the least
-            rank = found[np.arange(len(ids)), at]
+            at = found.argmin(axis=1) if found.shape[1] else np.zeros(len(ids), np.intp)  # the leftmost of the least
+            rank = found[np.arange(len(ids)), at] if found.shape[1] else np.full(len(ids), NONE)
             done = rank == NONE
-            for i, r in zip(row[done].tolist(), ids[done], strict=True):
-                out[i] = r[r >= 0]
-            if done.all():
+            if done.any():
+                for i, r in zip(row[done].tolist(), ids[done], strict=True):
+                    out[i] = r[r >= 0]
+                ids, found, row, at, rank = ids[~done], found[~done], row[~done], at[~done], rank[~done]
+            if not len(ids):
                 return
-            ids, row, at, rank = ids[~done], row[~done], at[~done], rank[~done]
             n, width = ids.shape
-            ids[np.arange(n), at] = rank
+            each = np.arange(n)
+            ids[each, at] = rank
             stay = np.ones((n, width), bool)
-            stay[np.arange(n), at + 1] = False
+            stay[each, at + 1] = False
             ids = ids[stay].reshape(n, width - 1)
+            stay = np.ones((n, width - 1), bool)
+            stay[each, at] = False
+            found = found[stay].reshape(n, width - 2)
+            for j in (at - 1, at):
+                k = np.flatnonzero((j >= 0) & (j < width - 2))
+                found[k, j[k]] = self.pairs.find(ids[k, j[k]], ids[k, j[k] + 1])
+
+    def _merge_rows(self, piece: np.ndarray) -> np.ndarray:
+        """The same rounds for one piece that is laid over several rows of the last width: each row keeps
+        its own minimum, so a round looks at the rows' minima and at the row that has the least."""
+        width = WIDTHS[1]
+        n = -(-len(piece) // width)
+        ids = np.full((n, width + 1), -1, np.int32)
+        flat = np.full(n * width, -1, np.int32)
+        flat[: len(piece)] = piece
+        ids[:, :width] = flat.reshape(n, width)
+        size = np.full(n, width)
+        size[-1] = len(piece) - (n - 1) * width
+        found = np.full((n, width + 1), NONE, np.int32)
+        pairs = np.full(n * width, NONE, np.int32)
+        pairs[: len(piece) - 1] = self.pairs.find(piece[:-1], piece[1:])
+        found[:, :width] = pairs.reshape(n, width)
+        least = found.min(axis=1)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # neighbouring rows that still hold cells
+
+        def look_up(r: int, c: int) -> None:
+            """Rank of the pair that begins at a cell; its right half may stand in the next row."""
+            if c + 1 < size[r]:
+                right = ids[r, c + 1]
+            elif after[r] < n:
+                right = ids[after[r], 0]
+            else:
+                found[r, c] = NONE
+                return
+            found[r, c] = self.pairs.find(ids[r, c : c + 1], np.array([right]))[0]
 
-    def _long(self, ids: np.ndarray) -> np.ndarray:
-        """One long row: all places of the minimum rank at once, as long as no merge makes a pair of
-        lower rank, which the leftmost-first order would have to take before the next place."""
-        while len(ids) > 1:
-            found = self.pairs.find(ids[:-1], ids[1:])
-            rank = found.min()
-            if rank == NONE:
-                break
-            places = np.flatnonzero(found == rank)
-            gaps = np.flatnonzero(np.diff(places) > 1) + 1
-            first = np.repeat(places[np.r_[0, gaps]], np.diff(np.r_[0, gaps, len(places)]))
-            places = places[(places - first) % 2 == 0]  # of overlapping places every second one
-            merged = ids.copy()
-            merged[places] = rank
-            stay = np.ones(len(ids), bool)
-            stay[places + 1] = False
-            after = merged[stay]
-            if len(places) > 1 and (self.pairs.find(after[:-1], after[1:]) < rank).any():
-                merged = ids.copy()
-                merged[places[0]] = rank
-                after = np.delete(merged, places[0] + 1)
-            ids = after
-        return ids
+        while True:
+            r = int(least.argmin())
+            if least[r] == NONE:
+                return ids[:, :width][np.arange(width) < size[:, None]]
+            c = int(found[r].argmin())
+            ids[r, c] = least[r]
+            gone, at = (r, c + 1) if c + 1 < size[r] else (int(after[r]), 0)  # the cell that the merge takes in
+            ids[gone, at:-1] = ids[gone, at + 1 :]
+            found[gone, at:-1] = found[gone, at + 1 :]
+            size[gone] -= 1
+            if not size[gone]:
+                a, b = int(before[gone]), int(after[gone])
+                if a >= 0:
+                    after[a] = b
+                if b < n:
+                    before[b] = a
+            look_up(r, c)
+            left = (r, c - 1) if c else (int(before[r]), int(size[before[r]]) - 1) if before[r] >= 0 else None
+            if left:
+                look_up(*left)
+            for x in {r, gone} | ({left[0]} if left else set()):
+                least[x] = found[x].min()
 
     def decode(self, ids) -> bytes:
         return b"".join([self.token[i] for i in ids])
 
-    def texts(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids as decimal text, decoded bytes) of each text."""
-        parts = [self.pattern.findall(t) for t in texts]
+    def _ids(self, parts: list[list[str]]) -> list[bytes]:
+        """Ids of lists of pieces as little-endian 32-bit integers; new pieces are encoded together."""
         known = self.known
-        new = list({p for ps in parts for p in ps if p not in known})
-        if len(known) + len(new) > REMEMBERED:
+        new = list(set().union(*parts).difference(known))
+        ids = dict(zip(new, [x.astype("<i4").tobytes() for x in self.encode_pieces([p.encode() for p in new])], strict=True))
+        look = known.__getitem__ if not new else lambda p: known.get(p) or ids[p]
+        out = [b"".join(map(look, ps)) for ps in parts]
+        kept = {p: b for p, b in ids.items() if len(p) <= REMEMBERED_PIECE}
+        more = sum(map(len, kept)) + sum(map(len, kept.values()))
+        if self.held + more > REMEMBERED_BYTES:
             known.clear()
-            new = list({p for ps in parts for p in ps})
-        for p, ids in zip(new, self.encode_pieces([p.encode() for p in new]), strict=True):
-            ids = ids.tolist()
-            known[p] = len(ids), " ".join(map(str, ids)), self.decode(ids)
-        out = []
-        for ps in parts:
-            got = [known[p] for p in ps]
-            out.append((sum(g[0] for g in got), " ".join([g[1] for g in got]), b"".join([g[2] for g in got])))
+            self.held = 0
+        if more <= REMEMBERED_BYTES:
+            known.update(kept)
+            self.held += more
         return out
 
+    def ids_of(self, texts: list[str]):
+        """For each text in turn its ids, as an iterator over parts of them: texts of up to ``PART_CHARS``
+        together are split into pieces at once, a longer one ``PART_PIECES`` at a time."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size + len(texts[end]) <= PART_CHARS:
+                size += len(texts[end])
+                end += 1
+            if end > at:
+                for raw in self._ids([self.pattern.findall(t) for t in texts[at:end]]):
+                    yield iter([raw])
+            else:
+                yield self._ids_of_long(texts[at])
+                end += 1
+            at = end
+
+    def _ids_of_long(self, text: str):
+        pieces = self.pattern.finditer(text)
+        while parts := [m.group() for m in islice(pieces, PART_PIECES)]:
+            yield self._ids([parts])[0]
+
+    def encode(self, texts: list[str]):
+        """All ids of each text in turn."""
+        return (np.frombuffer(b"".join(raw), "<i4") for raw in self.ids_of(texts))
+
+    def digests(self, texts: list[str]):
+        """For each text in turn (number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded
+        bytes), the latter two taken part by part."""
+        names, token = self.names, self.token
+        for parts in self.ids_of(texts):
+            n, ids, content = 0, hashlib.sha256(), hashlib.sha256()
+            for raw in parts:
+                part = np.frombuffer(raw, "<i4").tolist()
+                if part:
+                    ids.update((b" " if n else b"") + b" ".join([names[i] for i in part]))
+                    content.update(b"".join([token[i] for i in part]))
+                    n += len(part)
+            yield n, ids.hexdigest(), content.hexdigest()
+
 
 _coders: dict[tuple[str, str], ByteBPE] = {}
 
@@ -178,18 +266,29 @@ def coder(path: str, pattern: str) -> ByteBPE:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, tokens, decoded_sha256`` for each row of ``docs``; null counts as empty.
 
-    The digest is that of the bytes which the ids decode to.
+    The digest is that of the bytes which the ids decode to. ``PART_IDS`` ids are handed on at
+    a time, or those of one text where it has more.
     """
 
+    def table(doc_ids, ids, shas):
+        at = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(at).astype(np.int64)), lists, pa.array(shas, pa.string())], names=["doc_id", "n_tokens", "tokens", "decoded_sha256"])
+
     def each(batches):
         bpe = coder(path, pattern)
         for batch in batches:
-            got = bpe.texts(batch.column(1).to_pylist())
-            flat = np.array(" ".join([s for _, s, _ in got]).split(), np.int32)
-            sizes = [n for n, _, _ in got]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat, pa.int32()))
-            shas = pa.array([hashlib.sha256(b).hexdigest() for _, _, b in got], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists, shas], names=["doc_id", "n_tokens", "tokens", "decoded_sha256"])
+            first, size, ids, shas = 0, 0, [], []
+            for i, found in enumerate(bpe.encode(batch.column(1).to_pylist())):
+                ids.append(found)
+                content = hashlib.sha256()
+                for at in range(0, len(found), PART_PIECES):
+                    content.update(bpe.decode(found[at : at + PART_PIECES].tolist()))
+                shas.append(content.hexdigest())
+                size += len(found)
+                if size >= PART_IDS or i + 1 == batch.num_rows:
+                    yield table(batch.column(0)[first : i + 1], ids, shas)
+                    first, size, ids, shas = i + 1, 0, [], []
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(each, "doc_id long, n_tokens long, tokens array<int>, decoded_sha256 string")
 
@@ -211,14 +310,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Null and empty texts have no ids. Rows that repeat an id are each encoded; an empty table gives
     no rows; columns other than ``doc_id`` and ``text`` are not read.
     """
-    sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def each(batches):
         bpe = coder(path, pattern)
         for batch in batches:
-            texts, got = batch.column(1).to_pylist(), []
-            for i in range(0, len(texts), 512):
-                got += [(n, sha(s.encode()), sha(b)) for n, s, b in bpe.texts(texts[i : i + 512])]
+            got = list(bpe.digests(batch.column(1).to_pylist()))
             n, ids, decoded = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -25,9 +25,31 @@ def test_random_texts(bpe, theirs):
     words = ["the", " The", "ing", "zz", "é", "漢字", "🙂", "  ", "\n\n", "1234567", "'s", "%%%", "aaaa", "́", "\x00", "q"]
     texts = ["".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(300)]
     texts += ["", " ", "a" * 3000, "ab" * 1500, "=" * 5000, "x" + "é" * 900, "".join(chr(rng.randrange(97, 123)) for _ in range(4000)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(500))]
-    for t, (n, ids, raw) in zip(texts, bpe.texts(texts), strict=True):
+    for t, ids, digests in zip(texts, bpe.encode(texts), bpe.digests(texts), strict=True):
         want = theirs.encode_ordinary(t)
-        assert n == len(want) and ids == " ".join(map(str, want)) and raw == t.encode()
+        got = ids.tolist()
+        assert got == want and bpe.decode(got) == t.encode()
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        assert digests == (len(want), sha(" ".join(map(str, want)).encode()), sha(t.encode()))
+
+
+def test_long_pieces_take_the_same_rounds(bpe, theirs):
+    rng = random.Random(1)
+    for n in (511, 512, 513, 1024, 1025, 5000, 20000):
+        for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz"):
+            t = "".join(rng.choice(letters) for _ in range(n))
+            assert next(bpe.encode([t])).tolist() == theirs.encode_ordinary(t)
+
+
+def test_memory_is_bounded_in_bytes(bpe, theirs, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED_BYTES", 2000)
+    monkeypatch.setattr(byte_bpe, "PART_PIECES", 64)
+    monkeypatch.setattr(byte_bpe, "PART_CHARS", 1000)
+    rng = random.Random(2)
+    for _ in range(20):
+        t = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(300))
+        assert next(bpe.encode([t])).tolist() == theirs.encode_ordinary(t)
+        assert bpe.held <= 2000
 
 
 def test_table_and_odd_rows(spark, sf, theirs):
