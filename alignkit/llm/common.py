@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,34 +19,54 @@ SALTS = 64
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, as the session names it.
 
-    The session names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on
-    one machine, a temporary folder is made and set for this application.
+    Only where that is unset and the session runs on one machine, as in tests, a temporary folder is
+    made, which goes with the process. Elsewhere an unset folder is an error: executors would not
+    find each other's files.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="alignkit-"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="alignkit-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
         root = sc.getCheckpointDir()
     return root
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which Hadoop deletes when the application ends."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _file_system(spark, path).deleteOnExit(_path(spark, path))
+    return path
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: its lineage ends at those files."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are no longer referenced.
 
-    It does so once the driver has collected them as garbage, which on its own may take half an hour.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised frame that no later step reads."""
+    path = getattr(df, "scratch", None)
+    if path is not None:
+        _file_system(df.sparkSession, path).delete(_path(df.sparkSession, path), True)
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -80,8 +101,3 @@ def salts_in(mask: Column) -> Column:
     """The salts whose bits are set in a mask made with ``bit_or(salt_bit(salt))``."""
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     return F.filter(every, lambda i: F.getbit(mask, i) == 1)
-
-
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Hint a broadcast only for a counted, small side; beyond it Spark shuffles the join."""
-    return F.broadcast(df) if rows <= limit else df

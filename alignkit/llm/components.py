@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -32,5 +32,6 @@ def components(pairs: DataFrame) -> DataFrame:
         digest = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if digest == seen or not digest[0]:
             break
-        seen, edges = digest, materialise(_stars(edges), "edges")
+        seen, last, edges = digest, edges, materialise(_stars(edges), "edges")
+        discard(last)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -64,10 +64,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     along with the largest ``doc_id``. Of rows that repeat id and text, one stays.
     """
     others = [c for c in docs.columns if c != "text"]
-    rest = F.struct(F.col("text").isNull().alias("_no_text"), *[F.col(c) for c in others])
+    rest = F.struct(F.col("text").isNull().alias("no_text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"))
     order = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    rows = docs.select(F.sha2(text_or_empty(), 256).alias("_digest"), salt_of().alias("_salt"), text_or_empty().alias("_content"), order.alias("_order"), rest.alias("_rest"))
-    best = F.max_by("_rest", "_order").alias("_rest")
-    kept = rows.groupBy("_digest", "_salt", "_content").agg(best, F.max("_order").alias("_order")).groupBy("_digest", "_content").agg(best)
-    text = F.when(~F.col("_rest._no_text"), F.col("_content")).alias("text")
-    return kept.select(*[text if c == "text" else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+    rows = docs.select(F.sha2(text_or_empty(), 256).alias("digest"), salt_of().alias("salt"), text_or_empty().alias("content"), order.alias("at"), rest.alias("rest"))
+    best = F.max_by("rest", "at").alias("rest")
+    kept = rows.groupBy("digest", "salt", "content").agg(best, F.max("at").alias("at")).groupBy("digest", "content").agg(best)
+    text = F.when(~F.col("rest.no_text"), F.col("content")).alias("text")
+    return kept.select(*[text if c == "text" else F.col("rest.others").getField(c).alias(c) for c in docs.columns])

@@ -90,9 +90,13 @@ o AS (SELECT level FROM l WHERE weight * level <= lim ORDER BY lim / weight, nul
 t AS (SELECT nul, src, source_size, coalesce(least(lim, weight * (SELECT level FROM o)), lim) AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
              CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p FROM t),
-k AS (SELECT doc_id, nul, src, size, source_size, target, whole, p, target - whole * source_size AS missing,
-             CASE WHEN p > 0 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS rnk
-      FROM d JOIN p USING (nul, src)),
+x AS (SELECT d.*, source_size, target, whole, p, target - whole * source_size AS missing,
+             CASE WHEN source_size > 0 THEN floor(size::DOUBLE * 4096.0::DOUBLE / (size::DOUBLE + source_size::DOUBLE / n_docs::DOUBLE))::BIGINT ELSE 0 END AS step
+      FROM d JOIN p USING (nul, src) JOIN (SELECT nul, src, count(*) AS n_docs FROM d GROUP BY ALL) USING (nul, src)),
+y AS (SELECT nul, src, CASE WHEN sum(size) > 0 THEN sum(size * step)::BIGINT::DOUBLE / (sum(size)::BIGINT::DOUBLE * 4096.0::DOUBLE) ELSE 0 END AS mean_step FROM x GROUP BY ALL),
+q AS (SELECT x.*, p + least(p, 1.0::DOUBLE - p) * (step::DOUBLE / 4096.0::DOUBLE - mean_step) AS pi FROM x JOIN y USING (nul, src)),
+o2 AS (SELECT *, u / (1.0::DOUBLE - u) AS random_odds, CASE WHEN p > 0 THEN pi / (1.0::DOUBLE - pi) END AS wanted_odds FROM q),
+k AS (SELECT *, floor(random_odds / (random_odds + wanted_odds) * 1099511627776.0::DOUBLE)::BIGINT AS rnk FROM o2),
 c AS (SELECT *, sum(size) OVER (PARTITION BY nul, src ORDER BY rnk, doc_id, size ROWS UNBOUNDED PRECEDING) AS reached FROM k)
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN p > 0 AND reached - size / 2.0::DOUBLE <= missing THEN 1 ELSE 0 END))::BIGINT AS taken

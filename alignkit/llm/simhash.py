@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, broadcast_if_small, materialise, salt_bit, salt_of, salts_in
+from .common import SALTS, materialise, salt_bit, salt_of, salts_in
 from .components import components
 
 MAX_BITS = 4
@@ -202,7 +202,7 @@ def near_pairs(classes: DataFrame, limit: int = MAX_BITS, max_bucket: int = MAX_
     if n_hot:
         chunks = F.ceil(F.col("count") / max_bucket).cast("int")
         own = F.pmod(F.xxhash64("fp", F.lit("chunk")), chunks).cast("int")
-        joined = rows.join(broadcast_if_small(hot, n_hot, 100_000), ["block", "part"], "left").withColumn("chunks", F.coalesce(chunks, F.lit(1))).withColumn("own", F.coalesce(own, zero))
+        joined = rows.join(hot, ["block", "part"], "left").withColumn("chunks", F.coalesce(chunks, F.lit(1))).withColumn("own", F.coalesce(own, zero))
         other = F.explode(F.sequence(zero, F.col("chunks") - 1))
         rows = joined.withColumn("other", other).select("block", "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "node")
     else:

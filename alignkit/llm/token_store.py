@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_root, text_or_empty
+from .common import scratch_path, text_or_empty
 
 END_ID = 2
 #: Words that a worker remembers, in each of two generations.
@@ -190,7 +189,7 @@ def token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     the other; a null id sorts first. An empty table gives an empty store and no rows. Columns other
     than ``doc_id`` and ``text`` are not read.
     """
-    spark, folder = docs.sparkSession, f"{scratch_root(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    spark, folder = docs.sparkSession, scratch_path(docs.sparkSession, "tokens")
     write_store(docs, path, folder, end_id)
     stored = spark.read.schema("doc_id long, n_tokens long, tokens array<int>").parquet(folder).select("doc_id", "n_tokens", "tokens", F.col("_metadata.file_name").alias("file"))
     files = stored.groupBy("file").agg(F.sum("n_tokens").alias("n"))

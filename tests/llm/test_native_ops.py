@@ -76,6 +76,37 @@ def test_mixing_odd_rows(spark):
     assert mixed.agg(F.sum(F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")))).first()[0] == sum(r.taken for r in got)
 
 
+def test_odds_differ_within_a_source_and_expect_the_target(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    slim = mixing.document_sizes(docs)
+    plan = mixing.mixing_plan(slim)
+    rows = slim.join(plan, ["_null", "_source"]).where("p > 0").select("_source", "size", "source_size", "p", mixing.inclusion().alias("pi"), mixing._rank(F.col("u"), mixing.inclusion()).alias("rank"), "u").collect()
+    assert all(0 < r.pi < 1 for r in rows)
+    moved = 0
+    for s in {r._source for r in rows}:
+        own = [r for r in rows if r._source == s]
+        assert sum(r.size * r.pi for r in own) == pytest.approx(own[0].p * own[0].source_size, rel=1e-9)
+        by_size = sorted(own, key=lambda r: r.size)
+        assert by_size[-1].pi > by_size[0].pi and len({r.pi for r in own}) > len({r.size for r in own}) // 2
+        moved += [r.u for r in sorted(own, key=lambda r: r.rank)] != [r.u for r in sorted(own, key=lambda r: r.u)]
+    assert moved  # dividing by inclusion odds changes the order that the draws alone would give
+    for s, taken, target, longest in mixing.mix_report(docs.withColumnRenamed("lang", "rank")).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken"), F.first("target"), F.max("size")).collect():
+        assert abs(taken - target) <= longest / 2 + 1e-6, s
+
+
+def test_cut_by_digits_equals_a_sorted_sample(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 5)) AS source", "repeat('w ', cast(pmod(hash(id), 40) AS int)) AS text")
+    slim = mixing.document_sizes(docs)
+    plan = mixing.mixing_plan(slim)
+    rows = slim.join(plan, ["_null", "_source"]).select("*", F.when(F.col("p") > 0, mixing._rank(F.col("u"), mixing.inclusion())).alias("rank"), mixing._copies().alias("copies")).collect()
+    for s in {r._source for r in rows}:
+        own, so_far = [r for r in rows if r._source == s], 0
+        missing = own[0].target - own[0].whole * own[0].source_size
+        for r in sorted(own, key=lambda r: (r.rank or 0, r.doc_id)):
+            so_far += r.size
+            assert r.copies == r.whole + (r.p > 0 and so_far - r.size / 2 <= missing)
+
+
 def test_targets_stop_at_twice_the_source(spark):
     sizes = spark.createDataFrame([(False, "a", 10), (False, "b", 1000), (False, "c", 500), (True, "", 100)], "_null boolean, _source string, source_size long")
     got = {(r._null, r._source): r.target for r in mixing.source_targets(sizes).collect()}

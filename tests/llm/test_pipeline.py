@@ -41,7 +41,7 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert sorted(r.doc_id for r in steps[2]) == sorted(i for i in fps if find(i) == i)
-    taken = {r.doc_id: r.copies for r in mixing.with_copies(spark.read.parquet(str(tmp_path / "2"))).collect()}
+    taken = {r.row.doc_id: r.copies for r in mixing.with_copies(spark.read.parquet(str(tmp_path / "2"))).collect()}
     got = {}
     for r in steps[3]:
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
@@ -65,3 +65,19 @@ def test_odd_and_empty_tables_pass_through(spark, sf, tmp_path):
             out = spark.read.parquet(str(tmp_path / f"{n}-{i}"))
             assert i == 4 or out.columns == schema.replace(",", "").split()[::2]
         assert (out.count() > 0) == bool(table)
+
+
+CLASHES = ("size", "source_size", "target", "copies", "u", "_u", "p", "_null", "_source", "whole", "cut", "cut_rank", "rank", "row", "missing", "Size_", "no_text", "_no_text", "others", "rest", "salt", "_salt", "digest", "content", "at", "fp", "node", "component_id", "fingerprint", "score", "cell", "copy", "a.b")
+
+
+def test_clashing_columns_pass_through_unchanged(spark, sf, tmp_path):
+    fixed = {c: f"'{c}'" for c in CLASHES}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).selectExpr("*", *[f"{v} AS `{c}`" for c, v in fixed.items()])
+    out = docs
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, out, sf).write.parquet(str(tmp_path / str(i)))
+        out = spark.read.parquet(str(tmp_path / str(i)))
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows for c in CLASHES)
+    assert corpus_pipeline.STAGES[-1][1](spark, out, sf).count() == len(rows)
