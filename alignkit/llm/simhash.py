@@ -236,7 +236,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     that stays, all stay (exact deduplication comes before).
     """
     gone = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 assert SALTS == 64  # a salt mask is one long

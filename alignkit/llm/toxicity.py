@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, text_or_empty
 
@@ -308,11 +309,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Texts pass through the scoring tasks, so rows are filtered where they are and nothing is joined.
     """
     lexicon = learn(training_rows(docs, labels))
-    at = docs.columns.index("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
 
     def each(batches):
         for batch in batches:
-            fine = [lexicon.score(lexicon.density(t)) < THRESHOLD for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(fine, pa.bool_()))
+            fine = [lexicon.score(lexicon.density(t)) < THRESHOLD for t in batch.column(1).to_pylist()]
+            yield batch.select([0]).filter(pa.array(fine, pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    kept = rows.mapInArrow(each, T.StructType([rows.schema["row"]]))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
