@@ -30,14 +30,47 @@ def test_automaton_agrees_with_expressions():
     rng = random.Random(3)
     bits = ["password", "PassWd", "token", "api_key", "apikey", "secret", '"', "'", " ", "   ", ":", "=", "AKIA", "ABCDEF012345", "0123456789abcdef", "deadbeef", "x", "é", "🙂", "\n", "ghp_", "a" * 40, "eyJab", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ſecret", "toKen"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(800)]
-    scanner = secret_scan.scanner()
-    masks = secret_scan.scan(scanner.automaton, [t.encode() for t in texts])
-    for t, mask, spans in zip(texts, masks.tolist(), scanner.spans(texts), strict=True):
+    for t, spans in zip(texts, secret_scan.scanner().spans(texts), strict=True):
+        want = []
         for k, r in enumerate(secret_scan.RULES):
-            assert bool(mask >> k & 1) == bool(re.search(r.scan.encode(), t.encode(), re.IGNORECASE if r.any_case else 0))
+            for m in re.finditer(r.find, t, (re.IGNORECASE if r.any_case else 0) | re.ASCII):
+                size = m.end() - m.start(2 if r.tail else 0)
+                want += [(m.start(), k, m.end())] if size >= r.least else []
+        assert spans == sorted(want)
         assert [s for s in spans if s[1] < 3] == brute(t)
 
 
+def test_main_path_has_no_regular_expressions():
+    import ast
+    import inspect
+
+    tree = ast.parse(inspect.getsource(secret_scan))
+    assert not {n.name for x in ast.walk(tree) if isinstance(x, ast.Import) for n in x.names} & {"re", "regex"}
+
+
+@pytest.mark.parametrize("lane_bytes", [1, 7, 64, 1 << 20])
+def test_lanes_do_not_matter(lane_bytes):
+    import numpy as np
+
+    rng = random.Random(lane_bytes)
+    text = "".join(rng.choice(["token=", "abcdef0123456789", "AKIA" + "B7" * 8, "\n", ", ", " ", "secret: ", "zz", "'"]) for _ in range(3000)).encode()
+    found = secret_scan.scanner().automaton
+    whole = secret_scan.scan(found, np.frombuffer(text + b"\xff", np.uint8), 1 << 30)
+    parts = secret_scan.scan(found, np.frombuffer(text + b"\xff", np.uint8), lane_bytes)
+    assert sorted(zip(*[x.tolist() for x in whole])) == sorted(zip(*[x.tolist() for x in parts]))
+
+
+def test_automaton_is_minimal_and_rules_are_checked():
+    found = secret_scan.scanner().automaton
+    rows = found.table.reshape(-1, found.classes)
+    pairs = {(tuple(a), tuple(b)) for a, b in zip(rows.tolist(), found.todo.reshape(rows.shape).tolist())}
+    assert len(pairs) == len(rows)
+    with pytest.raises(ValueError, match="byte by byte"):
+        secret_scan.compile_rules((secret_scan.Rule("x", "ab(cde)?", 6),))
+    with pytest.raises(ValueError, match="nothing"):
+        secret_scan.compile_rules((secret_scan.Rule("x", "a*", 6),))
+
+
 def test_few_and_long_texts():
     scanner = secret_scan.scanner()
     for texts in ([""], ["x" * 50_000 + " password=abcdefghijkl"], ["y"] * 20 + ["z" * 9000 + "0123456789abcdef"] * 3):
