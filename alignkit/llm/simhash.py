@@ -1,21 +1,19 @@
 """SimHash near-duplicates, found with a Gray-order hierarchical index.
 
-Fingerprints that differ in at most four bits agree in two of six blocks at least, so the different
-fingerprints are dealt out under the fifteen pairs of blocks. What shares a pair of blocks is sorted
-by Gray rank and indexed there: leaves of neighbouring fingerprints, and above them nodes that hold
-the bits which all members share (a mask and a pattern; what a parent already holds is masked out
-below it). A search adds up the differences on its way down and drops a node with all its members
-once they exceed the limit.
-
-A bucket yields a spanning forest, never all its pairs: a search starts at one fingerprint, takes
-what it reaches out of the index, and goes on from there. Buckets above ``MAX_BUCKET`` are cut into
-chunks and every two chunks meet in a task of their own, so nothing is lost and no task is unbounded.
+Fingerprints that differ in at most four bits agree in one of five blocks at least, so the different
+fingerprints are dealt out five times, by the first bits of each block; how many bits grows with the
+number of fingerprints, so that a bucket holds some hundreds. A bucket is sorted by Gray rank and
+indexed: leaves of neighbouring fingerprints, and above them nodes that hold the bits which all members
+share (a mask and a pattern; what a parent already holds is masked out below it). All fingerprints of the
+bucket search the index; a search adds up the differences on its way down and drops a node with all its
+members once they exceed the limit.
+
+A bucket yields a spanning forest of its links, never all of them. Each two chunks of a bucket that is
+larger than a chunk meet in a task of their own, so nothing is lost and no task is unbounded.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,12 +25,14 @@ from .components import components
 MAX_BITS = 4
 SHINGLE = 4
 SEED = 42
-#: (first bit, bits) of the six blocks.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-MAX_BUCKET = 20_000
-#: Runs up to this size are compared directly.
-SMALL_RUN = 16
-FAN = 16
+#: (first bit, bits) of the five blocks.
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Fingerprints that a bucket holds on average, as far as the bits of a block go.
+BUCKET = 512
+#: Most bits of a block that deal fingerprints out, and fingerprints of a chunk.
+MAX_KEY_BITS, CHUNK = 12, 1 << 20
+#: Members of a node, and fingerprints that search at a time.
+FAN, QUERIES = 4, 256
 #: Shingles whose bits are unpacked at a time.
 BITS_CHUNK = 1 << 16
 
@@ -77,10 +77,10 @@ def gray_rank(fp: Column) -> Column:
 
 
 class GrayIndex:
-    """Index over fingerprints in Gray order; ``search`` takes out what it finds."""
+    """Index over fingerprints in Gray order. ``compared`` counts the members that searches came to."""
 
     def __init__(self, fps: np.ndarray):
-        self.fps, self.alive = fps, np.ones(len(fps), bool)
+        self.fps, self.compared = fps, 0
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # (pattern, mask of bits first shared here), from the leaves up
         low, high = fps, fps
         shared = []
@@ -93,126 +93,107 @@ class GrayIndex:
             self.levels.append((pattern, mask & ~above))
         self.rest = ~np.repeat(shared[0][1], FAN)[: len(fps)]  # bits that only the leaves' members tell apart
 
-    def search(self, queries: np.ndarray, limit: int) -> np.ndarray:
-        """Indices of members within ``limit`` bits of any query; they leave the index."""
-        pattern, mask = self.levels[-1]
-        q, node = np.repeat(np.arange(len(queries)), len(pattern)), np.tile(np.arange(len(pattern)), len(queries))
-        sums = np.zeros(len(q), np.uint8)
+    def search(self, first: int, last: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) pairs within ``limit`` bits: members ``first`` to ``last`` - 1 search among those
+        that stand behind them."""
+        top = np.arange(len(self.levels[-1][0]))
+        q, node = np.repeat(np.arange(first, last), len(top)), np.tile(top, last - first)
+        sums, span = np.zeros(len(q), np.uint8), FAN ** len(self.levels)
         for depth in range(len(self.levels) - 1, -1, -1):
             pattern, mask = self.levels[depth]
-            sums = sums + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
-            near = sums <= limit
-            q, node, sums = q[near], node[near], sums[near]
+            sums = sums + np.bitwise_count((self.fps[q] ^ pattern[node]) & mask[node])
+            near = (sums <= limit) & ((node + 1) * span > q + 1)
+            q, node, sums, span = q[near], node[near], sums[near], span // FAN
             below = len(self.levels[depth - 1][0]) if depth else len(self.fps)
             node = (node[:, None] * FAN + np.arange(FAN)).ravel()
+            q, sums = np.repeat(q, FAN), np.repeat(sums, FAN)
             real = node < below
-            q, sums, node = np.repeat(q, FAN)[real], np.repeat(sums, FAN)[real], node[real]
-            if not depth:
-                real = self.alive[node]
-                q, sums, node = q[real], sums[real], node[real]
-        sums = sums + np.bitwise_count((queries[q] ^ self.fps[node]) & self.rest[node])
-        found = np.unique(node[sums <= limit])
-        self.alive[found] = False
-        return found
-
-
-def _forest(fps: np.ndarray, limit: int) -> list[tuple[np.ndarray, int]]:
-    """(members, seed) of each part of a bucket that is linked, from an index over Gray order."""
-    index, parts, first = GrayIndex(fps), [], 0
-    while True:
-        live = np.flatnonzero(index.alive[first:])
-        if not len(live):
-            return parts
-        first += int(live[0])
-        index.alive[first] = False
-        found, members = np.array([first]), []
-        while len(found):
-            reached = []
-            for i in range(0, len(found), 64):
-                reached.append(index.search(fps[found[i : i + 64]], limit))
-            found = np.concatenate(reached)
-            members.append(found)
-        if len(got := np.concatenate(members)):
-            parts.append((got, first))
+            q, sums, node = q[real], sums[real], node[real]
+        later = node > q
+        q, sums, node = q[later], sums[later], node[later]
+        self.compared += len(q)
+        near = sums + np.bitwise_count((self.fps[q] ^ self.fps[node]) & self.rest[node]) <= limit
+        return q[near], node[near]
+
+
+def _forest(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the links of a bucket (in Gray order) join, one fewer than members each part."""
+    index, root, a, b = GrayIndex(fps), list(range(len(fps))), [], []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for at in range(0, len(fps), QUERIES):
+        for q, x in zip(*[c.tolist() for c in index.search(at, min(at + QUERIES, len(fps)), limit)], strict=True):
+            p, r = find(q), find(x)
+            if p != r:
+                root[max(p, r)] = min(p, r)
+                a.append(q)
+                b.append(x)
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def _link_runs(batches, limit: int):
-    """Links inside runs of equal (block, part): batches of block, part, rank-sorted fp, node."""
-
-    def links(run: np.ndarray, fps: np.ndarray, node: np.ndarray):
-        """run: number of each row's run, ascending."""
-        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-        sizes = np.diff(np.r_[starts, len(run)])
-        of = np.repeat(sizes, sizes)
-        a, b = [], []
-        small = np.flatnonzero((of > 1) & (of <= SMALL_RUN))
-        if len(small):
-            r, f, n = run[small], fps[small], node[small]
-            for d in range(1, SMALL_RUN):
-                i = np.flatnonzero(r[d:] == r[:-d]) if d < len(r) else []
-                if not len(i):
-                    break
-                i = i[np.bitwise_count(f[i] ^ f[i + d]) <= limit]
-                a.append(n[i])
-                b.append(n[i + d])
-        for s, n in zip(starts[sizes > SMALL_RUN].tolist(), sizes[sizes > SMALL_RUN].tolist(), strict=True):
-            for members, seed in _forest(fps[s : s + n], limit):
-                a.append(node[s + members])
-                b.append(np.full(len(members), node[s + seed]))
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.array([], np.int64), np.array([], np.int64))
-
-    def out(run, fps, node):
-        x, y = links(run, fps, node)
+    """Links inside runs of equal (block, key, low, high): batches of these, rank-sorted fp, node."""
+
+    def out(starts, fps, node):
+        x, y = [], []
+        for s, e in zip(starts, [*starts[1:], len(fps)], strict=True):
+            if e - s > 1:
+                a, b = _forest(fps[s:e], limit)
+                x.append(node[s + a])
+                y.append(node[s + b])
+        x, y = (np.concatenate(c) if c else np.array([], np.int64) for c in (x, y))
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], names=["a", "b"])
 
     held: list[np.ndarray] = []
     for batch in batches:
         table = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = [np.concatenate(x) for x in zip(held, table, strict=True)] if held else table
-        keys = held[:-2]
-        change = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-        if not change.any():
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in held[:-2]], axis=0)) + 1
+        if not len(change):
             continue
-        cut = int(np.flatnonzero(change)[-1]) + 1  # the last run may go on in the next batch
-        yield out(np.r_[0, np.cumsum(change[: cut - 1])], held[-2][:cut].view(np.uint64), held[-1][:cut])
+        cut = int(change[-1])  # the last run may go on in the next batch
+        yield out([0, *change[:-1].tolist()], held[-2][:cut].view(np.uint64), held[-1][:cut])
         held = [x[cut:] for x in held]
     if held and len(held[0]):
-        change = np.any([k[1:] != k[:-1] for k in held[:-2]], axis=0)
-        yield out(np.r_[0, np.cumsum(change)], held[-2].view(np.uint64), held[-1])
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in held[:-2]], axis=0)) + 1
+        yield out([0, *change.tolist()], held[-2].view(np.uint64), held[-1])
+
 
+def key_bits_for(n: int, bucket: int = BUCKET) -> int:
+    """Bits of a block that deal ``n`` fingerprints into buckets of about ``bucket``."""
+    return min(MAX_KEY_BITS, max(0, (max(1, n) // bucket).bit_length()))
 
-def _block_parts(fp: Column) -> Column:
-    """The fifteen (block pair, bits of both blocks) of a fingerprint."""
-    bits = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit(2**n - 1).cast("long")) for at, n in BLOCKS]
-    pairs = list(combinations(range(len(BLOCKS)), 2))
-    return F.array(*[F.struct(F.lit(i).alias("block"), (F.shiftleft(bits[x], 11) + bits[y]).alias("part")) for i, (x, y) in enumerate(pairs)])
 
+def _block_keys(fp: Column, bits: int) -> Column:
+    """The five (block, its first ``bits`` bits) of a fingerprint."""
+    keys = [F.shiftrightunsigned(fp, at + n - bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int") for at, n in BLOCKS]
+    return F.array(*[F.struct(F.lit(i).alias("block"), k.alias("key")) for i, k in enumerate(keys)])
 
-def near_pairs(classes: DataFrame, limit: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+
+def near_pairs(classes: DataFrame, limit: int = MAX_BITS, key_bits: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Links ``a, b`` (a > b) whose components are those of all links between ``classes(fp, node)``.
 
-    ``limit`` up to 4: two of the six blocks are then equal in any link.
+    ``limit`` up to 4: one of the five blocks is then equal in any link. ``key_bits`` (0 to 12; default
+    by the number of classes) changes how the search is dealt out, not its result.
     """
-    if not 0 <= limit <= len(BLOCKS) - 2:
+    if not 0 <= limit < len(BLOCKS):
         raise ValueError("limit must be 0 to 4")
-    rows = classes.select(F.explode(_block_parts(F.col("fp"))).alias("k"), "fp", "node").select("k.block", "k.part", "fp", "node")
-    hot = materialise(rows.groupBy("block", "part").count().where(F.col("count") > max_bucket), "hot-buckets")
-    n_hot = hot.count()
-    zero = F.lit(0)
-    if n_hot:
-        chunks = F.ceil(F.col("count") / max_bucket).cast("int")
-        own = F.pmod(F.xxhash64("fp", F.lit("chunk")), chunks).cast("int")
-        joined = rows.join(hot, ["block", "part"], "left").withColumn("chunks", F.coalesce(chunks, F.lit(1))).withColumn("own", F.coalesce(own, zero))
-        other = F.explode(F.sequence(zero, F.col("chunks") - 1))
-        rows = joined.withColumn("other", other).select("block", "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "node")
-    else:
-        rows = rows.select("block", "part", zero.alias("low"), zero.alias("high"), "fp", "node")
-    key = ["block", "part", "low", "high"]
-    dealt = rows.repartition(*key).sortWithinPartitions(*key, gray_rank(F.col("fp")))
+    bits = key_bits_for(classes.count()) if key_bits is None else key_bits
+    rows = classes.select(F.explode(_block_keys(F.col("fp"), bits)).alias("k"), "fp", "node").select("k.block", "k.key", "fp", "node")
+    # At most 5 * 2^12 rows, whatever the table.
+    buckets = rows.groupBy("block", "key").count().select("block", "key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("chunks")).cast("int")
+    met = rows.join(F.broadcast(buckets), ["block", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    key = ["block", "key", "low", "high"]
+    dealt = met.select("block", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "node").repartition(*key).sortWithinPartitions(*key, gray_rank(F.col("fp")))
     return dealt.mapInArrow(lambda batches: _link_runs(batches, limit), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, limit: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, limit: int = MAX_BITS, key_bits: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs``.
 
     Null and blank texts have the fingerprint zero and are linked like any other. Equal fingerprints
@@ -224,7 +205,7 @@ def near_duplicates(docs: DataFrame, limit: int = MAX_BITS, max_bucket: int = MA
     members = materialise(fingerprints(docs).withColumn("salt", salt_of()), "fingerprints")
     salted = members.groupBy("fp", "salt").agg(F.min("doc_id").alias("node"))
     classes = materialise(salted.groupBy("fp").agg(F.min("node").alias("node"), F.bit_or(salt_bit(F.col("salt"))).alias("salts")), "fingerprint-classes")
-    linked = components(near_pairs(classes.where(F.col("node").isNotNull()), limit, max_bucket))
+    linked = components(near_pairs(classes.where(F.col("node").isNotNull()), limit, key_bits, chunk))
     named = classes.join(linked, "node", "left").select("fp", F.explode(salts_in(F.col("salts"))).alias("salt"), F.coalesce("component", "node").alias("component_id"))
     return members.join(named, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

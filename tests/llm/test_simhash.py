@@ -44,18 +44,36 @@ def test_index_finds_all_in_limit():
         fps = base[rng.integers(0, len(base), n)]
         for _ in range(3):
             fps = fps ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64))
-        fps = np.unique(fps)
-        rank = fps.copy()
-        for s in (1, 2, 4, 8, 16, 32):
-            rank ^= rank >> np.uint64(s)
-        fps = fps[np.argsort(rank)]
-        q = fps[: min(5, len(fps))]
-        want = {i for i in range(len(fps)) if any((int(fps[i]) ^ int(x)).bit_count() <= 4 for x in q)}
-        assert set(simhash.GrayIndex(fps).search(q, 4).tolist()) == want
-
-
-@pytest.mark.parametrize("max_bucket", [20_000, 40])
-def test_components_match_brute_force(spark, max_bucket):
+        fps = in_gray_order(fps)
+        last = min(5, len(fps))
+        want = {(q, i) for q in range(last) for i in range(q + 1, len(fps)) if (int(fps[i]) ^ int(fps[q])).bit_count() <= 4}
+        assert set(zip(*[x.tolist() for x in simhash.GrayIndex(fps).search(0, last, 4)])) == want
+
+
+def in_gray_order(fps):
+    fps = np.unique(fps)
+    rank = fps.copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(s)
+    return fps[np.argsort(rank)]
+
+
+def test_nodes_prune_on_documents(spark):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    fps = simhash.fingerprints(spark.read.parquet(path)).select("fp").distinct().toPandas().fp.to_numpy().view(np.uint64)
+    fps = in_gray_order(fps)
+    index = simhash.GrayIndex(fps)
+    assert len(index.levels) >= 5
+    pairs = sum(len(index.search(i, min(i + 256, len(fps)), 4)[0]) for i in range(0, len(fps), 256))
+    want = sum(int((np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4).sum()) for i in range(len(fps)))
+    assert pairs == want > 0
+    assert index.compared < 0.1 * len(fps) ** 2 / 2  # nine of ten members go with a node above them
+    bits = simhash.key_bits_for(len(fps))
+    assert bits == 5 and simhash.key_bits_for(0) == simhash.key_bits_for(511) == 0 and simhash.key_bits_for(10**11) == 12
+
+
+@pytest.mark.parametrize(("key_bits", "chunk"), [(None, 1 << 20), (0, 40), (3, 20), (12, 1 << 20)])
+def test_components_match_brute_force(spark, key_bits, chunk):
     rng = np.random.default_rng(1)
     rows = []
     for c in range(12):
@@ -68,7 +86,7 @@ def test_components_match_brute_force(spark, max_bucket):
     classes = spark.createDataFrame(rows, "node long, fp long")
     from alignkit.llm.components import components
 
-    got = {r.node: r.component for r in components(simhash.near_pairs(classes, 4, max_bucket)).collect()}
+    got = {r.node: r.component for r in components(simhash.near_pairs(classes, 4, key_bits, chunk)).collect()}
     want = brute_components([(i, f & (2**64 - 1)) for i, f in rows])
     assert {i: got.get(i, i) for i, _ in rows} == want
 
