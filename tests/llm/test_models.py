@@ -121,6 +121,43 @@ def test_quality_on_held_out_rows(spark):
     assert len({r.score for r in quality_model.quality(docs, labels.limit(0)).collect()}) == 1
 
 
+def brute_features(text):
+    """Feature buckets of a text, one by one: words, their different n-grams, pairs of neighbours."""
+    words, out = text.encode().split(), []
+    for w in words:
+        marked = b"<" + w + b">"
+        grams = {marked} | {marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)}
+        out += [zlib.crc32(g) % 65536 for g in grams]
+    for a, b in zip(words, words[1:]):
+        mixed = (zlib.crc32(a) * 0x9E3779B97F4A7C15 + zlib.crc32(b) * 0xC2B2AE3D27D4EB4F) % 2**64 >> 40
+        out.append(1 if a == b else mixed % 65536)
+    return out or [0]
+
+
+@pytest.mark.parametrize("part_bytes", [8, 1 << 20])
+def test_scores_by_brute_force(monkeypatch, part_bytes):
+    monkeypatch.setattr(quality_model, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(quality_model, "GROUP_WORDS", 50)
+    monkeypatch.setattr(quality_model, "REMEMBERED", 40)
+    rng = np.random.default_rng(1)
+    logit = rng.normal(size=65536).astype(np.float32)
+    texts = ["", " ", "a", "ab", "abc", "a a a", "<a >b", "é ß 漢字", "x" * 300, "aaaa aaaa bbbb"] + [" ".join("w" * int(rng.integers(1, 9)) + str(rng.integers(0, 40)) for _ in range(rng.integers(0, 40))) for _ in range(60)]
+    got = quality_model.Scorer(quality_model.Model(logit, -0.2)).scores(texts)
+    for t, score in zip(texts, got, strict=True):
+        z = np.mean([float(logit[b]) for b in brute_features(t)]) - 0.2
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
+        buckets, counts = quality_model.document_features(t)
+        assert sorted(np.repeat(buckets, counts.astype(int)).tolist()) == sorted(brute_features(t))
+
+
+def test_training_tells_features_apart_and_repeats():
+    rows = [(np.array([3, 9]), np.array([2.0, 1.0]), 1), (np.array([5, 9]), np.array([1.0, 1.0]), 0)]
+    model = quality_model.train(rows * 40)
+    z = [float((model.logit[b] * c).sum() / c.sum() + model.bias) for b, c, _ in rows]
+    assert z[0] > 0.5 and z[1] < -0.5 and abs(model.logit[9]) < max(model.logit[3], -model.logit[5])
+    assert quality_model.train(rows * 40).logit.tolist() == model.logit.tolist()
+
+
 def test_score_is_the_mean_over_all_features():
     rng = np.random.default_rng(0)
     model = quality_model.Model(rng.normal(size=quality_model.BUCKETS).astype(np.float32), 0.3)
@@ -136,7 +173,7 @@ def test_words_without_blanks_are_read_whole():
     word = bytes(rng.integers(33, 127, 3000, dtype=np.uint8))
     marked = b"<" + word + b">"
     want = {marked} | {marked[i : i + n] for n in quality_model.NGRAMS for i in range(len(marked) - n + 1)}
-    assert sorted(quality_model.word_features(word)) == sorted(zlib.crc32(g) % quality_model.BUCKETS for g in want)
+    assert sorted(quality_model.word_features([word])[1]) == sorted(zlib.crc32(g) % quality_model.BUCKETS for g in want)
     model = quality_model.Model(rng.normal(size=quality_model.BUCKETS).astype(np.float32), 0.3)
     scorer = quality_model.Scorer(model)
     assert scorer.score("文" * 40 + "好的文章" * 50) != scorer.score("文" * 40 + "坏" * 200)
