@@ -10,6 +10,7 @@ touches the token column.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -38,11 +39,23 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+# The parts of a tokenizer file under which words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Encoder:
     """Encodes words with the tokenizer and remembers them.
 
     The tokenizer's pattern never matches across a blank, so a text's ids are those of its words in
-    turn. A word of Latin letters alone is one match of the pattern: it goes straight to the
+    turn. What follows holds for tokenizers whose normaliser and pattern are ``NORMALIZER`` and
+    ``PRE_TOKENIZER``; with any other file every text goes through the whole tokenizer. A word of Latin letters alone is one match of the pattern: it goes straight to the
     tokenizer's model, lowered and spelt in byte letters as the tokenizer would. A comma or full stop
     after such a word is a match of its own. Everything else goes through the whole tokenizer.
     Frequent words outlive the younger generation of the memory, rare ones are forgotten.
@@ -53,6 +66,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        plain = (parts["normalizer"], parts["pre_tokenizer"], parts["post_processor"]) == (NORMALIZER, PRE_TOKENIZER, None)
+        self.by_words = plain and all(a["special"] and "<" in a["content"] for a in parts["added_tokens"])
         self.model, self.letters, self.remembered = self.tokenizer.model, _byte_letters(), remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -88,6 +104,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, as ``tokenizers`` gives them."""
+        if not self.by_words:
+            return self._whole(texts)
         # str.split also splits at 0x1C-0x1F, which the tokenizer does not take for blanks.
         parts = [[p for p in _BLANKS.split(t) if p] if _SEPARATORS.search(t) else t.split() for t in texts]
         if len(self.known) > self.remembered:
@@ -151,15 +169,22 @@ def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     ``start`` counts the ids of all documents before: a running sum inside each file, plus the total
     of the files before it. The table of files is small; no document passes through one task.
     """
-    rows = spark.read.parquet(folder).select("doc_id", "n_tokens", F.col("_metadata.file_name").alias("file"))
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    return _starts(rows.join(before, "file")).select("doc_id", "n_tokens", "start")
+    rows = spark.read.parquet(folder).select("doc_id", "n_tokens", *_place())
+    return _with_starts(rows, rows).select("doc_id", "n_tokens", "start")
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("file").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("start", F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens"))
+def _place() -> list[Column]:
+    """Where a stored row stands: the number that Spark's writer gave its file (as a number: beyond five
+    digits the names do not sort), and its place in there."""
+    return [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("file"), F.col("_metadata.row_index").alias("place")]
+
+
+def _with_starts(told: DataFrame, rows: DataFrame) -> DataFrame:
+    """``told`` with ``start``; ``rows`` are the store's, from which the files' totals are taken."""
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    order = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return told.join(before, "file").withColumn("start", F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens"))
 
 
 def read_tokens(spark: SparkSession, folder: str, where: Column | str | None = None) -> DataFrame:
@@ -191,8 +216,6 @@ def token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """
     spark, folder = docs.sparkSession, scratch_path(docs.sparkSession, "tokens")
     write_store(docs, path, folder, end_id)
-    stored = spark.read.schema("doc_id long, n_tokens long, tokens array<int>").parquet(folder).select("doc_id", "n_tokens", "tokens", F.col("_metadata.file_name").alias("file"))
-    files = stored.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    told = checksums(stored, ("doc_id", "n_tokens", "file"))
-    return _starts(told.join(before, "file")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    stored = spark.read.schema("doc_id long, n_tokens long, tokens array<int>").parquet(folder).select("doc_id", "n_tokens", "tokens", *_place())
+    told = checksums(stored, ("doc_id", "n_tokens", "file", "place"))
+    return _with_starts(told, stored).select("doc_id", "start", "n_tokens", "ids_crc32")

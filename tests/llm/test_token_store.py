@@ -40,6 +40,38 @@ def test_table_and_odd_rows(spark, sf):
     assert token_store.token_files(both.limit(0), PATH).count() == 0
 
 
+def test_other_tokenizers_are_called_for_whole_texts(tmp_path):
+    import json
+
+    spec = json.load(open(PATH))
+    spec["normalizer"] = {"type": "Lowercase"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    encoder, t = token_store.Encoder(str(other)), Tokenizer.from_file(str(other))
+    assert token_store.Encoder(PATH).by_words and not encoder.by_words
+    for text in ("The  word,\nit's", "", "É a"):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_files_are_ordered_by_number_and_rows_by_place(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id div 3 AS doc_id", "text")
+    folder = tmp_path / "store"
+    token_store.write_store(docs, PATH, str(folder), files=3)
+    names = sorted(p for p in folder.iterdir() if p.name.startswith("part-"))
+    for p, number in zip(names, ("99998", "99999", "100000")):
+        p.rename(folder / p.name.replace(p.name.split("-")[1], number, 1))
+    import pyarrow.parquet as pq
+
+    want, start = [], 0
+    for number in ("99998", "99999", "100000"):
+        table = pq.read_table(next(folder.glob(f"part-{number}-*")))
+        for i, n in zip(table["doc_id"].to_pylist(), table["n_tokens"].to_pylist()):
+            want.append((i, n, start))
+            start += n
+    got = token_store.read_metadata(spark, str(folder)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.start) for r in got) == sorted(want)
+
+
 def test_selective_reads(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     folder = str(tmp_path / "store")
