@@ -54,3 +54,22 @@ def head(text: Column, n: int = 600) -> Column:
 def key_subset(m: Column, keys: list[str]) -> Column:
     """The entries of a string map whose keys are listed; a null map gives an empty one."""
     return F.map_filter(F.coalesce(m, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: k.isin(keys))
+
+
+#: A baseline's code holds both antennas, and a pair's code both baselines, each number with 100 added.
+ANTENNA_BASE, ANTENNA_OFFSET = 1000, 100
+
+
+def series_code(key: Column, kind: str) -> Column:
+    """The integer code of a series key: the key itself where ``kind`` (its type) is an integer one, else
+    made from a struct of two structs of two antennas, whatever their field names."""
+    from pyspark.sql import types as T
+
+    spec = T._parse_datatype_string(kind) if isinstance(kind, str) else kind
+    if not isinstance(spec, T.StructType):
+        return key.cast("long")
+    halves = []
+    for half in spec.fields:
+        a, b = (key.getField(half.name).getField(f.name).cast("long") + ANTENNA_OFFSET for f in half.dataType.fields)
+        halves.append(a * ANTENNA_BASE + b)
+    return halves[0] * ANTENNA_BASE**2 + halves[1]

@@ -15,6 +15,27 @@ def select_bands(rows: DataFrame, band: str, bands: list | None = None, pol: str
     return out if pol is None else out.where(F.col(pol) == code)
 
 
+# Polarisation names and their numbers; a pair's code is made of both numbers, 20 added to each.
+POLARISATIONS = {"pI": 1, "pQ": 2, "pU": 3, "pV": 4, "xx": -5, "yy": -6, "xy": -7, "yx": -8}
+
+
+def polpair_code(first: str, second: str | None = None) -> int:
+    """Code of a pair of polarisations by name (one name: both halves of the pair)."""
+    names = (first, first if second is None else second)
+    if unknown := [n for n in names if n not in POLARISATIONS]:
+        raise ValueError(f"unknown polarisation {unknown[0]}; known are {', '.join(POLARISATIONS)}")
+    a, b = (POLARISATIONS[n] + 20 for n in names)
+    return 100 * a + b
+
+
+def select_polarisation(rows: DataFrame, pol: str, column: str = "polpair") -> DataFrame:
+    """Rows of one polarisation pair, named by ``pol``; a pair that no row has is an error."""
+    out = rows.where(F.col(column) == polpair_code(pol))
+    if out.isEmpty():
+        raise ValueError(f"no rows of polarisation {pol}")
+    return out
+
+
 def keep_first_keys(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Rows of the first ``n`` keys in ascending order (0 or less: all)."""
     if n <= 0:
@@ -35,10 +56,6 @@ def drop_dead_keys(rows: DataFrame, key: str, re: str, im: str | None = None, pr
     return rows.join(dead_keys(rows if probe is None else probe, key, re, im), key, "left_anti")
 
 
-def with_multiplicity(rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "wid")))
-
-
 def drop_ambiguous_rows(rows: DataFrame, key: str) -> DataFrame:
     """Rows that are the only one of their key in their window; of several, all go.
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import key_subset
-
 
 def file_kind(identifier: Column) -> Column:
     """``auto`` if both halves of ``a_b`` agree, else ``cross``."""
@@ -57,16 +55,13 @@ def join_metadata(products: DataFrame, metadata: DataFrame, label: str = "meta_l
     return products.join(meta, F.col(label) == F.col("_label"), "left").drop("_label")
 
 
-def project_keys(records: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    return records.withColumn(column, key_subset(F.col(column), keys))
-
-
 def diff_manifests(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``key, change`` (added, removed or changed) and the names of the columns that differ."""
     values = [c for c in old.columns if c != key]
-    a, b = old.select(F.col(key).alias("_old"), *[F.col(c).alias(f"_a_{c}") for c in values]), new.select(F.col(key).alias("_new"), *[F.col(c).alias(f"_b_{c}") for c in values])
-    both = a.join(b, F.col("_old") == F.col("_new"), "full")
+    # A null key is a key like any other: presence is told by a mark.
+    a, b = old.select(F.lit(True).alias("_in_old"), F.col(key).alias("_old"), *[F.col(c).alias(f"_a_{c}") for c in values]), new.select(F.lit(True).alias("_in_new"), F.col(key).alias("_new"), *[F.col(c).alias(f"_b_{c}") for c in values])
+    both = a.join(b, F.col("_old").eqNullSafe(F.col("_new")), "full")
     names = F.array_compact(F.array(*[F.when(~F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")), F.lit(c)) for c in values]))
-    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.size(names) > 0, "changed")
+    change = F.when(F.col("_in_old").isNull(), "added").when(F.col("_in_new").isNull(), "removed").when(F.size(names) > 0, "changed")
     out = both.select(F.coalesce("_old", "_new").alias(key), change.alias("change"), F.when(change == "changed", F.concat_ws(",", names)).alias("columns"))
     return out.where("change IS NOT NULL")

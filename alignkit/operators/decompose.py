@@ -1,28 +1,32 @@
 """Principal components per band, without bringing a band's matrix to one place.
 
 Cells are long rows (band, time_pos, feature, value). With few samples and many features the n x n
-Gram matrix is summed over shards of features; only that small matrix is decomposed in one task per
-band. Components come back by a join of the cells with the sample vectors. With more samples than
-features it is the p x p covariance, summed over shards of samples, and scores come back by a join of
-the cells with the loadings. So the matrix of a band has min(n, p) rows.
+Gram matrix is summed over shards of features; with more samples than features it is the p x p
+covariance, summed over shards of samples. Partial matrices travel as square blocks of doubles, are
+added block by block, and only the sum, of min(n, p) rows, is decomposed in one task per band. Loadings
+or scores come back by a join of the cells with its vectors. A band may be several columns.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, finite_or_zero
 
 THRESHOLD = 0.99
 STORED = 40
-#: Feature shards per band that Gram matrices are summed over.
-SHARDS = 64
-#: Cells of a shard of samples that a partial covariance is made from; more where p is large, so that
-#: the partial matrices stay smaller than the cells.
+#: Cells of a shard that a partial matrix is made from; more where the matrix is large, so that the
+#: partial matrices stay smaller than the cells.
 SHARD_CELLS = 1 << 20
+#: Rows and columns of a block.
+BLOCK = 256
+
+
+def _list(band: str | list[str]) -> list[str]:
+    return [band] if isinstance(band, str) else list(band)
 
 
 def zero_nonfinite(cells: DataFrame) -> DataFrame:
@@ -30,139 +34,196 @@ def zero_nonfinite(cells: DataFrame) -> DataFrame:
     return cells.withColumn("replaced", ~finite(F.col("value"))).withColumn("value", finite_or_zero(F.col("value")))
 
 
-def column_mean(cells: DataFrame, band: str = "spw") -> DataFrame:
-    return cells.groupBy(band, "feature").agg(F.avg("value").alias("mean"))
+def column_mean(cells: DataFrame, band: str | list[str] = "spw") -> DataFrame:
+    return cells.groupBy(*_list(band), "feature").agg(F.avg("value").alias("mean"))
 
 
-def centre_columns(cells: DataFrame, band: str = "spw") -> DataFrame:
+def centre_columns(cells: DataFrame, band: str | list[str] = "spw") -> DataFrame:
     """Cells minus their column's mean; the mean is aggregated and joined back."""
-    return cells.join(column_mean(cells, band), [band, "feature"]).withColumn("value", F.col("value") - F.col("mean")).drop("mean")
+    return cells.join(column_mean(cells, band), [*_list(band), "feature"]).withColumn("value", F.col("value") - F.col("mean")).drop("mean")
 
 
-def gram_matrix(centred: DataFrame, band: str = "spw", shards: int = SHARDS) -> DataFrame:
-    """``band, i, j, g``: sums over features of value_i * value_j, for i <= j.
+def shapes(cells: DataFrame, band: str | list[str] = "spw") -> DataFrame:
+    """``band, n, p``: samples and features of each band."""
+    return cells.groupBy(*_list(band)).agg(F.count_distinct("time_pos").alias("n"), F.count_distinct("feature").alias("p"))
 
-    Features are dealt into shards; a shard's partial matrix is a dense product in numpy, and the
-    partial matrices are added up by an aggregation.
-    """
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, row = np.unique(pdf.time_pos.to_numpy(), return_inverse=True)
-        _, col = np.unique(pdf.feature.to_numpy(), return_inverse=True)
-        x = np.zeros((len(at), col.max() + 1))
-        x[row, col] = pdf.value.to_numpy()
-        i, j = np.triu_indices(len(at))
-        return pd.DataFrame({band: pdf[band].iloc[0], "i": at[i], "j": at[j], "g": (x @ x.T)[i, j]})
+def numbered(cells: DataFrame, column: str, band: str | list[str] = "spw") -> DataFrame:
+    """``band, column, at``: the samples or features of each band in order, numbered from 0."""
+    by = _list(band)
+    return cells.select(*by, column).distinct().withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(column)) - 1)
 
-    kind = centred.schema[band].dataType.simpleString()
-    dealt = centred.select(band, F.col("time_pos").cast("long").alias("time_pos"), "feature", "value", F.pmod(F.xxhash64("feature"), F.lit(shards)).alias("_shard"))
-    parts = dealt.groupBy(band, "_shard").applyInPandas(partial, f"`{band}` {kind}, i long, j long, g double")
-    return parts.groupBy(band, "i", "j").agg(F.sum("g").alias("g"))
 
+def product_blocks(centred: DataFrame, shape: DataFrame, numbers: DataFrame, over: str, band: str | list[str] = "spw", shard_cells: int = SHARD_CELLS) -> DataFrame:
+    """``band, row, col, size, block``: blocks of the matrix of products summed over ``over`` (``feature``: the
+    Gram matrix of the samples, ``time_pos``: the covariance of the features), on and above the diagonal.
 
-def eigen(gram: DataFrame, n_features: DataFrame, band: str = "spw") -> DataFrame:
-    """``band, comp, singular_value, i, u``: the sample vectors of each component, largest first.
+    ``shape(band, n, p)`` gives the number of shards, so that a shard doesn't grow with the band.
+    """
+    by, kept = _list(band), "time_pos" if over == "feature" else "feature"
+    size = F.col("n" if over == "feature" else "p")
+    shards = F.ceil(F.col("n") * F.col("p") / F.greatest(F.lit(shard_cells), 4 * size * size))
+    dealt = centred.join(shape, by).join(numbers, [*by, kept]).select(*by, over, "at", "value", size.alias("size"), F.pmod(F.xxhash64(over), shards).alias("_shard"))
+    kinds = ", ".join(f"`{c}` {centred.schema[c].dataType.simpleString()}" for c in by)
 
-    ``n_features(band, p)``: min(n, p) components are given, the last near zero ones included.
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["size"].iloc[0])
+        _, row = np.unique(pdf[over].to_numpy(), return_inverse=True)
+        x = np.zeros((row.max() + 1, n))
+        x[row, pdf["at"].to_numpy()] = pdf["value"].to_numpy()
+        product = x.T @ x
+        cuts = range(0, n, BLOCK)
+        found = [(i, j, n, product[i : i + BLOCK, j : j + BLOCK].tobytes()) for i in cuts for j in cuts if i <= j]
+        out = pd.DataFrame(found, columns=["row", "col", "size", "block"])
+        for c in reversed(by):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(pdf["block"].iloc[0]).copy()
+        for raw in pdf["block"].iloc[1:]:
+            total += np.frombuffer(raw)
+        out = pdf.iloc[:1].copy()
+        out["block"] = [total.tobytes()]
+        return out
+
+    schema = f"{kinds}, row int, col int, size int, block binary"
+    return dealt.groupBy(*by, "_shard").applyInPandas(partial, schema).groupBy(*by, "row", "col").applyInPandas(add, schema)
+
+
+def _pairs(blocks: DataFrame, numbers: DataFrame, kept: str, band: str | list[str]) -> DataFrame:
+    """``band, i, j, g`` of blocks, for i <= j in order."""
+    by = _list(band)
+    kinds = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in by)
+
+    def each(parts):
+        for pdf in parts:
+            for r in pdf.to_dict("records"):
+                g = np.frombuffer(r["block"]).reshape(min(BLOCK, r["size"] - r["row"]), -1)
+                i, j = np.indices(g.shape)
+                fine = (i + r["row"] <= j + r["col"]).ravel()
+                out = pd.DataFrame({"_i": (i.ravel() + r["row"])[fine], "_j": (j.ravel() + r["col"])[fine], "g": g.ravel()[fine]})
+                for c in reversed(by):
+                    out.insert(0, c, r[c])
+                yield out
+
+    rows = blocks.mapInPandas(each, f"{kinds}, _i int, _j int, g double")
+    name = lambda at, to: numbers.select(*by, F.col(kept).cast("long").alias(to), F.col("at").alias(at))
+    return rows.join(name("_i", "i"), [*by, "_i"]).join(name("_j", "j"), [*by, "_j"]).select(*by, "i", "j", "g")
+
+
+def gram_matrix(centred: DataFrame, band: str | list[str] = "spw", shard_cells: int = SHARD_CELLS) -> DataFrame:
+    """``band, i, j, g``: sums over features of value_i * value_j, for samples i <= j."""
+    numbers = numbered(centred, "time_pos", band)
+    return _pairs(product_blocks(centred, shapes(centred, band), numbers, "feature", band, shard_cells), numbers, "time_pos", band)
+
+
+def covariance(centred: DataFrame, shape: DataFrame, band: str | list[str] = "spw", shard_cells: int = SHARD_CELLS) -> DataFrame:
+    """``band, i, j, g``: sums over samples of value_i * value_j, for features i <= j."""
+    numbers = numbered(centred, "feature", band)
+    return _pairs(product_blocks(centred, shape, numbers, "time_pos", band, shard_cells), numbers, "feature", band)
+
+
+def eigen(blocks: DataFrame, shape: DataFrame, band: str | list[str] = "spw") -> DataFrame:
+    """``band, comp, singular_value, at, u``: vectors of the min(n, p) components, largest first.
+
+    What is below the rounding error of the largest is no component of the cells: its singular value
+    is 0.
     """
+    by = _list(band)
+    kinds = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in by)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, back = np.unique(np.concatenate([pdf.i, pdf.j]), return_inverse=True)
-        i, j, g = back[: len(pdf)], back[len(pdf) :], np.zeros((len(at), len(at)))
-        g[i, j] = g[j, i] = pdf.g
+        size = int(pdf["size"].iloc[0])
+        g = np.zeros((size, size))
+        for r in pdf.to_dict("records"):
+            part = np.frombuffer(r["block"]).reshape(min(BLOCK, size - r["row"]), -1)
+            g[r["row"] : r["row"] + part.shape[0], r["col"] : r["col"] + part.shape[1]] = part
+            g[r["col"] : r["col"] + part.shape[1], r["row"] : r["row"] + part.shape[0]] = part.T
         values, vectors = np.linalg.eigh(g)
-        k = min(len(at), int(pdf.p.iloc[0]))
-        values, vectors = np.clip(values[::-1][:k], 0, None), vectors[:, ::-1][:, :k]
-        comp = np.repeat(np.arange(k), len(at))
-        return pd.DataFrame({band: pdf[band].iloc[0], "comp": comp, "singular_value": np.sqrt(values)[comp], "i": np.tile(at, k), "u": vectors.T.ravel()})
+        k = min(int(pdf["n"].iloc[0]), int(pdf["p"].iloc[0]))
+        values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+        values = np.where(values > values[0] * NOISE * size, values, 0.0)
+        comp = np.repeat(np.arange(k), size)
+        out = pd.DataFrame({"comp": comp, "singular_value": np.sqrt(values)[comp], "at": np.tile(np.arange(size), k), "u": vectors.T.ravel()})
+        for c in reversed(by):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
 
-    kind = gram.schema[band].dataType.simpleString()
-    return gram.join(n_features, band).groupBy(band).applyInPandas(solve, f"`{band}` {kind}, comp int, singular_value double, i long, u double")
+    return blocks.join(shape, by).groupBy(*by).applyInPandas(solve, f"{kinds}, comp int, singular_value double, at int, u double")
 
 
-def covariance(centred: DataFrame, shape: DataFrame, band: str = "spw", shard_cells: int = SHARD_CELLS) -> DataFrame:
-    """``band, i, j, g``: sums over samples of value_i * value_j, for features i <= j.
-
-    ``shape(band, n, p)`` gives the number of shards that a band's samples are dealt into, so that a
-    shard doesn't grow with the band.
-    """
-
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, row = np.unique(pdf.time_pos.to_numpy(), return_inverse=True)
-        at, col = np.unique(pdf.feature.to_numpy(), return_inverse=True)
-        x = np.zeros((row.max() + 1, len(at)))
-        x[row, col] = pdf.value.to_numpy()
-        i, j = np.triu_indices(len(at))
-        return pd.DataFrame({band: pdf[band].iloc[0], "i": at[i], "j": at[j], "g": (x.T @ x)[i, j]})
-
-    kind = centred.schema[band].dataType.simpleString()
-    shards = F.ceil(F.col("n") * F.col("p") / F.greatest(F.lit(shard_cells), 4 * F.col("p") * F.col("p")))
-    dealt = centred.join(shape, band).select(band, "time_pos", F.col("feature").cast("long").alias("feature"), "value", F.pmod(F.xxhash64("time_pos"), shards).alias("_shard"))
-    parts = dealt.groupBy(band, "_shard").applyInPandas(partial, f"`{band}` {kind}, i long, j long, g double")
-    return parts.groupBy(band, "i", "j").agg(F.sum("g").alias("g"))
+#: Share of the largest eigenvalue, for each row of the matrix, that rounding may leave in one that is 0.
+NOISE = 4 * float(np.finfo(float).eps)
 
 
-def eigen_covariance(products: DataFrame, band: str = "spw") -> DataFrame:
-    """``band, comp, singular_value, feature, loading``: the feature vectors of each component, largest
-    first, with the loading of largest size positive."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, back = np.unique(np.concatenate([pdf.i, pdf.j]), return_inverse=True)
-        i, j, g = back[: len(pdf)], back[len(pdf) :], np.zeros((len(at), len(at)))
-        g[i, j] = g[j, i] = pdf.g
-        values, vectors = np.linalg.eigh(g)
-        values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
-        vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(at))])
-        comp = np.repeat(np.arange(len(at)), len(at))
-        return pd.DataFrame({band: pdf[band].iloc[0], "comp": comp, "singular_value": np.sqrt(values)[comp], "feature": np.tile(at, len(at)), "loading": vectors.T.ravel()})
-
-    kind = products.schema[band].dataType.simpleString()
-    return products.groupBy(band).applyInPandas(solve, f"`{band}` {kind}, comp int, singular_value double, feature long, loading double")
-
-
-def explained(spectrum: DataFrame, band: str = "spw") -> DataFrame:
+def explained(spectrum: DataFrame, band: str | list[str] = "spw") -> DataFrame:
     """``evr`` and ``cum_evr`` for rows of (band, comp, singular_value); all 0 where nothing varies."""
     squares = F.col("singular_value") * F.col("singular_value")
-    total = F.sum(squares).over(Window.partitionBy(band))
-    order = Window.partitionBy(band).orderBy("comp").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(squares).over(Window.partitionBy(*_list(band)))
+    order = Window.partitionBy(*_list(band)).orderBy("comp").rowsBetween(Window.unboundedPreceding, 0)
     return spectrum.withColumn("evr", F.when(total > 0, squares / total).otherwise(squares)).withColumn("cum_evr", F.sum("evr").over(order))
 
 
-def components_needed(spectrum: DataFrame, threshold: float = THRESHOLD, band: str = "spw") -> DataFrame:
+def components_needed(spectrum: DataFrame, threshold: float = THRESHOLD, band: str | list[str] = "spw") -> DataFrame:
     """``band, n_components``: the first count whose ratios sum to the threshold; one more than there
     are if none does."""
-    return spectrum.groupBy(band).agg((F.count_if(F.col("cum_evr") < threshold) + 1).alias("n_components"))
+    return spectrum.groupBy(*_list(band)).agg((F.count_if(F.col("cum_evr") < threshold) + 1).alias("n_components"))
+
+
+def _largest_positive(value: str, place: str) -> Column:
+    """The sign that makes a component's loading of largest size (the first of equals) positive."""
+    return F.signum(F.max_by(value, F.struct(F.abs(value), -F.col(place))))
 
 
 class Decomposition:
-    """Tables of one run, each a DataFrame keyed by band: ``mean, spectrum, scores, components``."""
+    """Tables of one run, each a DataFrame keyed by band: ``mean, spectrum, scores, components, summary``.
+
+    ``store`` writes the vectors of all bands, a small table, and reads them back, so that the tables
+    made from them do not each decompose again; without it each table is a plan of its own.
+    """
 
-    def __init__(self, cells: DataFrame, band: str = "spw", stored: int = STORED, threshold: float = THRESHOLD):
+    def __init__(self, cells: DataFrame, band: str | list[str] = "spw", stored: int = STORED, threshold: float = THRESHOLD, store=lambda df, name: df):
+        by = self.by = _list(band)
         clean = zero_nonfinite(cells)
         self.replaced = clean.agg(F.count_if("replaced").alias("replaced"))
-        self.mean = column_mean(clean, band)
-        centred = centre_columns(clean.drop("replaced"), band)
-        shape = centred.groupBy(band).agg(F.count_distinct("time_pos").alias("n_samples"), F.count_distinct("feature").alias("n_features"))
-        sizes = shape.select(band, F.col("n_samples").alias("n"), F.col("n_features").alias("p"))
-        few, many = sizes.where("n <= p"), sizes.where("n > p")
-        # Few samples: the sample vectors of the Gram matrix; the sign is fixed by the loading of largest size.
-        flat = centred.join(few.select(band), band, "left_semi")
-        vectors = eigen(gram_matrix(flat, band), few.select(band, "p"), band)
-        top = vectors.where(F.col("comp") < stored)
-        kept = top.where("singular_value > 0")
-        loadings = flat.join(kept, (flat[band] == kept[band]) & (F.col("time_pos") == F.col("i"))).groupBy(flat[band], "comp", "feature").agg((F.sum(F.col("value") * F.col("u")) / F.first("singular_value")).alias("loading"))
-        sign = loadings.groupBy(band, "comp").agg(F.signum(F.max_by("loading", F.struct(F.abs("loading"), -F.col("feature")))).alias("_sign"))
-        flat_components = loadings.join(sign, [band, "comp"]).withColumn("loading", F.col("loading") * F.col("_sign")).drop("_sign")
-        flat_scores = top.join(sign, [band, "comp"], "left").select(band, "comp", F.col("i").alias("time_pos"), (F.col("u") * F.col("singular_value") * F.coalesce("_sign", F.lit(1.0))).alias("score"))
-        # Many samples: the loadings of the covariance; a sample's score is the sum over its cells.
-        tall = centred.join(many.select(band), band, "left_semi")
-        axes = eigen_covariance(covariance(tall, many, band), band)
-        feature = centred.schema["feature"].dataType.simpleString()
-        first = axes.where(F.col("comp") < stored).withColumn("feature", F.col("feature").cast(feature))
-        tall_scores = tall.join(first.drop("singular_value"), [band, "feature"]).groupBy(band, "comp", F.col("time_pos").cast("long").alias("time_pos")).agg(F.sum(F.col("value") * F.col("loading")).alias("score"))
-        self.spectrum = explained(vectors.select(band, "comp", "singular_value").unionByName(axes.select(band, "comp", "singular_value")).distinct(), band)
-        self.needed = components_needed(self.spectrum, threshold, band)
-        self.components = flat_components.unionByName(first.where("singular_value > 0").select(band, "comp", "feature", "loading"))
-        self.scores = flat_scores.unionByName(tall_scores)
-        five = self.spectrum.where("comp < 5").groupBy(band).agg(F.transform(F.sort_array(F.collect_list(F.struct("comp", "evr"))), lambda r: r["evr"]).alias("top5_evr"))
-        self.summary = shape.join(self.needed, band).join(five, band)
+        self.mean = column_mean(clean, by)
+        centred = centre_columns(clean.drop("replaced"), by)
+        shape = shapes(clean, by)
+        few, many = shape.where("n <= p"), shape.where("n > p")
+        # Few samples: vectors of the samples. Many: vectors of the features, which are the loadings.
+        flat, tall = centred.join(few.select(*by), by, "left_semi"), centred.join(many.select(*by), by, "left_semi")
+        samples, features = numbered(flat, "time_pos", by), numbered(tall, "feature", by)
+        kind = cells.schema["feature"].dataType.simpleString()
+        of_samples = eigen(product_blocks(flat, few, samples, "feature", by), few, by).join(samples, [*by, "at"])
+        of_features = eigen(product_blocks(tall, many, features, "time_pos", by), many, by).join(features, [*by, "at"])
+        of_samples = of_samples.select(*by, "comp", "singular_value", "u", F.col("time_pos").cast("long").alias("time_pos"), F.lit(None).cast(kind).alias("feature"))
+        of_features = of_features.select(*by, "comp", "singular_value", "u", F.lit(None).cast("long").alias("time_pos"), F.col("feature").cast(kind).alias("feature"))
+        vectors = store(of_samples.unionByName(of_features), "vectors")
+        self.spectrum = explained(vectors.select(*by, "comp", "singular_value").distinct(), by)
+        kept = vectors.where((F.col("comp") < stored) & (F.col("singular_value") > 0))
+        rows, axes = kept.where("time_pos IS NOT NULL").drop("feature"), kept.where("feature IS NOT NULL").drop("time_pos")
+        loadings = flat.withColumn("time_pos", F.col("time_pos").cast("long")).join(rows, [*by, "time_pos"]).groupBy(*by, "comp", "feature").agg((F.sum(F.col("value") * F.col("u")) / F.first("singular_value")).alias("loading"))
+        loadings = loadings.unionByName(axes.select(*by, "comp", "feature", F.col("u").alias("loading")))
+        sign = loadings.groupBy(*by, "comp").agg(_largest_positive("loading", "feature").alias("_sign"))
+        self.components = loadings.join(sign, [*by, "comp"]).select(*by, "comp", "feature", (F.col("loading") * F.col("_sign")).alias("loading"))
+        # A sample's score is its vector's entry times the singular value, or the sum over its cells.
+        of_cells = tall.join(axes.select(*by, "comp", "feature", "u"), [*by, "feature"]).groupBy(*by, "comp", F.col("time_pos").cast("long").alias("time_pos")).agg(F.sum(F.col("value") * F.col("u")).alias("score"))
+        scores = rows.select(*by, "comp", "time_pos", (F.col("u") * F.col("singular_value")).alias("score")).unionByName(of_cells)
+        self.scores = scores.join(sign, [*by, "comp"]).select(*by, "comp", "time_pos", (F.col("score") * F.col("_sign")).alias("score"))
+        self.needed = components_needed(self.spectrum, threshold, by)
+        five = self.spectrum.where("comp < 5").groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("comp", "evr"))), lambda r: r["evr"]).alias("top5_evr"))
+        self.summary = shape.select(*by, F.col("n").alias("n_samples"), F.col("p").alias("n_features")).join(self.needed, by).join(five, by)
+
+    TABLES = ("mean", "spectrum", "scores", "components", "needed", "summary")
+
+    def of(self, **values) -> Decomposition:
+        """The tables of some of the bands: those with the given values of band columns, which go."""
+        out = object.__new__(Decomposition)
+        out.by = [c for c in self.by if c not in values]
+        for name in self.TABLES:
+            table = getattr(self, name)
+            for c, v in values.items():
+                table = table.where(F.col(c) == v).drop(c)
+            setattr(out, name, table)
+        return out

@@ -26,17 +26,17 @@ def fold_axis(cells: DataFrame, delays: DataFrame, band: str, by: list[str], val
     """``band, by, dly_pos, value``: half the sum of the values at a positive delay and at its mirror.
 
     Each cell is sent to the positions it takes part in, and those are summed: one shuffle, and cells
-    are read once.
+    are read once. The delays are a small dimension, which Spark broadcasts by its size.
     """
     mirror = mirror_index(delays, band)
     parts = mirror.select(band, "dly_pos", F.explode(F.array("pos_idx", "neg_idx")).alias("dly_idx"))
-    return cells.join(F.broadcast(parts), [band, "dly_idx"]).groupBy(band, *by, "dly_pos").agg((F.sum(value) / 2.0).alias(value))
+    return cells.join(parts, [band, "dly_idx"]).groupBy(band, *by, "dly_pos").agg((F.sum(value) / 2.0).alias(value))
 
 
 def flatten_features(folded: DataFrame, band: str, group: str = "group_id", position: str = "dly_pos") -> DataFrame:
     """Adds ``feature`` = group * positions of the band + position (row-major)."""
     width = folded.groupBy(band).agg((F.max(position) + 1).alias("_width"))
-    return folded.join(F.broadcast(width), band).withColumn("feature", F.col(group) * F.col("_width") + F.col(position)).drop("_width")
+    return folded.join(width, band).withColumn("feature", F.col(group) * F.col("_width") + F.col(position)).drop("_width")
 
 
 def to_matrix(cells: DataFrame, by: list[str], feature: str = "feature", value: str = "value") -> DataFrame:

@@ -87,10 +87,14 @@ def test_components_match_dense_decomposition(spark):
         np.testing.assert_allclose(mine.cum_evr, np.cumsum(s**2) / (s**2).sum(), atol=1e-9)
         comp = run.components.where(F.col("spw") == spw).toPandas()
         score = run.scores.where(F.col("spw") == spw).toPandas()
-        for k in range(3):
+        real = int((s > 1e-9 * s[0]).sum())
+        assert sorted(set(comp.comp)) == sorted(set(score.comp)) == list(range(real))
+        assert all(v == 0 for v in mine.singular_value[real:])
+        for k in range(real):
             load = comp[comp.comp == k].sort_values("feature").loading.to_numpy()
             sign = np.sign(v[k][np.argmax(np.abs(v[k]))])
             np.testing.assert_allclose(load, v[k] * sign, atol=1e-6)
+            assert np.sum(load**2) == pytest.approx(1)
             np.testing.assert_allclose(score[score.comp == k].sort_values("time_pos").score, u[:, k] * s[k] * sign, atol=1e-6 * s[0])
         needed = {r.spw: r.n_components for r in run.needed.collect()}[spw]
         assert needed == int(np.argmax(np.cumsum(s**2) / (s**2).sum() >= 0.99)) + 1
@@ -113,6 +117,17 @@ def test_many_samples_take_the_covariance(spark):
     np.testing.assert_allclose(in_shards, ((x - x.mean(axis=0)).T @ (x - x.mean(axis=0)))[np.triu_indices(3)], rtol=1e-9, atol=1e-7)
 
 
+def test_blocks_add_up(spark, monkeypatch):
+    monkeypatch.setattr(decompose, "BLOCK", 4)
+    x = np.random.default_rng(5).normal(size=(11, 30))
+    got = decompose.gram_matrix(cells_of(spark, {0: x, 3: x[:5]}), shard_cells=16).toPandas()
+    for spw, y in ((0, x), (3, x[:5])):
+        mine = got[got.spw == spw].sort_values(["i", "j"])
+        i, j = np.triu_indices(len(y))
+        assert mine.i.tolist() == i.tolist() and mine.j.tolist() == j.tolist()
+        np.testing.assert_allclose(mine.g, (y @ y.T)[i, j], rtol=1e-12)
+
+
 def test_nothing_varies(spark):
     run = decompose.Decomposition(cells_of(spark, {0: np.ones((3, 4))}))
     assert [r.evr for r in run.spectrum.collect()] == [0.0] * 3
