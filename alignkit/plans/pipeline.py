@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import time
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import align, catalog, decompose, grid, groups, match, reduce, reshape
+from ..sources import writers
+from ..sources.scratch import file_facts, materialise
+
+VERSION = "0.2"
 
 
 @dataclass(frozen=True)
@@ -18,107 +24,150 @@ class AlignParams:
     max_keys: int = 0
     bands: tuple[int, ...] = ()
     length_tol: float = 1.0
+    pol: str | None = None
     check_spread: bool = True
 
 
 @dataclass(frozen=True)
 class Aligned:
-    """``samples(branch, spw, time_pos, group_id, dly_pos, value)`` with their dimensions and counters."""
+    """``samples(branch, spw, time_pos, group_id, dly_pos, feature, value)`` with its coordinates ``times(branch,
+    time_pos, time_jd, lst_rad)``, ``groups(branch, group_id, group_len, group_rep, n_keys)``, ``delays(branch, spw,
+    dly_pos, dly, kpara)``, the ``counters`` of the run (one row), and its parameters and seconds."""
 
     samples: DataFrame
     times: DataFrame
     groups: DataFrame
+    delays: DataFrame
     counters: DataFrame
+    parameters: dict = field(default_factory=dict)
+    seconds: float = 0.0
 
 
-def align_samples(cells: DataFrame, delays: DataFrame, lengths: DataFrame, params: AlignParams = AlignParams(), branch: str = "all") -> Aligned:
-    """Align cells ``spw, blpair, time_jd, lst_rad, dly_idx, value, noise`` (noise optional) on common
+def align_samples(cells: DataFrame, delays: DataFrame, lengths: DataFrame, params: AlignParams = AlignParams(), branch: str = "all", kparas: DataFrame | None = None) -> Aligned:
+    """Align cells ``spw, blpair, time_jd, lst_rad, dly_idx, value`` (``noise`` and ``polpair`` optional) on common
     windows, average redundant groups and fold the delay axis.
 
     Keys and times are aligned on the narrow table of (key, time) pairs first; only its rows, joined
-    back, select the wide cells. An empty result raises ``ValueError``, as does a spread over the
-    window length.
+    back, select the wide cells. The pairs, the aligned pairs and the samples are written once to the
+    shared folder, so each step's plan starts from a table. An empty result raises ``ValueError``, as
+    do a spread over the window length and a polarisation that no cell has.
     """
+    began, spark = time.perf_counter(), cells.sparkSession
     cells = align.select_bands(cells, "spw", list(params.bands))
+    if params.pol is not None:
+        cells = align.select_polarisation(cells, params.pol).drop("polpair")
     cells = align.keep_first_keys(cells, "blpair", params.max_keys)
     grouped = "noise" in cells.columns
     first = cells.agg(F.min("spw").alias("_spw"))
-    probe = cells.join(F.broadcast(first), F.col("spw") == F.col("_spw")).drop("_spw")
-    dead = align.dead_keys(probe, "blpair", "value")
-    live = cells.join(dead, "blpair", "left_anti")
-    times = live.select("blpair", "time_jd", "lst_rad").distinct().persist()
-    # Two scalars decide the grid; as literals they keep every later plan short.
-    found = grid.window_grid(times, "blpair", "time_jd", params.window_seconds)
-    grid_row = cells.sparkSession.createDataFrame([tuple(found.first())], found.schema)
-    assigned = grid.assign_windows(times, grid_row, "time_jd")
+    probe = cells.join(F.broadcast(first), F.col("spw") == F.col("_spw")).drop("_spw")  # the broadcast is one row
+    alive = probe.groupBy("blpair").agg(F.max(F.when(F.col("value") != 0, 1).otherwise(0)).alias("_alive"))
+    pairs = cells.select("blpair", "time_jd", "lst_rad").distinct().join(alive, "blpair", "left").withColumn("_alive", F.coalesce("_alive", F.lit(1)))
+    times = materialise(pairs, "align-times")
+    live = times.where("_alive = 1").drop("_alive")
+    # One row decides the grid; as literals it keeps every later plan short.
+    found = grid.window_grid(live, "blpair", "time_jd", params.window_seconds)
+    row = found.first()
+    grid_row = spark.createDataFrame([tuple(row)], found.schema)
+    assigned = grid.assign_windows(live, grid_row, "time_jd")
     single = align.drop_ambiguous_rows(assigned, "blpair")
-    common = align.common_windows(single, "blpair", assigned)
-    aligned = align.align_rows(single, common).persist()
-    spread = align.centroid_spread(aligned, "time_jd")
-    widest, length = spread.first()[0], grid_row.first().window_days
+    aligned = materialise(align.align_rows(single, align.common_windows(single, "blpair", assigned)), "align-rows")
+    widest = align.centroid_spread(aligned, "time_jd").first()[0]
     if widest is None:
         raise ValueError("no window is common to all keys")
-    if params.check_spread and length is not None and widest > length * 86400.0:
+    if params.check_spread and row.window_days is not None and widest > row.window_days * 86400.0:
         raise ValueError("times inside a window spread over more than its length")
     members = groups.restrict_groups(groups.tolerance_groups(lengths, "blpair", "length_m", params.length_tol), aligned, "blpair")
-    wide = live.join(aligned.select("blpair", "time_jd", "time_pos"), ["blpair", "time_jd"]).join(members.select("blpair", "group_id"), "blpair")
-    means = reduce.weighted_group_mean(wide, ["spw", "time_pos", "group_id", "dly_idx"], "value", "noise" if grouped else None)
-    folded = reshape.fold_axis(means, delays, "spw", ["time_pos", "group_id"]).withColumn("branch", F.lit(branch)).persist()
+    wide = cells.join(aligned.select("blpair", "time_jd", "time_pos"), ["blpair", "time_jd"]).join(members.select("blpair", "group_id"), "blpair")
+    means = materialise(reduce.weighted_group_mean(wide, ["spw", "time_pos", "group_id", "dly_idx"], "value", "noise" if grouped else None), "align-means")
+    folded = reshape.flatten_features(reshape.fold_axis(means, delays, "spw", ["time_pos", "group_id"]), "spw")
+    samples = materialise(folded.withColumn("branch", F.lit(branch)), "align-samples")
+    summary = materialise(groups.group_summary(members, "blpair", "length_m").withColumn("branch", F.lit(branch)), "align-groups")
+    axis = reshape.with_coordinates(reshape.positive_axis(delays, "spw"), kparas, ["spw", "dly_idx"]).select("spw", "dly_pos", "dly", "kpara", "kperp").withColumn("branch", F.lit(branch))
     counters = (
-        dead.agg(F.count(F.lit(1)).alias("dropped_dead_keys"))
-        .crossJoin(assigned.agg(F.count(F.lit(1)).alias("_all")))
+        times.agg(F.count_distinct(F.when(F.col("_alive") == 0, F.col("blpair"))).alias("dropped_dead_keys"), F.count_if(F.col("_alive") == 1).alias("_all"))
         .crossJoin(single.agg(F.count(F.lit(1)).alias("_single")))
-        .crossJoin(common.agg(F.count(F.lit(1)).alias("n_common_windows")))
-        .crossJoin(members.agg(F.count_distinct("group_id").alias("n_groups"), F.count_distinct("blpair").alias("n_live_keys")))
+        .crossJoin(aligned.agg(F.count_distinct("wid").alias("n_common_windows")))
+        .crossJoin(summary.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_keys").alias("n_live_keys")))
         .crossJoin(reduce.zero_weight_cells(means))
-        .crossJoin(spread)
         .crossJoin(grid_row)
+        .withColumn("max_spread_seconds", F.lit(widest))
         .withColumn("dropped_ambiguous_rows", F.col("_all") - F.col("_single"))
         .drop("_all", "_single")
     )
-    axis = aligned.groupBy("time_pos").agg(F.min("centre").alias("time_jd")).join(align.window_coordinate(aligned, "blpair", "lst_rad"), "time_pos").withColumn("branch", F.lit(branch))
-    return Aligned(folded, axis, groups.group_summary(members, "blpair", "length_m"), counters)
+    centres = aligned.groupBy("time_pos").agg(F.min("centre").alias("time_jd")).join(align.window_coordinate(aligned, "blpair", "lst_rad"), "time_pos").withColumn("branch", F.lit(branch))
+    parameters = asdict(params) | {"branch": branch, "weights": "1 / noise^2" if grouped else "uniform"}
+    return Aligned(samples, materialise(centres, "align-centres"), summary, axis, counters, parameters, time.perf_counter() - began)
+
+
+def provenance(run: Aligned, inputs: dict[str, str], command: str) -> DataFrame:
+    """One nested row about a run: each input's path, time of modification and size, parameters, counters,
+    the shape of each band, version, command and seconds."""
+    spark = run.samples.sparkSession
+    facts = [(name, path, *file_facts(spark, path)) for name, path in sorted(inputs.items())]
+    given = spark.createDataFrame([(facts, json.dumps(run.parameters, sort_keys=True), VERSION, command, float(run.seconds))], "inputs array<struct<name: string, path: string, mtime: double, size: long>>, parameters string, version string, command string, runtime_sec double")
+    extents = run.samples.groupBy("spw").agg(*[F.count_distinct(c).alias(n) for c, n in (("time_pos", "n_times"), ("group_id", "n_groups"), ("dly_pos", "n_delays"))])
+    shape = extents.agg(F.sort_array(F.collect_list(F.struct("spw", "n_times", "n_groups", "n_delays"))).alias("spws"))
+    kinds = ", ".join(f"{k}: {'array<int>' if isinstance(v, (list, tuple)) else {bool: 'boolean', int: 'int', float: 'double'}.get(type(v), 'string')}" for k, v in sorted(run.parameters.items()))
+    return given.withColumn("parameters", F.from_json("parameters", f"struct<{kinds}>")).crossJoin(run.counters.select(F.struct("*").alias("counters"))).crossJoin(shape)
 
 
 def with_features(aligned: Aligned) -> DataFrame:
     """``spw, time, time_pos, feature, value`` of aligned samples."""
-    flat = reshape.flatten_features(aligned.samples, "spw")
-    return flat.join(F.broadcast(aligned.times.select("time_pos", F.col("time_jd").alias("time"))), "time_pos").select("spw", "time", "time_pos", "feature", "value")
+    times = aligned.times.select("time_pos", F.col("time_jd").alias("time"))
+    return aligned.samples.join(times, "time_pos").select("spw", "time", "time_pos", "feature", "value")
+
 
+def with_coordinates(loadings: DataFrame, aligned: Aligned) -> DataFrame:
+    """``loadings(spw, feature, ...)`` with the group's length and representative and the delay and
+    wave numbers of each feature (kperp is never known)."""
+    width = aligned.delays.groupBy("spw").agg((F.max("dly_pos") + 1).alias("_width"))
+    placed = loadings.join(width, "spw").withColumn("group_id", F.floor(F.col("feature") / F.col("_width"))).withColumn("dly_pos", (F.col("feature") % F.col("_width")).cast("int"))
+    out = placed.join(aligned.groups.select("group_id", "group_len", "group_rep"), "group_id", "left").join(aligned.delays.select("spw", "dly_pos", "dly", "kpara", "kperp"), ["spw", "dly_pos"], "left")
+    return out.drop("_width")
 
-def decompose_samples(cells: DataFrame, threshold: float = decompose.THRESHOLD, stored: int = decompose.STORED) -> decompose.Decomposition:
-    return decompose.Decomposition(cells, "spw", stored, threshold)
+
+def decompose_samples(cells: DataFrame, threshold: float = decompose.THRESHOLD, stored: int = decompose.STORED, band: str | list[str] = "spw") -> decompose.Decomposition:
+    return decompose.Decomposition(cells, band, stored, threshold, store=materialise)
 
 
 def contrast_samples(left: DataFrame, right: DataFrame, tol_seconds: float = 60.0) -> DataFrame:
     """``spw, time, time_pos, feature, value``: left minus right at matched times, renumbered.
 
-    Bands without a partner are skipped; differing feature counts or no match raise ``ValueError``.
+    Bands without a partner are skipped; differing feature counts or no match raise ``ValueError``. One
+    row per band and side is looked at for that; the matched times are written once.
     """
-    shapes = match.pair_branches(left, right)
-    if not shapes.where("left_features <> right_features").isEmpty():
+    shape = match.pair_branches(left, right).collect()
+    if any(r.left_features != r.right_features for r in shape):
         raise ValueError("feature counts differ between the branches")
-    times = lambda df: df.select("spw", "time").distinct()
-    bands = shapes.select("spw")
-    pairs = match.tolerance_match(times(left).join(bands, "spw", "left_semi"), times(right).join(bands, "spw", "left_semi"), ["spw"], tol_seconds / 86400.0).persist()
+    bands = [r[0] for r in shape]
+    times = lambda df: df.where(F.col("spw").isin(bands)).select("spw", "time").distinct()
+    pairs = match.tolerance_match(times(left), times(right), ["spw"], tol_seconds / 86400.0)
+    order = Window.partitionBy("spw").orderBy("left_time")
+    pairs = materialise(pairs.withColumn("time_pos", F.row_number().over(order) - 1), "contrast-pairs")
     if pairs.isEmpty():
         raise ValueError("no times match within the tolerance")
-    out = match.contrast(left, right, pairs, ["spw", "feature"]).persist()
-    order = out.select("spw", "time").distinct()
-    numbered = order.withColumn("time_pos", F.dense_rank().over(Window.partitionBy("spw").orderBy("time")) - 1)
-    return out.join(numbered, ["spw", "time"]).select("spw", "time", "time_pos", "feature", "value")
+    numbers = pairs.select("spw", F.col("left_time").alias("time"), "time_pos")
+    return match.contrast(left, right, pairs.drop("time_pos"), ["spw", "feature"]).join(numbers, ["spw", "time"]).select("spw", "time", "time_pos", "feature", "value")
 
 
 def run_branches(left: Aligned, right: Aligned, tol_seconds: float = 60.0) -> dict[str, decompose.Decomposition]:
-    """Decompositions of both branches and of their contrast; the contrast runs only if both have."""
+    """Decompositions of both branches and of their contrast, in one plan keyed by run and band; the
+    contrast runs only if both have."""
     a, b = with_features(left), with_features(right)
-    return {"left": decompose_samples(a), "right": decompose_samples(b), "contrast": decompose_samples(contrast_samples(a, b, tol_seconds))}
-
-
-def build_inventory(listing: DataFrame, products: DataFrame, metadata: DataFrame) -> dict[str, DataFrame]:
-    """Counts and sizes of a listing ``dir, name, length`` and products with their metadata."""
-    return {
-        "counts": catalog.dir_counts(listing),
-        "sizes": catalog.size_by_family(listing, "dir", "length"),
-        "products": catalog.join_metadata(products, metadata),
-    }
+    parts = {"left": a, "right": b, "contrast": contrast_samples(a, b, tol_seconds)}
+    both = None
+    for name, part in parts.items():
+        own = part.withColumn("run", F.lit(name)).withColumn("time_pos", F.col("time_pos").cast("long"))
+        both = own if both is None else both.unionByName(own)
+    whole = decompose_samples(materialise(both, "branches"), band=["run", "spw"])
+    return {name: whole.of(run=name) for name in parts}
+
+
+def build_inventory(listing: DataFrame, products: DataFrame, metadata: DataFrame, facts: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Counts and sizes of a listing ``dir, name, length``; products (their ``path`` is a directory of the
+    listing) with their counted files and metadata; and the manifest document of them all."""
+    counts, sizes = catalog.dir_counts(listing), catalog.size_by_family(listing, "dir", "length")
+    joined = catalog.join_metadata(products, metadata)
+    if "path" in products.columns:
+        joined = joined.drop("n_files").join(counts.withColumnRenamed("dir", "path"), "path", "left")
+    return {"counts": counts, "sizes": sizes, "products": joined, "manifest": writers.manifest_document(joined, facts or {}, sizes)}

@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalar import days, key_subset
+from .functions.scalar import band_label, days, head, key_subset, series_code, to_days, to_seconds, to_text
 from .operators import align, catalog, decompose, grid, groups, match, reduce, reshape
 from .plans import pipeline
 from .sources import tables, writers
+from .sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -270,9 +271,21 @@ def tolerance_match_wide(spark, sf_dir):
     return match.tolerance_match_wide(_hours(spark, sf_dir, "click", 0.0), _hours(spark, sf_dir, "view", 600.0), ["spw"], 900.0)
 
 
-@query()
+_OF_USER = "SELECT user_id, {t} * 86400.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY {t}) AS {n} FROM events WHERE event_type = '{kind}'"
+
+
+@query(f"""
+WITH RECURSIVE l AS ({_OF_USER.format(t=_T, n='i', kind='click')}), r AS ({_OF_USER.format(t=_T, n='j', kind='view')}),
+g AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS j, NULL::DOUBLE AS left_time, NULL::DOUBLE AS right_time FROM l
+  UNION ALL
+  SELECT g.user_id, l.i, coalesce(min(r.j), g.j), l.t, min(r.t)
+  FROM g JOIN l ON l.user_id = g.user_id AND l.i = g.i + 1 LEFT JOIN r ON r.user_id = g.user_id AND r.j > g.j AND r.t >= l.t - 3600 AND abs(r.t - l.t) <= 3600
+  GROUP BY g.user_id, l.i, g.j, l.t)
+SELECT user_id, left_time, right_time FROM g WHERE right_time IS NOT NULL
+""")
 def tolerance_match_greedy(spark, sf_dir):
-    """Clicks and views of each user, greedily one to one within an hour; tested by brute force."""
+    """Clicks and views of each user, greedily one to one within an hour."""
     of = lambda kind: _read(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id", (days(F.col("ts")) * 86400.0).alias("time"))
     return match.tolerance_match(of("click"), of("view"), ["user_id"], 3600.0)
 
@@ -457,7 +470,8 @@ FROM documents GROUP BY source
 def header_profile(spark, sf_dir):
     """Ranges, medians and heads of long headers per file."""
     docs = _read(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.explode(F.create_map(F.lit("n_chars"), F.col("n_chars").cast("string"), F.lit("history"), "text", F.lit("lang"), "lang")).alias("key", "value"))
-    profile = tables.profile_headers(docs, ["telescope"], {"n_chars": "span"}, {"n_chars": "middle"})
+    docs = docs.withColumn("part", F.lit("Header")).withColumn("at", F.col("value"))
+    profile = tables.profile_headers(docs, ["telescope"], {"n_chars": "span"}, {"n_chars": "middle"}, {})
     first = docs.where("key = 'lang'").groupBy("file").agg(F.min("value").alias("lang"))
     return profile.join(first, "file").select("file", F.col("span")[0].alias("low"), F.col("span")[1].alias("high"), "middle", "history_head", "lang")
 
@@ -515,18 +529,238 @@ def _spectra(spark, sf_dir, branch: str) -> tuple[DataFrame, DataFrame, DataFram
     return cells, delays, lengths
 
 
-@query()
+def _aligned_sql(branch: str, x: str) -> str:
+    """Common table expressions that state one branch's alignment, ending in ``{x}s``."""
+    return f"""
+{x}c AS (SELECT l_suppkey % 5 AS k, floor(epoch_us(l_shipdate) / 86400000000.0::DOUBLE / 30) * 30.0::DOUBLE AS t, l_linenumber - 1 AS d, sum(l_quantity) AS value, avg(l_tax) AS noise
+         FROM lineitem WHERE l_returnflag = '{branch}' GROUP BY ALL),
+{x}a AS (SELECT min(t) - 1e-8::DOUBLE AS anchor FROM {x}c),
+{x}w AS (SELECT DISTINCT k, t, floor((t - anchor) / 30.0::DOUBLE)::BIGINT AS wid, anchor + (floor((t - anchor) / 30.0::DOUBLE) + 0.5::DOUBLE) * 30.0::DOUBLE AS centre FROM {x}c, {x}a),
+{x}o AS (SELECT wid, (dense_rank() OVER (ORDER BY wid) - 1)::INT AS time_pos FROM (SELECT wid FROM {x}w GROUP BY wid HAVING count(DISTINCT k) = (SELECT count(DISTINCT k) FROM {x}w))),
+{x}g AS (SELECT k, dense_rank() OVER (ORDER BY floor(k / 2.0)) - 1 AS group_id, floor(k / 2.0) * 10.0::DOUBLE AS length FROM (SELECT DISTINCT k FROM {x}c)),
+{x}m AS (SELECT time_pos, wid, centre, group_id, d, sum(w * value) AS num, sum(w) AS den FROM (SELECT *, CASE WHEN noise > 0 THEN 1 / (noise * noise) ELSE 0 END AS w FROM {x}c)
+         JOIN {x}w USING (k, t) JOIN {x}o USING (wid) JOIN {x}g USING (k) GROUP BY ALL),
+{x}v AS (SELECT *, CASE WHEN den > 0 THEN num / den ELSE 0 END AS value FROM {x}m),
+{x}s AS (SELECT time_pos, centre, group_id, greatest(d, 6 - d) - 4 AS dly_pos, group_id * 3 + greatest(d, 6 - d) - 4 AS feature, sum(value) / 2 AS value FROM {x}v WHERE d <> 3 GROUP BY ALL)"""
+
+
+_WINDOWED = pipeline.AlignParams(window_seconds=DAYS_30)
+
+
+def _branch_run(spark, sf_dir, branch: str) -> pipeline.Aligned:
+    return pipeline.align_samples(*_spectra(spark, sf_dir, branch), _WINDOWED, branch=branch)
+
+
+@query(f"WITH {_aligned_sql('A', 'x')} SELECT 'A' AS branch, 0 AS spw, time_pos, group_id, dly_pos::INT AS dly_pos, feature, round(value, 5) AS value FROM xs")
 def aligned_samples(spark, sf_dir):
     """The whole alignment of one branch."""
-    return pipeline.align_samples(*_spectra(spark, sf_dir, "A"), pipeline.AlignParams(window_seconds=DAYS_30), branch="A").samples
+    return _branch_run(spark, sf_dir, "A").samples.select("branch", "spw", "time_pos", "group_id", "dly_pos", "feature", F.round("value", 5).alias("value"))
+
+
+@query(f"""WITH {_aligned_sql('A', 'x')} SELECT time_pos, group_id, dly_pos::INT AS dly_pos, round(centre, 6) AS time_jd, group_id * 10.0::DOUBLE AS group_len, dly_pos + 1.0::DOUBLE AS dly, isnan('nan'::DOUBLE) AS no_kperp, round(value, 5) AS value FROM xs""")
+def stored_samples(spark, sf_dir):
+    """Samples written with their coordinates by branch and band, and read back with them."""
+    root = scratch_path(spark, "samples")
+    writers.write_samples(_branch_run(spark, sf_dir, "A"), root)
+    read = tables.read_samples(spark, root, "A")
+    both = read["samples"].drop("branch").join(read["times"].drop("branch"), "time_pos").join(read["groups"].drop("branch"), "group_id").join(read["delays"].drop("branch"), ["spw", "dly_pos"])
+    return both.select("time_pos", "group_id", "dly_pos", F.round("time_jd", 6).alias("time_jd"), "group_len", "dly", F.isnan("kperp").alias("no_kperp"), F.round("value", 5).alias("value"))
+
+
+@query(f"""WITH {_aligned_sql('A', 'x')}
+SELECT 'A' AS branch, 2592000.0::DOUBLE AS window_seconds, 0 AS dropped_dead_keys, 0 AS dropped_ambiguous_rows, (SELECT count(*) FROM xo) AS n_common_windows, (SELECT count(DISTINCT group_id) FROM xg) AS n_groups,
+       (SELECT count(*) FROM xg) AS n_live_keys, (SELECT count(*) FROM xv WHERE NOT den > 0) AS zero_weight_cells, 0 AS max_spread, (SELECT count(DISTINCT time_pos) FROM xs) AS n_times, 3 AS n_delays, true AS has_size""")
+def run_provenance(spark, sf_dir):
+    """K2: the provenance of a run, written as one document and read back."""
+    path = scratch_path(spark, "provenance")
+    writers.write_json(pipeline.provenance(_branch_run(spark, sf_dir, "A"), {"lineitem": f"{sf_dir}/lineitem.parquet"}, "aligned_samples"), path, pretty=True)
+    schema = "inputs array<struct<path: string, mtime: double, size: long>>, parameters struct<branch: string, window_seconds: double>, counters struct<dropped_dead_keys: long, dropped_ambiguous_rows: long, n_common_windows: long, n_groups: long, n_live_keys: long, zero_weight_cells: long, max_spread_seconds: double>, spws array<struct<n_times: long, n_delays: long>>"
+    r = spark.read.schema(schema).option("multiLine", True).json(path)
+    return r.select(
+        "parameters.branch", "parameters.window_seconds", *[f"counters.{c}" for c in ("dropped_dead_keys", "dropped_ambiguous_rows", "n_common_windows", "n_groups", "n_live_keys", "zero_weight_cells")],
+        F.round("counters.max_spread_seconds", 3).cast("int").alias("max_spread"), F.col("spws")[0]["n_times"].alias("n_times"), F.col("spws")[0]["n_delays"].alias("n_delays"), ((F.col("inputs")[0]["size"] > 0) & (F.col("inputs")[0]["mtime"] > 0)).alias("has_size"),
+    )
+
+
+def _branch_runs(spark, sf_dir):
+    return pipeline.run_branches(_branch_run(spark, sf_dir, "A"), _branch_run(spark, sf_dir, "R"), tol_seconds=86400.0)
 
 
 @query()
 def contrast_spectrum(spark, sf_dir):
     """Both branches aligned, contrasted and decomposed."""
-    params = pipeline.AlignParams(window_seconds=DAYS_30)
-    left, right = (pipeline.align_samples(*_spectra(spark, sf_dir, b), params, branch=b) for b in ("A", "R"))
-    return pipeline.run_branches(left, right, tol_seconds=86400.0)["contrast"].spectrum
+    return _branch_runs(spark, sf_dir)["contrast"].spectrum
+
+
+_VARIANCE = "SELECT '{run}' AS run, round(sum(value * value), 3) AS total FROM (SELECT value - avg(value) OVER (PARTITION BY feature) AS value FROM {x})"
+
+
+@query(f"""WITH {_aligned_sql('A', 'x')}, {_aligned_sql('R', 'y')},
+z AS (SELECT xs.time_pos, feature, xs.value - ys.value AS value FROM xs JOIN ys USING (feature) WHERE abs(xs.centre - ys.centre) <= 1.0)
+{_VARIANCE.format(run='left', x='xs')} UNION ALL {_VARIANCE.format(run='right', x='ys')} UNION ALL {_VARIANCE.format(run='contrast', x='z')}""")
+def branch_variances(spark, sf_dir):
+    """Squared singular values of both branches and of their contrast sum to their variances."""
+    runs, out = _branch_runs(spark, sf_dir), None
+    for name, run in runs.items():
+        own = run.spectrum.agg(F.round(F.sum(F.col("singular_value") * F.col("singular_value")), 3).alias("total")).select(F.lit(name).alias("run"), "total")
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
+@query(f"""WITH {_aligned_sql('A', 'x')}, f AS (SELECT DISTINCT group_id, dly_pos, feature FROM xs)
+SELECT feature, group_id * 10.0::DOUBLE AS group_len, dly_pos + 1.0::DOUBLE AS dly, 1.0::DOUBLE AS length, 0.99::DOUBLE AS threshold FROM f""")
+def stored_decomposition(spark, sf_dir):
+    """A decomposition written with its coordinates and read back; over all components, the
+    squared loadings of a feature that varies freely sum to one."""
+    aligned, root = _branch_run(spark, sf_dir, "A"), scratch_path(spark, "decomposition")
+    run = pipeline.decompose_samples(pipeline.with_features(aligned))
+    writers.write_decomposition(run, root, "A", decompose.THRESHOLD, aligned)
+    loadings, needed = (spark.read.parquet(f"{root}/{name}").where("label = 'A'") for name in ("components", "needed"))
+    placed = pipeline.with_coordinates(loadings, pipeline.Aligned(aligned.samples, *[spark.read.parquet(f"{root}/{name}") for name in ("times", "groups", "delays")], aligned.counters))
+    whole = placed.groupBy("feature", "group_len", "dly").agg(F.round(F.sum(F.col("loading") * F.col("loading")), 6).alias("length"))
+    return whole.crossJoin(needed.select(F.col("variance_threshold").alias("threshold")))
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 4 = 0""")
+def select_polarisation(spark, sf_dir):
+    """Rows of the polarisation pair pI, by name."""
+    codes = F.element_at(F.array(*[F.lit(align.polpair_code(p)) for p in ("pI", "pQ", "pU", "pV")]), F.col("l_linenumber") % 4 + 1)
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", codes.alias("polpair"))
+    return align.select_polarisation(rows, "pI").drop("polpair")
+
+
+@query("""SELECT l_orderkey, l_linenumber, ((100 + l_suppkey % 100) * 1000 + 100 + l_linenumber) * 1000000 + (101 + l_suppkey % 100) * 1000 + 100 + l_linenumber AS code FROM lineitem""")
+def series_codes(spark, sf_dir):
+    """Pairs of baselines given as structs, normalised to one integer code."""
+    a, b = (F.struct((F.col("l_suppkey") % 100 + i).alias("a"), F.col("l_linenumber").alias("b")) for i in (0, 1))
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct(a.alias("left"), b.alias("right")).alias("key"))
+    return rows.select("l_orderkey", "l_linenumber", series_code(F.col("key"), rows.schema["key"].dataType).alias("code"))
+
+
+@query("""SELECT doc_id, printf('spw%02d', doc_id % 14) AS band, left(coalesce(text, ''), 600) AS head, round(n_chars / 86400.0::DOUBLE, 9) AS days, n_chars * 86400.0::DOUBLE AS seconds, text AS decoded FROM documents""")
+def scalar_functions(spark, sf_dir):
+    """P9, 2.11: band labels, heads of texts, unit conversions, bytes as text."""
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", band_label(F.col("doc_id") % 14).alias("band"), head(F.coalesce("text", F.lit(""))).alias("head"), F.round(to_days(F.col("n_chars")), 9).alias("days"), to_seconds(F.col("n_chars")).alias("seconds"), to_text(F.col("text").cast("binary")).alias("decoded"))
+
+
+@query("""SELECT l_returnflag AS grp, count(DISTINCT l_linenumber) AS n_spws, count(DISTINCT l_suppkey) AS n_keys, count(DISTINCT (l_suppkey, l_shipdate)) AS n_rows, count(DISTINCT l_shipdate) AS n_times FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""")
+def spectra_counts(spark, sf_dir):
+    """One spectrum of a stored container, selected in the scan, and its counts."""
+    root, items = scratch_path(spark, "spectra"), _read(spark, sf_dir, "lineitem")
+    items.select(F.col("l_returnflag").alias("grp"), F.lit("averaged").alias("spectrum"), F.lit("b").alias("branch"), F.col("l_linenumber").alias("spw"), F.col("l_suppkey").alias("blpair"), F.col("l_shipdate").alias("time_jd")).write.partitionBy("grp").parquet(root)
+    return tables.describe_spectra(tables.read_spectra(spark, root, "R", "averaged")).select(F.lit("R").alias("grp"), "*")
+
+
+@query("""SELECT l_orderkey AS blpair, l_linenumber - 1 AS dly_idx, sum(l_quantity) AS value, max(l_tax) AS noise FROM lineitem GROUP BY ALL""")
+def spectra_cells(spark, sf_dir):
+    """The real parts of stored spectra, one row per delay, with their noise."""
+    items = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("l_quantity"), F.max("l_tax").alias("l_tax"))
+    arrays = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_tax"))).alias("c"))
+    at = lambda name: F.transform(F.sequence(F.lit(1), F.array_max(F.transform("c", lambda x: x["l_linenumber"]))), lambda i: F.get(F.transform(F.filter("c", lambda x: x["l_linenumber"] == i), lambda x: x[name]), 0))
+    spectra = arrays.select(F.lit("b").alias("branch"), F.lit(0).alias("spw"), F.col("l_orderkey").alias("blpair"), F.lit(0.0).alias("time_jd"), F.lit(0.0).alias("lst_rad"), at("l_tax").alias("pn_abs"), at("l_quantity").alias("data_re"))
+    return tables.explode_cells(spectra).where("value IS NOT NULL").select("blpair", "dly_idx", "value", "noise")
+
+
+def _headers(spark, sf_dir) -> DataFrame:
+    """Long headers of one file per source: scalars, arrays, a polarisation list, a history, data shapes."""
+    docs = _read(spark, sf_dir, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit(".uvh5")).alias("file"), "doc_id", "n_chars", "lang")
+    row = lambda part, key, at, value: F.struct(F.lit(part).alias("part"), F.lit(key).alias("key"), at.cast("long").alias("at"), value.cast("string").alias("value"))
+    i, n = F.col("doc_id"), F.col("n_chars")
+    rows = F.array(row("Header", "Ntimes", F.lit(0), F.lit(3)), row("Header", "freq_array", i, n), row("Header", "integration_time", i, n / 2), row("Header", "polarization_array", i, i), row("Header", "history", F.lit(0), F.lit("made by hand")), row("Data", "visdata", F.lit(0), F.lit(7)), row("Data", "visdata", F.lit(1), F.lit(5)), row("Root", "Header", F.lit(0), F.lit("")), row("Root", "Data", F.lit(0), F.lit("")))
+    return docs.select("file", F.explode(rows).alias("r")).select("file", "r.*").distinct()
+
+
+_BY_SOURCE = "(SELECT coalesce(source, 'none') || '.uvh5' AS file, doc_id, n_chars FROM documents)"
+
+
+@query(f"""
+SELECT file, '3' AS ntimes, min(n_chars)::DOUBLE AS low, max(n_chars)::DOUBLE AS high, median(n_chars / 2.0)::DOUBLE AS integration_time_s, NULL::DOUBLE AS channel_width_hz, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS pols,
+       'made by hand' AS history_head, '7,5' AS shape, 'Data,Header' AS root_keys FROM {_BY_SOURCE} GROUP BY file
+""")
+def visibility_profile(spark, sf_dir):
+    """Scalars, ranges, medians, polarisation list, history, shapes and root keys of headers."""
+    p = tables.profile_headers(_headers(spark, sf_dir))
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
+    return p.select("file", F.col("scalars")["Ntimes"].alias("ntimes"), F.col("freq_range_hz")[0].alias("low"), F.col("freq_range_hz")[1].alias("high"), "integration_time_s", "channel_width_hz", text(F.col("polarization_array")).alias("pols"), "history_head", text(F.col("data_datasets")["visdata"]).alias("shape"), text(F.col("root_keys")).alias("root_keys"))
+
+
+def _containers(spark, sf_dir) -> DataFrame:
+    items = _read(spark, sf_dir, "lineitem")
+    return items.select(F.concat("l_returnflag", F.lit(".pspec.h5")).alias("file"), F.col("l_linestatus").alias("grp"), F.concat(F.lit("s"), F.col("l_linenumber") % 2).alias("spectrum"), (F.col("l_linenumber") % 3).alias("spw"), F.col("l_quantity").alias("freq"), (F.col("l_suppkey") % 4 + 2121).alias("polpair"), F.col("l_suppkey").alias("blpair"), F.col("l_shipdate").alias("time"), F.col("l_tax").alias("dly"), F.lit("mK2").alias("units"), F.lit("Jy").alias("vis_units"), F.lit("blackman").alias("taper"), F.lit("I").alias("norm"), F.repeat(F.lit("h"), 700).alias("history"))
+
+
+_CONTAINERS = """
+e AS (SELECT l_returnflag || '.pspec.h5' AS file, l_linestatus AS grp, 's' || (l_linenumber % 2) AS spectrum, l_linenumber % 3 AS spw, l_suppkey % 4 + 2121 AS polpair, l_suppkey AS blpair, l_shipdate AS t, l_tax AS dly FROM lineitem),
+f AS (SELECT file, min((grp, spectrum)) AS first FROM e GROUP BY file),
+o AS (SELECT e.* FROM e JOIN f USING (file) WHERE (e.grp, e.spectrum) = f.first)"""
+
+
+@query(f"""WITH {_CONTAINERS}
+SELECT file, string_agg(DISTINCT polpair::VARCHAR, ',' ORDER BY polpair::VARCHAR) AS polpairs, count(DISTINCT spw) AS n_spws, count(DISTINCT polpair) AS n_pols, count(DISTINCT blpair) AS n_blpairs, count(DISTINCT (blpair, t)) AS n_bltpairs, count(DISTINCT t) AS n_times,
+       (SELECT count(DISTINCT dly) FROM o AS p WHERE p.file = o.file AND p.spw = (SELECT min(spw) FROM o AS q WHERE q.file = o.file)) AS n_delays, 'mK2' AS units, 'Jy' AS vis_units, 'blackman' AS taper, 'I' AS norm, 600 AS head_size FROM o GROUP BY file
+""")
+def container_counts(spark, sf_dir):
+    """Counts, polarisation codes, delays and texts of the first spectrum of each container."""
+    p = tables.profile_containers(_containers(spark, sf_dir))
+    return p.select("file", F.concat_ws(",", F.transform("polpair_array", lambda x: x.cast("string"))).alias("polpairs"), "n_spws", "n_pols", "n_blpairs", "n_bltpairs", "n_times", "n_delays", "units", "vis_units", "taper", "norm", F.length("history_head").alias("head_size"))
+
+
+@query(f"""WITH {_CONTAINERS}
+SELECT file, 'pspec' AS kind, NULL::VARCHAR AS ntimes, count(DISTINCT spw) AS n_spws FROM o GROUP BY file
+UNION ALL SELECT file, 'visibility', '3', NULL FROM {_BY_SOURCE} GROUP BY file UNION ALL SELECT replace(file, '.uvh5', '.skyh5'), 'skymodel', NULL, NULL FROM {_BY_SOURCE} GROUP BY file""")
+def profiles_by_kind(spark, sf_dir):
+    """Visibility headers, sky models and containers, each by its own profile, in one table."""
+    plain = _headers(spark, sf_dir)
+    sky = plain.withColumn("file", F.regexp_replace("file", "uvh5$", "skyh5"))
+    p = tables.profile_by_kind(plain.unionByName(sky), _containers(spark, sf_dir))
+    return p.select("file", "kind", F.try_element_at("scalars", F.lit("Ntimes")).alias("ntimes"), "n_spws")
+
+
+@query("SELECT d.doc_id::VARCHAR AS product_id, d.lang AS file_format, l.quality::VARCHAR AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def stored_products(spark, sf_dir):
+    """The product dimension with its sample metadata, written as CSV and read with its schema."""
+    path = scratch_path(spark, "products") + ".csv"
+    docs = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id", "left")
+    text = {"product_id": F.col("doc_id").cast("string"), "file_format": F.col("lang"), "sample_metadata": F.to_json(F.create_map(F.lit("quality"), F.col("quality").cast("string")))}
+    names = [c.split()[0] for c in tables.PRODUCT_SCHEMA.split(", ")]
+    docs.select(*[text.get(n, F.lit(None).cast("string")).alias(n) for n in names]).write.option("header", True).option("escape", '"').csv(path)
+    return tables.read_products(spark, path).select("product_id", "file_format", F.col("sample_metadata")["quality"].alias("quality"))
+
+
+@query("SELECT doc_id::VARCHAR AS product_id, source AS role, lang AS file_format, n_chars::VARCHAR AS n_files FROM documents")
+def manifest_csv(spark, sf_dir):
+    """K6: the manifest's columns as CSV, in order, with a header and empty fields for nulls."""
+    path = scratch_path(spark, "manifest")
+    writers.write_manifest_csv(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"), F.col("source").alias("role"), F.col("lang").alias("file_format"), F.col("n_chars").alias("n_files"), "text"), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query("SELECT label, status, path FROM (SELECT conv_id AS label, arg_max(role, turn) AS status, arg_max(text, turn) AS path FROM conversations GROUP BY conv_id)")
+def metadata_lines(spark, sf_dir):
+    """K7, S3: records written as JSON lines, one file in order of turn, and read back by label."""
+    path = scratch_path(spark, "lines")
+    talk = _read(spark, sf_dir, "conversations")
+    writers.write_json(talk.select(F.col("conv_id").cast("string").alias("label"), F.col("role").alias("status"), F.col("text").alias("path"), "turn").repartitionByRange("turn").sortWithinPartitions("turn").drop("turn"), path)
+    return tables.read_metadata_jsonl(spark, path, "label string, status string, path string").select(F.col("label").cast("long").alias("label"), "status", "path")
+
+
+@query("""
+WITH u AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS dir, length(html) AS n FROM pages), c AS (SELECT dir, count(*) AS n_files FROM u GROUP BY dir),
+p AS (SELECT doc_id, (SELECT min(dir) FROM u) AS dir FROM documents)
+SELECT (SELECT count(*) FROM documents) AS n_products, (SELECT sum(n) FROM u)::BIGINT AS total_bytes, (SELECT sum(n_files) FROM p JOIN c USING (dir))::BIGINT AS files, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality = 1) AS good, 'x' AS inventory_date
+""")
+def inventory_manifest(spark, sf_dir):
+    """Listing, products and metadata in one manifest, written as an indented document and read back."""
+    listing, path = _listing(spark, sf_dir), scratch_path(spark, "inventory")
+    first = listing.agg(F.min("dir").alias("path"))
+    products = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"), F.col("doc_id").alias("meta_label")).crossJoin(first)
+    parts = pipeline.build_inventory(listing, products, _read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label"), {"inventory_date": "x"})
+    writers.write_json(parts["manifest"], path, pretty=True)
+    read = spark.read.schema("inventory_date string, n_products long, total_sizes map<string,long>, products array<struct<product_id: long, n_files: long, quality: int>>").option("multiLine", True).json(path)
+    total = F.aggregate(F.map_values("total_sizes"), F.lit(0).cast("long"), lambda a, x: a + x)
+    files = F.aggregate("products", F.lit(0).cast("long"), lambda a, x: a + x["n_files"])
+    return read.select("n_products", total.alias("total_bytes"), files.alias("files"), F.size(F.filter("products", lambda x: x["quality"] == 1)).cast("long").alias("good"), "inventory_date")
 
 
 @query("SELECT dir, count(*) AS n_files, sum(length(html))::BIGINT AS total_bytes FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS dir, html FROM pages) GROUP BY dir")

@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of the manifest as CSV, in order.
+# Columns of the manifest as CSV, in order.
 MANIFEST_COLUMNS = ("product_id", "role", "path", "file_format", "n_files", "sky_components", "corruptions", "generator")
 
 
-def write_samples(samples: DataFrame, root: str) -> None:
-    """Sample sets by branch and band; each band's rows are brought together before they are written."""
-    samples.repartition("branch", "spw", F.pmod(F.xxhash64("time_pos"), F.lit(16))).write.partitionBy("branch", "spw").parquet(root)
+def write_samples(run, root: str) -> None:
+    """A run's samples and its coordinates, each by branch: ``samples`` also by band, with its rows in
+    order of time; ``times`` (time, LST), ``groups`` (length, representative), ``delays`` (delay and wave
+    numbers, kperp always NaN)."""
+    dealt = run.samples.repartition("branch", "spw", F.pmod(F.xxhash64("time_pos"), F.lit(16)))
+    dealt.sortWithinPartitions("branch", "spw", "time_pos", "feature").write.partitionBy("branch", "spw").parquet(f"{root}/samples")
+    for name in ("times", "groups", "delays"):
+        getattr(run, name).write.partitionBy("branch").parquet(f"{root}/{name}")
 
 
-def write_decomposition(run, root: str) -> None:
-    """``mean, spectrum, components, scores`` of a run, each partitioned by its band."""
-    for name in ("mean", "spectrum", "components", "scores"):
+def write_decomposition(run, root: str, label: str, threshold: float, aligned=None) -> None:
+    """``mean, spectrum, components, scores`` and ``needed`` of a run, each by label and band; with the
+    aligned run it came from, also its coordinates beside."""
+    for name in ("mean", "spectrum", "components", "scores", "needed"):
         table = getattr(run, name)
-        table.write.partitionBy("spw").parquet(f"{root}/{name}")
+        if name == "needed":
+            table = table.withColumn("variance_threshold", F.lit(threshold))
+        table.withColumn("label", F.lit(label)).write.partitionBy("label", "spw").parquet(f"{root}/{name}")
+    if aligned is not None:
+        for name in ("times", "groups", "delays"):
+            getattr(aligned, name).withColumn("label", F.lit(label)).write.partitionBy("label").parquet(f"{root}/{name}")
 
 
 def summary_document(summary: DataFrame, label: str) -> DataFrame:
@@ -35,17 +46,12 @@ def write_json(document: DataFrame, path: str, pretty: bool = False) -> None:
         document.write.option("ignoreNullFields", False).json(path)
 
 
-def write_provenance(counters: DataFrame, parameters: dict, path: str) -> None:
-    """One nested record: parameters of the run beside its counters."""
-    spark = counters.sparkSession
-    given = spark.range(1).select(F.struct(*[F.lit(v).alias(k) for k, v in parameters.items()]).alias("parameters"), F.current_timestamp().alias("written"))
-    write_json(counters.crossJoin(given), path, pretty=True)
-
-
-def manifest_document(products: DataFrame, facts: dict[str, str]) -> DataFrame:
-    """One nested row: header facts and all products in order of id."""
+def manifest_document(products: DataFrame, facts: dict[str, str], sizes: DataFrame | None = None) -> DataFrame:
+    """One nested row: header facts, total bytes per directory, and all products in order of id."""
     packed = products.agg(F.sort_array(F.collect_list(F.struct("product_id", *[c for c in products.columns if c != "product_id"]))).alias("products"), F.count(F.lit(1)).alias("n_products"))
-    return packed.select(*[F.lit(v).alias(k) for k, v in facts.items()], "n_products", "products")
+    if sizes is not None:
+        packed = packed.crossJoin(sizes.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dir", "total_bytes")))).alias("total_sizes")))
+    return packed.select(*[F.lit(v).alias(k) for k, v in facts.items()], *[c for c in ("total_sizes",) if sizes is not None], "n_products", "products")
 
 
 def write_manifest_csv(products: DataFrame, path: str) -> None:

@@ -37,6 +37,79 @@ def test_contrast_of_scaled_branches(spark):
     assert diff == pytest.approx(want)
 
 
+def test_polarisation_is_chosen_by_name(spark):
+    from pyspark.sql import functions as F
+
+    from alignkit.operators import align
+
+    cells, delays, lengths = spectra(spark)
+    both = cells.withColumn("polpair", F.lit(align.polpair_code("pI"))).unionByName(cells.withColumn("polpair", F.lit(align.polpair_code("pQ"))).withColumn("value", F.col("value") * 5))
+    assert (align.polpair_code("pI"), align.polpair_code("pV"), align.polpair_code("pI", "pQ")) == (2121, 2424, 2122)
+    params = pipeline.AlignParams(window_seconds=86400.0, pol="pQ")
+    value = lambda run: {(r.time_pos, r.feature): r.value for r in run.samples.collect()}
+    mine, plain = value(pipeline.align_samples(both, delays, lengths, params)), value(pipeline.align_samples(cells, delays, lengths, pipeline.AlignParams(window_seconds=86400.0)))
+    assert mine == pytest.approx({k: 5 * v for k, v in plain.items()})
+    with pytest.raises(ValueError, match="no rows of polarisation pU"):
+        pipeline.align_samples(both, delays, lengths, pipeline.AlignParams(pol="pU"))
+    with pytest.raises(ValueError, match="unknown"):
+        align.polpair_code("pX")
+
+
+def test_samples_and_decomposition_are_stored_with_coordinates(spark, tmp_path):
+    from alignkit.sources import tables, writers
+
+    run = pipeline.align_samples(*spectra(spark), pipeline.AlignParams(window_seconds=86400.0), branch="b")
+    writers.write_samples(run, str(tmp_path / "s"))
+    back = tables.read_samples(spark, str(tmp_path / "s"), "b")
+    for name in ("samples", "times", "groups", "delays"):
+        mine, theirs = getattr(run, name), back[name]
+        # NaN is not equal to itself, so rows are compared as text.
+        assert sorted(map(str, mine.select(sorted(mine.columns)).collect())) == sorted(map(str, theirs.select(sorted(mine.columns)).collect()))
+    with pytest.raises(FileNotFoundError):
+        tables.read_samples(spark, str(tmp_path / "s"), "none")
+    writers.write_decomposition(pipeline.decompose_samples(pipeline.with_features(run)), str(tmp_path / "d"), "b", 0.99, run)
+    assert {p.name for p in (tmp_path / "d").iterdir()} == {"mean", "spectrum", "components", "scores", "needed", "times", "groups", "delays"}
+
+
+def test_struct_keys_and_plain_keys(spark):
+    from alignkit.functions.scalar import series_code
+    from pyspark.sql import functions as F
+
+    rows = spark.sql("SELECT named_struct('x', named_struct('a', 1, 'b', 2), 'y', named_struct('a', 3, 'b', 4)) AS k, 7 AS n")
+    got = rows.select(series_code(F.col("k"), rows.schema["k"].dataType).alias("k"), series_code(F.col("n"), rows.schema["n"].dataType).alias("n")).first()
+    assert tuple(got) == (101102103104, 7)
+
+
+def test_registered_core_queries_match_their_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("lineitem", "events", "documents", "labels", "conversations", "pages"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    known, sql = registry.queries(), registry.oracle_sql()
+    plain = lambda v: "none" if v is None or v != v else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    for name in ("aligned_samples", "branch_variances", "run_provenance", "stored_samples", "stored_decomposition", "tolerance_match_greedy", "infer_integration", "visibility_profile", "profiles_by_kind", "container_counts", "stored_products", "metadata_lines", "inventory_manifest", "series_codes", "spectra_cells"):
+        got, want = known[name](spark, sf), con.sql(sql[name])
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns), name
+        mine = sorted([str([plain(r[c]) for c in columns]) for r in got.collect()])
+        at = [want.columns.index(c) for c in columns]
+        assert mine == sorted([str([plain(r[i]) for i in at]) for r in want.fetchall()]), name
+
+
+def test_exact_median_by_counts(spark):
+    import random
+    import statistics
+
+    from alignkit.operators import grid
+
+    rng = random.Random(6)
+    for n in (0, 1, 2, 7, 500, 501):
+        values = [rng.choice([rng.random() * 30, 10.5, 10.5, 0.0]) for _ in range(n)]
+        got = grid.exact_median(spark.createDataFrame([(v,) for v in values], "v double"), "v", 0.0, 30.0).first().median
+        assert got == (pytest.approx(statistics.median(values)) if values else None)
+
+
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     names = __spark_entry__.queries()
