@@ -14,8 +14,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ HOMOGLYPHS = {
 }
 # Digits and signs written for letters. "1" stands for i and for l, so both fold to i.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "l": "i"}
-#: Phrases in which a lexicon term is not an insult.
+#: Phrases in which a lexicon term is not an insult, for lack of others: every function takes its own.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "class clown", "pond scum", "soap scum", "sore loser", "village idiot")
 
 #: Lengths of the word beginnings that are tried as terms.
@@ -115,7 +117,11 @@ class Lexicon:
         if not hits:
             return 0.0
         if shields:
-            hits = [h for h in hits if not any(a - 1 <= h[0] and h[1] <= b + 1 for a, b, _ in shields)]
+            # A term is shielded by a phrase that begins a character after it at the latest and ends a character
+            # before it at the earliest: the furthest end of all phrases that begin in time tells.
+            shields.sort()
+            starts, ends = [a - 1 for a, _, _ in shields], list(accumulate((b + 1 for _, b, _ in shields), max))
+            hits = [h for h in hits if not ((n := bisect_right(starts, h[0])) and h[1] <= ends[n - 1])]
         return sum(w for _, _, w in hits) / (len(plain.split()) + LENGTH_PRIOR)
 
     def score(self, density: float) -> float:
@@ -156,7 +162,7 @@ def _phrases(exceptions: tuple[str, ...]) -> re.Pattern:
     return re.compile(f"(?=({'|'.join(map(re.escape, folded))}))")
 
 
-def _count_terms(labelled: DataFrame) -> DataFrame:
+def _count_terms(labelled: DataFrame, exceptions: tuple[str, ...]) -> DataFrame:
     """``term, toxic, clean``: documents of each kind that have each term, summed within a task before
     they are shuffled."""
 
@@ -168,7 +174,7 @@ def _count_terms(labelled: DataFrame) -> DataFrame:
         seen = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for term in _features(fold(text)):
+                for term in _features(fold(text), exceptions):
                     seen.setdefault(term, [0, 0])[1 - toxic] += 1
                 if len(seen) > HELD_TERMS:
                     yield table(seen)
@@ -180,12 +186,12 @@ def _count_terms(labelled: DataFrame) -> DataFrame:
     return rows.mapInArrow(each, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _candidates_of(toxic_rows: DataFrame, candidates: frozenset[str]) -> DataFrame:
+def _candidates_of(toxic_rows: DataFrame, candidates: frozenset[str], exceptions: tuple[str, ...]) -> DataFrame:
     """``terms``: the candidates that each toxic document has."""
 
     def each(batches):
         for batch in batches:
-            found = [sorted(_features(fold(t)) & candidates) for t in batch.column(0).to_pylist()]
+            found = [sorted(_features(fold(t), exceptions) & candidates) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["terms"])
 
     return toxic_rows.select(text_or_empty().alias("text")).mapInArrow(each, "terms array<string>")
@@ -204,7 +210,7 @@ def _without(rows: DataFrame, kept: frozenset[str]) -> DataFrame:
     return rows.mapInArrow(each, rows.schema)
 
 
-def learn(labelled: DataFrame) -> Lexicon:
+def learn(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learn terms, weights and calibration from ``labelled(text, toxic)``; null labels are ignored.
 
     All labelled rows count; of equal toxic texts one does, so that a large group of copies does not
@@ -222,7 +228,7 @@ def learn(labelled: DataFrame) -> Lexicon:
     sizes = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
-        return Lexicon({}, offset=2.0)
+        return Lexicon({}, exceptions, offset=2.0)
 
     def odds(toxic: int, clean: int) -> float:
         return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
@@ -231,8 +237,8 @@ def learn(labelled: DataFrame) -> Lexicon:
         return math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
 
     in_spark = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    counts = {r.term: (r.toxic, r.clean) for r in _count_terms(labelled).where((F.col("toxic") >= MIN_DOCS) & (in_spark >= LEVELS[-1])).collect()}
-    left = materialise(_candidates_of(toxic_rows, frozenset(counts)).where(F.size("terms") > 0), "toxic-terms")
+    counts = {r.term: (r.toxic, r.clean) for r in _count_terms(labelled, exceptions).where((F.col("toxic") >= MIN_DOCS) & (in_spark >= LEVELS[-1])).collect()}
+    left = materialise(_candidates_of(toxic_rows, frozenset(counts), exceptions).where(F.size("terms") > 0), "toxic-terms")
     kept: dict[str, float] = {}
     for level in LEVELS:
         while True:
@@ -247,11 +253,11 @@ def learn(labelled: DataFrame) -> Lexicon:
                     kept[term] = odds(*counts[term])
             left = materialise(_without(left, frozenset(kept)), "toxic-terms")
     cells = np.zeros((CELLS + 1, 2))
-    scored = densities(labelled, Lexicon(kept), ("toxic",))
+    scored = densities(labelled, Lexicon(kept, exceptions), ("toxic",))
     for r in scored.groupBy(F.col("toxic"), F.floor(F.col("cell") * CELLS).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect():
         cells[r.cell, r.toxic] += r.n
     slope, offset = _calibrate(cells)
-    return Lexicon(kept, slope=slope, offset=offset)
+    return Lexicon(kept, exceptions, slope=slope, offset=offset)
 
 
 def _calibrate(cells: np.ndarray) -> tuple[float, float]:
@@ -291,24 +297,24 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(docs.where(~held_out()).select("doc_id", "text").join(train.hint("merge"), "doc_id").select("text", "toxic"), "labelled")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``.
 
     Null and empty texts have no term, thus the lowest score. Rows that repeat an id are each
     scored; a null id counts as not held out; an empty table gives no rows. Columns other than
     ``doc_id`` and ``text`` are not read.
     """
-    lexicon = learn(training_rows(docs, labels))
+    lexicon = learn(training_rows(docs, labels), exceptions)
     scored = densities(docs, lexicon, ("doc_id",))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, columns unchanged.
 
     Texts pass through the scoring tasks, so rows are filtered where they are and nothing is joined.
     """
-    lexicon = learn(training_rows(docs, labels))
+    lexicon = learn(training_rows(docs, labels), exceptions)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
 
     def each(batches):
