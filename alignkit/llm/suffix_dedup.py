@@ -2,23 +2,20 @@
 
 A byte goes if it is covered by a 50-byte string that also starts in a document with a smaller id.
 
-1. *Dealing out.* Each 50-byte window is given the least hashed 16-byte string inside it, its anchor.
-   Equal windows have equal anchors, so windows of different anchors need never be compared. An
-   anchor with its windows (at most 35, neighbours) and the text they span is an occurrence.
-   Occurrences travel as packed columns of hashes, not as text. Where two occurrences span the same
-   text, the later documents' windows are all covered; nothing more is needed for them. An anchor
-   with very many different surroundings, found in a sample first, is split at a second level: each
-   of its windows goes by the hash of the whole window. Equal windows still meet, which settles them,
-   and no anchor is one task. What the sample finds changes the way of a window, never the result.
-2. *Suffix sorting.* What is left are anchors that occur in several documents with different
-   surroundings: the ends of repeated passages. Their texts are fetched once for each different
-   surrounding, dealt out by anchor, and each task builds the suffix array of its texts by the
-   difference cover modulo 3: it sorts the triples at sampled positions, names them, recurses on the
-   names, merges the remaining suffixes, and compares adjacent prefixes of 50 bytes.
-3. *Removal.* Covered windows go back to their documents, which are cut there.
-
-Texts travel compressed, twice; hashes once. Memory is bounded by a bucket of hashes, a chunk of
-texts, or one document.
+1. *Dealing out.* Texts are packed into batches, written once. Each 50-byte window is given the least
+   hashed 16-byte string inside it, its anchor: equal windows have equal anchors, so windows of different
+   anchors need never be compared. Batches send the hashes of their anchors, and learn which of them
+   stand in one document only. Different hashes prove different strings, so windows of those anchors are
+   proven to occur once; that is all that hashes decide.
+2. *Suffix sorting.* The texts around all other anchors are dealt out by anchor. Each task puts the
+   suffixes of its texts in order by the difference cover modulo 3: it sorts the triples at sampled
+   positions, names them, recurses on the names, merges the remaining suffixes, and compares adjacent
+   prefixes of 50 bytes, as bytes. Equal texts around an anchor are found by comparing them whole first,
+   in a batch and in a task: of those only the first document's is sorted.
+3. *Removal.* Covered windows go back to their batches, which are cut there.
+
+An anchor with very many different surroundings is dealt out by the hashes of its windows instead, each
+window a text of its own: equal windows still meet, and no anchor is one task.
 """
 
 from __future__ import annotations
@@ -30,20 +27,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import scratch_path, text_or_empty
 
 LENGTH = 50
 GRAM = 16
-#: Bytes of text whose anchors make up one bucket on average.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text of a batch, and as many again as its last document has.
+BATCH_BYTES = 8 << 20
+#: Bytes of text that anchors are found in at a time, thus what a worker's arrays are sized by.
+GROUP_BYTES = 1 << 20
+#: Bytes of text whose anchors, and whose surroundings, one part of a shuffle gets on average.
+ANCHOR_BYTES, PIECE_BYTES = 48 << 20, 16 << 20
 #: Bytes of text that are suffix-sorted at a time, and as many again if the last anchor has them.
 CHUNK_BYTES = 1 << 19
-
-#: Bytes of a block of the sample that frequent anchors are looked for in, and the share of blocks in it.
-SAMPLE_BLOCK, SAMPLED = 1 << 10, 1 / 64
-#: Different surroundings of an anchor in the sample from which on it is split by its windows: some
-#: 4,096 in all, thus a third of a megabyte of text.
-HOT = 64
+#: Different surroundings of an anchor, counted batch by batch, beyond which its windows are dealt out one
+#: by one.
+HOT = 4096
+#: Bits of an anchor's hash that travel.
+KEY_BITS = 48
+#: Bits of a hash that make room for a place in the text when the least one is looked for.
+PLACE_BITS = 21
+LEAST_ID = -(2**62)
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -62,12 +65,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def occurrences(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def occurrences(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Anchors of texts laid end to end: ``anchor, surrounding, text, start, windows``.
 
     ``anchor`` and ``surrounding`` are hashes; the windows are those that start at ``start`` in text
-    number ``text`` and the next ``windows - 1``. Windows of the anchors ``hot`` come one by one, with
-    hashes of the whole window for both.
+    number ``text`` and the next ``windows - 1``.
     """
     width, n = length - gram + 1, len(data)
     none = np.array([], np.int64)
@@ -77,7 +79,9 @@ def occurrences(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
     grams = _mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
-    bits = np.uint64(int(n).bit_length())
+    if n > 1 << PLACE_BITS:
+        raise ValueError("too much text at a time")
+    bits = np.uint64(PLACE_BITS)  # the same for all texts, so that equal windows choose alike
     least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)  # ties go to the left
     step = 1
     while 2 * step <= width:
@@ -94,17 +98,7 @@ def occurrences(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram:
     windows = np.diff(np.r_[first, len(at)])
     begin, text, at = start[first], text[first], at[first]
     around = _mix((sums[begin + windows + length - 1] - sums[begin]) * inverse[begin] + (windows * 64 + at - begin).astype(np.uint64))
-    anchor, start = grams[at], begin - (ends - sizes)[text]
-    split = np.isin(anchor, hot) if hot is not None and len(hot) else np.zeros(len(anchor), bool)
-    if not split.any():
-        return anchor, around, text, start, windows
-    many = windows[split]
-    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    at = np.repeat(begin[split], many) + step
-    whole = (sums[at + length] - sums[at]) * inverse[at]
-    half = (sums[at + length // 2] - sums[at]) * inverse[at]
-    alone = (_mix(whole + _mix(half)), _mix(whole), np.repeat(text[split], many), np.repeat(start[split], many) + step, np.ones(len(at), windows.dtype))
-    return tuple(np.concatenate([x[~split], y]) for x, y in zip((anchor, around, text, start, windows), alone, strict=True))
+    return grams[at], around, text, begin - (ends - sizes)[text], windows
 
 
 def _planes(values: np.ndarray, n_bytes: int) -> bytes:
@@ -118,174 +112,235 @@ def _unplanes(raw: bytes, n: int, n_bytes: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-# Bytes of: anchor (with its bucket, 40 bits and more), surrounding, id above the blob's least, start, windows.
-_BYTES = (5, 7, 8, 6, 1)
-#: Bytes of text that anchors are found in at a time, thus what a worker's arrays are sized by.
-GROUP_BYTES = 1 << 20
-#: Bytes of text whose occurrences are packed together.
-PACK_BYTES = 16 << 20
-
-
-def _groups_of_text(batch, limit: int = GROUP_BYTES, length: int = LENGTH):
-    """(ids, offsets, texts) in groups of at most ``limit`` bytes. A longer text comes in parts that
-    overlap by a window less one byte: each window is in one part, and in one only."""
-    ids, offsets, texts, size = [], [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        raw = t.encode("utf-8", "surrogatepass")
-        for at in range(0, max(1, len(raw) - length + 1), limit - length + 1):
-            part = raw[at : at + limit]
-            if size + len(part) > limit:
-                yield np.array(ids, np.int64), np.array(offsets, np.int64), texts
-                ids, offsets, texts, size = [], [], [], 0
-            ids.append(i)
-            offsets.append(at)
-            texts.append(part)
-            size += len(part)
-    if ids:
-        yield np.array(ids, np.int64), np.array(offsets, np.int64), texts
-
-
-def _hot_anchors(docs: DataFrame) -> np.ndarray:
-    """Anchors with ``HOT`` different surroundings or more in a sample of blocks of the texts. Copies of
-    one text have the same surroundings; surroundings that a block cuts off are not counted."""
+def _grouped(batches):
+    """(key, rows) for runs of equal values in the first column, over Arrow batches."""
+    held, now = [], None
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[0] != now and held:
+                yield now, held
+                held = []
+            now = row[0]
+            held.append(row)
+    if held:
+        yield now, held
+
+
+_BATCH = "batch long, ids binary, sizes binary, texts binary"
+
+
+def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
+    """``batch, ids, sizes, texts``: documents in batches, their texts one after the other, compressed."""
 
     def each(batches):
+        import zstandard
+        from pyspark import TaskContext
+
+        first, made = TaskContext.get().partitionId() << 32, 0
+        pack = zstandard.ZstdCompressor(level=3)
+
+        def row(ids, raw):
+            sizes = np.array([len(r) for r in raw], "<i8")
+            columns = [[first + made], [np.array(ids, "<i8").tobytes()], [sizes.tobytes()], [pack.compress(b"".join(raw))]]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["batch", "ids", "sizes", "texts"])
+
+        ids, raw, size = [], [], 0
         for batch in batches:
-            for ids, offsets, texts in _groups_of_text(batch):
-                data = np.frombuffer(b"".join(texts), np.uint8)
-                blocks = -(-len(data) // SAMPLE_BLOCK)
-                rng = np.random.default_rng([int(ids[0]) & (2**63 - 1), int(offsets[0]), len(ids)])
-                taken = np.flatnonzero(rng.random(blocks) < SAMPLED)
-                parts = [data[b * SAMPLE_BLOCK : (b + 1) * SAMPLE_BLOCK] for b in taken.tolist()]
-                if parts:
-                    sizes = np.array([len(x) for x in parts])
-                    anchor, around, text, start, windows = occurrences(np.concatenate(parts), sizes)
-                    inner = (start > 0) & (start + windows + LENGTH - 1 < sizes[text]) if len(anchor) else np.zeros(0, bool)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[inner].view(np.int64)), pa.array(around[inner].view(np.int64))], names=["anchor", "around"])
-
-    pairs = docs.mapInArrow(each, "anchor long, around long").distinct()
-    found = pairs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).select("anchor").collect()
-    return np.sort(np.array([r.anchor for r in found], np.int64).view(np.uint64))
-
-
-def _packed(docs: DataFrame, buckets: int, hot: np.ndarray | None = None) -> DataFrame:
-    """``bucket, n, low, blob``: the occurrences of a group of documents for one bucket. Of occurrences
-    in different documents of the group that span the same text, the first document's are packed and
-    the others are known to be covered: those are rows with bucket -1, an id in ``low`` and pairs of
-    (start, windows) in the blob."""
-    schema = "bucket int, n int, low long, blob binary"
-
-    def pack(found):
-        key, around, doc, start, windows = (np.concatenate(x) for x in zip(*found, strict=True))
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        key, around = key // np.uint64(buckets) & np.uint64((1 << 40) - 1), around & np.uint64((1 << 56) - 1)
-        order = np.lexsort((start, doc, around, (bucket.astype(np.uint64) << np.uint64(40)) | key))
-        bucket, key, around, doc, start, windows = (x[order] for x in (bucket, key, around, doc, start, windows))
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (around[1:] != around[:-1]) | (bucket[1:] != bucket[:-1])]
-        least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        late = doc > least
-        rows = list(_by_document(doc[late], start[late], windows[late]))
-        bucket, key, around, doc, start, windows = (x[~late] for x in (bucket, key, around, doc, start, windows))
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            low = int(doc[a:b].min())
-            parts = (key[a:b], around[a:b], doc[a:b] - low, start[a:b], windows[a:b])
-            rows.append((int(bucket[a]), b - a, low, b"".join(_planes(x, n) for x, n in zip(parts, _BYTES, strict=True))))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "n", "low", "blob"])
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(i)
+                raw.append(t.as_py().encode("utf-8", "surrogatepass"))
+                size += len(raw[-1])
+                if size >= batch_bytes:
+                    yield row(ids, raw)
+                    made += 1
+                    ids, raw, size = [], [], 0
+        if ids:
+            yield row(ids, raw)
+
+    return docs.mapInArrow(each, _BATCH)
+
+
+class _Batch:
+    """One batch unpacked: ``ids``, ``sizes`` and ``begins`` of its documents, their bytes as ``text``."""
+
+    def __init__(self, ids: bytes, sizes: bytes, texts: bytes):
+        import zstandard
+
+        self.ids, self.sizes = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8")
+        self.text = zstandard.ZstdDecompressor().decompress(texts)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def _groups(self):
+        """(documents, offsets in them, sizes) of pieces of text up to ``GROUP_BYTES`` together. A longer text
+        comes in parts that overlap by a window less one byte: each window is in one part only."""
+        docs, offsets, sizes, total = [], [], [], 0
+        for d, size in enumerate(self.sizes.tolist()):
+            for at in range(0, max(1, size - LENGTH + 1), GROUP_BYTES - LENGTH + 1):
+                part = min(GROUP_BYTES, size - at)
+                if total + part > GROUP_BYTES and docs:
+                    yield docs, offsets, sizes
+                    docs, offsets, sizes, total = [], [], [], 0
+                docs.append(d)
+                offsets.append(at)
+                sizes.append(part)
+                total += part
+        if docs:
+            yield docs, offsets, sizes
+
+    def occurrences(self) -> tuple[np.ndarray, ...]:
+        """``key, surrounding, doc, start, windows`` of the anchors of all documents."""
+        found, data = [], np.frombuffer(self.text, np.uint8)
+        for docs, offsets, sizes in self._groups():
+            at = self.begins[docs] + np.array(offsets)
+            parts = [data[a : a + n] for a, n in zip(at.tolist(), sizes, strict=True)]
+            anchor, around, text, start, windows = occurrences(np.concatenate(parts), np.array(sizes))
+            found.append((anchor >> np.uint64(64 - KEY_BITS), around, np.array(docs)[text], start + np.array(offsets)[text], windows))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _slices(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of ascending keys: each part has a range of keys."""
+    part = ((keys >> np.uint64(16)) * np.uint64(parts) >> np.uint64(KEY_BITS - 16)).astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]).tolist() if len(part) else []
+    return [(int(part[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _distinct(batch: _Batch):
+    """(occurrences in order of key, number of each one's key, different keys, their surroundings, whether
+    they stand in several documents) of a batch."""
+    key, around, doc, start, windows = batch.occurrences()
+    order = np.lexsort((around, key))
+    key, around, doc, start, windows = (x[order] for x in (key, around, doc, start, windows))
+    fresh = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    number, firsts = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    if not len(firsts):
+        return (key, around, doc, start, windows), number, key, number, fresh
+    other = fresh | np.r_[True, around[1:] != around[:-1]]
+    ids = batch.ids[doc]
+    several = np.minimum.reduceat(ids, firsts) != np.maximum.reduceat(ids, firsts)
+    return (key, around, doc, start, windows), number, key[firsts], np.add.reduceat(other.astype(np.int64), firsts), several
+
+
+def _anchors(batches: DataFrame, parts: int) -> DataFrame:
+    """``part, batch, n, blob``: the different anchors of each batch, in order, by ranges of their hashes."""
+
+    def each(rows):
+        for table in rows:
+            for number, ids, sizes, texts in zip(*[c.to_pylist() for c in table.columns], strict=True):
+                _, _, keys, around, several = _distinct(_Batch(ids, sizes, texts))
+                out = []
+                for part, a, b in _slices(keys, parts):
+                    gaps = np.diff(keys[a:b], prepend=np.uint64(0))
+                    raw = _planes(gaps, KEY_BITS // 8) + _planes(np.minimum(around[a:b], 65535), 2) + np.packbits(several[a:b]).tobytes()
+                    out.append((part, number, b - a, raw))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["part", "batch", "n", "blob"])
+
+    return batches.mapInArrow(each, "part int, batch long, n int, blob binary")
+
+
+def _verdicts(anchors: DataFrame, hot: int) -> DataFrame:
+    """``batch, part, codes``: two bits for each anchor in the order it was sent: 0 where it stands in one
+    document only, 1 where it may stand in several, 2 where it also has very many surroundings."""
+
+    def judge(rows):
+        keys, around, several = [], [], []
+        for _, _, n, raw in rows:
+            wide = n * KEY_BITS // 8
+            keys.append(np.cumsum(_unplanes(raw[:wide], n, KEY_BITS // 8)))
+            around.append(_unplanes(raw[wide : wide + 2 * n], n, 2).astype(np.int64))
+            several.append(np.unpackbits(np.frombuffer(raw[wide + 2 * n :], np.uint8), count=n).astype(bool))
+        sizes = [len(k) for k in keys]
+        keys, around, several = (np.concatenate(x) for x in (keys, around, several))
+        order = np.argsort(keys, kind="stable")
+        firsts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+        lengths = np.diff(np.r_[firsts, len(order)])
+        repeated = (lengths > 1) | np.logical_or.reduceat(several[order], firsts)
+        code = repeated * (1 + (np.add.reduceat(around[order], firsts) > hot))
+        codes = np.empty(len(order), np.uint8)
+        codes[order] = np.repeat(code, lengths)
+        ends = np.cumsum(sizes).tolist()
+        for (part, batch, n, _), end in zip(rows, ends, strict=True):
+            own = codes[end - n : end]
+            yield batch, part, np.packbits(own & 1).tobytes() + np.packbits(own >> 1).tobytes()
 
     def each(batches):
-        found, size = [], 0
-        for batch in batches:
-            for ids, offsets, texts in _groups_of_text(batch):
-                anchor, around, text, start, windows = occurrences(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), hot=hot)
-                size += sum(map(len, texts))
-                if len(anchor):
-                    found.append((anchor, around, ids[text], start + offsets[text], windows))
-                if found and size >= PACK_BYTES:
-                    yield pack(found)
-                    found, size = [], 0
-        if found:
-            yield pack(found)
-
-    return docs.mapInArrow(each, schema)
-
-
-def _runs(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The same windows, those that follow each other in a document as one row."""
+        for _, rows in _grouped(batches):
+            out = list(judge(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["batch", "part", "codes"])
+
+    return anchors.mapInArrow(each, "batch long, part int, codes binary")
+
+
+#: Bytes of: deal key's gap, id above the blob's least, document in its batch, start, bytes of a piece.
+_PIECE = (6, 8, 3, 6, 1)
+
+
+def _pieces(batches: DataFrame, anchor_parts: int, parts: int) -> DataFrame:
+    """``part, batch, n, low, blob``: what stands around anchors that may occur in several documents, in order
+    of deal key; with part -1, windows known to be covered. ``batches`` also has ``codes(part, codes)``."""
+
+    def pack(keys, ids, doc, start, texts):
+        import zstandard
+
+        low = int(ids.min())
+        columns = (np.diff(keys, prepend=np.uint64(0)), ids - low, doc, start, np.array([len(t) for t in texts]))
+        return low, zstandard.ZstdCompressor(level=1).compress(b"".join(_planes(c, n) for c, n in zip(columns, _PIECE, strict=True)) + b"".join(texts))
+
+    def solve(number, ids, sizes, texts, codes):
+        batch = _Batch(ids, sizes, texts)
+        (key, _, doc, start, windows), of, keys, _, _ = _distinct(batch)
+        code = np.zeros(len(keys), np.uint8)
+        packed = dict(codes or [])
+        for part, a, b in _slices(keys, anchor_parts):
+            raw = np.frombuffer(packed[part], np.uint8)
+            half = len(raw) // 2
+            code[a:b] = np.unpackbits(raw[:half], count=b - a) | np.unpackbits(raw[half:], count=b - a) << 1
+        code = code[of]
+        near, hot = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
+        many = windows[hot]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        doc = np.r_[doc[near], np.repeat(doc[hot], many)]
+        start = np.r_[start[near], np.repeat(start[hot], many) + step]
+        size = np.r_[windows[near] + LENGTH - 1, np.full(len(step), LENGTH)]
+        begin = batch.begins[doc] + start
+        texts = [batch.text[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+        # Windows of hot anchors go by themselves; any function of the bytes alone will do.
+        own = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest()[:6], "little") for t in texts[len(near) :]]
+        deal = np.r_[key[near], np.array(own, np.uint64)].astype(np.uint64)
+        order = np.lexsort((start, batch.ids[doc]))
+        seen, kept, late = {}, [], []
+        ids = batch.ids[doc]
+        for i, a in zip(order.tolist(), ids[order].tolist(), strict=True):
+            first = seen.setdefault(texts[i], a)
+            (kept if first == a else late).append(i)
+        out = []
+        if late:
+            late = np.array(late)
+            out.append((-1, number, len(late), 0, _covered(doc[late], start[late], size[late] - LENGTH + 1)))
+        kept = np.array(kept, np.int64)
+        kept = kept[np.argsort(deal[kept], kind="stable")]
+        for part, a, b in _slices(deal[kept], parts):
+            at = kept[a:b]
+            out.append((part, number, b - a, *pack(deal[at], ids[at], doc[at], start[at], [texts[i] for i in at.tolist()])))
+        return out
+
+    def each(rows):
+        for table in rows:
+            for row in zip(*[c.to_pylist() for c in table.columns[:4]], table.column(4), strict=True):
+                codes = [(x["part"], x["codes"]) for x in row[4].as_py() or []]
+                if out := solve(*row[:4], codes):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "batch", "n", "low", "blob"])
+
+    return batches.mapInArrow(each, "part int, batch long, n int, low long, blob binary")
+
+
+def _covered(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> bytes:
+    """Covered windows of a batch as packed (document, start, windows), those that follow each other as one."""
     order = np.lexsort((start, doc))
     doc, start, windows = doc[order], start[order], windows[order]
     first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != (start + windows)[:-1])])
-    return doc[first], start[first], np.add.reduceat(windows, first)
-
-
-def _by_document(doc: np.ndarray, start: np.ndarray, windows: np.ndarray):
-    """Rows (-1, 0, id, packed (start, windows)) for each document."""
-    if not len(doc):
-        return
-    doc, start, windows = _runs(doc, start, windows)
-    pairs = np.stack([start, windows], axis=1).astype("<i8")
-    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield -1, 0, int(doc[a]), pairs[a:b].tobytes()
-
-
-_SETTLED = "doc long, part int, anchor long, start long, windows long"
-
-
-def _table(*columns: np.ndarray):
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc", "part", "anchor", "start", "windows"])
-
-
-def _resolve(rows: DataFrame) -> DataFrame:
-    """``doc, part, anchor, start, windows``: windows known to be covered (part 0), and those whose
-    anchor occurs in several documents with different surroundings (part 1)."""
-
-    def settle(bucket: int, blobs: list):
-        columns = [[] for _ in _BYTES]
-        for n, low, raw in blobs:
-            at = 0
-            for c, b in zip(columns, _BYTES, strict=True):
-                c.append(_unplanes(raw[at : at + n * b], n, b))
-                at += n * b
-            columns[2][-1] = columns[2][-1].view(np.int64) + low
-        key, around, doc, start, windows = (np.concatenate(c) for c in columns)
-        order = np.lexsort((doc, around, key))
-        key, around, doc, start, windows = key[order], around[order], doc[order], start[order].astype(np.int64), windows[order].astype(np.int64)
-        new_key = np.r_[True, key[1:] != key[:-1]]
-        fresh = new_key | np.r_[True, around[1:] != around[:-1]]
-        least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        late = doc > least
-        keys = np.flatnonzero(new_key)
-        several = np.minimum.reduceat(least, keys) != np.maximum.reduceat(least, keys)
-        open_ = several[np.cumsum(new_key) - 1] & ~late
-        anchor = (key.astype(np.int64) << 22) ^ bucket
-        if late.any():  # covered windows need no name
-            d, s, w = _runs(doc[late], start[late], windows[late])
-            none = np.zeros(len(d), np.int64)
-            yield _table(d, none, none, s, w)
-        if open_.any():
-            rows = np.flatnonzero(open_)[np.lexsort((start[open_], doc[open_]))]  # in order they take less room
-            yield _table(doc[rows], np.full(len(rows), 1), anchor[rows], start[rows], windows[rows])
-
-    def each(batches):
-        held, now = [], None
-        for batch in batches:
-            for bucket, n, low, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if bucket < 0:  # known when it was packed
-                    pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
-                    none = np.zeros(len(pairs), np.int64)
-                    yield _table(none + low, none, none, pairs[:, 0], pairs[:, 1])
-                    continue
-                if bucket != now:
-                    if held:
-                        yield from settle(now, held)
-                    held, now = [], bucket
-                held.append((n, low, raw))
-        if held:
-            yield from settle(now, held)
-
-    return rows.mapInArrow(each, _SETTLED)
+    return np.stack([doc[first], start[first], np.add.reduceat(windows, first)], axis=1).astype("<i8").tobytes()
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -356,126 +411,114 @@ def covered_windows(pieces: list[bytes], doc: np.ndarray, length: int = LENGTH)
     return piece[hit], hit - begin[piece[hit]]
 
 
-def _sort_pieces(rows: DataFrame) -> DataFrame:
-    """Covered windows of ``anchor, doc, start, piece``, as ``doc, start, windows``."""
-
-    def solve(doc, start, pieces):
-        doc, start = np.concatenate(doc), np.concatenate(start)
-        piece, window = covered_windows(pieces, doc)
-        if len(piece):
-            order = np.lexsort((window, piece))
-            piece, window = piece[order], window[order]
-            first = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (window[1:] != window[:-1] + 1)])
-            runs = np.diff(np.r_[first, len(piece)])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[piece[first]]), pa.array((start[piece] + window)[first]), pa.array(runs)], names=["doc", "start", "windows"])
-
-    def each(batches):
-        doc, start, pieces, size, last = [], [], [], 0, None
-        for batch in batches:
-            anchor, d, s = (batch.column(i).to_numpy() for i in range(3))
-            texts = batch.column(3).to_pylist()
-            cuts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True]).tolist()
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if size >= CHUNK_BYTES and anchor[a] != last:
-                    yield from solve(doc, start, pieces)
-                    doc, start, pieces, size = [], [], [], 0
-                doc.append(d[a:b])
-                start.append(s[a:b])
-                pieces += texts[a:b]
-                size += sum(map(len, texts[a:b]))
-                last = anchor[b - 1]
-        if pieces:
-            yield from solve(doc, start, pieces)
-
-    return rows.mapInArrow(each, "doc long, start long, windows long")
-
-
-def _shrunk(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the text's bytes, compressed for the way."""
+def _sorted_pieces(rows: DataFrame) -> DataFrame:
+    """``batch, blob``: covered windows, from the rows of ``_pieces``."""
 
-    def each(batches):
+    def settle(rows):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            raw = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "packed"])
-
-    return docs.mapInArrow(each, "doc_id long, packed binary")
-
-
-def _lists(column) -> tuple[list[int], list[np.ndarray]]:
-    """Offsets and fields of a column of lists of structs; a null list is empty."""
-    flat = column.values
-    return column.offsets.to_pylist(), [flat.field(i).to_numpy() for i in range(flat.type.num_fields)]
-
-
-def _cut_pieces(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``anchor, doc, start, piece`` from rows of ``doc, packed, found(anchor, start, windows)``."""
+        unpack, fields, texts, of = zstandard.ZstdDecompressor(), [[] for _ in _PIECE], [], []
+        for k, (_, _, n, low, raw) in enumerate(rows):
+            raw, at = unpack.decompress(raw), 0
+            for f, wide in zip(fields, _PIECE, strict=True):
+                f.append(_unplanes(raw[at : at + n * wide], n, wide))
+                at += n * wide
+            fields[0][-1] = np.cumsum(fields[0][-1])
+            fields[1][-1] = fields[1][-1].view(np.int64) + low
+            ends = at + np.cumsum(fields[4][-1].astype(np.int64))
+            texts += [raw[b - s : b] for b, s in zip(ends.tolist(), fields[4][-1].tolist(), strict=True)]
+            of.append(np.full(n, k))
+        key, ids, doc, start, size = (np.concatenate(f).astype(np.int64) for f in fields)
+        of = np.concatenate(of)
+        windows, hits = size - LENGTH + 1, []
+        # Equal pieces: those of later documents are covered as a whole.
+        seen, kept, late = {}, [], []
+        order = np.lexsort((ids, key))
+        for i, a in zip(order.tolist(), ids[order].tolist(), strict=True):
+            (kept if seen.setdefault(texts[i], a) == a else late).append(i)
+        del seen
+        if late:
+            late = np.array(late)
+            hits.append((late, start[late], windows[late]))
+        # The others are sorted, as many keys at a time as make up a chunk; a piece alone with its key is unique.
+        kept = np.array(kept, np.int64)
+        cuts = np.flatnonzero(np.r_[True, key[kept][1:] != key[kept][:-1], True]).tolist()
+        chunk, total = [], 0
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                chunk.append(kept[a:b])
+                total += int(size[kept[a:b]].sum())
+            if chunk and (total >= CHUNK_BYTES or b == len(kept)):
+                at = np.concatenate(chunk)
+                piece, window = covered_windows([texts[i] for i in at.tolist()], ids[at])
+                hits.append((at[piece], start[at[piece]] + window, np.ones(len(piece), np.int64)))
+                chunk, total = [], 0
+        which, begin, count = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 3
+        for k in np.unique(of[which]).tolist():
+            mine = of[which] == k
+            yield rows[k][1], _covered(doc[which[mine]], begin[mine], count[mine])
 
     def each(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.take(pa.array(range(lo, min(lo + 512, whole.num_rows))))
-                offsets, (anchor, start, windows) = _lists(batch.column(2))
-                ends, pieces = (start + windows + length - 1).tolist(), []
-                for k, packed in enumerate(batch.column(1).to_pylist()):
-                    text = unpack.decompress(packed)
-                    pieces += [text[s:e] for s, e in zip(start[offsets[k] : offsets[k + 1]].tolist(), ends[offsets[k] : offsets[k + 1]], strict=True)]
-                doc = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc), pa.array(start), pa.array(pieces, pa.binary())], names=["anchor", "doc", "start", "piece"])
-
-    return rows.mapInArrow(each, "anchor long, doc long, start long, piece binary")
-
-
-def _cut_out(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The result, from rows of ``doc_id, packed, found(start, windows)`` (null: nothing is covered)."""
-
-    def each(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out, (offsets, (start, windows)) = [], _lists(batch.column(2))
-            ends = start + windows + length - 1
-            for k, packed in enumerate(batch.column(1).to_pylist()):
-                text, a, b = unpack.decompress(packed), offsets[k], offsets[k + 1]
-                if a == b:
-                    out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
-                    continue
-                size = len(text)
-                gone = np.bincount(np.minimum(start[a:b], size), minlength=size + 1) - np.bincount(np.minimum(ends[a:b], size), minlength=size + 1)
-                gone = np.cumsum(gone)[:size] > 0
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(size > 0 and gone[0])
-                out.append((size, int(gone.sum()), spans, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()))
-            n, removed, spans, sha = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (n, removed, spans)], pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return rows.mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+        for part, rows in _grouped(batches):
+            out = [(r[1], r[4]) for r in rows] if part < 0 else list(settle(rows))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["batch", "blob"])
+
+    return rows.mapInArrow(each, "batch long, blob binary")
+
+
+def _cut_out(batches: DataFrame) -> DataFrame:
+    """The result, from batches with ``found``, a list of packed covered windows (null: none)."""
+
+    def each(tables):
+        for table in tables:
+            for ids, sizes, texts, found in zip(*[table.column(c).to_pylist() for c in ("ids", "sizes", "texts", "found")], strict=True):
+                batch = _Batch(ids, sizes, texts)
+                rows = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 3) for b in found]) if found else np.zeros((0, 3), np.int64)
+                rows, out = rows[np.argsort(rows[:, 0], kind="stable")], []
+                cuts = np.searchsorted(rows[:, 0], np.arange(len(batch.ids) + 1))
+                for d, (begin, size) in enumerate(zip(batch.begins.tolist(), batch.sizes.tolist(), strict=True)):
+                    text, own = batch.text[begin : begin + size], rows[cuts[d] : cuts[d + 1]]
+                    if not len(own):
+                        out.append((size, 0, 0, hashlib.sha256(text).hexdigest()))
+                        continue
+                    gone = np.bincount(own[:, 1], minlength=size + 1) - np.bincount(own[:, 1] + own[:, 2] + LENGTH - 1, minlength=size + 1)
+                    gone = np.cumsum(gone)[:size] > 0
+                    spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
+                    out.append((size, int(gone.sum()), spans, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()))
+                n, removed, spans, sha = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(batch.ids), *[pa.array(x, pa.int64()) for x in (n, removed, spans)], pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return batches.mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def _stored(batches: DataFrame) -> DataFrame:
+    """The batches, written once to the shared folder in buckets of their numbers, so that what comes back
+    to them meets them there and their texts are not shuffled."""
+    spark = batches.sparkSession
+    path = scratch_path(spark, "batches")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    batches.write.format("parquet").option("path", path).option("compression", "none").bucketBy(buckets, "batch").sortBy("batch").saveAsTable(name)
+    return spark.table(name)
+
+
+def remove_repeats(docs: DataFrame, batch_bytes: int = BATCH_BYTES, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs``.
 
-    Null and empty texts lose nothing. A null id counts as the least. Rows that repeat an id are one
-    document: strings they share among themselves stay, and each of them loses what any of them
-    loses. An empty table gives no rows; columns other than ``doc_id`` and ``text`` are not read.
+    Null and empty texts lose nothing. A null id counts as the least. Rows that repeat an id are each
+    judged on their own text: what they share with each other stays. An empty table gives no rows; columns
+    other than ``doc_id`` and ``text`` are not read. ``batch_bytes`` and ``hot`` change how the work is dealt
+    out, not its result.
     """
-    least = F.lit(-(2**62))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), text_or_empty().alias("text"))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), text_or_empty().alias("text"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(16, total // bucket_bytes)
-    packed = _packed(own, buckets, _hot_anchors(own))
-    dealt = packed.repartition("bucket", F.when(F.col("bucket") < 0, F.col("low"))).sortWithinPartitions("bucket")
-    settled = materialise(_resolve(dealt), "repeats")
-    texts = _shrunk(own)
-    opened = settled.where("part = 1").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("found"))
-    pieces = _cut_pieces(opened.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "packed", "found"))
-    sorted_ = _sort_pieces(pieces.repartition("anchor").sortWithinPartitions("anchor"))
-    covered = settled.where("part = 0").select("doc", "start", "windows").unionAll(sorted_).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
-    out = _cut_out(texts.join(covered, F.col("doc") == F.col("doc_id"), "left").select("doc_id", "packed", "found"))
-    return out.withColumn("doc_id", F.nullif(F.col("doc_id"), least))
-
+    anchor_parts, parts = max(16, total // ANCHOR_BYTES), max(16, total // PIECE_BYTES)
+    batches = _stored(_batches(own, batch_bytes))
+    anchors = _anchors(batches, anchor_parts)
+    codes = _verdicts(anchors.repartition("part").sortWithinPartitions("part"), hot).groupBy("batch").agg(F.collect_list(F.struct("part", "codes")).alias("codes"))
+    pieces = _pieces(batches.join(codes.hint("merge"), "batch", "left").select("batch", "ids", "sizes", "texts", "codes"), anchor_parts, parts)
+    dealt = pieces.repartition("part", F.when(F.col("part") < 0, F.col("batch"))).sortWithinPartitions("part")
+    found = _sorted_pieces(dealt).groupBy("batch").agg(F.collect_list("blob").alias("found"))
+    out = _cut_out(batches.join(found.hint("merge"), "batch", "left"))
+    return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(LEAST_ID)))

@@ -39,16 +39,32 @@ def test_suffix_array(alphabet):
         assert key == sorted(key)
 
 
-def test_long_texts_come_in_parts():
-    import pyarrow as pa
+def test_long_texts_come_in_parts(monkeypatch):
+    import zstandard
 
-    texts = ["", "a" * 49, "b" * 100, "".join(random.Random(1).choices("xyz", k=1000)), "c" * 300]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc_id", "text"])
-    seen = [(int(i), int(at) + s) for ids, offsets, parts in suffix_dedup._groups_of_text(batch, 128) for i, at, p in zip(ids, offsets, parts) for s in range(len(p) - 49)]
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 128)
+    texts = [b"", b"a" * 49, b"b" * 100, "".join(random.Random(1).choices("xyz", k=1000)).encode(), b"c" * 300]
+    sizes = np.array([len(t) for t in texts], "<i8")
+    batch = suffix_dedup._Batch(np.arange(5, dtype="<i8").tobytes(), sizes.tobytes(), zstandard.ZstdCompressor().compress(b"".join(texts)))
+    seen = [(d, at + s) for docs, offsets, parts in batch._groups() for d, at, n in zip(docs, offsets, parts) for s in range(n - 49)]
     assert sorted(seen) == [(i, s) for i, t in enumerate(texts) for s in range(len(t) - 49)]
+    key, _, doc, start, windows = batch.occurrences()
+    assert sorted((d, s + k) for d, s, w in zip(doc.tolist(), start.tolist(), windows.tolist()) for k in range(w)) == sorted(seen)
 
 
-def test_random_texts(spark):
+def test_equal_windows_have_equal_anchors_in_any_text():
+    rng = random.Random(2)
+    passage = "".join(rng.choices("abcd ", k=400))
+    one = suffix_dedup.occurrences(np.frombuffer(passage.encode(), np.uint8), np.array([400]))
+    other = ("x" * 37 + passage + "".join(rng.choices("abcd ", k=90000))).encode()
+    two = suffix_dedup.occurrences(np.frombuffer(other, np.uint8), np.array([len(other)]))
+    by_window = lambda o, shift: {s + k - shift: a for a, s, w in zip(o[0].tolist(), o[3].tolist(), o[4].tolist()) for k in range(w)}
+    mine, theirs = by_window(one, 0), by_window(two, 37)
+    assert all(theirs[i] == a for i, a in mine.items()) and len(mine) == 351
+
+
+@pytest.mark.parametrize(("batch_bytes", "hot"), [(1000, 4096), (1 << 23, 4096), (3000, 3), (1, 0)])
+def test_random_texts(spark, batch_bytes, hot):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdeé ") for _ in range(rng.randrange(2, 9))) for _ in range(200)]
     passages = [" ".join(rng.choice(words) for _ in range(rng.randrange(5, 40))) for _ in range(20)]
@@ -59,7 +75,7 @@ def test_random_texts(spark):
     texts += [texts[3], texts[3][5:], "x" + texts[7] + "y", "a" * 400, "a" * 60, "ab" * 200, "a" * 49, texts[9][:50], texts[9][:49]]
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)] + [(2000, None), (2001, ""), (2002, "w " * 30000), (2003, "w " * 20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(docs.selectExpr("*", "1 AS n_bytes", "'a' AS packed"), 1000).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(docs.selectExpr("*", "1 AS n_bytes", "'a' AS texts", "2 AS batch"), batch_bytes, hot).collect()}
     assert got == brute(rows)
     assert any(v[1] for v in got.values())
 
@@ -84,9 +100,8 @@ def test_a_frequent_anchor_is_not_one_task(spark):
     endings = [letters(40) for _ in range(40)]
     rows = [(i * 31 % 20011, letters(60) + frequent + (rng.choice(endings) if i % 3 == 0 else "") + letters(60)) for i in range(14000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
-    assert hashes.min() in suffix_dedup._hot_anchors(docs)
-    packed = suffix_dedup._packed(docs, 16, suffix_dedup._hot_anchors(docs)).repartition("bucket").sortWithinPartitions("bucket")
-    largest = suffix_dedup._resolve(packed).where("part = 1").selectExpr("anchor", "windows + 49 AS size").groupBy("anchor").sum("size").toPandas()
-    assert largest.empty or largest["sum(size)"].max() < suffix_dedup.CHUNK_BYTES
+    verdicts = suffix_dedup._verdicts(suffix_dedup._anchors(suffix_dedup._batches(docs, 1 << 20), 16).repartition("part").sortWithinPartitions("part"), 4096).collect()
+    halves = [r.codes[len(r.codes) // 2 :] for r in verdicts]
+    assert 0 < sum(b.bit_count() for h in halves for b in h) <= 2 * len({r.batch for r in verdicts})
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == brute(rows)
