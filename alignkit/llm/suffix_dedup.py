@@ -32,13 +32,13 @@ from .common import scratch_path, text_or_empty
 LENGTH = 50
 GRAM = 16
 #: Bytes of text of a batch, and as many again as its last document has.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes of text that anchors are found in at a time, thus what a worker's arrays are sized by.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 #: Bytes of text whose anchors, and whose surroundings, one part of a shuffle gets on average.
-ANCHOR_BYTES, PIECE_BYTES = 48 << 20, 16 << 20
+ANCHOR_BYTES, PIECE_BYTES = 24 << 20, 8 << 20
 #: Bytes of text that are suffix-sorted at a time, and as many again if the last anchor has them.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 #: Different surroundings of an anchor, counted batch by batch, beyond which its windows are dealt out one
 #: by one.
 HOT = 4096
@@ -116,7 +116,8 @@ def _grouped(batches):
     """(key, rows) for runs of equal values in the first column, over Arrow batches."""
     held, now = [], None
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for row in zip(*batch.columns, strict=True):
+            row = [x.as_py() for x in row]
             if row[0] != now and held:
                 yield now, held
                 held = []
@@ -194,7 +195,8 @@ class _Batch:
             at = self.begins[docs] + np.array(offsets)
             parts = [data[a : a + n] for a, n in zip(at.tolist(), sizes, strict=True)]
             anchor, around, text, start, windows = occurrences(np.concatenate(parts), np.array(sizes))
-            found.append((anchor >> np.uint64(64 - KEY_BITS), around, np.array(docs)[text], start + np.array(offsets)[text], windows))
+            # Least hashes are small; mixed once more they are spread over all parts alike.
+            found.append((_mix(anchor) >> np.uint64(64 - KEY_BITS), around, np.array(docs)[text], start + np.array(offsets)[text], windows))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -425,33 +427,36 @@ def _sorted_pieces(rows: DataFrame) -> DataFrame:
                 at += n * wide
             fields[0][-1] = np.cumsum(fields[0][-1])
             fields[1][-1] = fields[1][-1].view(np.int64) + low
-            ends = at + np.cumsum(fields[4][-1].astype(np.int64))
-            texts += [raw[b - s : b] for b, s in zip(ends.tolist(), fields[4][-1].tolist(), strict=True)]
+            texts.append(raw[at:])
             of.append(np.full(n, k))
         key, ids, doc, start, size = (np.concatenate(f).astype(np.int64) for f in fields)
-        of = np.concatenate(of)
-        windows, hits = size - LENGTH + 1, []
-        # Equal pieces: those of later documents are covered as a whole.
-        seen, kept, late = {}, [], []
+        of, texts = np.concatenate(of), b"".join(texts)
+        place, windows, hits = np.cumsum(size) - size, size - LENGTH + 1, []
+
+        def compare(at: np.ndarray):
+            """Pieces of whole keys. Of equal ones those of later documents are covered as a whole; the others
+            are sorted, unless one is alone with its key."""
+            own, seen = [texts[a : a + n] for a, n in zip(place[at].tolist(), size[at].tolist(), strict=True)], {}
+            first = np.array([seen.setdefault(t, i) for t, i in zip(own, ids[at].tolist(), strict=True)]) == ids[at]
+            if not first.all():
+                hits.append((at[~first], start[at[~first]], windows[at[~first]]))
+            own, left = [t for t, f in zip(own, first.tolist(), strict=True) if f], at[first]
+            cuts = np.flatnonzero(np.r_[True, key[left][1:] != key[left][:-1], True])
+            several = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
+            if several.any():
+                own, left = [t for t, f in zip(own, several.tolist(), strict=True) if f], left[several]
+                piece, window = covered_windows(own, ids[left])
+                hits.append((left[piece], start[left[piece]] + window, np.ones(len(piece), np.int64)))
+
         order = np.lexsort((ids, key))
-        for i, a in zip(order.tolist(), ids[order].tolist(), strict=True):
-            (kept if seen.setdefault(texts[i], a) == a else late).append(i)
-        del seen
-        if late:
-            late = np.array(late)
-            hits.append((late, start[late], windows[late]))
-        # The others are sorted, as many keys at a time as make up a chunk; a piece alone with its key is unique.
-        kept = np.array(kept, np.int64)
-        cuts = np.flatnonzero(np.r_[True, key[kept][1:] != key[kept][:-1], True]).tolist()
+        cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True]).tolist()
         chunk, total = [], 0
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b - a > 1:
-                chunk.append(kept[a:b])
-                total += int(size[kept[a:b]].sum())
-            if chunk and (total >= CHUNK_BYTES or b == len(kept)):
-                at = np.concatenate(chunk)
-                piece, window = covered_windows([texts[i] for i in at.tolist()], ids[at])
-                hits.append((at[piece], start[at[piece]] + window, np.ones(len(piece), np.int64)))
+                chunk.append(order[a:b])
+                total += int(size[order[a:b]].sum())
+            if chunk and (total >= CHUNK_BYTES or b == len(order)):
+                compare(np.concatenate(chunk))
                 chunk, total = [], 0
         which, begin, count = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 3
         for k in np.unique(of[which]).tolist():
