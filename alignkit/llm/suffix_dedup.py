@@ -521,9 +521,9 @@ def remove_repeats(docs: DataFrame, batch_bytes: int = BATCH_BYTES, hot: int = H
     anchor_parts, parts = max(16, total // ANCHOR_BYTES), max(16, total // PIECE_BYTES)
     batches = _stored(_batches(own, batch_bytes))
     anchors = _anchors(batches, anchor_parts)
-    codes = _verdicts(anchors.repartition("part").sortWithinPartitions("part"), hot).groupBy("batch").agg(F.collect_list(F.struct("part", "codes")).alias("codes"))
+    codes = _verdicts(anchors.repartition(anchor_parts, "part").sortWithinPartitions("part"), hot).groupBy("batch").agg(F.collect_list(F.struct("part", "codes")).alias("codes"))
     pieces = _pieces(batches.join(codes.hint("merge"), "batch", "left").select("batch", "ids", "sizes", "texts", "codes"), anchor_parts, parts)
-    dealt = pieces.repartition("part", F.when(F.col("part") < 0, F.col("batch"))).sortWithinPartitions("part")
+    dealt = pieces.repartition(parts, "part", F.when(F.col("part") < 0, F.col("batch"))).sortWithinPartitions("part")
     found = _sorted_pieces(dealt).groupBy("batch").agg(F.collect_list("blob").alias("found"))
     out = _cut_out(batches.join(found.hint("merge"), "batch", "left"))
     return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(LEAST_ID)))
