@@ -70,6 +70,7 @@ class Encoder:
         plain = (parts["normalizer"], parts["pre_tokenizer"], parts["post_processor"]) == (NORMALIZER, PRE_TOKENIZER, None)
         self.by_words = plain and all(a["special"] and "<" in a["content"] for a in parts["added_tokens"])
         self.model, self.letters, self.remembered = self.tokenizer.model, _byte_letters(), remembered
+        self.raw = [i.to_bytes(4, "little") for i in range(max(parts["model"]["vocab"].values()) + 1)]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.stops = {c: self._whole([c])[0] for c in ",."}
@@ -81,20 +82,21 @@ class Encoder:
         word = word.lower()
         if not word.isascii():
             word = "".join([self.letters[b] for b in word.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(word)])
 
     def _learn(self, words) -> None:
-        known, hard = self.known, []
+        known, older, hard = self.known, self.older, []
         for w in words:
-            if (ids := self.older.get(w)) is not None:
+            if older and (ids := older.get(w)) is not None:
                 known[w] = ids
                 continue
             stem, stop = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ",." else (w, "")
-            if stem.isalpha() and max(stem) < "\u0100":
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
                 plain = stem.lower()
                 ids = known.get(plain)
                 if ids is None:
-                    ids = self.older.get(plain)
+                    ids = older.get(plain)
                     known[plain] = ids = self._letters_only(plain) if ids is None else ids
                 known[w] = ids + self.stops[stop] if stop else ids
             else:
