@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +28,8 @@ REMEMBERED = 250_000
 #: Bytes of a row group and rows of a page.
 ROW_GROUP_BYTES, PAGE_ROWS = 8 << 20, 2000
 
-_SEPARATORS, _BLANKS = re.compile(r"[\x1c-\x1f]"), re.compile(r"[ \t\n\x0b\f\r]+")
+#: Bytes of text encoded at a time.
+TEXT_BYTES = 8 << 20
 
 
 def _byte_letters() -> list[str]:
@@ -104,44 +105,72 @@ class Encoder:
         for i in range(0, len(hard), 4096):
             known.update(zip(hard[i : i + 4096], self._whole(hard[i : i + 4096]), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers, as ``tokenizers`` gives them."""
-        if not self.by_words:
-            return self._whole(texts)
-        # str.split also splits at 0x1C-0x1F, which the tokenizer does not take for blanks.
-        parts = [[p for p in _BLANKS.split(t) if p] if _SEPARATORS.search(t) else t.split() for t in texts]
+    def _remember(self, words: list[str]) -> list[bytes]:
         if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
-        self._learn(set().union(*parts).difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ps)) for ps in parts]
+        self._learn([w for w in words if w not in self.known])
+        return list(map(self.known.__getitem__, words))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        ids, begins = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, as ``tokenizers`` gives them, and the place where each text begins
+        (one more place than texts)."""
+        if not self.by_words:
+            return _joined(self._whole(texts.to_pylist()))
+        # Other blanks than ASCII's stay inside a word, which the whole tokenizer then encodes.
+        parts = pc.ascii_split_whitespace(texts)
+        words = pc.dictionary_encode(parts.values)
+        flat, begins = _joined(self._remember(words.dictionary.to_pylist()))
+        word = words.indices.to_numpy()
+        sizes = np.diff(begins)[word]
+        places = np.r_[0, np.cumsum(sizes)]
+        ids = flat[np.arange(places[-1]) + np.repeat(begins[word] - places[:-1], sizes)]
+        return ids, places[parts.offsets.to_numpy()]
+
+
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(ids), "<i4"), np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Encode with the tokenizer of a file, which a worker process loads once."""
+def _encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    return _encoders[path].encode(texts)
+    return _encoders[path]
+
+
+def encode_texts(texts: list[str], path: str) -> list[bytes]:
+    """Encode with the tokenizer of a file, which a worker process loads once."""
+    return _encoder(path).encode(texts)
 
 
-def _lists(ids: list[bytes]) -> pa.Array:
-    flat = np.frombuffer(b"".join(ids), "<i4")
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)), pa.array(flat, pa.int32()))
+def _parts(batch: pa.RecordBatch, column: int, most: int):
+    """Slices of a batch with ``most`` bytes of text or, where one text is longer, that text alone."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(ends):
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """``doc_id, n_tokens, tokens`` of each whole text, with the end id; null counts as empty."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def each(batches):
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), []
-            for i in range(0, len(texts), 256):
-                ids += [x + end for x in encode_texts(texts[i : i + 256], path)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), _lists(ids)], names=["doc_id", "n_tokens", "tokens"])
+            for part in _parts(batch, 1, TEXT_BYTES):
+                ids, begins = _encoder(path).encode_array(part.column(1))
+                ids, begins = np.insert(ids, begins[1:], end_id), begins + np.arange(len(begins))
+                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(begins), pa.int64()), lists], names=["doc_id", "n_tokens", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(each, "doc_id long, n_tokens long, tokens array<int>")
 

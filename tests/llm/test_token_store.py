@@ -87,3 +87,22 @@ def test_selective_reads(spark, sf, tmp_path):
     column = pq.ParquetFile(file).metadata.row_group(0).column(2)
     assert column.path_in_schema.startswith("tokens") and any("DELTA" in e for e in column.encodings)
     assert column.has_column_index and column.has_offset_index
+
+
+def test_parts_of_a_batch():
+    import pyarrow as pa
+
+    t = Tokenizer.from_file(PATH)
+    texts = ["", " lead", "trail ", "\u00a0no\u2003break\u3000 it's", "x" * 50, "a\tb\x0bc", "é,. " * 9, "", "\x1cq\x1f r", "end"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 2)), pa.array(["cut", "off", *texts])], names=["doc_id", "text"]).slice(2)
+    encoder = token_store.Encoder(PATH)
+    for most in (1, 7, 40, 10_000):
+        got, seen = [], []
+        for part in token_store._parts(batch, 1, most):
+            assert part.num_rows == 1 or sum(len(x.encode()) for x in part.column(1).to_pylist()) <= most
+            ids, begins = encoder.encode_array(part.column(1))
+            got += [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)]
+            seen += part.column(0).to_pylist()
+        assert seen == list(range(2, len(texts) + 2))
+        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert list(token_store._parts(batch.slice(0, 0), 1, 7)) == []
