@@ -95,6 +95,9 @@ class Encoder:
             stem, stop = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ",." else (w, "")
             if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
                 plain = stem.lower()
+                if plain == w:
+                    known[w] = self._letters_only(w)
+                    continue
                 ids = known.get(plain)
                 if ids is None:
                     ids = older.get(plain)
@@ -124,12 +127,30 @@ class Encoder:
         # Other blanks than ASCII's stay inside a word, which the whole tokenizer then encodes.
         parts = pc.ascii_split_whitespace(texts)
         words = pc.dictionary_encode(parts.values)
-        flat, begins = _joined(self._remember(words.dictionary.to_pylist()))
-        word = words.indices.to_numpy()
-        sizes = np.diff(begins)[word]
-        places = np.r_[0, np.cumsum(sizes)]
-        ids = flat[np.arange(places[-1]) + np.repeat(begins[word] - places[:-1], sizes)]
-        return ids, places[parts.offsets.to_numpy()]
+        ids, begins = _gathered(*self._word_ids(words.dictionary), words.indices.to_numpy())
+        return ids, begins[parts.offsets.to_numpy()]
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Different words in; what differs only in ASCII case or in a comma or full stop after ASCII
+        letters is looked up once."""
+        plain = pc.match_substring_regex(words, "^[A-Za-z]+[,.]?$")
+        stems = pc.dictionary_encode(pc.if_else(plain, pc.ascii_rtrim(pc.ascii_lower(words), characters=",."), words))
+        ids, begins = _gathered(*_joined(self._remember(stems.dictionary.to_pylist())), stems.indices.to_numpy())
+        for stop, stop_ids in self.stops.items():
+            ends = np.flatnonzero(pc.and_(plain, pc.ends_with(words, stop)).to_numpy(zero_copy_only=False))
+            added = np.frombuffer(stop_ids, "<i4")
+            ids = np.insert(ids, np.repeat(begins[ends + 1], len(added)), np.tile(added, len(ends)))
+            more = np.zeros_like(begins)
+            more[ends + 1] = len(added)
+            begins = begins + np.cumsum(more)
+        return ids, begins
+
+
+def _gathered(flat: np.ndarray, begins: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``which`` of the lists that begin in ``flat`` at ``begins``, in that form again."""
+    sizes = np.diff(begins)[which]
+    places = np.r_[0, np.cumsum(sizes)]
+    return flat[np.arange(places[-1]) + np.repeat(begins[which] - places[:-1], sizes)], places
 
 
 def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
