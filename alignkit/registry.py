@@ -195,13 +195,14 @@ def tolerance_groups(spark, sf_dir):
     return groups.tolerance_groups(_read(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", 50.0)
 
 
-@query(f"""WITH {_GROUPS}, k AS (SELECT * FROM g WHERE s_suppkey % 2 = 0), d AS (SELECT *, dense_rank() OVER (ORDER BY group_id) - 1 AS dense FROM k)
+@query(f"""WITH {_GROUPS}, k AS (SELECT * FROM g WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)), d AS (SELECT *, dense_rank() OVER (ORDER BY group_id) - 1 AS dense FROM k)
 SELECT dense::INT AS group_id, min(s_acctbal) AS group_len, arg_min(s_suppkey, (s_acctbal, s_suppkey)) AS group_rep, count(*) AS n_keys FROM d GROUP BY dense""")
 def group_summary(spark, sf_dir):
-    """Groups of the live suppliers (even keys), with length and representative."""
+    """Groups of the live suppliers (those with a line item), with length and representative."""
     suppliers = _read(spark, sf_dir, "supplier")
+    live = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
     members = groups.tolerance_groups(suppliers, "s_suppkey", "s_acctbal", 50.0)
-    return groups.group_summary(groups.restrict_groups(members, suppliers.where("s_suppkey % 2 = 0"), "s_suppkey"), "s_suppkey", "s_acctbal")
+    return groups.group_summary(groups.restrict_groups(members, live, "s_suppkey"), "s_suppkey", "s_acctbal")
 
 
 _AXIS = """
@@ -507,15 +508,17 @@ def status_isolation(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 7 <> 0)
-SELECT o.o_orderkey, CASE WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN b.k IS NOT NULL THEN 'o_totalprice' END AS columns
-FROM orders o LEFT JOIN b ON o.o_orderkey = b.k WHERE b.k IS NULL OR b.p <> o.o_totalprice
+WITH m AS (SELECT l_orderkey, l_linestatus AS s, count(*) AS n_lines, min(l_linenumber) AS first_line FROM lineitem GROUP BY ALL),
+a AS (SELECT * FROM m WHERE s = 'F'), b AS (SELECT * FROM m WHERE s = 'O')
+SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'removed' ELSE 'changed' END AS change,
+CASE WHEN a.s IS NOT NULL AND b.s IS NOT NULL THEN concat_ws(',', CASE WHEN a.n_lines <> b.n_lines THEN 'n_lines' END, CASE WHEN a.first_line <> b.first_line THEN 'first_line' END) END AS columns
+FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey WHERE a.s IS NULL OR b.s IS NULL OR a.n_lines <> b.n_lines OR a.first_line <> b.first_line
 """)
 def manifest_diff(spark, sf_dir):
-    """Rows that were added, removed or changed."""
-    old = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    new = old.where("o_orderkey % 7 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 11 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return catalog.diff_manifests(old, new, "o_orderkey")
+    """From the manifest of finished lines to that of open lines, orders that were added, removed or changed."""
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.count(F.lit(1)).alias("n_lines"), F.min("l_linenumber").alias("first_line"))
+    finished, still_open = (lines.where(F.col("l_linestatus") == s).drop("l_linestatus") for s in ("F", "O"))
+    return catalog.diff_manifests(finished, still_open, "l_orderkey")
 
 
 def _spectra(spark, sf_dir, branch: str) -> tuple[DataFrame, DataFrame, DataFrame]:
