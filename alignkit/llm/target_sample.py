@@ -136,15 +136,15 @@ def ranked(table: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERC
     fit = table.where(F.col("n_words") >= least_words)
     per_score = fit.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
     before = per_score.select(F.col("score").alias("_score"), (F.sum("n").over(Window.orderBy(F.desc("score"))) - F.col("n")).alias("before"))
-    drawn = fit.agg(F.expr(f"count(1) * {percent} div 100").alias("drawn"))
-    held = before.crossJoin(F.broadcast(drawn)).where("before < drawn")
-    cut = held.agg(F.min("_score").alias("cut"))
-    marked = table.crossJoin(F.broadcast(cut)).withColumn("in", F.coalesce((F.col("n_words") >= least_words) & (F.col("score") >= F.col("cut")), F.lit(False)))
+    drawn = fit.count() * percent // 100
+    held = before.where(F.col("before") < drawn)
+    cut = held.agg(F.min("_score")).first()[0]
+    near = F.lit(False) if cut is None else (F.col("n_words") >= least_words) & (F.col("score") >= cut)
     order = Window.partitionBy("score").orderBy(F.asc_nulls_last("doc_id"), "n_features", "weight")
-    place = marked.where(F.col("in")).withColumn("_at", F.row_number().over(order)).join(held, F.col("score") == F.col("_score"))
+    place = table.where(near).withColumn("_at", F.row_number().over(order)).join(held, F.col("score") == F.col("_score"))
     rank = (F.col("before") + F.col("_at")).cast("long")
-    chosen = place.select("doc_id", "n_features", "weight", "score", F.when(rank <= F.col("drawn"), rank).alias("rank"))
-    return chosen.unionAll(marked.where(~F.col("in")).select("doc_id", "n_features", "weight", "score", F.lit(None).cast("long").alias("rank")))
+    chosen = place.select("doc_id", "n_features", "weight", "score", F.when(rank <= drawn, rank).alias("rank"))
+    return chosen.unionAll(table.where(~near).select("doc_id", "n_features", "weight", "score", F.lit(None).cast("long").alias("rank")))
 
 
 def importance(docs: DataFrame, target: DataFrame, ngrams: int = NGRAMS, buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
