@@ -2,27 +2,35 @@
 
 Cells are long rows (band, time_pos, feature, value). With few samples and many features the n x n
 Gram matrix is summed over shards of features; with more samples than features it is the p x p
-covariance, summed over shards of samples. Partial matrices travel as square blocks of doubles, are
-added block by block, and only the sum, of min(n, p) rows, is decomposed in one task per band. Loadings
-or scores come back by a join of the cells with its vectors. A band may be several columns.
+covariance, summed over shards of samples. Shards are read as sorted streams. Partial matrices travel as
+square blocks of doubles, are added block by block, and only the sum, of min(n, p) rows, is decomposed in
+one task per band. Loadings or scores come back by a join of the cells with its vectors. Bands with more
+than ``DENSE`` samples and features have no such matrix: their leading components are found over tiles
+(``range_finder``). A band may be several columns.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, finite_or_zero
+from ..sources.scratch import materialise
+from . import range_finder
+from .streams import added, changes, kinds, numbers_in, runs
 
 THRESHOLD = 0.99
 STORED = 40
 #: Cells of a shard that a partial matrix is made from; more where the matrix is large, so that the
 #: partial matrices stay smaller than the cells.
 SHARD_CELLS = 1 << 20
-#: Rows and columns of a block.
-BLOCK = 256
+#: Rows and columns of a block, and rows of the long side that are multiplied at a time.
+BLOCK = STRIP = 256
+#: Extent up to which a band's matrix of products is formed and decomposed in one task (128 MB of doubles).
+DENSE = 4096
 
 
 def _list(band: str | list[str]) -> list[str]:
@@ -54,60 +62,97 @@ def numbered(cells: DataFrame, column: str, band: str | list[str] = "spw") -> Da
     return cells.select(*by, column).distinct().withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(column)) - 1)
 
 
+class Product:
+    """x.T @ x, summed over the rows of a long matrix that are fed in order: entries ``(over, at, value)``, those of
+    a row (equal ``over``) in succession.
+
+    Rows are filled into a strip of ``STRIP`` rows, which is multiplied when it is full. Memory is that of
+    the product and of the strip, however many rows come.
+    """
+
+    def __init__(self, size: int):
+        self.total, self.strip, self.row, self.last = np.zeros((size, size)), np.zeros((STRIP, size)), -1, None
+
+    def feed(self, over: pa.Array, at: np.ndarray, value: np.ndarray) -> None:
+        starts = changes([over])
+        starts[0] = self.row < 0 or over[0].as_py() != self.last
+        rows = self.row + np.cumsum(starts)
+        self.last = over[-1].as_py()
+        for a, b in _stretches(rows // STRIP):
+            if self.row >= 0 and rows[a] // STRIP != self.row // STRIP:
+                self.flush()
+            self.strip[rows[a:b] % STRIP, at[a:b]] = value[a:b]
+            self.row = int(rows[b - 1])
+
+    def flush(self) -> None:
+        self.total += self.strip.T @ self.strip
+        self.strip[:] = 0.0
+
+
+def _stretches(numbers: np.ndarray):
+    """(begin, end) of each run of equal numbers."""
+    cuts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1], True]).tolist()
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
 def product_blocks(centred: DataFrame, shape: DataFrame, numbers: DataFrame, over: str, band: str | list[str] = "spw", shard_cells: int = SHARD_CELLS) -> DataFrame:
-    """``band, row, col, size, block``: blocks of the matrix of products summed over ``over`` (``feature``: the
-    Gram matrix of the samples, ``time_pos``: the covariance of the features), on and above the diagonal.
+    """``band, row, col, data``: blocks of the matrix of products summed over ``over`` (``feature``: the
+    Gram matrix of the samples, ``time_pos``: the covariance of the features), on and above the diagonal,
+    filled up with zeros at its ends.
 
-    ``shape(band, n, p)`` gives the number of shards, so that a shard doesn't grow with the band.
+    ``shape(band, n, p)`` gives the number of shards. A shard is a stream sorted by ``over``: its task holds
+    one matrix of products and one strip, and hands the matrix on once. A shard has four times as many
+    cells as the matrix, so what is handed on is less than what came in.
     """
     by, kept = _list(band), "time_pos" if over == "feature" else "feature"
     size = F.col("n" if over == "feature" else "p")
     shards = F.ceil(F.col("n") * F.col("p") / F.greatest(F.lit(shard_cells), 4 * size * size))
-    dealt = centred.join(shape, by).join(numbers, [*by, kept]).select(*by, over, "at", "value", size.alias("size"), F.pmod(F.xxhash64(over), shards).alias("_shard"))
-    kinds = ", ".join(f"`{c}` {centred.schema[c].dataType.simpleString()}" for c in by)
-
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["size"].iloc[0])
-        _, row = np.unique(pdf[over].to_numpy(), return_inverse=True)
-        x = np.zeros((row.max() + 1, n))
-        x[row, pdf["at"].to_numpy()] = pdf["value"].to_numpy()
-        product = x.T @ x
-        cuts = range(0, n, BLOCK)
-        found = [(i, j, n, product[i : i + BLOCK, j : j + BLOCK].tobytes()) for i in cuts for j in cuts if i <= j]
-        out = pd.DataFrame(found, columns=["row", "col", "size", "block"])
-        for c in reversed(by):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(pdf["block"].iloc[0]).copy()
-        for raw in pdf["block"].iloc[1:]:
-            total += np.frombuffer(raw)
-        out = pdf.iloc[:1].copy()
-        out["block"] = [total.tobytes()]
-        return out
-
-    schema = f"{kinds}, row int, col int, size int, block binary"
-    return dealt.groupBy(*by, "_shard").applyInPandas(partial, schema).groupBy(*by, "row", "col").applyInPandas(add, schema)
+    dealt = centred.join(shape, by).join(numbers, [*by, kept]).select(*by, F.pmod(F.xxhash64(over), shards).alias("_shard"), over, "at", "value", size.alias("size"))
+    dealt = dealt.repartition(*by, "_shard").sortWithinPartitions(*by, "_shard", over)
+    k = len(by)
+
+    def give(held, product, types):
+        product.flush()
+        x, side = product.total, BLOCK
+        for i in range(0, len(x), side):
+            for j in range(i, len(x), side):
+                block = np.zeros((side, side))
+                part = x[i : i + side, j : j + side]
+                block[: part.shape[0], : part.shape[1]] = part
+                yield pa.RecordBatch.from_arrays([*[pa.array([v], t) for v, t in zip(held[:k], types, strict=False)], pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=[*by, "row", "col", "data"])
+
+    def each(batches):
+        held, product, types = None, None, None
+        for key, part in runs(batches, k + 1):
+            if product is None or key != held:
+                if product is not None:
+                    yield from give(held, product, types)
+                held, types, product = key, [c.type for c in part.columns[:k]], None  # one matrix at a time
+                product = Product(part.column(k + 4)[0].as_py())
+            product.feed(part.column(k + 1), part.column(k + 2).to_numpy(), part.column(k + 3).to_numpy())
+        if product is not None:
+            yield from give(held, product, types)
+
+    parts = dealt.mapInArrow(each, f"{kinds(dealt, by)}, row int, col int, data binary")
+    return added(parts, [*by, "row", "col"])
 
 
 def _pairs(blocks: DataFrame, numbers: DataFrame, kept: str, band: str | list[str]) -> DataFrame:
     """``band, i, j, g`` of blocks, for i <= j in order."""
     by = _list(band)
-    kinds = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in by)
 
     def each(parts):
         for pdf in parts:
             for r in pdf.to_dict("records"):
-                g = np.frombuffer(r["block"]).reshape(min(BLOCK, r["size"] - r["row"]), -1)
+                g = np.frombuffer(r["data"]).reshape(BLOCK, BLOCK)
                 i, j = np.indices(g.shape)
-                fine = (i + r["row"] <= j + r["col"]).ravel()
+                fine = (i + r["row"] <= j + r["col"]).ravel()  # those past the ends have no name and go
                 out = pd.DataFrame({"_i": (i.ravel() + r["row"])[fine], "_j": (j.ravel() + r["col"])[fine], "g": g.ravel()[fine]})
                 for c in reversed(by):
                     out.insert(0, c, r[c])
                 yield out
 
-    rows = blocks.mapInPandas(each, f"{kinds}, _i int, _j int, g double")
+    rows = blocks.mapInPandas(each, f"{kinds(blocks, by)}, _i int, _j int, g double")
     name = lambda at, to: numbers.select(*by, F.col(kept).cast("long").alias(to), F.col("at").alias(at))
     return rows.join(name("_i", "i"), [*by, "_i"]).join(name("_j", "j"), [*by, "_j"]).select(*by, "i", "j", "g")
 
@@ -124,50 +169,65 @@ def covariance(centred: DataFrame, shape: DataFrame, band: str | list[str] = "sp
     return _pairs(product_blocks(centred, shape, numbers, "time_pos", band, shard_cells), numbers, "feature", band)
 
 
-def eigen(blocks: DataFrame, shape: DataFrame, band: str | list[str] = "spw") -> DataFrame:
-    """``band, comp, singular_value, at, u``: vectors of the min(n, p) components, largest first.
+def eigen(blocks: DataFrame, shape: DataFrame, band: str | list[str] = "spw", stored: int = STORED) -> DataFrame:
+    """``band, comp, singular_value, at, u``: the min(n, p) components, largest first, and the vectors of the
+    first ``stored`` of them (one row without ``at`` and ``u`` for each of the rest).
 
-    What is below the rounding error of the largest is no component of the cells: its singular value
-    is 0.
+    A band's blocks come to one task, which holds the matrix and what its decomposition needs. What is
+    below the rounding error of the largest is no component of the cells: its singular value is 0.
     """
     by = _list(band)
-    kinds = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in by)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = int(pdf["size"].iloc[0])
-        g = np.zeros((size, size))
-        for r in pdf.to_dict("records"):
-            part = np.frombuffer(r["block"]).reshape(min(BLOCK, size - r["row"]), -1)
-            g[r["row"] : r["row"] + part.shape[0], r["col"] : r["col"] + part.shape[1]] = part
-            g[r["col"] : r["col"] + part.shape[1], r["row"] : r["row"] + part.shape[0]] = part.T
-        values, vectors = np.linalg.eigh(g)
-        k = min(int(pdf["n"].iloc[0]), int(pdf["p"].iloc[0]))
-        values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
-        values = np.where(values > values[0] * NOISE * size, values, 0.0)
-        comp = np.repeat(np.arange(k), size)
-        out = pd.DataFrame({"comp": comp, "singular_value": np.sqrt(values)[comp], "at": np.tile(np.arange(size), k), "u": vectors.T.ravel()})
-        for c in reversed(by):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
-
-    return blocks.join(shape, by).groupBy(*by).applyInPandas(solve, f"{kinds}, comp int, singular_value double, at int, u double")
+    k = len(by)
+    dealt = blocks.join(shape, by).select(*by, "row", "col", "n", "p", "data").repartition(*by).sortWithinPartitions(*by)
+
+    def solve(held, types, n, p, g):
+        values, vectors = np.linalg.eigh(g[: min(n, p), : min(n, p)], UPLO="U")
+        values = values[::-1]
+        values = np.where(values > values[0] * NOISE * len(values), values, 0.0)
+        found = np.sqrt(values)
+        for comp in range(len(values)):
+            rows = len(values) if comp < stored else 1
+            at, u = (np.arange(rows, dtype=np.int32), vectors[:, -1 - comp]) if comp < stored else ([None], [None])
+            yield pa.RecordBatch.from_arrays([*[pa.array([v] * rows, t) for v, t in zip(held, types, strict=True)], pa.array(np.full(rows, comp, np.int32)), pa.array(np.full(rows, found[comp])), pa.array(at, pa.int32()), pa.array(u, pa.float64())], names=[*by, "comp", "singular_value", "at", "u"])
+
+    def each(batches):
+        held, types, g, n, p = None, None, None, 0, 0
+        for key, part in runs(batches, k):
+            if g is None or key != held:
+                if g is not None:
+                    yield from solve(held, types, n, p, g)
+                held, types, n, p = key, [c.type for c in part.columns[:k]], part.column(k + 2)[0].as_py(), part.column(k + 3)[0].as_py()
+                g = np.zeros((-(-min(n, p) // BLOCK) * BLOCK,) * 2)
+            for i in range(part.num_rows):
+                row, col = part.column(k)[i].as_py(), part.column(k + 1)[i].as_py()
+                g[row : row + BLOCK, col : col + BLOCK] = numbers_in(part.column(k + 4), i).reshape(BLOCK, BLOCK)
+        if g is not None:
+            yield from solve(held, types, n, p, g)
+
+    return dealt.mapInArrow(each, f"{kinds(dealt, by)}, comp int, singular_value double, at int, u double")
 
 
 #: Share of the largest eigenvalue, for each row of the matrix, that rounding may leave in one that is 0.
 NOISE = 4 * float(np.finfo(float).eps)
 
 
-def explained(spectrum: DataFrame, band: str | list[str] = "spw") -> DataFrame:
-    """``evr`` and ``cum_evr`` for rows of (band, comp, singular_value); all 0 where nothing varies."""
+def explained(spectrum: DataFrame, band: str | list[str] = "spw", totals: DataFrame | None = None) -> DataFrame:
+    """``evr`` and ``cum_evr`` for rows of (band, comp, singular_value); all 0 where nothing varies.
+
+    The whole is the sum over a band's rows, or what ``totals(band, total)`` gives where the rows are only
+    its leading components.
+    """
     squares = F.col("singular_value") * F.col("singular_value")
-    total = F.sum(squares).over(Window.partitionBy(*_list(band)))
+    if totals is not None:
+        spectrum = spectrum.join(totals.withColumnRenamed("total", "_total"), _list(band))
+    total = F.sum(squares).over(Window.partitionBy(*_list(band))) if totals is None else F.col("_total")
     order = Window.partitionBy(*_list(band)).orderBy("comp").rowsBetween(Window.unboundedPreceding, 0)
-    return spectrum.withColumn("evr", F.when(total > 0, squares / total).otherwise(squares)).withColumn("cum_evr", F.sum("evr").over(order))
+    return spectrum.withColumn("evr", F.when(total > 0, squares / total).otherwise(squares)).withColumn("cum_evr", F.sum("evr").over(order)).drop("_total")
 
 
 def components_needed(spectrum: DataFrame, threshold: float = THRESHOLD, band: str | list[str] = "spw") -> DataFrame:
     """``band, n_components``: the first count whose ratios sum to the threshold; one more than there
-    are if none does."""
+    are if none does. For leading components only, null where they don't reach it (``Decomposition``)."""
     return spectrum.groupBy(*_list(band)).agg((F.count_if(F.col("cum_evr") < threshold) + 1).alias("n_components"))
 
 
@@ -177,44 +237,72 @@ def _largest_positive(value: str, place: str) -> Column:
 
 
 class Decomposition:
-    """Tables of one run, each a DataFrame keyed by band: ``mean, spectrum, scores, components, summary``.
+    """Tables of one run, each a DataFrame keyed by band: ``mean, spectrum, scores, components, needed, summary``.
+
+    A band whose smaller extent is at most ``dense`` is decomposed whole: all its singular values are in
+    ``spectrum``, and ``stored`` vectors. In a larger one the ``stored`` leading components are found by a
+    range finder over tiles; their ratios are of the band's whole variance, and ``needed`` is null where
+    they don't reach the threshold.
 
-    ``store`` writes the vectors of all bands, a small table, and reads them back, so that the tables
-    made from them do not each decompose again; without it each table is a plan of its own.
+    ``store`` writes the shapes and the vectors of all bands, small tables, and reads them back, so that
+    the tables made from them do not each decompose again; without it each table is a plan of its own.
     """
 
-    def __init__(self, cells: DataFrame, band: str | list[str] = "spw", stored: int = STORED, threshold: float = THRESHOLD, store=lambda df, name: df):
+    def __init__(self, cells: DataFrame, band: str | list[str] = "spw", stored: int = STORED, threshold: float = THRESHOLD, store=lambda df, name: df, dense: int = DENSE):
         by = self.by = _list(band)
         clean = zero_nonfinite(cells)
         self.replaced = clean.agg(F.count_if("replaced").alias("replaced"))
         self.mean = column_mean(clean, by)
         centred = centre_columns(clean.drop("replaced"), by)
-        shape = shapes(clean, by)
-        few, many = shape.where("n <= p"), shape.where("n > p")
+        shape = store(shapes(clean, by), "shapes")
+        kind = cells.schema["feature"].dataType.simpleString()
+        long_time = F.col("time_pos").cast("long").alias("time_pos")
+        few, many = shape.where(f"n <= p AND n <= {dense}"), shape.where(f"n > p AND p <= {dense}")
+        large = shape.where(f"least(n, p) > {dense}")
         # Few samples: vectors of the samples. Many: vectors of the features, which are the loadings.
         flat, tall = centred.join(few.select(*by), by, "left_semi"), centred.join(many.select(*by), by, "left_semi")
         samples, features = numbered(flat, "time_pos", by), numbered(tall, "feature", by)
-        kind = cells.schema["feature"].dataType.simpleString()
-        of_samples = eigen(product_blocks(flat, few, samples, "feature", by), few, by).join(samples, [*by, "at"])
-        of_features = eigen(product_blocks(tall, many, features, "time_pos", by), many, by).join(features, [*by, "at"])
-        of_samples = of_samples.select(*by, "comp", "singular_value", "u", F.col("time_pos").cast("long").alias("time_pos"), F.lit(None).cast(kind).alias("feature"))
+        of_samples = eigen(product_blocks(flat, few, samples, "feature", by), few, by, stored).join(samples, [*by, "at"], "left")
+        of_features = eigen(product_blocks(tall, many, features, "time_pos", by), many, by, stored).join(features, [*by, "at"], "left")
+        of_samples = of_samples.select(*by, "comp", "singular_value", "u", long_time, F.lit(None).cast(kind).alias("feature"))
         of_features = of_features.select(*by, "comp", "singular_value", "u", F.lit(None).cast("long").alias("time_pos"), F.col("feature").cast(kind).alias("feature"))
         vectors = store(of_samples.unionByName(of_features), "vectors")
         self.spectrum = explained(vectors.select(*by, "comp", "singular_value").distinct(), by)
         kept = vectors.where((F.col("comp") < stored) & (F.col("singular_value") > 0))
         rows, axes = kept.where("time_pos IS NOT NULL").drop("feature"), kept.where("feature IS NOT NULL").drop("time_pos")
-        loadings = flat.withColumn("time_pos", F.col("time_pos").cast("long")).join(rows, [*by, "time_pos"]).groupBy(*by, "comp", "feature").agg((F.sum(F.col("value") * F.col("u")) / F.first("singular_value")).alias("loading"))
+        loadings = flat.withColumn("time_pos", long_time).join(rows, [*by, "time_pos"]).groupBy(*by, "comp", "feature").agg((F.sum(F.col("value") * F.col("u")) / F.first("singular_value")).alias("loading"))
         loadings = loadings.unionByName(axes.select(*by, "comp", "feature", F.col("u").alias("loading")))
-        sign = loadings.groupBy(*by, "comp").agg(_largest_positive("loading", "feature").alias("_sign"))
-        self.components = loadings.join(sign, [*by, "comp"]).select(*by, "comp", "feature", (F.col("loading") * F.col("_sign")).alias("loading"))
         # A sample's score is its vector's entry times the singular value, or the sum over its cells.
-        of_cells = tall.join(axes.select(*by, "comp", "feature", "u"), [*by, "feature"]).groupBy(*by, "comp", F.col("time_pos").cast("long").alias("time_pos")).agg(F.sum(F.col("value") * F.col("u")).alias("score"))
+        of_cells = tall.join(axes.select(*by, "comp", "feature", "u"), [*by, "feature"]).groupBy(*by, "comp", long_time).agg(F.sum(F.col("value") * F.col("u")).alias("score"))
         scores = rows.select(*by, "comp", "time_pos", (F.col("u") * F.col("singular_value")).alias("score")).unionByName(of_cells)
+        needed = components_needed(self.spectrum, threshold, by)
+        if not large.isEmpty():
+            spectrum, more_loadings, more_scores = self._leading(centred.join(large.select(*by), by, "left_semi"), by, stored)
+            reached = spectrum.groupBy(*by).agg(F.max("cum_evr").alias("_reached"))
+            self.spectrum = self.spectrum.unionByName(spectrum)
+            loadings, scores = loadings.unionByName(more_loadings.withColumn("feature", F.col("feature").cast(kind))), scores.unionByName(more_scores)
+            more = components_needed(spectrum, threshold, by).join(reached, by)
+            needed = needed.unionByName(more.select(*by, F.when(F.col("_reached") >= threshold, F.col("n_components")).alias("n_components")))
+        sign = loadings.groupBy(*by, "comp").agg(_largest_positive("loading", "feature").alias("_sign"))
+        self.components = loadings.join(sign, [*by, "comp"]).select(*by, "comp", "feature", (F.col("loading") * F.col("_sign")).alias("loading"))
         self.scores = scores.join(sign, [*by, "comp"]).select(*by, "comp", "time_pos", (F.col("score") * F.col("_sign")).alias("score"))
-        self.needed = components_needed(self.spectrum, threshold, by)
+        self.needed = needed
         five = self.spectrum.where("comp < 5").groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("comp", "evr"))), lambda r: r["evr"]).alias("top5_evr"))
         self.summary = shape.select(*by, F.col("n").alias("n_samples"), F.col("p").alias("n_features")).join(self.needed, by).join(five, by)
 
+    @staticmethod
+    def _leading(centred: DataFrame, by: list[str], stored: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(spectrum, loadings, scores) of the leading components of bands that no task can hold."""
+        samples, features = (materialise(numbered(centred, c, by), f"{c}-numbers") for c in ("time_pos", "feature"))
+        placed = centred.join(samples.withColumnRenamed("at", "i"), [*by, "time_pos"]).join(features.withColumnRenamed("at", "j"), [*by, "feature"])
+        found = range_finder.RangeFinder(placed.select(*by, "i", "j", "value"), by, stored)
+        totals = centred.groupBy(*by).agg(F.sum(F.col("value") * F.col("value")).alias("total"))
+        real = found.values.where("singular_value > 0")
+        of = lambda vectors, names: vectors.join(real, [*by, "comp"]).join(names, [*by, "at"])
+        loadings = of(found.right, features).select(*by, "comp", "feature", F.col("u").alias("loading"))
+        scores = of(found.left, samples).select(*by, "comp", F.col("time_pos").cast("long").alias("time_pos"), (F.col("u") * F.col("singular_value")).alias("score"))
+        return explained(found.values, by, totals), loadings, scores
+
     TABLES = ("mean", "spectrum", "scores", "components", "needed", "summary")
 
     def of(self, **values) -> Decomposition:
