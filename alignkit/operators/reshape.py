@@ -14,12 +14,20 @@ def positive_axis(delays: DataFrame, band: str) -> DataFrame:
 
 def mirror_index(delays: DataFrame, band: str) -> DataFrame:
     """``band, dly_pos, dly, pos_idx, neg_idx``: for each positive delay the index whose delay is nearest
-    to its negative (the lowest index of equals). The axis is a small dimension table per band."""
+    to its negative (the lowest index of equals).
+
+    Delays and the wanted negatives are put in one order per band; the nearest is the last delay before
+    or the first one after a wanted place. No delay is compared with all others of its band.
+    """
     positive = positive_axis(delays, band)
-    other = delays.select(F.col(band), F.col("dly_idx").alias("neg_idx"), F.col("dly").alias("_other"))
-    pairs = positive.join(other, band)
-    best = pairs.groupBy(band, "dly_pos", "dly", F.col("dly_idx").alias("pos_idx")).agg(F.min(F.struct(F.abs(F.col("_other") + F.col("dly")).alias("d"), F.col("neg_idx"))).alias("_b"))
-    return best.select(band, "dly_pos", "dly", "pos_idx", F.col("_b.neg_idx").alias("neg_idx"))
+    wanted = positive.select(band, (-F.col("dly")).alias("_at"), F.lit(None).cast(delays.schema["dly_idx"].dataType).alias("_idx"), "dly_idx", "dly", "dly_pos")
+    there = delays.groupBy(band, F.col("dly").alias("_at")).agg(F.min("dly_idx").alias("_idx"))
+    both = there.unionByName(wanted, allowMissingColumns=True)
+    delay = F.when(F.col("_idx").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_idx").alias("idx")))
+    order = Window.partitionBy(band).orderBy("_at")
+    near = both.select("*", F.last(delay, True).over(order.rangeBetween(Window.unboundedPreceding, 0)).alias("_below"), F.first(delay, True).over(order.rangeBetween(0, Window.unboundedFollowing)).alias("_above"))
+    away = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["at"] + F.col("dly")).alias("d"), F.col(c)["idx"].alias("idx")))
+    return near.where("dly_pos IS NOT NULL").select(band, "dly_pos", "dly", F.col("dly_idx").alias("pos_idx"), F.least(away("_below"), away("_above"))["idx"].alias("neg_idx"))
 
 
 def fold_axis(cells: DataFrame, delays: DataFrame, band: str, by: list[str], value: str = "value") -> DataFrame:

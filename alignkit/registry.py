@@ -66,7 +66,7 @@ _COMMON = f"""{_SINGLE}, c AS (SELECT wid, (dense_rank() OVER (ORDER BY wid) - 1
 
 def _assigned(spark, sf_dir) -> DataFrame:
     rows = _events(spark, sf_dir, "event_id", "event_type")
-    return grid.assign_windows(rows, grid.window_grid(rows, "event_type", "t", MINUTES_20), "t")
+    return grid.assign_windows(rows, grid.settled(grid.window_grid(rows, "event_type", "t", MINUTES_20)), "t")
 
 
 def _aligned(spark, sf_dir) -> DataFrame:
@@ -167,7 +167,7 @@ pv AS (SELECT band, wid, series, CASE WHEN weight > 0 THEN num / weight ELSE 0 E
 
 def _panel_means(spark, sf_dir) -> DataFrame:
     rows = _panel(spark, sf_dir)
-    assigned = grid.assign_windows(rows, grid.window_grid(rows.select("series", "t"), "series", "t", DAYS_30), "t")
+    assigned = grid.assign_windows(rows, grid.settled(grid.window_grid(rows.select("series", "t"), "series", "t", DAYS_30)), "t")
     kept = align.align_rows(assigned, align.common_windows(assigned, "series"))
     return reduce.weighted_group_mean(kept, ["band", "wid", "series"], "value", "noise")
 
