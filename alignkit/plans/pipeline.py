@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, catalog, decompose, grid, groups, match, reduce, reshape
 from ..sources import writers
-from ..sources.scratch import file_facts, materialise
+from ..sources.scratch import file_facts, materialise, observed
 
 VERSION = "0.2"
 
@@ -53,50 +53,49 @@ def align_samples(cells: DataFrame, delays: DataFrame, lengths: DataFrame, param
     do a spread over the window length and a polarisation that no cell has.
     """
     began, spark = time.perf_counter(), cells.sparkSession
+    count = F.count(F.lit(1))
     cells = align.select_bands(cells, "spw", list(params.bands))
     if params.pol is not None:
         cells = align.select_polarisation(cells, params.pol).drop("polpair")
     cells = align.keep_first_keys(cells, "blpair", params.max_keys)
     grouped = "noise" in cells.columns
     first = cells.agg(F.min("spw").alias("_spw"))
-    probe = cells.join(F.broadcast(first), F.col("spw") == F.col("_spw")).drop("_spw")  # the broadcast is one row
-    alive = probe.groupBy("blpair").agg(F.max(F.when(F.col("value") != 0, 1).otherwise(0)).alias("_alive"))
-    pairs = cells.select("blpair", "time_jd", "lst_rad").distinct().join(alive, "blpair", "left").withColumn("_alive", F.coalesce("_alive", F.lit(1)))
-    times = materialise(pairs, "align-times")
-    live = times.where("_alive = 1").drop("_alive")
+    probed = F.when(F.col("spw") == F.col("_spw"), F.when(F.col("value") != 0, 1).otherwise(0))
+    place = F.struct("time_jd", "lst_rad")
+    keys = cells.crossJoin(F.broadcast(first)).groupBy("blpair").agg(F.coalesce(F.max(probed), F.lit(1)).alias("_alive"), F.min(place).alias("_first"))  # the broadcast is one row
+    pairs = cells.select("blpair", "time_jd", "lst_rad").distinct().join(keys, "blpair").withColumn("_new", place == F.col("_first")).drop("_first")
+    live, dead = F.col("_alive") == 1, F.col("_alive") == 0
+    times, seen = observed(pairs, "align-times", live_pairs=F.count_if(live), live_keys=F.count_if(live & F.col("_new")), dead_keys=F.count_if(dead & F.col("_new")))
+    alive = times.where(live).select("blpair", "time_jd", "lst_rad")
     # One row decides the grid; as literals it keeps every later plan short.
-    found = grid.window_grid(live, "blpair", "time_jd", params.window_seconds)
-    row = found.first()
-    grid_row = spark.createDataFrame([tuple(row)], found.schema)
-    assigned = grid.assign_windows(live, grid_row, "time_jd")
-    single = align.drop_ambiguous_rows(assigned, "blpair")
-    aligned = materialise(align.align_rows(single, align.common_windows(single, "blpair", assigned)), "align-rows")
-    widest = align.centroid_spread(aligned, "time_jd").first()[0]
-    if widest is None:
+    found = grid.settled(grid.window_grid(alive, "blpair", "time_jd", params.window_seconds))
+    assigned = grid.assign_windows(alive, found, "time_jd")
+    single, kept = observed(align.drop_ambiguous_rows(assigned, "blpair"), "align-single", pairs=count)
+    common = align.common_windows(single, "blpair", alive)
+    aligned = materialise(align.align_rows(single, common), "align-rows")
+    spread = (F.max("time_jd") - F.min("time_jd")).alias("_spread")
+    centres = aligned.groupBy("time_pos").agg(F.min("centre").alias("time_jd"), F.min_by("lst_rad", "blpair").alias("lst_rad"), spread)
+    centres, windows = observed(centres, "align-centres", n=count, widest=F.max("_spread"))
+    if not windows["n"]:
         raise ValueError("no window is common to all keys")
-    if params.check_spread and row.window_days is not None and widest > row.window_days * 86400.0:
+    widest = windows["widest"] * 86400.0
+    if params.check_spread and found.window_days is not None and widest > found.window_days * 86400.0:
         raise ValueError("times inside a window spread over more than its length")
     members = groups.restrict_groups(groups.tolerance_groups(lengths, "blpair", "length_m", params.length_tol), aligned, "blpair")
     wide = cells.join(aligned.select("blpair", "time_jd", "time_pos"), ["blpair", "time_jd"]).join(members.select("blpair", "group_id"), "blpair")
-    means = materialise(reduce.weighted_group_mean(wide, ["spw", "time_pos", "group_id", "dly_idx"], "value", "noise" if grouped else None), "align-means")
+    means = reduce.weighted_group_mean(wide, ["spw", "time_pos", "group_id", "dly_idx"], "value", "noise" if grouped else None)
+    means, weightless = observed(means, "align-means", cells=F.count_if(~(F.col("weight") > 0)))
     folded = reshape.flatten_features(reshape.fold_axis(means, delays, "spw", ["time_pos", "group_id"]), "spw")
     samples = materialise(folded.withColumn("branch", F.lit(branch)), "align-samples")
-    summary = materialise(groups.group_summary(members, "blpair", "length_m").withColumn("branch", F.lit(branch)), "align-groups")
+    summary, grouped_keys = observed(groups.group_summary(members, "blpair", "length_m").withColumn("branch", F.lit(branch)), "align-groups", n=count, keys=F.sum("n_keys"))
     axis = reshape.with_coordinates(reshape.positive_axis(delays, "spw"), kparas, ["spw", "dly_idx"]).select("spw", "dly_pos", "dly", "kpara", "kperp").withColumn("branch", F.lit(branch))
-    counters = (
-        times.agg(F.count_distinct(F.when(F.col("_alive") == 0, F.col("blpair"))).alias("dropped_dead_keys"), F.count_if(F.col("_alive") == 1).alias("_all"))
-        .crossJoin(single.agg(F.count(F.lit(1)).alias("_single")))
-        .crossJoin(aligned.agg(F.count_distinct("wid").alias("n_common_windows")))
-        .crossJoin(summary.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_keys").alias("n_live_keys")))
-        .crossJoin(reduce.zero_weight_cells(means))
-        .crossJoin(grid_row)
-        .withColumn("max_spread_seconds", F.lit(widest))
-        .withColumn("dropped_ambiguous_rows", F.col("_all") - F.col("_single"))
-        .drop("_all", "_single")
-    )
-    centres = aligned.groupBy("time_pos").agg(F.min("centre").alias("time_jd")).join(align.window_coordinate(aligned, "blpair", "lst_rad"), "time_pos").withColumn("branch", F.lit(branch))
+    counters = spark.range(1).select(
+        F.lit(seen["dead_keys"]).cast("long").alias("dropped_dead_keys"), F.lit(windows["n"]).cast("long").alias("n_common_windows"), F.lit(grouped_keys["n"]).cast("long").alias("n_groups"),
+        F.lit(grouped_keys["keys"]).cast("long").alias("n_live_keys"), F.lit(weightless["cells"]).cast("long").alias("zero_weight_cells"), F.lit(found.anchor).cast("double").alias("anchor"),
+        F.lit(found.window_days).cast("double").alias("window_days"), F.lit(widest).alias("max_spread_seconds"), F.lit(seen["live_pairs"] - kept["pairs"]).cast("long").alias("dropped_ambiguous_rows"),
+    )
     parameters = asdict(params) | {"branch": branch, "weights": "1 / noise^2" if grouped else "uniform"}
-    return Aligned(samples, materialise(centres, "align-centres"), summary, axis, counters, parameters, time.perf_counter() - began)
+    return Aligned(samples, centres.drop("_spread").withColumn("branch", F.lit(branch)), summary, axis, counters, parameters, time.perf_counter() - began)
 
 
 def provenance(run: Aligned, inputs: dict[str, str], command: str) -> DataFrame:
@@ -127,7 +126,12 @@ def with_coordinates(loadings: DataFrame, aligned: Aligned) -> DataFrame:
 
 
 def decompose_samples(cells: DataFrame, threshold: float = decompose.THRESHOLD, stored: int = decompose.STORED, band: str | list[str] = "spw") -> decompose.Decomposition:
-    return decompose.Decomposition(cells, band, stored, threshold, store=materialise)
+    """Decomposition of cells, which are written once with what is not finite replaced by 0; ``n_replaced`` of
+    the result is how many were, counted in that write."""
+    kept, seen = observed(decompose.zero_nonfinite(cells), "decompose-cells", replaced=F.count_if("replaced"))
+    run = decompose.Decomposition(kept.drop("replaced"), band, stored, threshold, store=materialise)
+    run.n_replaced = seen["replaced"]
+    return run
 
 
 def contrast_samples(left: DataFrame, right: DataFrame, tol_seconds: float = 60.0) -> DataFrame:
@@ -159,7 +163,7 @@ def run_branches(left: Aligned, right: Aligned, tol_seconds: float = 60.0) -> di
     for name, part in parts.items():
         own = part.withColumn("run", F.lit(name)).withColumn("time_pos", F.col("time_pos").cast("long"))
         both = own if both is None else both.unionByName(own)
-    whole = decompose_samples(materialise(both, "branches"), band=["run", "spw"])
+    whole = decompose_samples(both, band=["run", "spw"])
     return {name: whole.of(run=name) for name in parts}
 
 

@@ -666,12 +666,20 @@ def spectra_cells(spark, sf_dir):
 
 
 def _headers(spark, sf_dir) -> DataFrame:
-    """Long headers of one file per source: scalars, arrays, a polarisation list, a history, data shapes."""
-    docs = _read(spark, sf_dir, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit(".uvh5")).alias("file"), "doc_id", "n_chars", "lang")
-    row = lambda part, key, at, value: F.struct(F.lit(part).alias("part"), F.lit(key).alias("key"), at.cast("long").alias("at"), value.cast("string").alias("value"))
-    i, n = F.col("doc_id"), F.col("n_chars")
-    rows = F.array(row("Header", "Ntimes", F.lit(0), F.lit(3)), row("Header", "freq_array", i, n), row("Header", "integration_time", i, n / 2), row("Header", "polarization_array", i, i), row("Header", "history", F.lit(0), F.lit("made by hand")), row("Data", "visdata", F.lit(0), F.lit(7)), row("Data", "visdata", F.lit(1), F.lit(5)), row("Root", "Header", F.lit(0), F.lit("")), row("Root", "Data", F.lit(0), F.lit("")))
-    return docs.select("file", F.explode(rows).alias("r")).select("file", "r.*").distinct()
+    """Long headers of one file per source (scalars, arrays, polarisations, a history, data shapes), of one per
+    language that has names at its root only, and the names at the root of the containers."""
+    docs = _read(spark, sf_dir, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit(".uvh5")).alias("file"), "doc_id", "n_chars", "lang", "source", "text")
+    row = lambda part, key, at, value: F.struct(F.lit(part).alias("part"), key.alias("key"), at.cast("long").alias("at"), value.cast("string").alias("value"))
+    zero, one, none, i, n = F.lit(0), F.lit(1), F.lit(""), F.col("doc_id"), F.col("n_chars")
+    arrays = docs.select("file", F.explode(F.array(row("Header", F.lit("freq_array"), i, n), row("Header", F.lit("integration_time"), i, n / 2))).alias("r"))
+    files = docs.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("m"), F.min("text").alias("text"))
+    facts = [row("Header", F.lit("Ntimes"), zero, F.col("n")), row("Header", F.lit("history"), zero, F.col("text")), row("Data", F.lit("visdata"), zero, F.col("n")), row("Data", F.lit("visdata"), one, F.col("m")), row("Root", F.lit("Header"), zero, none), row("Root", F.lit("Data"), zero, none)]
+    code = F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))
+    pols = docs.where("lang IS NOT NULL").select("file", row("Header", F.lit("polarization_array"), code, code).alias("r")).distinct()
+    bare = docs.where("lang IS NOT NULL").select(F.concat("lang", F.lit(".uvh5")).alias("file"), row("Root", F.coalesce("source", F.lit("none")), zero, none).alias("r")).distinct()
+    groups_of = _read(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", F.lit(".pspec.h5")).alias("file"), row("Root", F.col("l_linestatus"), zero, none).alias("r")).distinct()
+    whole = arrays.unionAll(files.select("file", F.explode(F.array(*facts)).alias("r"))).unionAll(pols).unionAll(bare).unionAll(groups_of)
+    return whole.select("file", "r.*")
 
 
 _BY_SOURCE = "(SELECT coalesce(source, 'none') || '.uvh5' AS file, doc_id, n_chars FROM documents)"
@@ -683,7 +691,8 @@ SELECT file, '3' AS ntimes, min(n_chars)::DOUBLE AS low, max(n_chars)::DOUBLE AS
 """)
 def visibility_profile(spark, sf_dir):
     """Scalars, ranges, medians, polarisation list, history, shapes and root keys of headers."""
-    p = tables.profile_headers(_headers(spark, sf_dir))
+    headers = _headers(spark, sf_dir)
+    p = tables.profile_headers(headers.where(tables.profile_kind(F.col("file")) == "visibility"))
     text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
     return p.select("file", F.col("scalars")["Ntimes"].alias("ntimes"), F.col("freq_range_hz")[0].alias("low"), F.col("freq_range_hz")[1].alias("high"), "integration_time_s", "channel_width_hz", text(F.col("polarization_array")).alias("pols"), "history_head", text(F.col("data_datasets")["visdata"]).alias("shape"), text(F.col("root_keys")).alias("root_keys"))
 
@@ -715,9 +724,9 @@ UNION ALL SELECT file, 'visibility', '3', NULL FROM {_BY_SOURCE} GROUP BY file U
 def profiles_by_kind(spark, sf_dir):
     """Visibility headers, sky models and containers, each by its own profile, in one table."""
     plain = _headers(spark, sf_dir)
-    sky = plain.withColumn("file", F.regexp_replace("file", "uvh5$", "skyh5"))
+    sky = plain.where("file NOT LIKE '%.pspec.h5'").withColumn("file", F.regexp_replace("file", "uvh5$", "skyh5"))
     p = tables.profile_by_kind(plain.unionByName(sky), _containers(spark, sf_dir))
-    return p.select("file", "kind", F.try_element_at("scalars", F.lit("Ntimes")).alias("ntimes"), "n_spws")
+    return p.select("file", "kind", F.try_element_at("scalars", F.lit("Ntimes")).alias("ntimes"), "n_spws", F.concat_ws(",", "root_keys").alias("root_keys"))
 
 
 @query("SELECT d.doc_id::VARCHAR AS product_id, d.lang AS file_format, l.quality::VARCHAR AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")

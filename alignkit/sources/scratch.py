@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -60,6 +60,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def observed(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, dict]:
+    """``materialise(df, name)`` and counters of its rows, taken in the tasks that write them.
+
+    A task's counts are added once, when the write accepts its rows: a lost or repeated task does not count
+    twice. So the counters are of the frame that is written and not of one below a shuffle.
+    """
+    seen = Observation()
+    out = materialise(df.observe(seen, *[c.alias(n) for n, c in counters.items()]), name)
+    return out, seen.get
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised frame that no later step reads."""
     path = getattr(df, "scratch", None)

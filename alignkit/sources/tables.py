@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import exact_medians
+
 PRODUCT_SCHEMA = (
     "product_id string, role string, path string, file_format string, n_files int, filename_convention string, sky_components string, "
     "corruptions string, generator string, meta_label string, sample_metadata map<string,string>"
@@ -105,14 +107,14 @@ RANGES = {"freq_array": "freq_range_hz", "time_array": "time_range_jd", "lst_arr
 HISTORY_HEAD = 600
 
 
-def profile_headers(headers: DataFrame, scalars=VISIBILITY_KEYS, ranges: dict[str, str] | None = None, medians: dict[str, str] | None = None, lists: dict[str, str] | None = None) -> DataFrame:
+def profile_headers(headers: DataFrame, scalars=VISIBILITY_KEYS, ranges: dict[str, str] | None = None, medians: dict[str, str] | None = None, lists: dict[str, str] | None = None, root_always: bool = False) -> DataFrame:
     """One row per file from long headers ``file, part, key, at, value`` (value as text; part ``Header`` or
     ``Data``; ``at`` the place of an array's element, 0 of a scalar):
 
     present scalars as a map, ``[min, max]`` of array keys, medians of others (a scalar's is itself),
     lists of integers in their order, the history's first 600 characters, of data sets their shapes as a
-    map, and the sorted names at the file's root (``root_keys``; rows of part ``Root``). A file without
-    ``Header`` rows has its root keys only. Absent keys are null.
+    map. A file without ``Header`` rows has the sorted names at its root instead (``root_keys``; rows of part
+    ``Root``) and nothing else; with ``root_always`` these come with the rest. Absent keys are null.
     """
     number, header = F.expr("try_cast(value AS double)"), F.col("part") == "Header"
     has = F.max(F.when(header, 1))
@@ -121,8 +123,6 @@ def profile_headers(headers: DataFrame, scalars=VISIBILITY_KEYS, ranges: dict[st
     for key, name in (RANGES if ranges is None else ranges).items():
         value = own(key, number)
         aggs.append(F.when(F.count(value) > 0, F.array(F.min(value), F.max(value))).alias(name))
-    for key, name in ({"integration_time": "integration_time_s", "channel_width": "channel_width_hz"} if medians is None else medians).items():
-        aggs.append(F.median(own(key, number)).alias(name))
     for key, name in ({"polarization_array": "polarization_array"} if lists is None else lists).items():
         items = F.sort_array(F.collect_list(own(key, F.struct("at", number.cast("int").alias("v")))))
         aggs.append(F.when(F.size(items) > 0, F.transform(items, lambda x: x["v"])).alias(name))
@@ -132,17 +132,32 @@ def profile_headers(headers: DataFrame, scalars=VISIBILITY_KEYS, ranges: dict[st
     aggs.append(F.when(F.size(axes) > 0, F.map_from_entries(shapes)).alias("data_datasets"))
     aggs.append(F.array_sort(F.collect_set(F.when(F.col("part") == "Root", F.col("key")))).alias("_root"))
     out = headers.groupBy("file").agg(*aggs, has.alias("_has"))
-    return out.withColumn("root_keys", F.when(F.size("_root") > 0, F.col("_root"))).drop("_root", "_has")
+    middles = {"integration_time": "integration_time_s", "channel_width": "channel_width_hz"} if medians is None else medians
+    if middles:
+        # An array's median is selected by counts, so no task holds a file's whole array.
+        cells = headers.where(header & F.col("key").isin(*middles)).select("file", "key", number.alias("v"))
+        found = exact_medians(cells, ["file", "key"], "v").groupBy(F.col("file").alias("_file")).agg(*[F.max(F.when(F.col("key") == k, F.col("median"))).alias(n) for k, n in middles.items()])
+        out = out.join(found, F.col("file").eqNullSafe(F.col("_file")), "left").drop("_file")
+    there = F.lit(True) if root_always else F.col("_has") == 1
+    rest = [F.when(there, F.col(c)).alias(c) for c in out.columns if c not in ("file", "_root", "_has")]
+    root = F.when((F.size("_root") > 0) & (F.lit(True) if root_always else F.col("_has").isNull()), F.col("_root"))
+    return out.select("file", *rest, root.alias("root_keys"))
 
 
 def profile_sky(headers: DataFrame) -> DataFrame:
     """The profile of sky models: their scalars, frequency range, shapes and root keys."""
-    return profile_headers(headers, SKY_KEYS, {"freq_array": "freq_range_hz"}, {}, {}).drop("history_head")
+    return profile_headers(headers, SKY_KEYS, {"freq_array": "freq_range_hz"}, {}, {}, root_always=True).drop("history_head")
+
+
+def root_names(headers: DataFrame) -> DataFrame:
+    """``file, root_keys``: the sorted names at the root of each file (rows of part ``Root``)."""
+    return headers.where("part = 'Root'").groupBy("file").agg(F.array_sort(F.collect_set("key")).alias("root_keys"))
 
 
-def profile_containers(entries: DataFrame) -> DataFrame:
+def profile_containers(entries: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Spectrum containers ``file, grp, spectrum, spw, freq``: groups of each file, and the spectra of its
-    first group and the frequency range per band of that group's first spectrum only.
+    first group and the frequency range per band of that group's first spectrum only; with ``headers`` also
+    the names at the file's root.
 
     Where ``entries`` also has ``polpair, blpair, time, dly, units, vis_units, taper, norm, history``, of the
     same first spectrum: counts of bands, polarisations, pairs, rows and times, the polarisation codes in
@@ -154,6 +169,8 @@ def profile_containers(entries: DataFrame) -> DataFrame:
     bands = own.groupBy("file", "spw").agg(F.array(F.min("freq"), F.max("freq")).alias("freq_range"))
     packed = bands.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("spw", "freq_range"))).alias("spw_ranges"), F.count(F.lit(1)).alias("n_spws"))
     out = listed.select("file", "groups", F.col("_first.grp").alias("first_group"), F.col("_first.spectrum").alias("first_spectrum"), spectra.alias("spectra")).join(packed, "file", "left")
+    if headers is not None:
+        out = out.join(root_names(headers), "file", "left")
     if "polpair" not in entries.columns:
         return out
     distinct = lambda *c: F.count_distinct(*c)
@@ -170,7 +187,7 @@ def profile_by_kind(headers: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per file: its suffix tells whether it is profiled as a container, a sky model or
     visibilities; what a kind does not have is null."""
     kind = profile_kind(F.col("file"))
-    parts = {"visibility": profile_headers(headers.where(kind == "visibility")), "skymodel": profile_sky(headers.where(kind == "skymodel")), "pspec": profile_containers(entries.where(kind == "pspec"))}
+    parts = {"visibility": profile_headers(headers.where(kind == "visibility")), "skymodel": profile_sky(headers.where(kind == "skymodel")), "pspec": profile_containers(entries.where(kind == "pspec"), headers.where(kind == "pspec"))}
     out = None
     for name, part in parts.items():
         own = part.withColumn("kind", F.lit(name))
