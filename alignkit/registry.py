@@ -682,12 +682,14 @@ def _headers(spark, sf_dir) -> DataFrame:
     return whole.select("file", "r.*")
 
 
-_BY_SOURCE = "(SELECT coalesce(source, 'none') || '.uvh5' AS file, doc_id, n_chars FROM documents)"
+_HEADERS = "(SELECT coalesce(source, 'none') || '.uvh5' AS file, * FROM documents)"
 
 
 @query(f"""
-SELECT file, '3' AS ntimes, min(n_chars)::DOUBLE AS low, max(n_chars)::DOUBLE AS high, median(n_chars / 2.0)::DOUBLE AS integration_time_s, NULL::DOUBLE AS channel_width_hz, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS pols,
-       'made by hand' AS history_head, '7,5' AS shape, 'Data,Header' AS root_keys FROM {_BY_SOURCE} GROUP BY file
+SELECT file, count(*)::VARCHAR AS ntimes, min(n_chars)::DOUBLE AS low, max(n_chars)::DOUBLE AS high, median(n_chars / 2.0)::DOUBLE AS integration_time_s, NULL::DOUBLE AS channel_width_hz,
+       coalesce(string_agg(DISTINCT (ascii(lang) * 256 + ascii(lang[2]))::VARCHAR, ',' ORDER BY (ascii(lang) * 256 + ascii(lang[2]))::VARCHAR), '') AS pols,
+       left(min(text), 600) AS history_head, count(*) || ',' || max(n_chars) AS shape, '' AS root_keys FROM {_HEADERS} GROUP BY file
+UNION ALL SELECT lang || '.uvh5', NULL, NULL, NULL, NULL, NULL, '', NULL, '', string_agg(DISTINCT coalesce(source, 'none'), ',' ORDER BY coalesce(source, 'none')) FROM documents WHERE lang IS NOT NULL GROUP BY lang
 """)
 def visibility_profile(spark, sf_dir):
     """Scalars, ranges, medians, polarisation list, history, shapes and root keys of headers."""
@@ -719,8 +721,12 @@ def container_counts(spark, sf_dir):
 
 
 @query(f"""WITH {_CONTAINERS}
-SELECT file, 'pspec' AS kind, NULL::VARCHAR AS ntimes, count(DISTINCT spw) AS n_spws FROM o GROUP BY file
-UNION ALL SELECT file, 'visibility', '3', NULL FROM {_BY_SOURCE} GROUP BY file UNION ALL SELECT replace(file, '.uvh5', '.skyh5'), 'skymodel', NULL, NULL FROM {_BY_SOURCE} GROUP BY file""")
+SELECT file, 'pspec' AS kind, NULL::VARCHAR AS ntimes, count(DISTINCT spw) AS n_spws, any_value(roots) AS root_keys
+FROM o JOIN (SELECT file, string_agg(DISTINCT grp, ',' ORDER BY grp) AS roots FROM e GROUP BY file) USING (file) GROUP BY file
+UNION ALL SELECT file, 'visibility', count(*)::VARCHAR, NULL, '' FROM {_HEADERS} GROUP BY file
+UNION ALL SELECT DISTINCT replace(file, '.uvh5', '.skyh5'), 'skymodel', NULL, NULL, 'Data,Header' FROM {_HEADERS}
+UNION ALL SELECT lang || x.suffix, x.kind, NULL, NULL, string_agg(DISTINCT coalesce(source, 'none'), ',' ORDER BY coalesce(source, 'none'))
+FROM documents, (VALUES ('.uvh5', 'visibility'), ('.skyh5', 'skymodel')) x(suffix, kind) WHERE lang IS NOT NULL GROUP BY lang, x.suffix, x.kind""")
 def profiles_by_kind(spark, sf_dir):
     """Visibility headers, sky models and containers, each by its own profile, in one table."""
     plain = _headers(spark, sf_dir)
