@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import SECONDS_PER_DAY
@@ -53,9 +53,36 @@ def infer_window(rows: DataFrame, key: str, time: str, seconds: float = -1.0, sa
 
 
 def infer_integration(rows: DataFrame, time: str) -> DataFrame:
-    """One row: ``integration_seconds``, the median gap under 30 s between distinct times, else 0."""
-    gaps = steps(rows.select(time).distinct(), [], time).select((F.col("step") * SECONDS_PER_DAY).alias("gap")).where(F.col("gap") < INTEGRATION_LIMIT)
-    return exact_medians(gaps, [], "gap").agg(F.coalesce(F.max("median"), F.lit(0.0)).alias("integration_seconds"))
+    """One row: ``integration_seconds``, the median gap under 30 s between distinct times, else 0.
+
+    A gap under the limit joins a time to one of its own cell of 30 s or of the cell before, so times
+    are ordered inside cells only, and a cell's first time meets the last one of the cell before.
+    """
+    times = rows.select(F.col(time).alias("t"), F.floor(F.col(time) * (SECONDS_PER_DAY / INTEGRATION_LIMIT)).alias("_cell")).where("t IS NOT NULL").distinct()
+    order = Window.partitionBy("_cell").orderBy("t")
+    inside = times.select(F.col("t"), F.lag("t").over(order).alias("_before")).where("_before IS NOT NULL")
+    ends = times.groupBy("_cell").agg(F.min("t").alias("t"), F.max("t").alias("_last"))
+    across = ends.select("_cell", "t").join(ends.select((F.col("_cell") + 1).alias("_cell"), F.col("_last").alias("_before")), "_cell").select("t", "_before")
+    gaps = inside.unionAll(across).select(((F.col("t") - F.col("_before")) * SECONDS_PER_DAY).alias("gap")).where(F.col("gap") < INTEGRATION_LIMIT)
+    return bounded_median(gaps, "gap", 0.0, INTEGRATION_LIMIT).select(F.coalesce("median", F.lit(0.0)).alias("integration_seconds"))
+
+
+def bounded_median(values: DataFrame, value: str, low: float, high: float, cells: int = 4096) -> DataFrame:
+    """One row: ``median`` of a column with values in [low, high); null if there is none.
+
+    Equal values are counted first. The counts per cell tell which cell holds the middle, and only
+    that cell's values are put in order, so no task holds all values.
+    """
+    counts = values.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", F.floor((F.col("_v") - low) * (cells / (high - low))))
+    sums = counts.groupBy("_cell").agg(F.sum("_n").alias("_n"))
+    running = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sums.select("_cell", (F.sum("_n").over(running) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    first, second = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    own = counts.join(F.broadcast(placed), "_cell")
+    order = Window.partitionBy("_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = own.withColumn("_end", F.col("_before") + F.sum("_n").over(order))
+    at = lambda k: F.max(F.when((k < F.col("_end")) & (k >= F.col("_end") - F.col("_n")), F.col("_v")))
+    return ranked.agg(((at(first) + at(second)) / 2.0).alias("median"))
 
 
 def window_grid(rows: DataFrame, key: str, time: str, seconds: float = -1.0, sample_keys: int | None = SAMPLE_KEYS) -> DataFrame:

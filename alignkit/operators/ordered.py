@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, materialise
 
-#: Cells that a range of values is cut into, to tell which one holds a rank.
-CELLS = 1024
+#: Cells that a range of values is cut into, to tell which one holds a rank, and how many values may be put in
+#: order at the end.
+CELLS, FEW = 1024, 4096
 
 
 def dealt_in_order(rows: DataFrame, by: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
@@ -42,9 +43,10 @@ def exact_medians(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """``by, median`` of each group's values that are neither null nor NaN; groups without any are left out.
 
     Selection by counts, as by digits: values are counted by power of two and sign, then by ``CELLS`` equal
-    cells of the range that holds the middle, until that range is one value. A round hands on a count,
-    the least and the largest value for each group and cell; what is stored between rounds is a row for
-    each group. No round depends on known limits, and none gathers a group.
+    cells of the range that holds the middle, until that range is one value or has at most ``FEW``, which
+    are put in order. A round hands on a count, the least and the largest value for each group and cell;
+    what is stored between rounds is a row for each group. No round depends on known limits, and none
+    gathers a group.
     """
     x = F.col("_v")
     held = materialise(values.select(*by, F.col(value).cast("double").alias("_v")).where(x.isNotNull() & ~F.isnan("_v")), "median-values")
@@ -58,22 +60,27 @@ def exact_medians(values: DataFrame, by: list[str], value: str) -> DataFrame:
         running = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
         placed = counted.withColumn("_end", F.sum("_n").over(running)).withColumn("_rank", rank)
         kept = placed.where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n")))
-        return kept.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_low", "_high", (F.col("_rank") - F.col("_end") + F.col("_n")).alias("_rank"))
+        return kept.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_low", "_high", (F.col("_rank") - F.col("_end") + F.col("_n")).alias("_rank"), "_n")
 
     parts = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
     first = held.groupBy(*by, power.cast("int").alias("_cell")).agg(*parts)
     whole = F.floor((F.sum("_n").over(Window.partitionBy(*by)) - 1) / 2)
     state = materialise(chosen(first, whole), "median")
-    while not state.where("_low < _high").isEmpty():
+    wide = (F.col("_low") < F.col("_high")) & (F.col("_n") > FEW)
+    while not state.where(wide).isEmpty():
         share = (x - F.col("_low")) / (F.col("_high") - F.col("_low")) * CELLS
-        near = joined(state.where("_low < _high")).where(x.between(F.col("_low"), F.col("_high")))
+        near = joined(state.where(wide).drop("_n")).where(x.between(F.col("_low"), F.col("_high")))
         counted = near.groupBy(*by, F.least(F.floor(share), F.lit(CELLS - 1)).alias("_cell"), F.col("_rank").alias("_wanted")).agg(*parts)
-        last, state = state, materialise(chosen(counted, F.col("_wanted")).unionByName(state.where("_low >= _high")), "median")
+        last, state = state, materialise(chosen(counted, F.col("_wanted")).unionByName(state.where(~wide)), "median")
         discard(last)
-    # The lower of the middle values is found; the other one is equal to it or the next larger value.
-    sides = joined(state).groupBy(*by, F.col("_low").alias("_m")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(x <= F.col("_low")).alias("_upto"), F.min(F.when(x > F.col("_low"), x)).alias("_next"))
-    other = F.when(F.col("_upto") > F.floor(F.col("_n") / 2), F.col("_m")).otherwise(F.col("_next"))
-    return sides.select(*by, F.when(other == F.col("_m"), F.col("_m")).otherwise((F.col("_m") + other) / 2.0).alias("median"))
+    # The range that holds the lower of the middle values is one value, or few; the other is the next one.
+    inside = x.between(F.col("_low"), F.col("_high"))
+    last = joined(state.drop("_n")).groupBy(*by, "_low", "_high", "_rank").agg(F.count(F.lit(1)).alias("_n"), F.count_if(x <= F.col("_high")).alias("_upto"), F.min(F.when(x > F.col("_high"), x)).alias("_next"), F.sort_array(F.collect_list(F.when(inside & (F.col("_low") < F.col("_high")), x))).alias("_few"))
+    at = lambda k: F.coalesce(F.get("_few", k.cast("int")), F.col("_low"))
+    low = at(F.col("_rank"))
+    inner = F.when(F.floor(F.col("_n") / 2) < F.col("_upto"), at(F.col("_rank") + 1)).otherwise(F.col("_next"))
+    high = F.when(F.col("_n") % 2 == 1, low).otherwise(inner)
+    return last.select(*by, F.when(low == high, low).otherwise((low + high) / 2.0).alias("median"))
 
 
 def _all(conditions: list[Column]) -> Column:

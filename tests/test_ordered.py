@@ -23,7 +23,9 @@ def test_carried_over_borders(spark, itself):
     assert {r.i: r.seen for r in got.collect()} == want and got.columns == ["b", "i", "v", "seen"]
 
 
-def test_exact_medians_of_groups(spark):
+@pytest.mark.parametrize("few", [0, 3, 4096])
+def test_exact_medians_of_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(ordered, "FEW", few)
     rng = np.random.default_rng(7)
     groups = {
         1: rng.normal(size=501).tolist(), 2: [3.0], 3: [1.0, 2.0], 4: (10.0 ** rng.integers(-300, 300, 40) * rng.choice([-1, 1], 40)).tolist(),

@@ -98,6 +98,19 @@ def test_registered_core_queries_match_their_sql(spark, sf):
 
 
 
+def test_bounded_median_by_counts(spark):
+    import random
+    import statistics
+
+    from alignkit.operators import grid
+
+    rng = random.Random(6)
+    for n in (0, 1, 2, 7, 500, 501):
+        values = [rng.choice([rng.random() * 30, 10.5, 10.5, 0.0]) for _ in range(n)]
+        got = grid.bounded_median(spark.createDataFrame([(v,) for v in values], "v double"), "v", 0.0, 30.0).first().median
+        assert got == (pytest.approx(statistics.median(values)) if values else None)
+
+
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     names = __spark_entry__.queries()
