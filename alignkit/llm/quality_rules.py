@@ -1,15 +1,14 @@
 """Rule-based quality filter as a short-circuit cascade, in DataFrame operations only.
 
 The measures of the contract are computed for every document. The verdict is an ordered cascade of
-rejection rules: a sample of the documents tells each rule's cost (seconds a row) and what it
-rejects, and the rules are ordered by rejection per cost among the documents that the rules before
-them let pass. The order changes what a row costs, never the verdict.
+rejection rules: a sample of the documents tells each rule's cost (characters that it reads a row) and
+what it rejects, and the rules are ordered by rejection per cost among the documents that the rules
+before them let pass. The order changes what a row costs, never the verdict.
 """
 
 from __future__ import annotations
 
-import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,17 +17,18 @@ from .common import BLANKS, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Rows that the cascade's cost and selectivity are estimated on, how often each is gone through to time a
-#: rule, and how often that is done.
-SAMPLE_ROWS, TIMES, TRIALS = 2000, 8, 3
+#: Rows that the cascade's cost and selectivity are estimated on.
+SAMPLE_ROWS = 2000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is a boolean column over the measures and ``content``; it is never null."""
+    """``rejects`` is a boolean column over the measures and ``content``; it is never null. ``reads`` tells how often
+    it goes through each text column; a rule that reads none compares numbers."""
 
     name: str
     rejects: Column
+    reads: dict[str, int] = field(default_factory=dict)
 
 
 def default_rules() -> list[Rule]:
@@ -40,8 +40,8 @@ def default_rules() -> list[Rule]:
         Rule("symbols", F.col("n_symbols") > 0.3 * n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
         Rule("dup_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
-        Rule("shouted_ends", F.char_length(content) - F.char_length(F.replace(content, F.lit("!!"), F.lit("!"))) > 0.3 * n),
-        Rule("upper_case", upper > 0.6 * F.char_length(letters)),
+        Rule("shouted_ends", F.char_length(content) - F.char_length(F.replace(content, F.lit("!!"), F.lit("!"))) > 0.3 * n, {"content": 3}),
+        Rule("upper_case", upper > 0.6 * F.char_length(letters), {"content": 4}),
     ]
 
 
@@ -99,45 +99,32 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-#: Seconds a row that a rule costs at least, so that rules too cheap to tell apart go by what they reject.
-LEAST_COST = 1e-7
-
-
-def _seconds(rows: DataFrame, condition: Column) -> float:
-    """What counting the rows with a condition takes, at the least of several trials."""
-    counted, took = rows.agg(F.count_if(condition)), []
-    for _ in range(TRIALS):
-        began = time.perf_counter()
-        counted.collect()
-        took.append(time.perf_counter() - began)
-    return min(took)
+#: What a rule costs besides the characters that it reads, in characters.
+LEAST_COST = 8.0
 
 
 def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Order rules by rejection per cost on a hash sample of about ``sample_rows`` documents.
 
-    Costs are measured: each rule runs alone over the cached sample, ``TIMES`` times in one job, and what
-    the same job takes without a rule is taken off (the least of ``TRIALS`` for both), so that starting
-    jobs and reading rows cost nothing. Rejection is conditional: the
-    sample is reduced to counts per pattern of verdicts (at most 2^rules rows), from which the best
-    next rule among the survivors is taken greedily. An empty sample keeps the given order.
+    A cost is the mean number of characters that a rule goes through a row of the sample, so it is the
+    same in each run and on each machine. Rejection is conditional: one job reduces the sample to
+    counts per pattern of verdicts (at most 2^rules rows), from which the best next rule among the
+    survivors is taken greedily. An empty sample keeps the given order.
     """
     total = docs.count()
     if not total or len(rules) < 2:
         return rules
     share = min(1.0, sample_rows / total)
     picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("rules")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
-    sample = measure(picked).withColumn("base_failed", base_failed()).persist()
-    try:
-        patterns = [tuple(r) for r in sample.where("NOT base_failed").groupBy(*[r.rejects.alias(r.name) for r in rules]).count().collect()]
-        if not patterns:
-            return rules
-        often = sample.where("NOT base_failed").withColumn("_time", F.explode(F.sequence(F.lit(1), F.lit(TIMES))))
-        idle = _seconds(often, F.col("_time") < 0)
-        rows = TIMES * sum(p[-1] for p in patterns)
-        cost = {r.name: max(_seconds(often, r.rejects) - idle, 0.0) / rows + LEAST_COST for r in rules}
-    finally:
-        sample.unpersist()
+    texts = sorted({c for r in rules for c in r.reads})
+    sizes = [F.sum(F.char_length(c)).alias(f"_chars_{c}") for c in texts]
+    found = measure(picked).where(~base_failed()).groupBy(*[r.rejects.alias(r.name) for r in rules]).agg(F.count(F.lit(1)).alias("_rows"), *sizes).collect()
+    if not found:
+        return rules
+    patterns = [(*r[: len(rules)], r["_rows"]) for r in found]
+    rows = sum(p[-1] for p in patterns)
+    mean = {c: sum(r[f"_chars_{c}"] for r in found) / rows for c in texts}
+    cost = {r.name: LEAST_COST + sum(times * mean[c] for c, times in r.reads.items()) for r in rules}
     left, out = list(enumerate(rules)), []
     while left:
         gain = {i: sum(p[-1] for p in patterns if p[i]) / cost[r.name] for i, r in left}

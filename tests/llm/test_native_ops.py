@@ -158,3 +158,15 @@ def test_order_of_rules_does_not_change_the_verdict(spark, sf):
     assert sorted(verdicts[0]) == sorted(verdicts[1])
     left = quality_rules.apply_rules(docs).where("kept").count()  # a filter on the verdict is pushed into the measures
     assert 0 < left < docs.count()
+
+
+def test_a_dear_rule_goes_behind_a_cheap_one(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    longest = F.char_length(F.regexp_replace("content", r"\s", "")) > 2000
+    dear, cheap = quality_rules.Rule("dear", longest, {"content": 2}), quality_rules.Rule("cheap", F.col("word_chars") > 2000)
+    never = quality_rules.Rule("never", F.col("n_words") < 0)
+    for rules in ([dear, cheap, never], [never, cheap, dear], [cheap, dear, never]):
+        names = [r.name for r in quality_rules.order_rules(docs, rules)]
+        assert names[0] == "cheap" and names == [r.name for r in quality_rules.order_rules(docs, rules)]  # the same in each run
+    picky = quality_rules.Rule("picky", (F.col("word_chars") > 2000) | (F.col("n_words") < 200), {"content": 1})
+    assert quality_rules.order_rules(docs, [picky, never])[0].name == "picky"  # cost alone doesn't decide
