@@ -37,6 +37,8 @@ BATCH_BYTES = 4 << 20
 GROUP_BYTES = 1 << 18
 #: Bytes of text whose anchors, and whose surroundings, one part of a shuffle gets on average.
 ANCHOR_BYTES, PIECE_BYTES = 24 << 20, 8 << 20
+#: Partitions of a shuffle at most; with more parts, a partition gets several, which a task takes in turn.
+PARTITIONS = 10_000
 #: Bytes of text that are suffix-sorted at a time, and as many again if the last anchor has them.
 CHUNK_BYTES = 1 << 18
 #: Different surroundings of an anchor, counted batch by batch, beyond which its windows are dealt out one
@@ -505,7 +507,9 @@ def _stored(batches: DataFrame) -> DataFrame:
     name = path.rsplit("/", 1)[1].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches.write.format("parquet").option("path", path).option("compression", "none").bucketBy(buckets, "batch").sortBy("batch").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay: a plan that reads them needs no entry in the catalog
+    return table
 
 
 def remove_repeats(docs: DataFrame, batch_bytes: int = BATCH_BYTES, hot: int = HOT) -> DataFrame:
@@ -521,9 +525,9 @@ def remove_repeats(docs: DataFrame, batch_bytes: int = BATCH_BYTES, hot: int = H
     anchor_parts, parts = max(16, total // ANCHOR_BYTES), max(16, total // PIECE_BYTES)
     batches = _stored(_batches(own, batch_bytes))
     anchors = _anchors(batches, anchor_parts)
-    codes = _verdicts(anchors.repartition(anchor_parts, "part").sortWithinPartitions("part"), hot).groupBy("batch").agg(F.collect_list(F.struct("part", "codes")).alias("codes"))
+    codes = _verdicts(anchors.repartition(min(anchor_parts, PARTITIONS), "part").sortWithinPartitions("part"), hot).groupBy("batch").agg(F.collect_list(F.struct("part", "codes")).alias("codes"))
     pieces = _pieces(batches.join(codes.hint("merge"), "batch", "left").select("batch", "ids", "sizes", "texts", "codes"), anchor_parts, parts)
-    dealt = pieces.repartition(parts, "part", F.when(F.col("part") < 0, F.col("batch"))).sortWithinPartitions("part")
+    dealt = pieces.repartition(min(parts, PARTITIONS), "part", F.when(F.col("part") < 0, F.col("batch"))).sortWithinPartitions("part")
     found = _sorted_pieces(dealt).groupBy("batch").agg(F.collect_list("blob").alias("found"))
     out = _cut_out(batches.join(found.hint("merge"), "batch", "left"))
     return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(LEAST_ID)))

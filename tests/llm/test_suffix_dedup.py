@@ -105,3 +105,13 @@ def test_a_frequent_anchor_is_not_one_task(spark):
     assert 0 < sum(b.bit_count() for h in halves for b in h) <= 2 * len({r.batch for r in verdicts})
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == brute(rows)
+
+
+def test_no_table_is_left_in_the_catalog(spark, sf, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PARTITIONS", 3)  # many parts a partition give the same
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = {t.name for t in spark.catalog.listTables()}
+    few = suffix_dedup.remove_repeats(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    monkeypatch.undo()
+    assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect()), key=str)
