@@ -203,9 +203,8 @@ class RangeFinder:
                 break
             last = values
             discard(rows)
-            narrow = materialise(turned(columns, found, by, width), "narrow")
-            rows = materialise(_times(cut, narrow, by, "col", "row", width), "range")
-            for old in (basis, columns, found, narrow):
+            rows = materialise(_times(cut, turned(columns, found, by, width), by, "col", "row", width), "range")
+            for old in (basis, columns, found):
                 discard(old)
         # The matrix is about basis * columns', and columns = right * values * turn'.
         noise = F.col("values")[0] * F.lit(width * float(np.finfo(float).eps))

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import band_label, days, head, key_subset, series_code, to_days, to_seconds, to_text
-from .operators import align, catalog, decompose, grid, groups, match, reduce, reshape
+from .operators import align, catalog, decompose, grid, groups, match, ordered, reduce, reshape
 from .plans import pipeline
 from .sources import tables, writers
-from .sources.scratch import scratch_path
+from .sources.scratch import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -789,6 +789,135 @@ def inventory(spark, sf_dir):
     return parts["counts"].join(parts["sizes"], "dir")
 
 
+_DOUBLE_DAYS = "epoch_us(l_shipdate) / 86400000000.0::DOUBLE"
+
+
+def _two_bands(spark, sf_dir, branch: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells, delays and lengths of two bands with odd cases: key 6 is dead in the first band, key 3 has two times in
+    each fifth window, times differ by key, and keys 4 and 5 have no noise in each fourth window."""
+    items = _read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == branch)
+    slot, key, band = F.floor(days(F.col("l_shipdate")) / 30), F.col("l_suppkey") % 7, F.col("l_linenumber") % 2
+    twice = F.when((key == 3) & (slot % 5 == 0) & (F.col("l_partkey") % 2 == 0), 1.0).otherwise(0.0)
+    rows = items.select(
+        band.alias("spw"), key.alias("blpair"), (slot * 30.0 + key * 0.5 + twice).alias("time_jd"), (F.col("l_partkey") % (5 + 2 * band)).alias("dly_idx"),
+        F.when((key == 6) & (band == 0), 0.0).otherwise(F.col("l_quantity")).alias("value"), F.when((key >= 4) & (slot % 4 == 0), 0.0).otherwise(F.col("l_tax")).alias("noise"),
+    )
+    cells = rows.groupBy("spw", "blpair", "time_jd", "dly_idx").agg(F.sum("value").alias("value"), F.avg("noise").alias("noise")).withColumn("lst_rad", F.col("time_jd") / 365.0)
+    delays = cells.select("spw", "dly_idx").distinct().withColumn("dly", (F.col("dly_idx") - 2 - F.col("spw")).cast("double"))
+    lengths = cells.select("blpair").distinct().withColumn("length_m", F.floor(F.col("blpair") / 2) * 10.0)
+    return cells, delays, lengths
+
+
+def _two_bands_sql(branch: str, x: str, also: str = "") -> str:
+    """Common table expressions that state a branch's run over two bands, ending in ``{x}s``."""
+    return f"""
+{x}i AS (SELECT l_linenumber % 2 AS spw, l_suppkey % 7 AS k, floor({_DOUBLE_DAYS} / 30)::BIGINT AS slot, l_partkey, l_quantity, l_tax FROM lineitem WHERE l_returnflag = '{branch}' {also}),
+{x}c AS (SELECT spw, k, slot * 30.0::DOUBLE + k * 0.5::DOUBLE + CASE WHEN k = 3 AND slot % 5 = 0 AND l_partkey % 2 = 0 THEN 1 ELSE 0 END AS t, l_partkey % (5 + 2 * spw) AS d,
+         sum(CASE WHEN k = 6 AND spw = 0 THEN 0 ELSE l_quantity END) AS value, avg(CASE WHEN k >= 4 AND slot % 4 = 0 THEN 0 ELSE l_tax END) AS noise FROM {x}i GROUP BY ALL),
+{x}dead AS (SELECT k FROM {x}c WHERE spw = 0 GROUP BY k HAVING max(CASE WHEN value <> 0 THEN 1 ELSE 0 END) = 0),
+{x}p AS (SELECT DISTINCT k, t FROM {x}c WHERE k NOT IN (SELECT k FROM {x}dead)),
+{x}a AS (SELECT min(t) - 1e-8::DOUBLE AS anchor FROM {x}p),
+{x}w AS (SELECT k, t, floor((t - anchor) / 30.0::DOUBLE)::BIGINT AS wid, anchor + (floor((t - anchor) / 30.0::DOUBLE) + 0.5::DOUBLE) * 30.0::DOUBLE AS centre FROM {x}p, {x}a),
+{x}u AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY k, wid) AS n FROM {x}w) WHERE n = 1),
+{x}o AS (SELECT wid, (dense_rank() OVER (ORDER BY wid) - 1)::INT AS time_pos FROM (SELECT wid FROM {x}u GROUP BY wid HAVING count(*) = (SELECT count(DISTINCT k) FROM {x}w))),
+{x}r AS (SELECT * FROM {x}u JOIN {x}o USING (wid)),
+{x}g AS (SELECT k, dense_rank() OVER (ORDER BY floor(k / 2.0)) - 1 AS group_id FROM (SELECT DISTINCT k FROM {x}r)),
+{x}m AS (SELECT spw, time_pos, any_value(centre) AS centre, group_id, d, sum(w * value) AS num, sum(w) AS den
+         FROM (SELECT *, CASE WHEN noise > 0 THEN 1 / (noise * noise) ELSE 0 END AS w FROM {x}c) JOIN {x}r USING (k, t) JOIN {x}g USING (k) GROUP BY spw, time_pos, group_id, d),
+{x}v AS (SELECT *, CASE WHEN den > 0 THEN num / den ELSE 0 END AS value, d - 2 - spw AS dly FROM {x}m),
+{x}s AS (SELECT spw, time_pos, any_value(centre) AS centre, group_id, abs(dly) - 1 AS dly_pos, group_id * (2 + spw) + abs(dly) - 1 AS feature, sum(value) / 2 AS value FROM {x}v WHERE dly <> 0 GROUP BY spw, time_pos, group_id, abs(dly))"""
+
+
+def _two_band_run(spark, sf_dir, branch: str, bands: tuple[int, ...] = (), keys: str = "true") -> pipeline.Aligned:
+    cells, delays, lengths = _two_bands(spark, sf_dir, branch)
+    return pipeline.align_samples(cells.where(keys), delays, lengths, pipeline.AlignParams(window_seconds=DAYS_30, bands=bands), branch=branch)
+
+
+@query(f"WITH {_two_bands_sql('A', 'x')} SELECT spw, time_pos, group_id, dly_pos::INT AS dly_pos, feature, round(value, 5) AS value FROM xs")
+def two_band_samples(spark, sf_dir):
+    """The alignment of two bands with dead, ambiguous and weightless data."""
+    return _two_band_run(spark, sf_dir, "A").samples.select("spw", "time_pos", "group_id", "dly_pos", "feature", F.round("value", 5).alias("value"))
+
+
+@query(f"""WITH {_two_bands_sql('A', 'x')}
+SELECT (SELECT count(*) FROM xdead) AS dropped_dead_keys, (SELECT count(*) FROM xw) - (SELECT count(*) FROM xu) AS dropped_ambiguous_rows, (SELECT count(*) FROM xo) AS n_common_windows,
+       (SELECT count(DISTINCT group_id) FROM xg) AS n_groups, (SELECT count(*) FROM xg) AS n_live_keys, (SELECT count(*) FROM xv WHERE NOT den > 0) AS zero_weight_cells,
+       (SELECT round(max(d) * 86400.0, 3) FROM (SELECT max(t) - min(t) AS d FROM xr GROUP BY wid)) AS max_spread_seconds,
+       (SELECT string_agg(spw || ':' || n, ',' ORDER BY spw) FROM (SELECT spw, count(DISTINCT dly_pos) AS n FROM xs GROUP BY spw)) AS delays""")
+def two_band_provenance(spark, sf_dir):
+    """Counters observed in the run's own writes, stored in its provenance and read back."""
+    path = scratch_path(spark, "provenance")
+    writers.write_json(pipeline.provenance(_two_band_run(spark, sf_dir, "A"), {"lineitem": f"{sf_dir}/lineitem.parquet"}, "two_band_provenance"), path, pretty=True)
+    names = ("dropped_dead_keys", "dropped_ambiguous_rows", "n_common_windows", "n_groups", "n_live_keys", "zero_weight_cells")
+    schema = f"counters struct<{', '.join(f'{n}: long' for n in names)}, max_spread_seconds: double>, spws array<struct<spw: int, n_delays: long>>"
+    r = spark.read.schema(schema).option("multiLine", True).json(path)
+    each = F.transform("spws", lambda s: F.concat(s["spw"].cast("string"), F.lit(":"), s["n_delays"].cast("string")))
+    return r.select(*[f"counters.{n}" for n in names], F.round("counters.max_spread_seconds", 3).alias("max_spread_seconds"), F.concat_ws(",", each).alias("delays"))
+
+
+@query(f"""WITH {_two_bands_sql('A', 'x')}, {_two_bands_sql('R', 'y', 'AND l_linenumber % 2 = 1 AND l_suppkey % 7 <> 6')},
+z AS (SELECT spw, time_pos, feature, xs.value - ys.value AS value FROM xs JOIN ys USING (spw, feature, time_pos) WHERE spw = 1),
+q AS (SELECT 'left' AS run, spw, time_pos, feature, value FROM xs UNION ALL SELECT 'right', spw, time_pos, feature, value FROM ys WHERE spw = 1 UNION ALL SELECT 'contrast', spw, time_pos, feature, value FROM z)
+SELECT run, spw, round(sum(value * value), 3) AS total FROM (SELECT run, spw, value - avg(value) OVER (PARTITION BY run, spw, feature) AS value FROM q) GROUP BY run, spw""")
+def band_skipping_contrast(spark, sf_dir):
+    """One branch has two bands and the other one; the band without a partner is in no contrast (nor is a key
+    that is dead in the other branch's first band, without which the groups of both are the same)."""
+    runs, out = pipeline.run_branches(_two_band_run(spark, sf_dir, "A"), _two_band_run(spark, sf_dir, "R", (1,), "blpair <> 6"), tol_seconds=10 * 86400.0), None
+    for name, run in runs.items():
+        own = run.spectrum.groupBy("spw").agg(F.round(F.sum(F.col("singular_value") * F.col("singular_value")), 3).alias("total")).withColumn("run", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+_OF_ALL = "SELECT t * 86400.0::DOUBLE AS t, row_number() OVER (ORDER BY t) AS {n} FROM (SELECT {t} AS t FROM events WHERE event_type = '{kind}')"
+
+
+@query(f"""
+WITH RECURSIVE l AS ({_OF_ALL.format(t=_T, n='i', kind='click')}), r AS ({_OF_ALL.format(t=_T, n='j', kind='view')}),
+g AS (
+  SELECT 0::BIGINT AS i, 0::BIGINT AS j, NULL::DOUBLE AS left_time, NULL::DOUBLE AS right_time
+  UNION ALL
+  SELECT l.i, coalesce(min(r.j), g.j), l.t, min(r.t) FROM g JOIN l ON l.i = g.i + 1 LEFT JOIN r ON r.j > g.j AND r.t >= l.t - 1800 AND abs(r.t - l.t) <= 1800 GROUP BY l.i, g.j, l.t)
+SELECT left_time, right_time FROM g WHERE right_time IS NOT NULL
+""")
+def tolerance_match_hot(spark, sf_dir):
+    """All clicks and views as one key, dealt over many tasks, greedily one to one within half an hour."""
+    of = lambda kind: _read(spark, sf_dir, "events").where(F.col("event_type") == kind).select((days(F.col("ts")) * 86400.0).alias("time"))
+    return match.tolerance_match_parts(of("click"), of("view"), [], 1800.0, parts=16)
+
+
+@query("""
+WITH RECURSIVE a AS (
+  SELECT 0 AS group_id, min(s_acctbal) AS anchor FROM supplier
+  UNION ALL SELECT a.group_id + 1, min(s.s_acctbal) FROM a JOIN supplier s ON s.s_acctbal > a.anchor + 50.0::DOUBLE GROUP BY a.group_id)
+SELECT s_suppkey, s_acctbal, max(group_id)::BIGINT AS group_id FROM supplier JOIN a ON a.anchor <= s_acctbal GROUP BY ALL
+""")
+def anchored_groups(spark, sf_dir):
+    """R3, anchored mode: suppliers whose balances lie up to 50 above that of their group's first one."""
+    return groups.anchored_groups(_read(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", 50.0)
+
+
+@query("SELECT user_id, median(step) AS median_step FROM (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS step FROM (SELECT user_id, epoch_us(ts)::DOUBLE AS t FROM events)) WHERE step IS NOT NULL GROUP BY user_id UNION ALL SELECT NULL, median(l_extendedprice) FROM lineitem")
+def exact_medians(spark, sf_dir):
+    """Medians of each user's time steps, and of all prices as one group, selected by counts."""
+    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("ts")).cast("double")
+    steps = grid.steps(_read(spark, sf_dir, "events").select("user_id", micros.alias("t")), ["user_id"], "t")
+    prices = _read(spark, sf_dir, "lineitem").select(F.lit(None).cast("long").alias("user_id"), F.col("l_extendedprice").alias("step"))
+    return ordered.exact_medians(steps.unionByName(prices), ["user_id"], "step").withColumnRenamed("median", "median_step")
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(range(len(embedding))) AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings),
+c AS (SELECT vec_id, feature, value - avg(value) OVER (PARTITION BY feature) AS value FROM v)
+SELECT 0 AS spw, round(sum(value * value), 6) AS total, count(DISTINCT vec_id) AS n_samples, count(DISTINCT feature) AS n_features, 1.0::DOUBLE AS whole FROM c""")
+def wide_band_variance(spark, sf_dir):
+    """D3 by the range finder: all embeddings as one band that counts as too wide for one task; over as many
+    components as there are features, the squared singular values sum to the variance."""
+    cells = _vectors(spark, sf_dir).withColumn("spw", F.lit(0))
+    run = decompose.Decomposition(cells, stored=64, store=materialise, dense=16)
+    lead = run.spectrum.groupBy("spw").agg(F.round(F.sum(F.col("singular_value") * F.col("singular_value")), 6).alias("total"), F.round(F.max("cum_evr"), 9).alias("whole"))
+    return lead.join(run.summary, "spw").select("spw", "total", "n_samples", "n_features", "whole")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
