@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions.scalar import band_label, days, head, key_subset, series_code, to_days, to_seconds, to_text
 from .operators import align, catalog, decompose, grid, groups, match, ordered, reduce, reshape
 from .plans import pipeline
-from .sources import tables, writers
+from .sources import sample_files, tables, writers
 from .sources.scratch import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -855,6 +855,20 @@ def two_band_provenance(spark, sf_dir):
     return r.select(*[f"counters.{n}" for n in names], F.round("counters.max_spread_seconds", 3).alias("max_spread_seconds"), F.concat_ws(",", each).alias("delays"))
 
 
+@query(f"""WITH {_two_bands_sql('A', 'x')},
+f AS (SELECT DISTINCT group_id, unnest(range(3)) AS dly_pos FROM xg)
+SELECT 'A' AS label, 1 AS spw, o.time_pos, round(o.centre, 6) AS time_jd, (f.group_id * 3 + f.dly_pos)::INT AS feature, f.group_id * 10.0::DOUBLE AS group_len, f.dly_pos + 1.0::DOUBLE AS dly, round(coalesce(s.value, 0), 5) AS value
+FROM (SELECT time_pos, min(centre) AS centre FROM xr GROUP BY time_pos) o CROSS JOIN f LEFT JOIN xs s ON s.spw = 1 AND s.time_pos = o.time_pos AND s.group_id = f.group_id AND s.dly_pos = f.dly_pos""")
+def sample_files_by_name(spark, sf_dir):
+    """The run's bands written as one file each, and one of them found by its name and read with its
+    coordinates; rows lie in order of time by their place in the file."""
+    root = scratch_path(spark, "sample-files")
+    sample_files.write_sample_files(_two_band_run(spark, sf_dir, "A"), root, "A")
+    rows = sample_files.read_sample_files(spark, root, "A", [1]).select("label", "spw", "time_pos", F.round("time_jd", 6).alias("time_jd"), F.posexplode("values").alias("feature", "value"))
+    axes = sample_files.read_sample_files(spark, root, "A", [1], "features").select("feature", "group_len", "dly")
+    return rows.join(axes, "feature").withColumn("value", F.round("value", 5))
+
+
 @query(f"""WITH {_two_bands_sql('A', 'x')}, {_two_bands_sql('R', 'y', 'AND l_linenumber % 2 = 1 AND l_suppkey % 7 <> 6')},
 z AS (SELECT spw, time_pos, feature, xs.value - ys.value AS value FROM xs JOIN ys USING (spw, feature, time_pos) WHERE spw = 1),
 q AS (SELECT 'left' AS run, spw, time_pos, feature, value FROM xs UNION ALL SELECT 'right', spw, time_pos, feature, value FROM ys WHERE spw = 1 UNION ALL SELECT 'contrast', spw, time_pos, feature, value FROM z)
