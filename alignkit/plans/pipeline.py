@@ -169,9 +169,18 @@ def run_branches(left: Aligned, right: Aligned, tol_seconds: float = 60.0) -> di
 
 def build_inventory(listing: DataFrame, products: DataFrame, metadata: DataFrame, facts: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Counts and sizes of a listing ``dir, name, length``; products (their ``path`` is a directory of the
-    listing) with their counted files and metadata; and the manifest document of them all."""
+    listing) with their counted files and metadata; products without metadata (``missing``); and the manifest
+    document of them all. Where the listing also has ``identifier`` and ``has_spectrum``, the census of its
+    files, which the manifest then holds, and the counts of its name stems."""
     counts, sizes = catalog.dir_counts(listing), catalog.size_by_family(listing, "dir", "length")
     joined = catalog.join_metadata(products, metadata)
     if "path" in products.columns:
         joined = joined.drop("n_files").join(counts.withColumnRenamed("dir", "path"), "path", "left")
-    return {"counts": counts, "sizes": sizes, "products": joined, "manifest": writers.manifest_document(joined, facts or {}, sizes)}
+    missing = catalog.missing_products(products, metadata.withColumnRenamed("label", "meta_label"), "meta_label")
+    parts = {"counts": counts, "sizes": sizes, "products": joined, "missing": missing}
+    manifest = writers.manifest_document(joined, facts or {}, sizes)
+    if "identifier" in listing.columns:
+        parts["census"] = catalog.file_census(listing, F.col("has_spectrum"))
+        parts["stems"] = catalog.name_histogram(listing, F.col("name"))
+        manifest = manifest.crossJoin(F.broadcast(parts["census"].select(F.struct("*").alias("census"))))  # one row each
+    return parts | {"manifest": manifest}
