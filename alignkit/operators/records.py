@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +65,11 @@ def walked(documents: DataFrame, by: list[str], document: str, named: dict[str,
         out = leaves if out is None else out.unionAll(leaves)
         if level.where("_inside").isEmpty():
             return out
-        level.where("_inside").select(*by, "path", "kind", F.col("value").alias("_outer")).createOrReplaceTempView("_walk")
+        view = f"_walk_{uuid.uuid4().hex}"
+        level.where("_inside").select(*by, "path", "kind", F.col("value").alias("_outer")).createOrReplaceTempView(view)
         names = ", ".join(f"w.`{c}`" for c in by)
-        level = spark.sql(f"SELECT {names}{', ' if by else ''}w.path AS _path, w.kind AS _kind, e.pos, e.key, e.value FROM _walk w, LATERAL variant_explode(w._outer) e")
-        spark.catalog.dropTempView("_walk")
+        level = spark.sql(f"SELECT {names}{', ' if by else ''}w.path AS _path, w.kind AS _kind, e.pos, e.key, e.value FROM {view} w, LATERAL variant_explode(w._outer) e")
+        spark.catalog.dropTempView(view)
         place = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
         for path, key in named.items():
             place = F.when((F.col("_kind") == path) & F.col("key").isNull(), F.concat(F.lit("["), F.coalesce(F.try_variant_get("value", f"$.{key}", "string"), F.col("pos").cast("string")), F.lit("]"))).otherwise(place)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import band_label, days, head, key_subset, series_code, to_days, to_seconds, to_text
-from .operators import align, catalog, decompose, grid, groups, match, ordered, reduce, reshape
+from .operators import align, catalog, decompose, grid, groups, match, ordered, records, reduce, reshape
 from .plans import pipeline
 from .sources import sample_files, tables, writers
 from .sources.scratch import materialise, scratch_path
@@ -932,6 +932,122 @@ def wide_band_variance(spark, sf_dir):
     return lead.join(run.summary, "spw").select("spw", "total", "n_samples", "n_features", "whole")
 
 
+@query("""
+SELECT doc_id AS product_id, CASE WHEN l.doc_id IS NULL OR doc_id % 3 = 2 THEN '{}' WHEN doc_id % 3 = 0 THEN '{"quality":' || quality || '}' ELSE '{"nested":{"list":[' || toxic || '],"quality":' || quality || '},"toxic":' || toxic || '}' END AS sample_metadata
+FROM documents LEFT JOIN labels l USING (doc_id)
+""")
+def product_records(spark, sf_dir):
+    """Records with keys of their own, written as JSON lines and read back; each product takes the keys
+    that its own list names and its record has."""
+    path = scratch_path(spark, "records")
+    found = _read(spark, sf_dir, "labels").select(F.struct(F.col("doc_id").cast("string").alias("label"), "quality", "toxic", F.struct(F.array("toxic").alias("list"), "quality").alias("nested")).alias("r"))
+    writers.write_json(found.select("r.*"), path)
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    keys = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("quality"), F.lit("absent"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("toxic"), F.lit("nested"))).otherwise(F.array().cast("array<string>"))
+    products = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"), F.col("doc_id").cast("string").alias("meta_label"), keys.alias("meta_keys"))
+    joined = records.join_records(products, records.records_of_lines(lines, "value", "at"))
+    return joined.select("product_id", F.to_json("sample_metadata").alias("sample_metadata"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linestatus AS s, l_linenumber AS line, sum(l_quantity)::BIGINT AS qty FROM lineitem GROUP BY ALL),
+p AS (SELECT l_orderkey, s, '$.lines[' || line || '].line' AS path, line::VARCHAR AS v FROM l UNION ALL SELECT l_orderkey, s, '$.lines[' || line || '].qty', qty::VARCHAR FROM l
+      UNION ALL SELECT l_orderkey, s, '$.n', count(*)::VARCHAR FROM l GROUP BY ALL),
+a AS (SELECT * FROM p WHERE s = 'F'), b AS (SELECT * FROM p WHERE s = 'O')
+SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.path, b.path) AS path, CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'removed' ELSE 'changed' END AS change, a.v AS old, b.v AS new
+FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.path = b.path WHERE a.s IS NULL OR b.s IS NULL OR a.v <> b.v
+""")
+def document_diff(spark, sf_dir):
+    """J10 on nested documents: from the stored documents of finished lines to those of open ones, path by path; a line is
+    named by its number and not by its place."""
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("qty"))
+    items = F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), "qty")))
+    text = F.to_json(F.struct(F.count(F.lit(1)).alias("n"), items.alias("lines")))
+    path = scratch_path(spark, "documents")
+    lines.groupBy("l_orderkey", "l_linestatus").agg(text.alias("doc")).write.partitionBy("l_linestatus").parquet(path)
+    stored = spark.read.parquet(path).select("l_orderkey", "l_linestatus", F.parse_json("doc").alias("doc"))
+    finished, still_open = (stored.where(F.col("l_linestatus") == s) for s in ("F", "O"))
+    return records.diff_documents(finished, still_open, ["l_orderkey"], "doc", {"$.lines": "line"})
+
+
+@query("""
+WITH p AS (SELECT page_id % 7 AS a, page_id % 5 AS b, url LIKE 'https%' AS s FROM pages)
+SELECT (SELECT count(*) FROM p) AS n_files, (SELECT count(*) FROM p WHERE s) AS n_spectra, (SELECT count(*) FROM p WHERE a = b) AS n_autos, (SELECT count(*) FROM p WHERE a <> b) AS n_cross,
+       (SELECT count(*) FROM p WHERE a <> b AND NOT s) AS n_cross_without_spectrum, (SELECT count(*) FROM documents) AS n_products, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS n_missing
+""")
+def inventory_census(spark, sf_dir):
+    """The census of the listing inside the manifest document, written and read back, and the products without a record."""
+    path = scratch_path(spark, "inventory")
+    identifier = F.concat_ws("_", F.col("page_id") % 7, F.col("page_id") % 5)
+    listing = _listing(spark, sf_dir).withColumn("identifier", identifier).join(_read(spark, sf_dir, "pages").select("page_id", F.col("url").startswith("https").alias("has_spectrum")), "page_id")
+    products = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"), F.col("doc_id").alias("meta_label"))
+    parts = pipeline.build_inventory(listing, products, _read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label"))
+    writers.write_json(parts["manifest"], path, pretty=True)
+    names = ("n_files", "n_spectra", "n_autos", "n_cross", "n_cross_without_spectrum")
+    read = spark.read.schema(f"n_products long, census struct<{', '.join(f'{n}: long' for n in names)}>").option("multiLine", True).json(path)
+    return read.select(*[f"census.{n}" for n in names], "n_products").crossJoin(F.broadcast(parts["missing"].agg(F.count(F.lit(1)).alias("n_missing"))))
+
+
+@query("SELECT 'part=' || (page_id % 3) AS dir, 1 AS n_files, true AS has_bytes FROM pages GROUP BY ALL")
+def listed_files(spark, sf_dir):
+    """Regular files of a folder and of those below it, with their sizes."""
+    path = scratch_path(spark, "listed")
+    _read(spark, sf_dir, "pages").select((F.col("page_id") % 3).alias("part"), "html").repartition("part").write.partitionBy("part").parquet(path)
+    files = tables.list_files(spark, path, recursive=True).select(F.regexp_extract("path", r"(part=\d+)/", 1).alias("dir"), "length")
+    return files.where("dir <> ''").groupBy("dir").agg(F.count(F.lit(1)).cast("int").alias("n_files"), F.min(F.col("length") > 0).alias("has_bytes"))
+
+
+# Bands of two features, whose decomposition has a closed form.
+_PLANE = """
+v AS (SELECT o_orderstatus AS spw, o_orderkey AS time_pos, o_totalprice / 1000.0::DOUBLE AS x, o_custkey::DOUBLE AS y FROM orders),
+c AS (SELECT spw, time_pos, x - avg(x) OVER (PARTITION BY spw) AS x, y - avg(y) OVER (PARTITION BY spw) AS y FROM v),
+m AS (SELECT spw, sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS d, count(*) AS n FROM c GROUP BY spw),
+l AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS top FROM m),
+e AS (SELECT *, (a * d - b * b) / top AS low, CASE WHEN a >= d THEN top - d ELSE b END AS p, CASE WHEN a >= d THEN b ELSE top - a END AS q FROM l),
+u AS (SELECT *, p / sqrt(p * p + q * q) AS f0, q / sqrt(p * p + q * q) AS f1 FROM e),
+s AS (SELECT spw, 0 AS comp, sqrt(top) AS singular_value, top / (a + d) AS evr, top / (a + d) AS cum_evr FROM e UNION ALL SELECT spw, 1, sqrt(low), low / (a + d), 1.0 FROM e),
+o AS (SELECT spw, 0 AS comp, f0, f1 FROM u UNION ALL SELECT spw, 1, -f1, f0 FROM u),
+w AS (SELECT spw, comp, f0 * g AS f0, f1 * g AS f1 FROM (SELECT *, CASE WHEN abs(f0) >= abs(f1) THEN sign(f0) ELSE sign(f1) END AS g FROM o))"""
+
+
+def _plane(spark, sf_dir, **options) -> decompose.Decomposition:
+    orders = _read(spark, sf_dir, "orders")
+    cells = orders.select(F.col("o_orderstatus").alias("spw"), F.col("o_orderkey").alias("time_pos"), F.posexplode(F.array(F.col("o_totalprice") / 1000.0, F.col("o_custkey").cast("double"))).alias("feature", "value"))
+    return decompose.Decomposition(cells, store=materialise, **options)
+
+
+@query(f"WITH {_PLANE} SELECT spw, comp, round(singular_value, 4) AS singular_value, round(evr, 9) AS evr, round(cum_evr, 9) AS cum_evr FROM s")
+def plane_spectrum(spark, sf_dir):
+    """Singular values, ratios and their running sums of bands of two features."""
+    return _plane(spark, sf_dir).spectrum.select("spw", "comp", *[F.round(c, n).alias(c) for c, n in (("singular_value", 4), ("evr", 9), ("cum_evr", 9))])
+
+
+@query(f"WITH {_PLANE} SELECT spw, comp, round(f0, 6) + 0.0 AS first, round(f1, 6) + 0.0 AS second FROM w WHERE comp < 1")
+def plane_components(spark, sf_dir):
+    """Loadings of the stored components, here one, with the sign that makes the largest positive."""
+    held = _plane(spark, sf_dir, stored=1).components
+    at = lambda i: (F.round(F.max(F.when(F.col("feature") == i, F.col("loading"))), 6) + 0.0)
+    return held.groupBy("spw", "comp").agg(at(0).alias("first"), at(1).alias("second"))
+
+
+@query(f"WITH {_PLANE} SELECT spw, comp, time_pos, round(x * f0 + y * f1, 3) + 0.0 AS score FROM c JOIN w USING (spw)")
+def plane_scores(spark, sf_dir):
+    """Scores of all samples."""
+    return _plane(spark, sf_dir).scores.select("spw", "comp", "time_pos", (F.round("score", 3) + 0.0).alias("score"))
+
+
+@query(f"""WITH {_PLANE}
+SELECT spw, n::BIGINT AS n_samples, 2 AS n_features, (SELECT count(*) FROM s WHERE s.spw = m.spw AND cum_evr < 0.9) + 1 AS n_components, (SELECT string_agg(round(evr, 6)::VARCHAR, ',' ORDER BY comp) FROM s WHERE s.spw = m.spw) AS top5,
+       row_number() OVER (ORDER BY spw) - 1 AS place FROM m""")
+def plane_summary(spark, sf_dir):
+    """The summary document over all bands in order, written, read back and taken apart."""
+    path = scratch_path(spark, "summary")
+    writers.write_json(writers.summary_document(_plane(spark, sf_dir, threshold=0.9).summary, "orders"), path)
+    read = spark.read.schema("label string, spws array<struct<spw: string, n_samples: long, n_features: long, n_components: long, top5_evr: array<double>>>").json(path)
+    rows = read.select(F.posexplode("spws").alias("place", "r")).select("place", "r.*")
+    return rows.select("spw", "n_samples", "n_features", "n_components", F.concat_ws(",", F.transform("top5_evr", lambda x: F.round(x, 6).cast("string"))).alias("top5"), F.col("place").cast("long").alias("place"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
