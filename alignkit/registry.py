@@ -988,6 +988,16 @@ def inventory_census(spark, sf_dir):
     return read.select(*[f"census.{n}" for n in names], "n_products").crossJoin(F.broadcast(parts["missing"].agg(F.count(F.lit(1)).alias("n_missing"))))
 
 
+@query("SELECT d.doc_id AS product_id, d.source AS role, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def manifest_parts(spark, sf_dir):
+    """The manifest document over many files, in order of product, and its products read back."""
+    path = scratch_path(spark, "manifest-parts")
+    products = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"), F.col("source").alias("role"), F.col("doc_id").alias("meta_label"))
+    joined = catalog.join_metadata(products, _read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label")).select("product_id", "role", "quality")
+    writers.write_manifest_parts(joined, {"inventory_date": "x"}, path)
+    return writers.read_manifest_parts(spark.read.text(path), "product_id long, role string, quality int")
+
+
 @query("SELECT 'part=' || (page_id % 3) AS dir, 1 AS n_files, true AS has_bytes FROM pages GROUP BY ALL")
 def listed_files(spark, sf_dir):
     """Regular files of a folder and of those below it, with their sizes."""

@@ -13,7 +13,7 @@ def write_samples(run, root: str) -> None:
     """A run's samples and its coordinates, each by branch: ``samples`` also by band, with its rows in
     order of time; ``times`` (time, LST), ``groups`` (length, representative), ``delays`` (delay and wave
     numbers, kperp always NaN)."""
-    dealt = run.samples.repartition("branch", "spw", F.pmod(F.xxhash64("time_pos"), F.lit(16)))
+    dealt = run.samples.repartitionByRange("branch", "spw", "time_pos", "feature")
     dealt.sortWithinPartitions("branch", "spw", "time_pos", "feature").write.partitionBy("branch", "spw").parquet(f"{root}/samples")
     for name in ("times", "groups", "delays"):
         getattr(run, name).write.partitionBy("branch").parquet(f"{root}/{name}")
@@ -54,6 +54,29 @@ def manifest_document(products: DataFrame, facts: dict[str, str], sizes: DataFra
     return packed.select(*[F.lit(v).alias(k) for k, v in facts.items()], *[c for c in ("total_sizes",) if sizes is not None], "n_products", "products")
 
 
+def write_manifest_parts(products: DataFrame, facts: dict[str, str], path: str, key: str = "product_id") -> None:
+    """The manifest document as text over many files: read in order of their names they are one JSON document, the
+    facts first, then a line for each product in order of ``key``.
+
+    Lines are dealt out by ranges of the key, so no task holds the products; a line knows by the least key
+    whether a comma goes before it.
+    """
+    first = products.agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    line = F.to_json(F.struct(*products.columns), {"ignoreNullFields": "false"})
+    mark = F.when(F.col(key).eqNullSafe(F.col("_first")), F.lit("")).otherwise(F.lit(","))
+    body = products.crossJoin(F.broadcast(first)).select(F.lit(1).alias("_part"), F.col(key).alias("_key"), F.concat(mark, line).alias("value"))
+    given = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in facts.items()])) if facts else F.lit("{}")
+    opened = F.concat(F.regexp_replace(given, r"\}$", ""), F.lit(", " if facts else ""), F.lit('"n_products": '), F.col("_n").cast("string"), F.lit(', "products": ['))
+    none = F.lit(None).cast(products.schema[key].dataType)
+    ends = first.select(F.lit(0).alias("_part"), none.alias("_key"), opened.alias("value")).unionAll(first.select(F.lit(2).alias("_part"), none.alias("_key"), F.lit("]}").alias("value")))
+    body.unionAll(ends).repartitionByRange("_part", "_key").sortWithinPartitions("_part", "_key").select("value").write.text(path)
+
+
+def read_manifest_parts(lines: DataFrame, schema: str) -> DataFrame:
+    """The products of a document that ``write_manifest_parts`` made, from its lines ``value``."""
+    return lines.where(F.trim("value").rlike(r'^,?\{"') & ~F.col("value").endswith("[")).select(F.from_json(F.ltrim("value", F.lit(",")), schema).alias("p")).select("p.*")
+
+
 def write_manifest_csv(products: DataFrame, path: str) -> None:
     """The manifest's columns in order with a header; null is an empty field."""
     products.select(*[c for c in MANIFEST_COLUMNS if c in products.columns]).coalesce(1).write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)

@@ -62,3 +62,30 @@ def test_listing(spark, tmp_path):
     (tmp_path / "sub/b.txt").write_text("x")
     assert [r.length for r in tables.list_files(spark, str(tmp_path)).collect()] == [3]
     assert sorted(r.length for r in tables.list_files(spark, str(tmp_path), recursive=True).collect()) == [1, 3]
+
+
+def test_manifest_over_many_files_is_one_document(spark, tmp_path):
+    rows = [(f"p{i:04d}", None if i % 3 else i, f"a}},[{i}") for i in range(200)]
+    products = spark.createDataFrame(rows, "product_id string, n_files int, path string").repartition(7)
+    facts = {"title": "t}", "date": "d"}
+    writers.write_manifest_parts(products, facts, str(tmp_path / "m"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "m").glob("part-*")))
+    got = json.loads(text)
+    assert got == facts | {"n_products": 200, "products": [dict(zip(("product_id", "n_files", "path"), r, strict=True)) for r in rows]}
+    read = writers.read_manifest_parts(spark.read.text(str(tmp_path / "m")), "product_id string, n_files int, path string")
+    assert sorted(map(tuple, read.collect()), key=str) == sorted(rows, key=str)
+    for facts, few in (({}, products.limit(0)), ({}, products.where("n_files = 3")), ({"a": "b"}, products.limit(0))):
+        out = tmp_path / f"n{len(facts)}{few.count()}"
+        writers.write_manifest_parts(few, facts, str(out))
+        document = json.loads("".join(p.read_text() for p in sorted(out.glob("part-*"))))
+        assert document["n_products"] == few.count() == len(document["products"])
+
+
+def test_root_names_stand_for_files_without_a_header(spark):
+    rows = [("a.uvh5", "Header", "Ntimes", 0, "3"), ("a.uvh5", "Data", "d", 0, "7"), ("a.uvh5", "Root", "Header", 0, ""), ("b.uvh5", "Root", "x", 0, ""), ("b.uvh5", "Root", "Data", 0, ""), ("b.uvh5", "Data", "v", 0, "7"), ("c.skyh5", "Header", "nside", 0, "64"), ("c.skyh5", "Root", "Header", 0, "")]
+    headers = spark.createDataFrame(rows, "file string, part string, key string, at int, value string")
+    got = {r.file: r for r in tables.profile_headers(headers.where("file LIKE '%uvh5'")).collect()}
+    assert got["a.uvh5"].scalars == {"Ntimes": "3"} and got["a.uvh5"].data_datasets == {"d": [7]} and got["a.uvh5"].root_keys is None
+    assert got["b.uvh5"].root_keys == ["Data", "x"] and [v for k, v in got["b.uvh5"].asDict().items() if k not in ("file", "root_keys")] == [None] * (len(got["b.uvh5"]) - 2)
+    sky = tables.profile_sky(headers.where("file LIKE '%skyh5'")).first()
+    assert sky.root_keys == ["Header"] and sky.scalars == {"nside": "64"}

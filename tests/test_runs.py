@@ -37,6 +37,33 @@ def test_contrast_of_scaled_branches(spark):
     assert diff == pytest.approx(want)
 
 
+def test_branches_with_other_bands_and_features(spark):
+    from pyspark.sql import functions as F
+
+    cells, delays, lengths = spectra(spark)
+    two = cells.unionByName(cells.withColumn("spw", F.lit(1)))
+    params = pipeline.AlignParams(window_seconds=86400.0)
+    both = pipeline.with_features(pipeline.align_samples(two, delays.unionByName(delays.withColumn("spw", F.lit(1))), lengths, params))
+    one = pipeline.with_features(pipeline.align_samples(cells, delays, lengths, params))
+    assert {r.spw for r in pipeline.contrast_samples(both, one).select("spw").distinct().collect()} == {0}  # band 1 has no partner
+    with pytest.raises(ValueError, match="feature counts differ"):
+        pipeline.contrast_samples(both, one.where("feature > 0"))
+
+
+def test_counters_are_those_of_the_writes(spark):
+    from pyspark.sql import functions as F
+
+    cells, delays, lengths = spectra(spark, keys=5)
+    odd = cells.withColumn("value", F.when(F.col("blpair") == 4, 0.0).otherwise(F.col("value"))).withColumn("noise", F.when(F.col("blpair") >= 2, 0.0).otherwise(1.0))
+    twice = cells.where("blpair = 1 AND time_jd < 1").withColumn("time_jd", F.col("time_jd") + 0.3)
+    out = pipeline.align_samples(odd.unionByName(twice), delays, lengths, pipeline.AlignParams(window_seconds=86400.0))
+    c = out.counters.first()
+    assert (c.dropped_dead_keys, c.dropped_ambiguous_rows, c.n_common_windows, c.n_live_keys, c.n_groups) == (1, 2, 3, 4, 2)
+    assert c.zero_weight_cells == 3 * 5 and c.max_spread_seconds == pytest.approx(0.03 * 86400)
+    run = pipeline.decompose_samples(pipeline.with_features(out).withColumn("value", F.when(F.col("feature") == 0, float("nan")).otherwise(F.col("value"))))
+    assert run.n_replaced == 3
+
+
 def test_polarisation_is_chosen_by_name(spark):
     from pyspark.sql import functions as F
 
@@ -88,7 +115,7 @@ def test_registered_core_queries_match_their_sql(spark, sf):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     known, sql = registry.queries(), registry.oracle_sql()
     plain = lambda v: "none" if v is None or v != v else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
-    for name in ("aligned_samples", "branch_variances", "run_provenance", "stored_samples", "stored_decomposition", "tolerance_match_greedy", "infer_integration", "visibility_profile", "profiles_by_kind", "container_counts", "stored_products", "metadata_lines", "inventory_manifest", "series_codes", "spectra_cells"):
+    for name in ("aligned_samples", "branch_variances", "run_provenance", "stored_samples", "stored_decomposition", "tolerance_match_greedy", "infer_integration", "visibility_profile", "profiles_by_kind", "container_counts", "stored_products", "metadata_lines", "inventory_manifest", "series_codes", "spectra_cells", "anchored_groups", "exact_medians", "tolerance_match_hot", "wide_band_variance", "product_records", "document_diff", "inventory_census", "manifest_parts", "listed_files", "plane_spectrum", "plane_components", "plane_scores", "plane_summary"):
         got, want = known[name](spark, sf), con.sql(sql[name])
         columns = sorted(got.columns)
         assert columns == sorted(want.columns), name
