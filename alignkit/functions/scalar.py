@@ -37,6 +37,11 @@ def noise_weight(noise: Column | None) -> Column:
     return F.when(finite(noise) & (noise > 0), 1.0 / (noise * noise)).otherwise(F.lit(0.0))
 
 
+def logged_at() -> Column:
+    """The time of the query as text of ISO 8601 with its zone, to the second."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
 def band_label(band: Column) -> Column:
     """``spw00`` and so on."""
     return F.format_string("spw%02d", band.cast("int"))

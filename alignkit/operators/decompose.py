@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, finite_or_zero
 from ..sources.scratch import materialise
-from . import range_finder
+from . import ordered, range_finder
 from .streams import added, changes, kinds, numbers_in, runs
 
 THRESHOLD = 0.99
@@ -293,7 +293,7 @@ class Decomposition:
     @staticmethod
     def _leading(centred: DataFrame, by: list[str], stored: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(spectrum, loadings, scores) of the leading components of bands that no task can hold."""
-        samples, features = (materialise(numbered(centred, c, by), f"{c}-numbers") for c in ("time_pos", "feature"))
+        samples, features = (materialise(ordered.numbered(centred.select(*by, c).distinct(), by, [F.col(c)]), f"{c}-numbers") for c in ("time_pos", "feature"))
         placed = centred.join(samples.withColumnRenamed("at", "i"), [*by, "time_pos"]).join(features.withColumnRenamed("at", "j"), [*by, "feature"])
         found = range_finder.RangeFinder(placed.select(*by, "i", "j", "value"), by, stored)
         totals = centred.groupBy(*by).agg(F.sum(F.col("value") * F.col("value")).alias("total"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, materialise
-from .ordered import carried, dealt_in_order
+from .ordered import carried, numbered
 
 
 def tolerance_groups(keys: DataFrame, key: str, value: str, tol: float) -> DataFrame:
@@ -54,10 +54,8 @@ def anchored_groups(keys: DataFrame, key: str, value: str, tol: float, parts: in
         if jump.isEmpty():
             break
     # With no jump left, the last round has reached what there is. Anchors are numbered by ranges.
-    ranged = dealt_in_order(reached, [], [F.col("v")], parts)
-    offsets = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_part"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    numbered = ranged.join(offsets, "_part").select("v", (F.row_number().over(Window.partitionBy("_part").orderBy("v")) - 1 + F.col("_before")).alias("group_id"))
-    opened = carried(places.join(numbered, "v", "left"), [], [F.col("v")], {"own": F.col("group_id")}, itself=True, parts=parts)
+    found = numbered(reached, [], [F.col("v")], "group_id", parts)
+    opened = carried(places.join(found, "v", "left"), [], [F.col("v")], {"own": F.col("group_id")}, itself=True, parts=parts)
     return held.join(opened.select(F.col("v").alias("_v"), F.col("own").alias("group_id")), F.col(value).cast("double") == F.col("_v")).select(key, value, "group_id")
 
 

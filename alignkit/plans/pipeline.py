@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import logged_at
 from ..operators import align, catalog, decompose, grid, groups, match, reduce, reshape
 from ..sources import writers
 from ..sources.scratch import file_facts, materialise, observed
@@ -100,14 +101,14 @@ def align_samples(cells: DataFrame, delays: DataFrame, lengths: DataFrame, param
 
 def provenance(run: Aligned, inputs: dict[str, str], command: str) -> DataFrame:
     """One nested row about a run: each input's path, time of modification and size, parameters, counters,
-    the shape of each band, version, command and seconds."""
+    the shape of each band, version, command, seconds and the time of logging."""
     spark = run.samples.sparkSession
     facts = [(name, path, *file_facts(spark, path)) for name, path in sorted(inputs.items())]
     given = spark.createDataFrame([(facts, json.dumps(run.parameters, sort_keys=True), VERSION, command, float(run.seconds))], "inputs array<struct<name: string, path: string, mtime: double, size: long>>, parameters string, version string, command string, runtime_sec double")
     extents = run.samples.groupBy("spw").agg(*[F.count_distinct(c).alias(n) for c, n in (("time_pos", "n_times"), ("group_id", "n_groups"), ("dly_pos", "n_delays"))])
     shape = extents.agg(F.sort_array(F.collect_list(F.struct("spw", "n_times", "n_groups", "n_delays"))).alias("spws"))
     kinds = ", ".join(f"{k}: {'array<int>' if isinstance(v, (list, tuple)) else {bool: 'boolean', int: 'int', float: 'double'}.get(type(v), 'string')}" for k, v in sorted(run.parameters.items()))
-    return given.withColumn("parameters", F.from_json("parameters", f"struct<{kinds}>")).crossJoin(run.counters.select(F.struct("*").alias("counters"))).crossJoin(shape)
+    return given.withColumn("parameters", F.from_json("parameters", f"struct<{kinds}>")).withColumn("logged_at", logged_at()).crossJoin(run.counters.select(F.struct("*").alias("counters"))).crossJoin(shape)
 
 
 def with_features(aligned: Aligned) -> DataFrame:

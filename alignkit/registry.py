@@ -843,16 +843,16 @@ def two_band_samples(spark, sf_dir):
 SELECT (SELECT count(*) FROM xdead) AS dropped_dead_keys, (SELECT count(*) FROM xw) - (SELECT count(*) FROM xu) AS dropped_ambiguous_rows, (SELECT count(*) FROM xo) AS n_common_windows,
        (SELECT count(DISTINCT group_id) FROM xg) AS n_groups, (SELECT count(*) FROM xg) AS n_live_keys, (SELECT count(*) FROM xv WHERE NOT den > 0) AS zero_weight_cells,
        (SELECT round(max(d) * 86400.0, 3) FROM (SELECT max(t) - min(t) AS d FROM xr GROUP BY wid)) AS max_spread_seconds,
-       (SELECT string_agg(spw || ':' || n, ',' ORDER BY spw) FROM (SELECT spw, count(DISTINCT dly_pos) AS n FROM xs GROUP BY spw)) AS delays""")
+       (SELECT string_agg(spw || ':' || n, ',' ORDER BY spw) FROM (SELECT spw, count(DISTINCT dly_pos) AS n FROM xs GROUP BY spw)) AS delays, true AS is_logged""")
 def two_band_provenance(spark, sf_dir):
     """Counters observed in the run's own writes, stored in its provenance and read back."""
     path = scratch_path(spark, "provenance")
     writers.write_json(pipeline.provenance(_two_band_run(spark, sf_dir, "A"), {"lineitem": f"{sf_dir}/lineitem.parquet"}, "two_band_provenance"), path, pretty=True)
     names = ("dropped_dead_keys", "dropped_ambiguous_rows", "n_common_windows", "n_groups", "n_live_keys", "zero_weight_cells")
-    schema = f"counters struct<{', '.join(f'{n}: long' for n in names)}, max_spread_seconds: double>, spws array<struct<spw: int, n_delays: long>>"
+    schema = f"logged_at string, counters struct<{', '.join(f'{n}: long' for n in names)}, max_spread_seconds: double>, spws array<struct<spw: int, n_delays: long>>"
     r = spark.read.schema(schema).option("multiLine", True).json(path)
     each = F.transform("spws", lambda s: F.concat(s["spw"].cast("string"), F.lit(":"), s["n_delays"].cast("string")))
-    return r.select(*[f"counters.{n}" for n in names], F.round("counters.max_spread_seconds", 3).alias("max_spread_seconds"), F.concat_ws(",", each).alias("delays"))
+    return r.select(*[f"counters.{n}" for n in names], F.round("counters.max_spread_seconds", 3).alias("max_spread_seconds"), F.concat_ws(",", each).alias("delays"), F.col("logged_at").cast("timestamp").isNotNull().alias("is_logged"))
 
 
 @query(f"""WITH {_two_bands_sql('A', 'x')},

@@ -36,6 +36,17 @@ def test_exact_medians_of_groups(spark, monkeypatch, few):
     assert got == {g: statistics.median(x) for g, x in groups.items()}
 
 
+def test_numbered_over_borders(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(b) if b else None, i) for i, b in enumerate(rng.choice([0, 1, 1, 1, 2], 300))]
+    got = ordered.numbered(spark.createDataFrame(rows, "b int, i int"), ["b"], [F.col("i")], parts=7)
+    want, seen = {}, {}
+    for b, i in rows:
+        want[i] = seen.get(b, 0)
+        seen[b] = want[i] + 1
+    assert {r.i: r.at for r in got.collect()} == want
+
+
 def test_exact_median_without_groups(spark):
     values = spark.range(100_000).select((F.col("id") % 1000 / 7.0).alias("v"))
     assert ordered.exact_medians(values, [], "v").first()["median"] == statistics.median([i % 1000 / 7.0 for i in range(100_000)])
