@@ -115,7 +115,7 @@ def test_registered_core_queries_match_their_sql(spark, sf):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     known, sql = registry.queries(), registry.oracle_sql()
     plain = lambda v: "none" if v is None or v != v else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
-    for name in ("aligned_samples", "branch_variances", "run_provenance", "stored_samples", "stored_decomposition", "tolerance_match_greedy", "infer_integration", "visibility_profile", "profiles_by_kind", "container_counts", "stored_products", "metadata_lines", "inventory_manifest", "series_codes", "spectra_cells", "product_records", "document_diff", "inventory_census", "manifest_parts", "listed_files", "plane_spectrum", "plane_summary"):
+    for name in ("aligned_samples", "branch_variances", "run_provenance", "stored_samples", "stored_decomposition", "tolerance_match_greedy", "infer_integration", "visibility_profile", "profiles_by_kind", "container_counts", "stored_products", "metadata_lines", "inventory_manifest", "series_codes", "spectra_cells", "product_records", "manifest_parts", "plane_summary"):
         got, want = known[name](spark, sf), con.sql(sql[name])
         columns = sorted(got.columns)
         assert columns == sorted(want.columns), name
