@@ -3,8 +3,14 @@
 Pieces of a pattern are encoded once and remembered. Unknown pieces of like length form a
 matrix of token ids, padded to the bucket's width; in each round every row looks its adjacent pairs
 up in a hash table, merges its leftmost pair of minimum rank, and rows that have none left leave the
-matrix. Each row that stays loses exactly one column, so compaction is a masked reshape. A piece beyond
-the widest bucket lies over several rows and goes through the same rounds.
+matrix. Each row that stays loses exactly one column, so compaction is a masked reshape.
+
+A piece beyond the widest bucket is cut into rows that overlap, which all go through the same rounds. Where
+two neighbouring rows found the same token in the same place, the left one's ids end and the right one's go
+on. That is exact: each token is what its own bytes merge to, and each two neighbours are what both
+together merge to, since they stand so in one row. Merges of one token never alter the order of another's, so
+a pair across a border that is never the least among its two tokens is never the least among all.
+Rows that share no token are joined to one.
 """
 
 from __future__ import annotations
@@ -22,8 +28,9 @@ from .common import text_or_empty
 
 NONE = np.int32(2**31 - 1)
 #: Widths of the buckets are powers of two from the first to the last; a longer piece takes several rows
-#: of the last width.
-WIDTHS = (4, 512)
+#: of the last width, which overlap by so many bytes. Rows are 192 bytes apart, so that runs of one, two or
+#: three bytes begin alike in all of them.
+WIDTHS, OVERLAP = (4, 256), 64
 #: Cells of a matrix at a time.
 CELLS = 1 << 20
 #: Bytes of pieces and ids that a worker remembers; beyond it the memory starts afresh.
@@ -83,6 +90,9 @@ class ByteBPE:
         left, right, rank = np.array(pairs or np.zeros((0, 3)), np.int64).T
         self.pairs = PairTable((left << 32) | right, rank.astype(np.int32))
         self.names = {i: str(i).encode() for i in self.token}
+        self.size = np.zeros(max(self.token) + 1, np.int64)
+        for t, i in ranks.items():
+            self.size[i] = len(t)
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -93,17 +103,19 @@ class ByteBPE:
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece: the token itself if the piece is one, else by merging."""
+        merged = iter(self._merged([p for p in pieces if p not in self.ranks]))
+        return [np.array([self.ranks[p]], np.int32) if p in self.ranks else next(merged) for p in pieces]
+
+    def _merged(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of each piece by merging alone, pieces of like length in a matrix."""
         out: list = [None] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
-            if p in self.ranks:
-                out[i] = np.array([self.ranks[p]], np.int32)
-            else:
-                buckets.setdefault(max(WIDTHS[0], 1 << (len(p) - 1).bit_length()), []).append(i)
+            buckets.setdefault(max(WIDTHS[0], 1 << (len(p) - 1).bit_length()), []).append(i)
         for width, rows in buckets.items():
             if width > WIDTHS[1]:
                 for i in rows:
-                    out[i] = self._merge_rows(self.byte[np.frombuffer(pieces[i], np.uint8)])
+                    out[i] = self._over_rows(pieces[i])
                 continue
             for at in range(0, len(rows), CELLS // width):
                 part = rows[at : at + CELLS // width]
@@ -113,6 +125,28 @@ class ByteBPE:
                 self._merge(matrix, np.array(part), out)
         return out
 
+    def _over_rows(self, piece: bytes) -> np.ndarray:
+        """Ids of a piece by merging alone, cut into rows that overlap."""
+        first = np.arange(0, len(piece) - OVERLAP, WIDTHS[1] - OVERLAP)
+        last = np.minimum(first + WIDTHS[1], len(piece))
+        ids = self._merged([piece[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+        while True:
+            row, flat = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids)
+            before = np.cumsum(last - first) - last  # bytes of all rows so far beyond those of the piece
+            end = np.cumsum(self.size[flat]) - before[row]
+            place = (end << 32) | flat
+            of_left = (row + 1 < len(ids)) & (end - self.size[flat] >= np.append(first[1:], len(piece))[row])
+            of_right = (row > 0) & (end <= np.append(0, last[:-1])[row])
+            shared = np.intersect1d(place[of_left], place[of_right], assume_unique=True) >> 32
+            border, at = np.unique(np.searchsorted(first, shared) - 2, return_index=True)
+            cut = np.full(len(ids) - 1, -1)
+            cut[border] = shared[at]
+            if (cut >= 0).all():
+                return flat[(end > np.append(0, cut)[row]) & (end <= np.append(cut, len(piece))[row])]
+            left, right = np.flatnonzero(np.append(True, cut >= 0)), np.flatnonzero(np.append(cut >= 0, True))
+            ids = [ids[a] if a == b else self._merge_rows(self.byte[np.frombuffer(piece[first[a] : last[b]], np.uint8)]) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+            first, last = first[left], last[right]
+
     def _merge(self, ids: np.ndarray, row: np.ndarray, out: list) -> None:
         """Rounds over a matrix with a piece in each row. Only the two pairs beside a merge are looked up
         again; the others move with their columns."""
@@ -141,8 +175,8 @@ class ByteBPE:
                 found[k, j[k]] = self.pairs.find(ids[k, j[k]], ids[k, j[k] + 1])
 
     def _merge_rows(self, piece: np.ndarray) -> np.ndarray:
-        """The same rounds for one piece that is laid over several rows of the last width: each row keeps
-        its own minimum, so a round looks at the rows' minima and at the row that has the least."""
+        """The same rounds for bytes whose rows share no token, laid over several rows without overlap: each row
+        keeps its own minimum, so a round looks at the rows' minima and at the row that has the least."""
         width = WIDTHS[1]
         n = -(-len(piece) // width)
         ids = np.full((n, width + 1), -1, np.int32)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers as P
 import pytest
@@ -41,6 +42,44 @@ def test_long_pieces_take_the_same_rounds(bpe, theirs):
             assert next(bpe.encode([t])).tolist() == theirs.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("unit", ["a", "=", "abc", "abcde", "xyxyx", "letters", "漢字", "\n", "-*-"])
+def test_long_runs_of_one_unit(bpe, theirs, unit):
+    for n in (257, 449, 5000):
+        assert next(bpe.encode([unit * n])).tolist() == theirs.encode_ordinary(unit * n)
+
+
+def test_a_long_piece_does_not_take_a_round_a_byte(bpe, theirs, monkeypatch):
+    monkeypatch.setattr(bpe, "_merge_rows", None)  # all rows of such a piece share a token with the next
+    rng = random.Random(5)
+    t = "".join(chr(rng.randrange(97, 123)) for _ in range(400_000))
+    began = time.perf_counter()
+    got = next(bpe.encode([t])).tolist()
+    assert time.perf_counter() - began < 5  # a tenth of it on an idle core
+    assert got == theirs.encode_ordinary(t)
+
+
+def test_rows_join_exactly_for_any_ranks(monkeypatch):
+    """Small rows, few letters and ranks in no order of length: rows that share a token, that share none and
+    are joined, and tokens wider than the overlap."""
+    monkeypatch.setattr(byte_bpe, "WIDTHS", (4, 16))
+    monkeypatch.setattr(byte_bpe, "OVERLAP", 8)
+    rng, joined = random.Random(7), []
+    for _ in range(150):
+        letters = "ab" if rng.random() < 0.6 else "abc"
+        words = {"".join(rng.choice(letters) for _ in range(rng.choice((2, 2, 3, 3, 4, 5, 6, 8, 12)))) for _ in range(rng.randrange(3, 30))}
+        words = [w.encode() for w in sorted(words | {letters[:1] * 2, letters[:1] * 4}) if rng.random() < 0.95]
+        rng.shuffle(words)
+        coder = byte_bpe.ByteBPE({bytes([i]): i for i in range(256)} | {w: 256 + i for i, w in enumerate(words)}, r"\w+")
+        own = tiktoken.Encoding("own", pat_str=r"\w+", mergeable_ranks=coder.ranks, special_tokens={})
+        was = coder._merge_rows
+        monkeypatch.setattr(coder, "_merge_rows", lambda x, was=was: joined.append(len(x)) or was(x))
+        for n in (16, 17, 25, 64, 65, 300):
+            unit = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 8)))
+            for t in ("".join(rng.choice(letters) for _ in range(n)), unit * n, "".join(rng.choice(letters) for _ in range(n)) + unit * n):
+                assert next(coder.encode([t])).tolist() == own.encode_ordinary(t)
+    assert len(joined) > 50
+
+
 def test_memory_is_bounded_in_bytes(bpe, theirs, monkeypatch):
     monkeypatch.setattr(byte_bpe, "REMEMBERED_BYTES", 2000)
     monkeypatch.setattr(byte_bpe, "PART_PIECES", 64)
