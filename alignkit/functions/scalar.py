@@ -52,6 +52,15 @@ def to_text(raw: Column) -> Column:
     return F.decode(raw, "UTF-8")
 
 
+def number_text(x: Column) -> Column:
+    """A number under 10 million in size as the shortest text that gives it back: decimals from 0.0001 on (``0.00012``),
+    below that an exponent of two digits or more (``3.1e-05``). A cast writes ``1.2E-4`` and ``3.1E-5``."""
+    text = x.cast("string")
+    digits = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E-(\d)$", "E-0$1")
+    plain = F.regexp_replace(text, r"^(-?)(\d)\.(?:0|(\d+))E-4$", "$10.000$2$3")
+    return F.when(~text.contains("E-"), text).when(F.abs(x) >= 1e-4, plain).otherwise(F.lower(digits))
+
+
 def head(text: Column, n: int = 600) -> Column:
     return F.substring(text, 1, n)
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalar import band_label, days, head, key_subset, series_code, to_days, to_seconds, to_text
+from .functions.scalar import band_label, days, head, key_subset, number_text, series_code, to_days, to_seconds, to_text
 from .operators import align, catalog, decompose, grid, groups, match, ordered, records, reduce, reshape
 from .plans import pipeline
 from .sources import sample_files, tables, writers
@@ -1055,7 +1055,7 @@ def plane_summary(spark, sf_dir):
     writers.write_json(writers.summary_document(_plane(spark, sf_dir, threshold=0.9).summary, "orders"), path)
     read = spark.read.schema("label string, spws array<struct<spw: string, n_samples: long, n_features: long, n_components: long, top5_evr: array<double>>>").json(path)
     rows = read.select(F.posexplode("spws").alias("place", "r")).select("place", "r.*")
-    return rows.select("spw", "n_samples", "n_features", "n_components", F.concat_ws(",", F.transform("top5_evr", lambda x: F.round(x, 6).cast("string"))).alias("top5"), F.col("place").cast("long").alias("place"))
+    return rows.select("spw", "n_samples", "n_features", "n_components", F.concat_ws(",", F.transform("top5_evr", lambda x: number_text(F.round(x, 6)))).alias("top5"), F.col("place").cast("long").alias("place"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -124,6 +124,26 @@ def test_registered_core_queries_match_their_sql(spark, sf):
         assert mine == sorted([str([plain(r[i]) for i in at]) for r in want.fetchall()]), name
 
 
+def test_small_ratios_are_written_as_in_the_sql(spark, tmp_path):
+    import duckdb
+    from alignkit.functions.scalar import number_text
+    from pyspark.sql import functions as F
+
+    values = [1.0, 0.0, 0.999969, 0.001, 0.00099, 0.00012, 0.0001, 0.000099, 0.000031, 0.00001, 0.000001, -0.00012, -3e-5, 1.25e-100, 1234567.5]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    want = duckdb.sql(f"SELECT v::DOUBLE::VARCHAR FROM (SELECT unnest({values}::DOUBLE[]) AS v)").fetchall()
+    assert [tuple(r) for r in rows.select(number_text(F.col("v"))).collect()] == want
+    # Orders whose second ratio is below 0.001, and below 0.0001.
+    orders = "CASE WHEN i % 2 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus, i AS o_orderkey, i * 10 AS o_custkey, 1000 * (i % 7) * CASE WHEN i % 2 = 0 THEN 7 ELSE 18 END::DOUBLE AS o_totalprice"
+    duckdb.sql(f"COPY (SELECT {orders} FROM range(1000) r(i)) TO '{tmp_path}/orders.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got = registry.queries()["plane_summary"](spark, str(tmp_path)).orderBy("place").collect()
+    want = con.sql(f"SELECT spw, top5 FROM ({registry.oracle_sql()['plane_summary']}) ORDER BY place").fetchall()
+    assert [(r.spw, r.top5) for r in got] == want
+    second = [float(t.split(",")[1]) for _, t in want]
+    assert min(second) < 1e-4 < max(second) < 1e-3
+
 
 def test_bounded_median_by_counts(spark):
     import random
