@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialise
 
+#: Levels of a document that are walked before what is found is stored.
+LEVELS = 4
+
 
 def records_of_lines(lines: DataFrame, text: str, at: str) -> DataFrame:
     """``label, record`` of JSON lines: of several records with a label the last one in order of ``at``.
@@ -51,30 +54,40 @@ def walked(documents: DataFrame, by: list[str], document: str, named: dict[str,
 
     Paths are ``$.key`` and ``[place]`` in turn. ``named`` gives for a path of an array (``[*]`` for places in it) the
     key of its objects that names an element instead of its place, so that lists can be compared where
-    elements came or went. Empty objects and arrays are leaves. A round takes one level of all
-    documents; there are as many rounds as the deepest document has levels.
+    elements came or went. Empty objects and arrays are leaves. A round takes ``LEVELS`` levels of all
+    documents in one pass and stores what it comes to; only what is deeper goes on to another round.
     """
-    spark, named = documents.sparkSession, named or {}
+    named = named or {}
     level = documents.select(*by, F.lit("$").alias("path"), F.lit("$").alias("kind"), F.col(document).alias("value"))
     out = None
     while True:
+        for _ in range(LEVELS):
+            level = _opened(level, by, named)
         shape = F.schema_of_variant("value")
         inside = F.coalesce((shape.startswith("OBJECT<") & (shape != "OBJECT<>")) | (shape.startswith("ARRAY<") & (F.to_json("value") != "[]")), F.lit(False))
-        level = materialise(level.withColumn("_inside", inside), "walk")
-        leaves = level.where("NOT _inside").select(*by, "path", F.to_json("value").alias("value"))
+        level = level.withColumn("_inside", inside)
+        # Leaves are stored as text: as variants each would bring the names of its whole document.
+        level = materialise(level.select(*by, "path", F.when(F.col("_inside"), F.col("kind")).alias("kind"), F.when(~F.col("_inside"), F.to_json("value")).alias("leaf"), F.when(F.col("_inside"), F.col("value")).alias("value"), "_inside"), "walk")
+        leaves = level.where("NOT _inside").select(*by, "path", F.col("leaf").alias("value"))
         out = leaves if out is None else out.unionAll(leaves)
-        if level.where("_inside").isEmpty():
+        level = level.where("_inside").select(*by, "path", "kind", "value")
+        if level.isEmpty():
             return out
-        view = f"_walk_{uuid.uuid4().hex}"
-        level.where("_inside").select(*by, "path", "kind", F.col("value").alias("_outer")).createOrReplaceTempView(view)
-        names = ", ".join(f"w.`{c}`" for c in by)
-        level = spark.sql(f"SELECT {names}{', ' if by else ''}w.path AS _path, w.kind AS _kind, e.pos, e.key, e.value FROM {view} w, LATERAL variant_explode(w._outer) e")
-        spark.catalog.dropTempView(view)
-        place = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
-        for path, key in named.items():
-            place = F.when((F.col("_kind") == path) & F.col("key").isNull(), F.concat(F.lit("["), F.coalesce(F.try_variant_get("value", f"$.{key}", "string"), F.col("pos").cast("string")), F.lit("]"))).otherwise(place)
-        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key")))
-        level = level.select(*by, F.concat("_path", F.coalesce(step, place)).alias("path"), F.concat("_kind", F.coalesce(step, F.lit("[*]"))).alias("kind"), "value")
+
+
+def _opened(level: DataFrame, by: list[str], named: dict[str, str]) -> DataFrame:
+    """``by, path, kind, value`` of the elements of each value; a value without any stays as it is."""
+    spark, view = level.sparkSession, f"_walk_{uuid.uuid4().hex}"
+    level.withColumnRenamed("value", "_outer").createOrReplaceTempView(view)
+    names = ", ".join(f"w.`{c}`" for c in by)
+    inner = spark.sql(f"SELECT {names}{', ' if by else ''}w.path AS _path, w.kind AS _kind, w._outer, e.pos, e.key, e.value FROM {view} w, LATERAL variant_explode_outer(w._outer) e")
+    spark.catalog.dropTempView(view)
+    place = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+    for path, key in named.items():
+        place = F.when((F.col("_kind") == path) & F.col("key").isNull(), F.concat(F.lit("["), F.coalesce(F.try_variant_get("value", f"$.{key}", "string"), F.col("pos").cast("string")), F.lit("]"))).otherwise(place)
+    step, leaf = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))), F.col("pos").isNull()
+    below = lambda outer, step: F.when(leaf, F.col(outer)).otherwise(F.concat(outer, step))
+    return inner.select(*by, below("_path", F.coalesce(step, place)).alias("path"), below("_kind", F.coalesce(step, F.lit("[*]"))).alias("kind"), F.when(leaf, F.col("_outer")).otherwise(F.col("value")).alias("value"))
 
 
 def diff_documents(old: DataFrame, new: DataFrame, by: list[str], document: str, named: dict[str, str] | None = None) -> DataFrame:

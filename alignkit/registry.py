@@ -960,7 +960,8 @@ FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.path = b.path WHERE a.s
 def document_diff(spark, sf_dir):
     """J10 on nested documents: from the stored documents of finished lines to those of open ones, path by path; a line is
     named by its number and not by its place."""
-    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("qty"))
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linestatus", "l_linenumber", "l_quantity").repartition("l_orderkey", "l_linestatus")
+    lines = rows.groupBy("l_orderkey", "l_linestatus", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("qty"))
     items = F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), "qty")))
     text = F.to_json(F.struct(F.count(F.lit(1)).alias("n"), items.alias("lines")))
     path = scratch_path(spark, "documents")

@@ -42,6 +42,19 @@ def test_walk_equals_recursion(spark):
     assert sorted(((r.k is None, r.k or 0, r.path, json.loads(r.value)) for r in got), key=str) == sorted(((k is None, k or 0, p, v) for k, d in docs for p, v in leaves(d).items()), key=str)
 
 
+def test_a_walk_stores_once_for_several_levels(spark, monkeypatch):
+    """Documents of four levels are stored once a walk; deeper ones take another round for what is deeper."""
+    stored, store = [], records.materialise
+    monkeypatch.setattr(records, "materialise", lambda df, name: (stored.append(name), store(df, name))[1])
+    flat = [(1, {"n": 2, "lines": [{"line": 1, "qty": 3}, {"line": 2, "qty": None}]}), (2, {"n": 0, "lines": []}), (3, None)]
+    deep = [(4, {"a": [[[[{"b": [1, {}, [], {"c": [[2]]}]}, 3]]]]}), (5, [[[{}]], [[[]]], [[["x"]]], [[[["y"]]]]])]
+    for docs, rounds in ((flat, 1), (flat + deep, 3)):
+        stored.clear()
+        got = records.walked(frame(spark, [(k, json.dumps(d)) for k, d in docs]), ["k"], "doc").collect()
+        assert len(stored) == rounds
+        assert sorted(((r.k, r.path, json.loads(r.value)) for r in got), key=str) == sorted(((k, p, v) for k, d in docs for p, v in leaves(d).items()), key=str)
+
+
 def test_documents_compared_path_by_path(spark):
     old = [(1, {"title": "t", "products": [{"product_id": "p", "n": 1}, {"product_id": "q", "n": None}]}), (2, {"x": 1})]
     new = [(1, {"title": "t", "products": [{"product_id": "q", "n": 2}, {"product_id": "p", "n": 1}], "more": [1]}), (3, {"x": 1})]
